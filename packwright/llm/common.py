@@ -37,8 +37,11 @@ def texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def same_row(left: DataFrame, right: DataFrame) -> Column:
-    return left["_pw_id"].eqNullSafe(right["_pw_id"]) & left["_pw_key"].eqNullSafe(right["_pw_key"])
+def joined_back(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """rows, each with what was found for its (_pw_id, _pw_key), or nulls; null ids match null ids."""
+    found = found.withColumnsRenamed({"_pw_id": "_pw_id_found", "_pw_key": "_pw_key_found"})
+    same = F.col("_pw_id").eqNullSafe(F.col("_pw_id_found")) & F.col("_pw_key").eqNullSafe(F.col("_pw_key_found"))
+    return rows.join(found, same, "left").drop("_pw_id_found", "_pw_key_found")
 
 
 def held_out(id_col: Column, modulus: int, remainder: int) -> Column:
@@ -72,3 +75,51 @@ def shared_folder(spark: SparkSession) -> str:
 def small_enough(df: DataFrame, rows: int) -> bool:
     """Whether df has at most this many rows: the check before any broadcast."""
     return df.limit(rows + 1).count() <= rows
+
+
+def match_spans(text: Column, pattern: str, keep=None) -> Column:
+    """Leftmost non-overlapping matches as array<struct<start, end, found>>, places in code points.
+
+    ``keep`` takes a match and says whether it stays. Matches and the gaps between them come from the same
+    pattern, so running sums of their lengths are the places. Texts without a match are only searched once.
+    """
+    empty = F.array().cast("array<struct<start:int,end:int,found:string>>")
+    pieces = F.zip_with(
+        F.split(text, pattern, -1),
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
+        lambda gap, found: F.struct(F.length(gap).alias("gap"), found.alias("found")),
+    )
+
+    def step(acc: Column, piece: Column) -> Column:
+        found = piece["found"]
+        start = (acc["at"] + piece["gap"]).cast("int")
+        end = (start + F.length(found)).cast("int")
+        one = F.array(F.struct(start.alias("start"), end.alias("end"), found.alias("found")))
+        stays = found.isNotNull() if keep is None else F.coalesce(keep(found), F.lit(False))
+        return F.struct(
+            F.coalesce(end, acc["at"]).alias("at"), F.when(stays, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out")
+        )
+
+    folded = F.aggregate(
+        pieces, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"]
+    )
+    return F.when(text.rlike(pattern), folded).otherwise(empty)
+
+
+def tagged(spans: Column, order: int, kind: str) -> Column:
+    """Spans with their kind and its rank, ready to be sorted by start and then kind as listed."""
+    return F.transform(
+        spans,
+        lambda s: F.struct(
+            s["start"].alias("start"), F.lit(order).alias("order"), s["end"].alias("end"),
+            F.lit(kind).alias("kind"), s["found"].alias("found"),
+        ),
+    )
+
+
+def spans_text(spans: Column) -> Column:
+    """kind:start:end of sorted spans, comma-joined."""
+    return F.array_join(
+        F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))),
+        ",",
+    )

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packwright.llm.common import same_row, small_enough, texts, word_array
+from packwright.llm.common import joined_back, small_enough, texts, word_array
 
 
 def _shingle(words: Column, at: Column, size: int) -> Column:
@@ -76,9 +76,9 @@ def contamination(
         )
         .withColumn("n_hit", _covered(F.col("_pw_spans")))
     )
-    out = counted.join(found, same_row(counted, found), "left")
+    out = joined_back(counted, found)
     return out.select(
-        counted["_pw_id"].alias(id_col),
+        F.col("_pw_id").alias(id_col),
         "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.when(F.col("items").isNull(), 0).otherwise(F.size("items")).cast("long").alias("n_items"),
@@ -133,5 +133,4 @@ def _hits(base: DataFrame, wins: DataFrame, size: int, shingle: int, sent, few:
         return met.where(inside).where(equal).select(*kept)
     narrow = places.select("_pw_id", "_pw_key", "_pw_pos", "_pw_hash", F.size("_pw_words").alias("_pw_n_words"))
     met = narrow.join(prefix, "_pw_hash").withColumn("_pw_start", start).withColumn("_pw_len", length).where(inside)
-    met = met.alias("m").join(base.alias("b"), same_row(met, base))
-    return met.select("m.*", "b._pw_words").where(equal).select(*kept)
+    return joined_back(met, base.distinct()).where(equal).select(*kept)
