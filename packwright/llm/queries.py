@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from packwright.llm.decontaminate import contamination
 from packwright.llm.licenses import license_scan
+from packwright.llm.ngram_join import jaccard_components
 from packwright.llm.pii import personal_data, pii_digest
 from packwright.llm.secrets import secret_digest, secret_scan
 
@@ -29,6 +30,10 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(secret_scan(_table(spark, sf_dir, "documents")))
 
@@ -43,5 +48,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_benchmark_decontamination, op8_secret_scans, op9_license_scans, op10_pii)
+    for f in (op1_benchmark_decontamination, op4_ngram_jaccard_join, op8_secret_scans, op9_license_scans, op10_pii)
 }
