@@ -5,5 +5,435 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from packwright.functions import paths as P
+from packwright.functions import text as T
+from packwright.operators import code, fts, links, lookup, merge, stats, tree, vectors
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def versioned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with versions made from their ids, as records of several releases have."""
+    d = F.col("doc_id")
+    made = F.array(*[F.concat(F.lit("8.3."), (d % m).cast("string")) for m in (7, 11, 13)])
+    return table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.when(d % 5 > 0, made).otherwise(F.array().cast("array<string>")).alias("versions"))
+
+
+# --- scalar functions ---------------------------------------------------------------------------------------
+
+
+@query
+def compact_text(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", T.compact("text", 200).alias("compacted"))
+
+
+@query
+def compact_summary(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", T.summary("text", 150).alias("summary"))
+
+
+@query
+def normalize_text(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.sha2(T.normalized("text"), 256).alias("digest"), F.length(T.normalized("text")).alias("n"))
+
+
+@query
+def hash_id(spark, sf):
+    return table(spark, sf, "pages").select("page_id", T.hash_id(F.lit("8.3"), F.lit("ru"), F.col("url")).alias("id"))
+
+
+@query
+def sha256_text(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
+
+
+@query
+def slug_source(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", T.slug(F.concat_ws(" / ", "p_name", "p_brand")).alias("slug"))
+
+
+@query
+def safe_name(spark, sf):
+    return table(spark, sf, "pages").select("page_id", T.safe_stem(F.concat("url", F.lit(".html"))).alias("stem"))
+
+
+@query
+def html_title(spark, sf):
+    return table(spark, sf, "pages").select("page_id", T.html_title("html").alias("title"))
+
+
+@query
+def title_parts(spark, sf):
+    title = F.concat_ws(" (", "p_name", F.concat("p_type", F.lit(")")))
+    return table(spark, sf, "part").select("p_partkey", T.title_base(title).alias("base"), T.title_synonym(title).alias("synonym"))
+
+
+@query
+def code_blocks(spark, sf):
+    fenced = F.concat(F.lit("a\n```sql\n"), F.translate(F.substring("text", 1, 60), "`", "'"), F.lit("\n```\nb"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.array_join(T.code_blocks(fenced), "|").alias("code"))
+
+
+@query
+def search_tokens(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.array_join(T.tokens("text"), " ").alias("tokens"))
+
+
+# --- versions -----------------------------------------------------------------------------------------------
+
+
+@query
+def version_sort(spark, sf):
+    return versioned(spark, sf).select("doc_id", F.array_join(T.newest_first(F.col("versions")), ",").alias("versions"))
+
+
+@query
+def version_filter(spark, sf):
+    """Rows without versions go; others keep the chosen ones among theirs."""
+    chosen = F.array(F.lit("8.3.1"), F.lit("8.3.3"), F.lit("8.3.10"))
+    rows = versioned(spark, sf).where((F.size("versions") > 0) & F.arrays_overlap("versions", chosen))
+    return rows.select("doc_id", F.array_join(F.array_sort(F.array_intersect("versions", chosen)), ",").alias("versions"))
+
+
+@query
+def primary_version(spark, sf):
+    """The least version in text order: 8.3.10 before 8.3.9."""
+    return versioned(spark, sf).where(F.size("versions") > 0).select("doc_id", F.array_min("versions").alias("version"))
+
+
+@query
+def versions_seen(spark, sf):
+    distinct = versioned(spark, sf).withColumn("versions", F.array_distinct("versions"))
+    return stats.versions_seen(distinct, "versions")
+
+
+@query
+def version_match(spark, sf):
+    rows = versioned(spark, sf).withColumn("version", F.array_min("versions"))
+    return rows.where(lookup.applies_to(F.col("version"), F.col("versions"), "8.3.3")).select("doc_id")
+
+
+# --- projections and predicates -----------------------------------------------------------------------------
+
+
+@query
+def first_nonblank_name(spark, sf):
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", T.first_nonblank(F.when(F.col("doc_id") % 3 == 0, "  "), F.when(F.col("doc_id") % 2 == 0, F.col("source")), "lang").alias("name"))
+
+
+@query
+def record_payload(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", T.joined(30, "p_name", F.lit(" "), "p_brand", "p_type").alias("payload"))
+
+
+@query
+def field_identity(spark, sf):
+    o = table(spark, sf, "lineitem").where("l_linenumber = 1")
+    group = F.element_at(F.array(*map(F.lit, ("tabular_sections", "tabular_section_requisites", "form_attributes", "requisites"))), (F.col("l_orderkey") % 4 + 1).cast("int"))
+    named = P.field_identity(F.concat(F.lit("Document.D"), F.col("l_suppkey")), group, F.concat(F.lit("f"), F.col("l_partkey")), F.col("l_returnflag"), F.when(F.col("l_orderkey") % 3 > 0, F.col("l_linestatus")))
+    return o.select("l_orderkey", named["display_name"].alias("display_name"), named["topic_path"].alias("topic_path"))
+
+
+@query
+def exact_lookup_ascii(spark, sf):
+    return lookup.equal_rows(table(spark, sf, "part"), "SMALL Ring", ["p_name", "p_type"], "ascii").select("p_partkey", "p_name")
+
+
+@query
+def exact_lookup_unicode(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", T.squeezed(F.substring("text", 1, 6)).alias("head"))
+    return lookup.equal_rows(d, "ÉTION D", ["head"]).union(lookup.equal_rows(d, "THE THA", ["head"])).union(lookup.equal_rows(d, "ERTHOR", ["head"]))
+
+
+@query
+def like_find(spark, sf):
+    met = lookup.containing_rows(table(spark, sf, "pages"), "EXAMPLE.com", ["url"])
+    return met.orderBy(F.length("url"), "url", "page_id").limit(20).select("page_id", "url")
+
+
+@query
+def blank_and_form_check(spark, sf):
+    d = table(spark, sf, "documents")
+    return d.agg(F.count_if(T.strip("text") == "").alias("n_blank"), F.count_if(F.contains(F.lower("text"), F.lit("licensed under"))).alias("n_form"))
+
+
+@query
+def exclusion_reasons(spark, sf):
+    """Paths of every excluded class made from part rows, with the reason each is given."""
+    shapes = ("Documents/D/Templates/T/Template.bin", "XDTOPackages/X/Package.bin", "Reports/R/Templates/T/Ext/Template/_files/a.txt", "Reports/R/Templates/T/Ext/Template/i.html", "a/b.PNG", "a/b.mxl", "Documents/D/Templates/T/Template.xml", "Documents/D/Templates/T/a.xml", "CommonModules/M/Ext/Module.bsl")
+    path = F.element_at(F.array(*map(F.lit, shapes)), (F.col("p_partkey") % len(shapes) + 1).cast("int"))
+    head = F.when(F.col("p_partkey") % 9 == 6, "<document xmlns=data/spreadsheet>").otherwise("<a>data:image/png;base64,aa</a>")
+    rows = table(spark, sf, "part").select("p_partkey", path.alias("path"), P.exclusion_reason(path, F.col("p_size") * 100_000, head).alias("reason"))
+    return rows.withColumn("reason", F.coalesce("reason", F.lit("kept")))
+
+
+@query
+def path_object_hint(spark, sf):
+    rel = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", "")
+    hint = P.object_hint(rel, F.lit(True))
+    return table(spark, sf, "pages").select("page_id", hint["object_type"].alias("object_type"), hint["object_name"].alias("object_name"))
+
+
+@query
+def classify_kind(spark, sf):
+    shapes = ("o/methods/a.html", "x/script functions/methods/a.html", "t/tables/q/fields/f.html", "o/properties/p.html", "o/events/e.html", "o/ctors/c.html", "a/form_x.html", "a/zif2_y.html")
+    path = F.element_at(F.array(*[F.lit(f"/{s}") for s in shapes]), (F.col("p_partkey") % len(shapes) + 1).cast("int"))
+    return table(spark, sf, "part").select("p_partkey", P.member_kind(path, F.lit("")).alias("kind"), P.article_kind(path).alias("article"))
+
+
+@query
+def json_props_project(spark, sf):
+    return table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k")).where("k >= 50")
+
+
+# --- full text ----------------------------------------------------------------------------------------------
+
+
+@query
+def fts_postings(spark, sf):
+    return fts.postings(table(spark, sf, "conversations").where("turn = 0"), "conv_id", ["text"]).select("term", "doc_id", "tf", F.element_at("positions", 1).alias("first_position"))
+
+
+@query
+def fts_corpus_stats(spark, sf):
+    s = fts.corpus_stats(fts.document_lengths(table(spark, sf, "documents"), "doc_id", ["text", "source"]))
+    return s.select("n_docs", "n_tokens", F.round("avg_len", 6).alias("avg_len"))
+
+
+@query
+def fts_match_and(spark, sf):
+    return fts.bm25(table(spark, sf, "documents"), "doc_id", ["text", "source"], "the AND erthor src7").select("doc_id").union(
+        fts.bm25(table(spark, sf, "documents"), "doc_id", ["text", "source"], "that src7").select("doc_id")
+    )
+
+
+@query
+def fts_phrase(spark, sf):
+    return fts.bm25(table(spark, sf, "documents"), "doc_id", ["text", "source"], "of_the").select("doc_id")
+
+
+@query
+def bm25_topk(spark, sf):
+    scored = fts.bm25(table(spark, sf, "documents"), "doc_id", ["text", "source"], "that with from")
+    rounded = scored.select("doc_id", F.round("score", 6).alias("score"))
+    return rounded.orderBy("score", "doc_id").limit(10)
+
+
+@query
+def search_cascade(spark, sf):
+    """No name equals the query, so the text tier answers."""
+    docs = table(spark, sf, "documents").withColumn("path", F.concat_ws("/", "lang", "source", F.col("doc_id").cast("string")))
+    found = fts.search(docs, "that with", id_col="doc_id", name_col="source", path_col="path", columns=["text", "source"], limit=10)
+    return found.select("doc_id", "name", "tier", F.round("score", 5).alias("score"))
+
+
+@query
+def search_exact_tier(spark, sf):
+    docs = table(spark, sf, "documents").withColumn("path", F.concat_ws("/", "lang", "source"))
+    return fts.search(docs, "EN/src3", id_col="doc_id", name_col="lang", path_col="path", columns=["text"], limit=15).drop("score")
+
+
+@query
+def exact_or_fts(spark, sf):
+    return fts.exact_or_text(table(spark, sf, "documents"), "src5", id_col="doc_id", name_col="source", columns=["text"])
+
+
+@query
+def token_score_rank(spark, sf):
+    score = lookup.token_score("the src1", F.col("source"), F.col("lang"), F.substring("text", 1, 200))
+    return table(spark, sf, "documents").select("doc_id", score.alias("score")).orderBy(F.desc("score"), "doc_id").limit(25)
+
+
+@query
+def member_exact_rank(spark, sf):
+    full = F.concat_ws(".", "p_type", "p_name")
+    rank = lookup.exact_rank("small ring", full, F.col("p_name"), F.array("p_brand", "p_type"))
+    return table(spark, sf, "part").select("p_partkey", rank.alias("rank"))
+
+
+@query
+def any_field_lookup(spark, sf):
+    rows = table(spark, sf, "part").withColumn("aliases", F.array("p_brand", "p_type"))
+    return lookup.any_field(rows, "Brand#2", ["p_name"], ["aliases"]).select("p_partkey")
+
+
+# --- merging and deduplication ------------------------------------------------------------------------------
+
+
+@query
+def content_hash_merge(spark, sf):
+    d = table(spark, sf, "documents").withColumn("version", F.concat(F.lit("8.3."), F.col("doc_id") % 12))
+    merged = merge.merge_by_content(d.select("doc_id", "lang", "text", "version"), language="lang", content=["text"], version="version", order="doc_id", suffix="doc")
+    return merged.select("id", "lang", "content_hash", "doc_id", "version", F.array_join("versions", ",").alias("versions"))
+
+
+@query
+def latest_by_path(spark, sf):
+    e = table(spark, sf, "events").select("event_id", "user_id", F.concat(F.lit("1."), F.col("event_id")).alias("version"))
+    return merge.latest_per_path(e, "user_id", "version")
+
+
+@query
+def first_by_key(spark, sf):
+    return merge.first_per_key(table(spark, sf, "events").select("event_id", "user_id", "event_type"), ["user_id", "event_type"], "event_id")
+
+
+@query
+def dedup_results(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "lang", "source", F.sha2("text", 256).alias("content_hash"))
+    return merge.distinct_results(d, ["lang", "content_hash"], "doc_id")
+
+
+@query
+def distinct_ignoring_case(spark, sf):
+    words = F.slice(F.split(T.squeezed("text"), " "), 1, 30)
+    return table(spark, sf, "conversations").where("turn = 0").select("conv_id", F.array_join(merge.distinct_in_order(words), " ").alias("words"))
+
+
+# --- graphs and joins ---------------------------------------------------------------------------------------
+
+
+def _calls(spark, sf):
+    e = table(spark, sf, "events")
+    return e.select(
+        (F.col("event_id") % 50).alias("module_id"), F.concat(F.lit("User"), F.col("user_id") % 20).alias("caller_name"),
+        F.concat(F.col("event_type"), F.lit("_"), F.col("event_id") % 7).alias("callee_name"), F.col("event_id").alias("line"), F.lit(1).alias("args_count"),
+    )
+
+
+@query
+def callees_topk(spark, sf):
+    return code.callees(_calls(spark, sf), "USER3", 12)
+
+
+@query
+def callers(spark, sf):
+    modules = spark.range(50).select(F.col("id").alias("module_id"), F.concat(F.lit("m/"), F.col("id")).alias("rel_path"))
+    return code.callers(_calls(spark, sf), modules, "CLICK_3", 40)
+
+
+@query
+def related_links(spark, sf):
+    e = links.edges(_calls(spark, sf), "caller_name", "callee_name", "calls").distinct()
+    return links.related(e, "User5", 30)
+
+
+@query
+def link_extract(spark, sf):
+    p = table(spark, sf, "pages").select("page_id", F.explode(links.html_links(F.col("html"))).alias("link"))
+    return p.select("page_id", "link.href", "link.text")
+
+
+@query
+def link_resolve(spark, sf):
+    p = table(spark, sf, "pages")
+    found = p.select("page_id", F.explode(links.html_links(F.col("html"))).alias("link")).select("page_id", F.lower(F.ltrim("link.href", F.lit("/"))).alias("word"))
+    targets = p.select(F.lower(F.regexp_extract("url", r"^[a-z]+://([a-z]+)\.", 1)).alias("host"))
+    return links.resolved_links(found, targets.union(p.select(F.lit("the"))), "word", "host", "topic")
+
+
+@query
+def breadcrumb_tree(spark, sf):
+    region = table(spark, sf, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("id"), F.lit(None).cast("string").alias("parent"), F.col("r_name").alias("title"))
+    nation = table(spark, sf, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("id"), F.concat(F.lit("r"), "n_regionkey").alias("parent"), F.col("n_name").alias("title"))
+    supplier = table(spark, sf, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("id"), F.concat(F.lit("n"), "s_nationkey").alias("parent"), F.col("s_name").alias("title"))
+    crumbs = tree.breadcrumbs(region.union(nation).union(supplier), "id", "parent", "title")
+    return crumbs.select("id", "depth", F.array_join("breadcrumb", " / ").alias("breadcrumb"))
+
+
+@query
+def folder_tree(spark, sf):
+    rel = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", "")
+    return tree.folders(table(spark, sf, "pages").select(rel.alias("path")), "path")
+
+
+@query
+def entries_blobs_left(spark, sf):
+    return table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left").select("doc_id", "quality")
+
+
+@query
+def owner_parent_resolve(spark, sf):
+    """Lines with their order (misses go), its customer's nation (misses stay) and the part's name or its key."""
+    line = table(spark, sf, "lineitem").where("l_linenumber <= 2").select("l_orderkey", "l_linenumber", "l_partkey")
+    order = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey"))
+    customer = table(spark, sf, "customer").where("c_custkey % 3 > 0").select("c_custkey", F.col("c_nationkey").alias("n_nationkey"))
+    part = table(spark, sf, "part").where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("l_partkey"), "p_name")
+    joined = line.join(order, "l_orderkey").join(customer, "c_custkey", "left").join(table(spark, sf, "nation"), "n_nationkey", "left").join(part, "l_partkey", "left")
+    return joined.select("l_orderkey", "l_linenumber", "n_name", F.coalesce("p_name", F.col("l_partkey").cast("string")).alias("type_name"))
+
+
+# --- statistics ---------------------------------------------------------------------------------------------
+
+
+@query
+def pack_stats(spark, sf):
+    p = table(spark, sf, "pages").select(F.lit("page").alias("entry_type"), F.length("html").alias("size_bytes"))
+    d = table(spark, sf, "documents").select(F.lit("document").alias("entry_type"), F.length("text").alias("size_bytes"))
+    return stats.totals(p.union(d), "entry_type", "size_bytes")
+
+
+@query
+def domain_counts(spark, sf):
+    return stats.counter(table(spark, sf, "documents"), "lang", "source")
+
+
+@query
+def ext_kind_counters(spark, sf):
+    path = F.regexp_replace("url", "[?#].*$", "")
+    return stats.counter(table(spark, sf, "pages").select(F.regexp_extract(path, "//[^/]*[.]([a-z]+)/", 1).alias("ext"), F.when(F.contains("html", F.lit("<table")), "table").otherwise("text").alias("kind")), "ext", "kind")
+
+
+@query
+def bench_p95(spark, sf):
+    q = stats.position_quantile(table(spark, sf, "lineitem"), "l_returnflag", "l_quantity")
+    return q.select("l_returnflag", F.round("average", 6).alias("average"), "at_quantile")
+
+
+@query
+def top_property_profile(spark, sf):
+    return stats.counter(table(spark, sf, "orders").select("o_orderpriority", "o_orderstatus"), "o_orderpriority", "o_orderstatus", limit=8)
+
+
+@query
+def resolution_ratio(spark, sf):
+    owners = table(spark, sf, "customer").where("c_custkey % 4 > 0")
+    return stats.resolution(table(spark, sf, "orders"), owners, "o_custkey", "c_custkey")
+
+
+@query
+def even_sample(spark, sf):
+    return stats.even_sample(table(spark, sf, "documents").select(F.format_string("d%09d", "doc_id").alias("path")), "path", 25)
+
+
+@query
+def sample_verify(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    changed = d.withColumn("text", F.when(F.col("doc_id") % 97 == 5, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    return stats.digest_mismatches(changed, d, "doc_id", "text")
+
+
+@query
+def coverage_gap(spark, sf):
+    """Nations that no supplier has."""
+    return table(spark, sf, "nation").join(table(spark, sf, "supplier"), F.col("n_nationkey") == F.col("s_nationkey"), "left_anti").select("n_name")
+
+
+@query
+def cosine_topk(spark, sf):
+    v = table(spark, sf, "embeddings")
+    first = v.where("vec_id = 0").first()
+    return vectors.cosine_topk(v, list(first["embedding"]), id_col="vec_id", vector_col="embedding", k=10)
