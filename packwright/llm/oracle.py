@@ -5,10 +5,10 @@ from __future__ import annotations
 _OP1 = """
 WITH d AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-         '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), w -> w <> '') AS words FROM documents),
+         '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '') AS words FROM documents),
 b AS (
   SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-         '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), w -> w <> '') AS words FROM benchmark),
+         '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '') AS words FROM benchmark),
 w AS (
   SELECT DISTINCT item_id, len(words[s:s + least(len(words), 10) - 1]) AS n, array_to_string(words[s:s + least(len(words), 10) - 1], ' ') AS win
   FROM (SELECT item_id, words, unnest(range(1, len(words) - least(len(words), 10) + 2)) AS s FROM b WHERE len(words) > 0)),
@@ -27,4 +27,68 @@ SELECT d.doc_id, CAST(len(d.words) AS BIGINT) AS n_words, CAST(coalesce(hit.n_hi
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op1_benchmark_decontamination": _OP1}
+_OP2 = """
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
+         CAST('0x' || substr(sha256('17|' || doc_id || '|document'), 1, 13) AS BIGINT) AS draw FROM documents),
+s AS (
+  SELECT source, source_size, [3.0, 1.0, 2.0][(rank - 1) % 3 + 1] AS weight, rank,
+         source_size * 2.0 AS cap, source_size * 2.0 / [3.0, 1.0, 2.0][(rank - 1) % 3 + 1] AS ratio
+  FROM (SELECT source, sum(size) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM d GROUP BY source)),
+l AS (
+  SELECT *, (sum(source_size) OVER () * 1.5 - coalesce(sum(cap) OVER (ORDER BY ratio, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+         / sum(weight) OVER (ORDER BY ratio, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s),
+t AS (
+  SELECT source, CAST(source_size AS BIGINT) AS source_size,
+         CAST(least(cap, coalesce((SELECT level FROM l WHERE level <= ratio ORDER BY ratio, rank LIMIT 1) * weight, cap)) AS DOUBLE) AS target FROM l),
+p AS (
+  SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS passes,
+         least(4096, greatest(1, CAST(ceil(source_size / 200000.0) AS BIGINT))) AS blocks FROM t),
+r AS (
+  SELECT d.*, p.source_size, p.target, p.passes, CAST(floor(p.target) AS BIGINT) - p.passes * p.source_size AS rest, d.draw % p.blocks AS block
+  FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
+b AS (SELECT source, block, sum(size) AS words, min(rest) AS rest FROM r GROUP BY source, block),
+c AS (
+  SELECT source, block, words, greatest(0, least(words, rest - before)) AS remains
+  FROM (SELECT *, sum(words) OVER (PARTITION BY source ORDER BY CAST('0x' || substr(sha256('17|' || coalesce(source, '') || '|' || block || '|permuted'), 1, 13) AS BIGINT), block) - words AS before FROM b)),
+q AS (
+  SELECT r.*, c.words, c.remains,
+         sum(r.size) OVER (PARTITION BY r.source, r.block ORDER BY r.draw, r.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - r.size AS before
+  FROM r JOIN c ON r.source IS NOT DISTINCT FROM c.source AND r.block = c.block)
+SELECT doc_id, size, source_size, target,
+       CAST(passes * size + CASE WHEN remains <= 0 THEN 0 WHEN remains >= words THEN size ELSE greatest(0, least(size, remains - before)) END AS BIGINT) AS taken FROM q
+"""
+
+_OP4 = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS words FROM documents),
+g AS (
+  SELECT DISTINCT doc_id, array_to_string(words[s:s + least(len(words), 4) - 1], ' ') AS gram
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - least(len(words), 4) + 2)) AS s FROM d WHERE len(words) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+e AS (
+  SELECT i.a, i.b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS overlap FROM g x JOIN g y ON x.gram = y.gram AND x.doc_id <> y.doc_id GROUP BY 1, 2) i
+  JOIN n p ON p.doc_id = i.a JOIN n q ON q.doc_id = i.b WHERE 100 * i.overlap >= 85 * (p.n + q.n - i.overlap)),
+r AS (SELECT doc_id AS node, doc_id AS root FROM d UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.component_id
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT node, min(root) AS component_id FROM r GROUP BY node) m ON m.node = d.doc_id
+"""
+
+_OP7 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+"""
+
+ORACLES: dict[str, str] = {
+    "op1_benchmark_decontamination": _OP1,
+    "op2_source_mixing": _OP2,
+    "op4_ngram_jaccard_join": _OP4,
+    "op7_exact_topk": _OP7,
+}
