@@ -161,4 +161,13 @@ ORACLES: dict[str, str] = {
     "cosine_topk": """WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0)
       SELECT vec_id, round(list_sum(list_transform(list_zip(v, e), lambda p: p[1] * p[2])) / (sqrt(list_sum(list_transform(v, lambda x: x * x))) * sqrt(list_sum(list_transform(e, lambda x: x * x)))), 6) AS cosine
       FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), (SELECT list_transform(e, lambda x: CAST(x AS DOUBLE)) AS e FROM q) ORDER BY cosine DESC, vec_id LIMIT 10""",
+    "code_symbols": """SELECT p_partkey AS module_id, 'Get' || p_partkey AS name, 'function' AS kind, 2 AS line, 4 AS end_line, true AS is_export,
+      'Function Get' || p_partkey || '(A) Export' AS signature, 'Part ' || p_name AS doc_comment FROM part
+      UNION ALL SELECT p_partkey, 'V' || p_partkey, 'variable', 5, 5, false, 'Var V' || p_partkey, '' FROM part""",
+    "code_calls": """SELECT p_partkey AS module_id, 'Get' || p_partkey AS caller_name, c AS callee_name, 3 AS line, 2 AS args_count FROM part, (VALUES ('Find'), ('Sum')) v(c)""",
+    "contents_breadcrumbs": """SELECT r_regionkey + 1 AS id, r_name AS title, '' AS breadcrumb FROM region
+      UNION ALL SELECT n_nationkey + 10, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey""",
+    "configuration_fields": """SELECT 'A' || s_nationkey AS name, 'Catalog.S' || s_suppkey || '.A' || s_nationkey AS topic_path,
+      'Catalog.S' || s_suppkey || ' S' || s_suppkey || ' A' || s_nationkey || ' Реквизит requisites' AS payload FROM supplier""",
+    "event_windows": "SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
 }

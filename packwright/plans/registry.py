@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packwright.functions import paths as P
+from packwright.functions import resolver
 from packwright.functions import text as T
 from packwright.operators import code, fts, links, lookup, merge, stats, tree, vectors
+from packwright.sources import code_modules, container, config_xml, markdown, pages, records
+from packwright.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -437,3 +440,85 @@ def cosine_topk(spark, sf):
     v = table(spark, sf, "embeddings")
     first = v.where("vec_id = 0").first()
     return vectors.cosine_topk(v, list(first["embedding"]), id_col="vec_id", vector_col="embedding", k=10)
+
+
+# --- extraction ---------------------------------------------------------------------------------------------
+
+
+def _runs(spark, sf):
+    return pages.runs(table(spark, sf, "pages"), "page_id", "html")
+
+
+@query
+def html_runs(spark, sf):
+    return _runs(spark, sf).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
+@query
+def html_to_markdown(spark, sf):
+    return pages.markdown(_runs(spark, sf)).select(F.col("id").alias("page_id"), F.length("markdown").alias("n"), F.sha2("markdown", 256).alias("digest"))
+
+
+@query
+def html_sections(spark, sf):
+    """Pages dressed as help pages: the page's text becomes its description and its first link a related page."""
+    dressed = F.concat(F.lit('<h1 class="V8SH_pagetitle">T</h1>[method]<p class="V8SH_chapter">Описание:</p>'), "html", F.lit('<p class="V8SH_chapter">См. также:</p><a href="x">'), "url", F.lit("</a>"))
+    runs = pages.runs(table(spark, sf, "pages").select("page_id", dressed.alias("html")), "page_id", "html")
+    return pages.sections(runs).select(F.col("id").alias("page_id"), "section", F.length("body").alias("n"))
+
+
+@query
+def article_clean(spark, sf):
+    text = F.regexp_replace(F.regexp_replace("html", "(?is)<(script|style|nav)[^>]*>.*?</(script|style|nav)>", ""), "<[^>]*>", "\n")
+    return table(spark, sf, "pages").select("page_id", F.length(pages.article(text)).alias("n"))
+
+
+@query
+def md_sections(spark, sf):
+    made = F.concat(F.lit("# T\n\nintro\n## One\n"), F.substring("text", 1, 80), F.lit("\n```\n## code\n```\n## Two\nend"))
+    rows = table(spark, sf, "conversations").where("turn = 0").select("conv_id", F.explode(markdown.sections(made)).alias("s"))
+    return rows.select("conv_id", "s.heading", F.length("s.body").alias("n"))
+
+
+def _modules(spark, sf):
+    code_text = F.format_string("// Part %s\nFunction Get%d(A) Export\n  Return Find(A, Sum(1, %d));\nEndFunction\nVar V%d;\n", "p_name", "p_partkey", "p_size", "p_partkey")
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("module_id"), code_text.alias("text"))
+
+
+@query
+def code_symbols(spark, sf):
+    return code_modules.symbols(_modules(spark, sf))
+
+
+@query
+def code_calls(spark, sf):
+    return code_modules.calls(_modules(spark, sf))
+
+
+@query
+def surface_resolve(spark, sf):
+    chains = resolver.families(spark).select(F.concat("family", F.lit(".X.Найти")).alias("q")).union(resolver.collections(spark).select(F.concat(F.lit("Метаданные."), "family").alias("q")))
+    return resolver.resolved(chains, "q").select("q", F.posexplode("candidates").alias("rank", "c")).select("q", "rank", "c.name", "c.lookup")
+
+
+@query
+def contents_breadcrumbs(spark, sf):
+    entry = F.format_string('{%d,%d,0,{0,0,{0,0,{"ru","%s"}},"n%d.html"}}', F.col("n_nationkey") + 10, F.col("n_regionkey") + 1, "n_name", "n_nationkey")
+    root = table(spark, sf, "region").select(F.format_string('{%d,0,0,{0,0,{0,0,{"ru","%s"}},""}}', F.col("r_regionkey") + 1, "r_name").alias("e"))
+    text = root.union(table(spark, sf, "nation").select(entry.alias("e"))).agg(F.array_join(F.sort_array(F.collect_list("e")), ",").alias("text"))
+    rows = container.contents_rows(text.select(F.lit("b").alias("book"), F.concat(F.lit("{30,"), "text", F.lit("}")).alias("text")), "book", "text")
+    return container.contents_paths(rows).select("id", "title", F.array_join("breadcrumb", "/").alias("breadcrumb"))
+
+
+@query
+def configuration_fields(spark, sf):
+    """A configuration file for each supplier: its object and fields as pack rows."""
+    xml = F.format_string("<MetaDataObject><Catalog><Properties><Name>S%d</Name></Properties><ChildObjects><Attribute><Properties><Name>A%d</Name></Properties></Attribute></ChildObjects></Catalog></MetaDataObject>", "s_suppkey", "s_nationkey")
+    files = table(spark, sf, "supplier").select(F.format_string("Catalogs/S%d.xml", "s_suppkey").alias("rel_path"), F.encode(xml, "UTF-8").alias("content"))
+    rows = config_xml.fields(config_xml.crawl(files)).withColumns({c: F.lit(v) for c, v in (("config_version", "1.0"), ("defined_type", ""), ("constant_bsl_hint", ""))})
+    return records.field_docs(rows).select("name", "topic_path", "payload")
+
+
+@query
+def event_windows(spark, sf):
+    return ingest.windowed_counts(table(spark, sf, "events"), "ts", "event_type")
