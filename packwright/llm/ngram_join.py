@@ -238,6 +238,8 @@ def _component_links(tokens: DataFrame, alive: DataFrame, percent: int) -> DataF
     for k, order in enumerate(_orders()):
         place = F.row_number().over(Window.partitionBy("_pw_class").orderBy(*order))
         ranked = ranked.withColumn(f"_pw_in{k}", lone + place <= most)
+        if k == 0:
+            ranked = ranked.withColumn("_pw_at", lone + place)
     ranked = written(ranked)
     sets = written(
         ranked.groupBy("_pw_class").agg(
@@ -246,7 +248,7 @@ def _component_links(tokens: DataFrame, alive: DataFrame, percent: int) -> DataF
             *[F.collect_list(F.when(F.col(f"_pw_in{k}"), F.col("_pw_token"))).alias(f"_pw_prefix{k}") for k in range(1, len(_orders()))],
         )
     )
-    places = ranked.where("_pw_in0").select("_pw_token", "_pw_class", "_pw_n", "_pw_shared")
+    places = ranked.where("_pw_in0").select("_pw_token", "_pw_class", "_pw_n", "_pw_shared", "_pw_at")
     me = F.struct((F.col("_pw_n") - F.col("_pw_shared")).alias("lone"), F.col("_pw_class").alias("c"), F.col("_pw_n").alias("n"), F.col("_pw_shared").alias("s"))
     centre = places.groupBy("_pw_token").agg(F.min(me).alias("_pw_centre"))
     met = places.join(centre, "_pw_token").where(F.col("_pw_centre.c") != F.col("_pw_class"))
@@ -266,9 +268,12 @@ def _component_links(tokens: DataFrame, alive: DataFrame, percent: int) -> DataF
     )
     mixed = labelled.join(common.select("_pw_token", "_pw_common"), "_pw_token")
     few = mixed.where("_pw_root <> _pw_common").select(
-        "_pw_token", F.col("_pw_class").alias("c"), F.col("_pw_n").alias("n"), F.col("_pw_shared").alias("s"), F.col("_pw_root").alias("r")
+        "_pw_token", F.col("_pw_class").alias("c"), F.col("_pw_n").alias("n"), F.col("_pw_shared").alias("s"), F.col("_pw_root").alias("r"), F.col("_pw_at").alias("at")
     )
     other = mixed.join(few, "_pw_token").where(F.col("r") != F.col("_pw_root"))
+    # The first shingle that two sets share, under the order, has all the others behind it on both sides.
+    left = 1 + F.least(F.col("_pw_n") - F.col("_pw_at"), F.col("n") - F.col("at"))
+    other = other.where((100 + percent) * left >= percent * (F.col("_pw_n") + F.col("n")))
     other = other.where(_can_link(F.col("_pw_n"), F.col("_pw_shared"), F.col("n"), F.col("s"), percent))
     ordered = [F.least("_pw_class", "c").alias("a"), F.greatest("_pw_class", "c").alias("b")]
     return first.unionByName(_links(other.select(*ordered).distinct(), sets, percent))
