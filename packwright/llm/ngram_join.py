@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from packwright.llm import packed
-from packwright.llm.common import written
+from packwright.llm.common import small_enough, written
 from packwright.llm.components import components
 
 _BITS = 52
@@ -158,18 +158,20 @@ def _can_link(a_n: Column, a_shared: Column, b_n: Column, b_shared: Column, perc
 
 
 def _peeled(tokens: DataFrame, classes: DataFrame, percent: int, rounds: int) -> tuple[DataFrame, DataFrame]:
-    """Tokens (class, token, df) and classes (class, n, shared) after dropping classes that share too little."""
-    for k in range(rounds + 1):
+    """Tokens (class, token, df) and classes (class, n, shared), again and again without classes that share too little."""
+    for _ in range(rounds):
+        count = F.count(F.lit(1)).over(Window.partitionBy("_pw_token"))
+        kept = tokens.join(_sent_if_few(classes.select("_pw_class")), "_pw_class", "left_semi")
+        tokens = written(kept.select("_pw_class", "_pw_token").withColumn("_pw_df", count).where("_pw_df > 1"))
         shared = tokens.groupBy("_pw_class").agg(F.count(F.lit(1)).alias("_pw_shared"))
         alive = classes.select("_pw_class", "_pw_n").join(shared, "_pw_class")
-        alive = alive.where(F.col("_pw_shared") * 100 >= F.col("_pw_n") * percent)
-        tokens = tokens.join(alive.select("_pw_class"), "_pw_class", "left_semi")
-        df = tokens.groupBy("_pw_token").agg(F.count(F.lit(1)).alias("_pw_df")).where("_pw_df > 1")
-        tokens = written(tokens.select("_pw_class", "_pw_token").join(df, "_pw_token"))
-        classes = alive
-    shared = tokens.groupBy("_pw_class").agg(F.count(F.lit(1)).alias("_pw_shared"))
-    alive = classes.select("_pw_class", "_pw_n").join(shared, "_pw_class")
-    return tokens, written(alive.where(F.col("_pw_shared") * 100 >= F.col("_pw_n") * percent))
+        classes = written(alive.where(F.col("_pw_shared") * 100 >= F.col("_pw_n") * percent))
+    return tokens, classes
+
+
+def _sent_if_few(keys: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """keys for every task if a count shows so few of them; else they are shuffled."""
+    return F.broadcast(keys) if small_enough(keys, rows) else keys
 
 
 def _orders() -> list[list[Column]]:
@@ -195,7 +197,7 @@ def jaccard_components(
     text_col: str = "text",
     size: int = 4,
     percent: int = 85,
-    peels: int = 2,
+    peels: int = 3,
 ) -> DataFrame:
     """One row per document row: id, n_shingles, component_id (the smallest id reachable by links).
 
@@ -216,8 +218,8 @@ def jaccard_components(
     able = classes.join(lone, "_pw_class", "left").where(
         (F.col("_pw_n") - F.coalesce("_pw_lone", F.lit(0))) * 100 >= F.col("_pw_n") * percent
     )
+    able = written(able.select("_pw_class", "_pw_n"))
     tokens = counted.where("_pw_token is not null").select("_pw_class", "_pw_token")
-    tokens = tokens.join(able.select("_pw_class"), "_pw_class", "left_semi")
     tokens, alive = _peeled(tokens, able, percent, peels)
     links = _component_links(tokens, alive, percent)
     roots = components(links).withColumnsRenamed({"node": "_pw_class", "root": "_pw_root"})
@@ -232,7 +234,7 @@ def jaccard_components(
 
 def _component_links(tokens: DataFrame, alive: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between classes that have the components of all links."""
-    ranked = tokens.join(alive, "_pw_class")
+    ranked = tokens.join(alive, "_pw_class")  # also drops the tokens of classes that left last
     most = F.col("_pw_n") - _least_overlap(F.col("_pw_n"), percent) + 1
     lone = F.col("_pw_n") - F.col("_pw_shared")  # tokens that nobody shares stand first in every order
     for k, order in enumerate(_orders()):
