@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from packwright.llm import packed
-from packwright.llm.common import held_out
+from packwright.llm.common import held_out, small_batches
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -199,6 +199,7 @@ def identify_languages(docs: DataFrame, net: ByteNet | None, *, id_col: str = "d
     """
     rows = docs.select(F.col(id_col).alias("_pw_id"), F.col(text_col).cast("string").alias("_pw_text"))
     kind = rows.schema["_pw_id"].dataType.simpleString()
+    small_batches(docs.sparkSession)
     return rows.mapInArrow(_predicted(net), f"_pw_id {kind}, lang_pred string, score double").withColumnRenamed("_pw_id", id_col)
 
 

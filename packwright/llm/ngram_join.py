@@ -27,12 +27,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from packwright.llm import packed
-from packwright.llm.common import small_enough, written
+from packwright.llm.common import small_batches, small_enough, written
 from packwright.llm.components import components
 
 _BITS = 52
-_RANGE_TOKENS = 1_500_000  # tokens that one range should hold
-_FLUSH_TOKENS = 2_000_000  # tokens that a task gathers before it sends blobs
+_RANGE_TOKENS = 750_000  # tokens that one range should hold
+_FLUSH_TOKENS = 1_250_000  # tokens that a task gathers before it sends blobs
 _U = np.uint64
 
 
@@ -78,10 +78,12 @@ def _sent(size: int, ranges: int):
     shift = _U(64 - _BITS)
 
     def cut(tokens: list[np.ndarray], keys: list[int]) -> Iterator[pa.RecordBatch]:
-        token = np.concatenate(tokens) >> shift
-        owner = np.repeat(np.arange(len(keys)), [len(t) for t in tokens])
+        token = np.concatenate(tokens)
+        token >>= shift
+        owner = np.repeat(np.arange(len(keys), dtype=np.int32), [len(t) for t in tokens])
         order = np.argsort(token, kind="stable")
         token, owner = token[order], owner[order]
+        del order
         names = np.array(keys, np.int64).view(_U)
         bounds = [(r << _BITS) // ranges for r in range(ranges + 1)]
         at = np.searchsorted(token, np.array(bounds[:-1], _U)).tolist() + [len(token)]
@@ -124,8 +126,10 @@ def _counted(ranges: int):
         base = _U((int(table.column("r")[0].as_py()) << _BITS) // ranges)
         token = np.concatenate([np.cumsum(d) + base for d, _, _ in got])
         owner = np.concatenate([names[local.astype(np.int64)] for _, local, names in got])
+        del got
         order = np.lexsort((owner, token))
         token, owner = token[order], owner[order]
+        del order
         fresh = np.ones(len(token), bool)
         fresh[1:] = (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])
         token, owner = token[fresh], owner[fresh]
@@ -207,6 +211,7 @@ def jaccard_components(
     """
     rows = docs.select(F.col(id_col).alias("_pw_id"), F.col(text_col).alias("_pw_text"))
     kind = rows.schema["_pw_id"].dataType.simpleString()
+    small_batches(docs.sparkSession)
     sized = written(rows.mapInArrow(_sized(size), f"_pw_id {kind}, _pw_class long, _pw_n long"))
     classes = sized.where("_pw_n > 0").groupBy("_pw_class").agg(F.max("_pw_n").alias("_pw_n"), F.min("_pw_id").alias("_pw_least"))
     total = classes.agg(F.sum("_pw_n")).first()[0] or 0

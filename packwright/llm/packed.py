@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes hashed at a time; tables and temporaries stay a small multiple of this.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 _P = 0x9E3779B97F4A7C15 | 1
 _U = np.uint64
 #: Bytes of white space between plain words.

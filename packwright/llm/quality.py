@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from packwright.llm import packed
-from packwright.llm.common import held_out
+from packwright.llm.common import held_out, small_batches
 
 BITS = 18
 _U = np.uint64
@@ -180,5 +180,6 @@ def score_quality(docs: DataFrame, model: QualityModel | None, *, text_col: str
     """
     cols = docs.columns if keep is None else keep
     rows = docs.select(*[F.col(f"`{c}`") for c in cols], F.col(text_col).cast("string").alias("_pw_text"))
+    small_batches(docs.sparkSession)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     return rows.mapInArrow(_scored(model), f"{fields}, _pw_score double").drop("_pw_text").withColumnRenamed("_pw_score", column)

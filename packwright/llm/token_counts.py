@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from packwright.llm.common import small_batches
+
 # Fixed value: how byte-level pair encodings split a text before merging.
 PIECES = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -47,6 +49,7 @@ def length_histogram(docs: DataFrame, vocabulary_path: str, *, text_col: str = "
     the function: a public vocabulary has a megabyte or so, whatever the documents.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     vocabulary = bytes(spark.read.format("binaryFile").load(vocabulary_path).select("content").first()[0])
     each = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_lengths(vocabulary), "n_tokens long, n_docs long")
     return each.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
