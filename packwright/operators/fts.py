@@ -106,6 +106,27 @@ def bm25(docs: DataFrame, id_col: str, columns: list[str], query: str) -> DataFr
     return hits.select("doc_id", score.alias("score"))
 
 
+def bm25_indexed(index: DataFrame, lengths: DataFrame, query: str) -> DataFrame:
+    """As bm25 for single words, from a postings table: only the query's terms are read.
+
+    The filter on terms reaches the Parquet scan, where sorted terms leave most row groups unread; documents
+    meet their lengths in one join of the hits.
+    """
+    phrases, _ = _query_terms(index, query)
+    terms = list(dict.fromkeys(t for p in phrases for t in p))
+    hits = index.where(F.col("term").isin(terms)).groupBy("doc_id", "term").agg(F.sum("tf").alias("tf"))
+    found = {r["term"]: r["n"] for r in hits.groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a term
+    total = corpus_stats(lengths).first()
+    if not terms or set(found) != set(terms):
+        return hits.select("doc_id", F.lit(0.0).alias("score")).limit(0)
+    n = F.element_at(F.create_map(*[x for t, k in found.items() for x in (F.lit(t), F.lit(k))]), F.col("term"))
+    idf = F.greatest(F.log((total["n_docs"] - n + 0.5) / (n + 0.5)), F.lit(1e-6))
+    norm = K1 * (1 - B + B * F.col("doc_len") / F.lit(total["avg_len"] or 1.0))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
+    scored = hits.join(lengths, "doc_id").groupBy("doc_id").agg((-F.sum(part)).alias("score"), F.count(F.lit(1)).alias("_n"))
+    return scored.where(F.col("_n") == len(terms)).select("doc_id", "score")
+
+
 def search(
     docs: DataFrame, query: str, *, id_col: str, name_col: str, path_col: str, columns: list[str], limit: int = 10, how: str = "unicode", exact_only: bool = False
 ) -> DataFrame:

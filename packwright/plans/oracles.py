@@ -113,6 +113,7 @@ ORACLES: dict[str, str] = {
       UNION ALL SELECT doc_id FROM t WHERE list_contains(w, 'that') AND list_contains(w, 'src7')""",
     "fts_phrase": f"SELECT doc_id FROM documents WHERE contains(' ' || array_to_string({_tokens('text')}, ' ') || ' ', ' of the ')",
     "bm25_topk": f"WITH {_bm25(['that', 'with', 'from'], ['text', 'source'])} SELECT doc_id, round(score, 6) AS score FROM scored ORDER BY 2, 1 LIMIT 10",
+    "bm25_postings_topk": f"WITH {_bm25(['that', 'with', 'from'], ['text', 'source'])} SELECT doc_id, round(score, 6) AS score FROM scored ORDER BY 2, 1 LIMIT 10",
     "search_cascade": f"""WITH {_bm25(['that', 'with'], ['text', 'source'])} SELECT doc_id, source AS name, 1 AS tier, round(score, 5) AS score
       FROM scored JOIN documents USING (doc_id) ORDER BY scored.score, length(source), doc_id LIMIT 10""",
     "search_exact_tier": "SELECT doc_id, lang AS name, 0 AS tier FROM documents WHERE lower(lang || '/' || source) = 'en/src3' OR lower(lang) = 'en/src3' ORDER BY doc_id LIMIT 15",

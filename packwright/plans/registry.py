@@ -235,6 +235,15 @@ def bm25_topk(spark, sf):
     return rounded.orderBy("score", "doc_id").limit(10)
 
 
+@query
+def bm25_postings_topk(spark, sf):
+    """The same ranking read from a postings table."""
+    docs = table(spark, sf, "documents")
+    index, lengths = fts.postings(docs, "doc_id", ["text", "source"]), fts.document_lengths(docs, "doc_id", ["text", "source"])
+    scored = fts.bm25_indexed(index, lengths, "that with from")
+    return scored.select("doc_id", F.round("score", 6).alias("score")).orderBy("score", "doc_id").limit(10)
+
+
 @query
 def search_cascade(spark, sf):
     """No name equals the query, so the text tier answers."""
