@@ -25,12 +25,9 @@ def item_windows(items: DataFrame, item_col: str, text_col: str, window: int) ->
     """(_pw_item, _pw_from, _pw_window): every window of every item; items without words have none."""
     words = items.select(F.col(item_col).alias("_pw_item"), word_array(F.col(text_col)).alias("_pw_words"))
     words = words.where(F.size("_pw_words") > 0).withColumn("_pw_len", F.least(F.size("_pw_words"), F.lit(window)))
-    return words.select(
-        "_pw_item",
-        F.explode(F.sequence(F.lit(0), F.size("_pw_words") - F.col("_pw_len"))).alias("_pw_from"),
-        "_pw_words",
-        "_pw_len",
-    ).select("_pw_item", "_pw_from", F.slice("_pw_words", F.col("_pw_from") + 1, F.col("_pw_len")).alias("_pw_window"))
+    starts = F.sequence(F.lit(0), F.size("_pw_words") - F.col("_pw_len"))
+    each = F.transform(starts, lambda i: F.slice("_pw_words", i + 1, F.col("_pw_len")))
+    return words.select("_pw_item", F.posexplode(each).alias("_pw_from", "_pw_window"))
 
 
 def contamination(
