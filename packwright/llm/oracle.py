@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+from packwright.llm.licenses import NOTICES, PHRASES, _distinct_words
+
 _OP1 = """
 WITH d AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -86,9 +90,43 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
 """
 
+
+
+def _op9(threshold: float = 0.9) -> str:
+    phrases = ", ".join(f"('{p}', {len(p.split())}, '{label}')" for p, label in PHRASES)
+    rows = [(label, _distinct_words(text)) for label, text in NOTICES]
+    notices = ", ".join(f"('{label}', {ws!r}, {math.ceil(threshold * len(ws) - 1e-9)})" for label, ws in rows)
+    return f"""
+WITH d AS (
+  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS (SELECT doc_id, list_filter(regexp_split_to_array(t, '{_SEPARATORS}'), lambda w: w <> '') AS words FROM d),
+p AS (
+  SELECT doc_id, label, i - 1 AS place FROM (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS i FROM w), (VALUES {phrases}) f(phrase, n, label)
+  WHERE i + n - 1 <= len(words) AND array_to_string(words[i:i + n - 1], ' ') = phrase),
+b AS (
+  SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, array_to_string(list_sort(list_distinct(list(label))), ',') AS base_labels
+  FROM p GROUP BY doc_id),
+s AS (
+  SELECT doc_id, list_distinct(regexp_split_to_array(sentence, '{_SEPARATORS}')) AS ws
+  FROM (SELECT doc_id, unnest(regexp_split_to_array(regexp_replace(t, '([.!?])[\\x20\\x09\\x0B-\\x0D]+', '\\1' || chr(10), 'g'), '\\n+')) AS sentence FROM d)),
+m AS (
+  SELECT doc_id, label, len(list_intersect(ws, words)) AS shared, len(words) AS n, needed FROM s, (VALUES {notices}) f(label, words, needed)),
+f AS (SELECT doc_id, label, CAST(shared AS DOUBLE) / n AS part FROM m WHERE shared >= needed),
+l AS (SELECT doc_id, label FROM f UNION SELECT doc_id, label FROM p)
+SELECT w.doc_id, CAST(len(w.words) AS BIGINT) AS n_words, CAST(coalesce(b.n_base, 0) AS BIGINT) AS n_base, CAST(b.first_word AS BIGINT) AS first_word,
+       CAST(b.last_word AS BIGINT) AS last_word, coalesce(b.base_labels, '') AS base_labels, coalesce(a.labels, '') AS labels,
+       CASE WHEN b.n_base > 0 THEN 1.0 ELSE coalesce(g.part, 0.0) END AS score
+FROM w LEFT JOIN b USING (doc_id) LEFT JOIN (SELECT doc_id, array_to_string(list_sort(list(label)), ',') AS labels FROM l GROUP BY doc_id) a USING (doc_id)
+LEFT JOIN (SELECT doc_id, max(part) AS part FROM f GROUP BY doc_id) g USING (doc_id)
+"""
+
+
+_SEPARATORS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+
 ORACLES: dict[str, str] = {
     "op1_benchmark_decontamination": _OP1,
     "op2_source_mixing": _OP2,
     "op4_ngram_jaccard_join": _OP4,
     "op7_exact_topk": _OP7,
+    "op9_license_scans": _op9(),
 }
