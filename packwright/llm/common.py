@@ -130,3 +130,13 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key, "10000")) <= rows:
         spark.conf.set(key, str(rows))
+
+
+def drawn(hashed: Column, n: int, wanted: int) -> Column:
+    """Whether a 64-bit hash is among the least share of all hashes that holds 4 * wanted of n rows on average.
+
+    A sample of the ``wanted`` least hashes then needs a few rows of every task at any size of the input, not
+    ``wanted`` of each.
+    """
+    share = 4 * wanted / max(n, 1)
+    return F.lit(True) if share >= 1 else hashed < F.lit(int(-(2**63) + share * 2**64))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from packwright.llm import packed
-from packwright.llm.common import held_out, small_batches
+from packwright.llm.common import drawn, held_out, small_batches
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -171,17 +171,21 @@ def fit_language_net(
     spread over the text, come to the driver. None if nothing can teach.
     """
     rows = docs.select(F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l")).where("t is not null and l is not null and t <> ''")
-    by_hash = Window.partitionBy("l").orderBy(F.xxhash64("t", F.lit(seed)), F.xxhash64("t"))
+    sizes = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).orderBy("l").limit(most_languages).collect()}
+    if not sizes:
+        return None
+    languages, hashed = sorted(sizes), F.xxhash64("t", F.lit(seed))
+    chosen = F.lit(False)
+    for name in languages:
+        chosen = F.when(F.col("l") == name, drawn(hashed, sizes[name], sample_docs)).otherwise(chosen)
+    by_hash = Window.partitionBy("l").orderBy("h", "parts")
     spread = F.transform(
         F.sequence(F.lit(0), F.lit(sample_windows - 1)),
         lambda k: F.substring("t", F.floor(k * F.greatest(F.length("t") - WINDOW, F.lit(0)) / max(1, sample_windows - 1)).cast("int") + 1, F.lit(WINDOW)),
     )
-    few = rows.withColumn("k", F.row_number().over(by_hash)).where(F.col("k") <= sample_docs)
-    got = few.select("l", "k", F.explode(F.array_distinct(spread)).alias("t")).orderBy("l", "k", "t").collect()
-    languages = sorted({r["l"] for r in got})[:most_languages]
-    got = [r for r in got if r["l"] in set(languages)]
-    if not got:
-        return None
+    few = rows.where(chosen).select("l", hashed.alias("h"), F.array_distinct(spread).alias("parts"))
+    few = few.withColumn("k", F.row_number().over(by_hash)).where(F.col("k") <= sample_docs)
+    got = few.select("l", "k", F.explode("parts").alias("t")).orderBy("l", "k", "t").collect()
     x = np.zeros((len(got), WINDOW), np.uint8)
     for i, r in enumerate(got):
         b = np.frombuffer(r["t"].encode()[:WINDOW], np.uint8)

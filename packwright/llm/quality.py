@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from packwright.llm import packed
-from packwright.llm.common import held_out, small_batches
+from packwright.llm.common import drawn, held_out, small_batches
 
 BITS = 18
 _U = np.uint64
@@ -148,9 +148,11 @@ def fit_quality(
     """
     known = labels.where(~held_out(F.col(id_col), 4, 2)).where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("i"), F.col(label_col).alias("y"))
     known = known.dropDuplicates(["i"])
-    drawn = [known.where(F.col("y") == y).orderBy(F.xxhash64("i", F.lit(seed)), "i").limit(sample_docs) for y in (0, 1)]
+    sizes = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    hashed = F.xxhash64("i", F.lit(seed))
+    taken = [known.where((F.col("y") == y) & drawn(hashed, sizes.get(y, 0), sample_docs)).orderBy(hashed, "i").limit(sample_docs) for y in (0, 1)]
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"))
-    rows = texts.join(F.broadcast(drawn[0].unionByName(drawn[1])), "i")  # at most 2 * sample_docs ids
+    rows = texts.join(F.broadcast(taken[0].unionByName(taken[1])), "i")  # at most 2 * sample_docs ids
     got = rows.select("y", "t").mapInArrow(_gathered, "y int, f binary").collect()
     got = sorted((r["y"], bytes(r["f"])) for r in got)[: 4 * sample_docs]
     y = np.array([g[0] for g in got], np.int64)
