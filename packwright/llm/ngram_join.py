@@ -73,28 +73,41 @@ def _unblob(blob: bytes, count: int) -> list[np.ndarray]:
     return out
 
 
-def _sent(size: int, ranges: int):
-    """Blobs (range, sorted token differences, class of each as a place in the list of classes, classes)."""
+def _bound(r: int, ranges: int) -> int:
+    return (r << _BITS) // ranges
+
+
+def _cut(token: np.ndarray, owner: np.ndarray, names: np.ndarray, first: int, last: int, step: int, ranges: int) -> pa.RecordBatch:
+    """Blobs of the ranges first, first + step, ... below last: token differences, each token's class, the classes."""
+    order = np.argsort(token, kind="stable")
+    token, owner = token[order], owner[order]
+    del order
+    starts = list(range(first, last, step))
+    at = np.searchsorted(token, np.array([_bound(r, ranges) for r in starts], _U)).tolist() + [len(token)]
+    made: tuple[list[int], list[bytes]] = ([], [])
+    for r, x, y in zip(starts, at, at[1:], strict=False):
+        if y > x:
+            used, local = np.unique(owner[x:y], return_inverse=True)
+            made[0].append(r)
+            made[1].append(_blob(np.diff(token[x:y], prepend=_U(_bound(r, ranges))), local, names[used]))
+    return pa.RecordBatch.from_arrays([pa.array(made[0], pa.int64()), pa.array(made[1], pa.binary())], ["r", "blob"])
+
+
+def _opened(blob: bytes, r: int, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of a blob and the class of each."""
+    differences, local, names = _unblob(blob, 3)
+    return np.cumsum(differences) + _U(_bound(r, ranges)), names[local.astype(np.int64)]
+
+
+def _sent(size: int, ranges: int, step: int):
+    """Blobs (range, tokens with their classes) of all texts, in ranges of ``step`` final ones."""
     shift = _U(64 - _BITS)
 
-    def cut(tokens: list[np.ndarray], keys: list[int]) -> Iterator[pa.RecordBatch]:
+    def cut(tokens: list[np.ndarray], keys: list[int]) -> pa.RecordBatch:
         token = np.concatenate(tokens)
         token >>= shift
         owner = np.repeat(np.arange(len(keys), dtype=np.int32), [len(t) for t in tokens])
-        order = np.argsort(token, kind="stable")
-        token, owner = token[order], owner[order]
-        del order
-        names = np.array(keys, np.int64).view(_U)
-        bounds = [(r << _BITS) // ranges for r in range(ranges + 1)]
-        at = np.searchsorted(token, np.array(bounds[:-1], _U)).tolist() + [len(token)]
-        made: tuple[list[int], list[bytes]] = ([], [])
-        for r in range(ranges):
-            a, b = at[r], at[r + 1]
-            if b > a:
-                used, local = np.unique(owner[a:b], return_inverse=True)
-                made[0].append(r)
-                made[1].append(_blob(np.diff(token[a:b], prepend=_U(bounds[r])), local, names[used]))
-        yield pa.RecordBatch.from_arrays([pa.array(made[0], pa.int32()), pa.array(made[1], pa.binary())], ["r", "blob"])
+        return _cut(token, owner, np.array(keys, np.int64).view(_U), 0, ranges, step, ranges)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # copies that meet in a task are sent once
@@ -110,22 +123,52 @@ def _sent(size: int, ranges: int):
                     keys.append(key)
                     held += len(s)
                     if held >= _FLUSH_TOKENS:
-                        yield from cut(tokens, keys)
+                        yield cut(tokens, keys)
                         tokens, keys, held = [], [], 0
         if held:
-            yield from cut(tokens, keys)
+            yield cut(tokens, keys)
+
+    return run
+
+
+def _split(ranges: int, above: int, step: int):
+    """Blobs of ranges of ``above`` final ones, which come sorted by range, in ranges of ``step``."""
+
+    def cut(r: int, got: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        names, owner = np.unique(np.concatenate([o for _, o in got]), return_inverse=True)
+        return _cut(np.concatenate([t for t, _ in got]), owner, names, r, min(r + above, ranges), step, ranges)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, got, held = -1, [], 0
+        for batch in batches:
+            for r, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if got and (r != now or held >= _FLUSH_TOKENS):
+                    yield cut(now, got)
+                    got, held = [], 0
+                now = r
+                got.append(_opened(blob.as_py(), r, ranges))
+                held += len(got[-1][0])
+        if got:
+            yield cut(now, got)
 
     return run
 
 
+def _steps(ranges: int, fanout: int) -> list[int]:
+    """How many final ranges one range of each round holds: the last round's is 1, each divides by at most fanout."""
+    steps = [1]
+    while -(-ranges // steps[0]) > fanout:
+        steps.insert(0, steps[0] * fanout)
+    return steps
+
+
 def _counted(ranges: int):
     """Of one range: (class, null, number of tokens no other class has) and (class, token, classes that have it)."""
 
     def run(table: pa.Table) -> pa.Table:
-        got = [_unblob(x, 3) for x in table.column("blob").to_pylist()]
-        base = _U((int(table.column("r")[0].as_py()) << _BITS) // ranges)
-        token = np.concatenate([np.cumsum(d) + base for d, _, _ in got])
-        owner = np.concatenate([names[local.astype(np.int64)] for _, local, names in got])
+        r = int(table.column("r")[0].as_py())
+        got = [_opened(x.as_py(), r, ranges) for x in table.column("blob")]
+        token, owner = np.concatenate([t for t, _ in got]), np.concatenate([o for _, o in got])
         del got
         order = np.lexsort((owner, token))
         token, owner = token[order], owner[order]
@@ -202,6 +245,8 @@ def jaccard_components(
     size: int = 4,
     percent: int = 85,
     peels: int = 3,
+    range_tokens: int = _RANGE_TOKENS,
+    fanout: int = 512,
 ) -> DataFrame:
     """One row per document row: id, n_shingles, component_id (the smallest id reachable by links).
 
@@ -215,8 +260,12 @@ def jaccard_components(
     sized = written(rows.mapInArrow(_sized(size), f"_pw_id {kind}, _pw_class long, _pw_n long"))
     classes = sized.where("_pw_n > 0").groupBy("_pw_class").agg(F.max("_pw_n").alias("_pw_n"), F.min("_pw_id").alias("_pw_least"))
     total = classes.agg(F.sum("_pw_n")).first()[0] or 0
-    ranges = max(8, -(-total // _RANGE_TOKENS))
-    blobs = rows.select("_pw_text").mapInArrow(_sent(size, ranges), "r int, blob binary")
+    # Ranges are dealt in rounds of at most ``fanout``, so blobs stay large however many ranges the input needs.
+    ranges = max(8, -(-total // range_tokens))
+    steps = _steps(ranges, fanout)
+    blobs = rows.select("_pw_text").mapInArrow(_sent(size, ranges, steps[0]), "r long, blob binary")
+    for above, step in zip(steps, steps[1:], strict=False):
+        blobs = blobs.repartition("r").sortWithinPartitions("r").mapInArrow(_split(ranges, above, step), "r long, blob binary")
     counted = written(blobs.groupBy("r").applyInArrow(_counted(ranges), "_pw_class long, _pw_token long, _pw_num long"))
 
     lone = counted.where("_pw_token is null").groupBy("_pw_class").agg(F.sum("_pw_num").alias("_pw_lone"))

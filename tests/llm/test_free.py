@@ -57,8 +57,10 @@ def test_ngram_join_agrees_with_all_pairs(spark):
         rows.append((i, " ".join(w)))
     rows += [(300 + i, r.choice(rows)[1].upper()) for i in range(30)]
     want = brute.components(rows)
-    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in got.collect()} == want
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for options in ({}, {"range_tokens": 50, "fanout": 6}):  # one round of ranges, and several
+        got = jaccard_components(df, **options)
+        assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in got.collect()} == want
 
 
 def test_top_products(spark):
