@@ -24,7 +24,7 @@ b = 2;</pre><p class="V8SH_chapter">См. также:</p><a href="q.html">Зак
 
 
 @pytest.fixture(scope="module")
-def tree(spark, tmp_path_factory):
+def tree_root(tmp_path_factory):
     root = tmp_path_factory.mktemp("tree")
     made = {
         "Configuration.xml": '<MetaDataObject><Configuration><Properties><Name>Conf</Name><Version>1.2</Version></Properties></Configuration></MetaDataObject>',
@@ -36,7 +36,12 @@ def tree(spark, tmp_path_factory):
         (root / name).write_text(text, encoding="utf-8")
     (root / "a/old.txt").write_bytes("Привет, мир".encode("cp1251"))
     (root / "a/nul.txt").write_bytes(b"a\0b")
-    return files.scan(spark, str(root)).cache()
+    return str(root)
+
+
+@pytest.fixture(scope="module")
+def tree(spark, tree_root):
+    return files.scan(spark, tree_root).cache()
 
 
 def test_entries_and_blobs(tree):
