@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packwright.llm.common import joined_back, match_spans, spans_text, tagged, texts
+from packwright.llm.common import joined_back, match_spans, spans_text, tagged, written
 
 ASSIGN = r"""(?i)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 KINDS = ("assign", "access", "hex", "token")
@@ -68,7 +68,8 @@ def secret_scan(
     ).withColumn("_pw_key", F.xxhash64("_pw_text", "_pw_owner", "_pw_repo"))
     listed = F.concat(*[tagged(s, k, KINDS[k]) for k, s in enumerate(_base(text))])
     further = F.concat(*[tagged(s, 3, KINDS[3]) for s in _further(text)])
-    scanned = base.select("_pw_id", "_pw_key", "_pw_owner", "_pw_repo", listed.alias("base"), further.alias("_pw_more"))
+    # Texts are searched once; counting and judging read the spans.
+    scanned = written(base.select("_pw_id", "_pw_key", "_pw_owner", "_pw_repo", listed.alias("base"), further.alias("_pw_more")))
     spans = scanned.select(
         "_pw_id", "_pw_key", "_pw_owner", "_pw_repo",
         F.explode(F.concat("base", F.filter("_pw_more", lambda s: ~_overlaps(s, F.col("base"))))).alias("_pw_span"),
