@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from packwright.llm import packed
-from packwright.llm.common import drawn, held_out, small_batches
+from packwright.llm.common import held_out, small_batches, small_enough, written
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -162,37 +162,57 @@ def _cut(s: np.ndarray, e: np.ndarray, limit: int = 1 << 20):
         yield 0, 1, np.array([at]), np.array([min(at + limit, int(e[0]))])
 
 
-def fit_language_net(
-    docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", sample_docs: int = 300, sample_windows: int = 4, most_languages: int = 256, seed: int = 11
-) -> ByteNet | None:
-    """A net fit on at most sample_docs documents of each language and sample_windows windows of each.
+def teaching_sample(
+    docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", sample_docs: int = 300, sample_windows: int = 4, seed: int = 11
+) -> DataFrame:
+    """(l, k, t): windows t, spread over the text, of the sample_docs distinct texts k of each language l with the least hashes.
 
-    Rows without text or language don't teach. The sample is drawn by a hash of the text, and only its windows,
-    spread over the text, come to the driver. None if nothing can teach.
+    Texts are counted and drawn as distinct (language, hash), so copies count once. Only hashes below a share of
+    all are ranked; a language that has too few of them is ranked whole.
     """
-    rows = docs.select(F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l")).where("t is not null and l is not null and t <> ''")
-    sizes = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).orderBy("l").limit(most_languages).collect()}
-    if not sizes:
-        return None
-    languages, hashed = sorted(sizes), F.xxhash64("t", F.lit(seed))
-    chosen = F.lit(False)
-    for name in languages:
-        chosen = F.when(F.col("l") == name, drawn(hashed, sizes[name], sample_docs)).otherwise(chosen)
-    by_hash = Window.partitionBy("l").orderBy("h", "parts")
+    rows = docs.select(F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("l")).where("t is not null and l is not null and t <> ''")
+    rows = rows.withColumn("h", F.xxhash64("t", F.lit(seed)))
+    known = written(rows.select("l", "h").distinct())
+    sizes = known.groupBy("l").agg(F.count(F.lit(1)).alias("n"))
+    sizes = F.broadcast(sizes) if small_enough(sizes, 100_000) else sizes
+    limit = (F.lit(-(2.0**63)) + 4.0 * sample_docs / F.col("n") * F.lit(2.0**64)).cast("long")
+    near = written(known.join(sizes, "l").where(F.when(F.col("n") <= 4 * sample_docs, True).otherwise(F.col("h") < limit)).select("l", "h", "n"))
+    few = near.groupBy("l").agg(F.count(F.lit(1)).alias("m"))
+    short = sizes.join(few, "l", "left").where(F.coalesce("m", F.lit(0)) < F.least("n", F.lit(sample_docs))).select("l")
+    if not short.isEmpty():
+        near = near.select("l", "h").join(short, "l", "left_anti").unionByName(known.join(short, "l", "left_semi"))
+    place = F.row_number().over(Window.partitionBy("l").orderBy("h"))
+    chosen = written(near.select("l", "h", place.alias("k")).where(F.col("k") <= sample_docs))
+    chosen = F.broadcast(chosen) if small_enough(chosen, 1_000_000) else chosen
     spread = F.transform(
         F.sequence(F.lit(0), F.lit(sample_windows - 1)),
         lambda k: F.substring("t", F.floor(k * F.greatest(F.length("t") - WINDOW, F.lit(0)) / max(1, sample_windows - 1)).cast("int") + 1, F.lit(WINDOW)),
     )
-    few = rows.where(chosen).select("l", hashed.alias("h"), F.array_distinct(spread).alias("parts"))
-    few = few.withColumn("k", F.row_number().over(by_hash)).where(F.col("k") <= sample_docs)
-    got = few.select("l", "k", F.explode("parts").alias("t")).orderBy("l", "k", "t").collect()
+    parts = rows.join(chosen, ["l", "h"]).select("l", "k", F.array_distinct(spread).alias("parts"))
+    return parts.groupBy("l", "k").agg(F.min("parts").alias("parts")).select("l", "k", F.explode("parts").alias("t"))
+
+
+def fit_language_net(
+    docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", sample_docs: int = 300, sample_windows: int = 4, seed: int = 11
+) -> ByteNet | None:
+    """A net fit on at most sample_docs distinct texts of each language and sample_windows windows of each.
+
+    Rows without text or language don't teach; every other language is learned. The sample is drawn by a hash of
+    the text, and only its windows come to the driver. None if nothing can teach.
+    """
+    sample = teaching_sample(docs, text_col=text_col, lang_col=lang_col, sample_docs=sample_docs, sample_windows=sample_windows, seed=seed)
+    got = sample.orderBy("l", "k", "t").collect()
+    if not got:
+        return None
+    languages = sorted({r["l"] for r in got})
+    number = {name: i for i, name in enumerate(languages)}
     x = np.zeros((len(got), WINDOW), np.uint8)
     for i, r in enumerate(got):
         b = np.frombuffer(r["t"].encode()[:WINDOW], np.uint8)
         x[i, : len(b)] = b
-    y = np.array([languages.index(r["l"]) for r in got])
+    y = np.array([number[r["l"]] for r in got])
     order = np.random.default_rng(seed).permutation(len(x))
-    return ByteNet(languages, seed).fit(x[order], y[order])
+    return ByteNet(languages, seed).fit(x[order], y[order], steps=max(240, -(-len(x) // 96)))
 
 
 def identify_languages(docs: DataFrame, net: ByteNet | None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from packwright.llm import packed
 from packwright.llm.components import components
-from packwright.llm.langid import fit_language_net, identify_languages
+from packwright.llm.langid import fit_language_net, identify_languages, teaching_sample
 from packwright.llm.ngram_join import jaccard_components
 from packwright.llm.quality import fit_quality, score_quality
 from packwright.llm.token_counts import length_histogram, quantile, suffix_sums, total_cut_at
@@ -93,6 +93,20 @@ def test_languages(spark, docs, no_docs):
     assert fit_language_net(no_docs) is None and identify_languages(docs, None).where("lang_pred <> 'und'").count() == 0
 
 
+def test_languages_of_copies_are_learned(spark):
+    rows = [(f"the cat {i} and the thing " * 3, "en") for i in range(40)]
+    for k, w in enumerate(("zug", "quel", "vox", "jird", "pyx", "wren")):  # six languages of one text each, 400 copies
+        rows += [(f"{w} " * 30, f"x{k}")] * 400
+    df = spark.createDataFrame(rows, "text string, lang string")
+    net = fit_language_net(df, sample_docs=5)
+    got = identify_languages(df.distinct(), net, id_col="lang").where("lang <> 'en'").collect()
+    assert {r["lang"]: r["lang_pred"] for r in got} == {f"x{k}": f"x{k}" for k in range(6)}
+    sample = teaching_sample(df, sample_docs=5).groupBy("l").agg(F.countDistinct("k").alias("n")).collect()
+    assert {r["l"]: r["n"] for r in sample} == {"en": 5, **{f"x{k}": 1 for k in range(6)}}
+    many = spark.createDataFrame([(f"text {i}", f"l{i:03d}") for i in range(300)], "text string, lang string")
+    assert len(fit_language_net(many).languages) == 300
+
+
 def test_quality(spark, docs, no_docs):
     r = random.Random(1)
     word = lambda: "".join(r.choice("abcdefghil") for _ in range(r.randrange(2, 8)))
