@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from packwright.llm.common import shared_folder
 from packwright.llm.decontaminate import contamination
-from packwright.llm.mixing import drawn_words
+from packwright.llm.mixing import placed_words
 from packwright.llm.ngram_join import jaccard_components
 from packwright.llm.pii import personal_data, redacted
 from packwright.llm.quality import fit_quality, score_quality
@@ -64,8 +64,8 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with the words that the mix takes of it."""
-    return drawn_words(docs).select("doc_id", "size", "source_size", "target", "taken")
+    """Every document with the words that the mix takes of it and the output shards that get them."""
+    return placed_words(docs).select("doc_id", "size", "source_size", "target", "taken", "shards")
 
 
 STAGES = [

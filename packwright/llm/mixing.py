@@ -137,6 +137,26 @@ def output_shards(drawn: DataFrame, depth: int = 3, seed: int = 17) -> DataFrame
     return blocks
 
 
+def placed_words(docs: DataFrame, *, depth: int = 3, seed: int = 17, **options) -> DataFrame:
+    """The rows of drawn_words, taken counted from the block copies that the splitting tree hands out, and their shards.
+
+    A document takes its words once for every copy of its block that an output shard has got; shards are those that
+    hold words of it, sorted. The tree's table is written once and has a row for each block copy only.
+    """
+    drawn = written(drawn_words(docs, seed=seed, **options)).drop("taken")
+    shards = written(output_shards(drawn, depth, seed))
+    place = F.struct(F.col("_pw_copy").alias("copy"), F.col("shard").alias("shard"))
+    places = shards.groupBy("_pw_source", "_pw_block").agg(F.collect_list(place).alias("_pw_places"))
+    rows = _same_source(drawn, places, ("_pw_block",))
+    each = F.transform(
+        F.coalesce("_pw_places", F.array().cast("array<struct<copy:bigint,shard:int>>")),
+        lambda p: F.struct(p["shard"].alias("shard"), F.when(p["copy"] < F.col("_pw_passes"), F.col("size")).otherwise(F.col("_pw_partial")).cast("long").alias("words")),
+    )
+    rows = rows.withColumn("_pw_each", F.filter(each, lambda p: p["words"] > 0)).drop("_pw_places")
+    taken = F.aggregate("_pw_each", F.lit(0).cast("long"), lambda n, p: n + p["words"])
+    return rows.withColumn("taken", taken).withColumn("shards", F.array_sort(F.array_distinct("_pw_each.shard"))).drop("_pw_each")
+
+
 def mixture(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, seed: int = 17, **options) -> DataFrame:
     """One row for every time a document enters the mix: docs' columns, copy, words, shard and place.
 

@@ -11,7 +11,7 @@ from packwright.llm.common import held_out
 from packwright.llm.decontaminate import contamination
 from packwright.llm.langid import fit_language_net, identify_languages, teaching_rows
 from packwright.llm.licenses import license_scan
-from packwright.llm.mixing import drawn_words
+from packwright.llm.mixing import placed_words
 from packwright.llm.ngram_join import jaccard_components
 from packwright.llm.pii import personal_data, pii_digest
 from packwright.llm.quality import fit_quality, score_quality
@@ -42,7 +42,7 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drawn_words(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return placed_words(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

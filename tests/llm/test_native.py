@@ -6,7 +6,8 @@ from conftest import ROWS
 
 from packwright.llm.decontaminate import contamination
 from packwright.llm.licenses import license_scan
-from packwright.llm.mixing import drawn_words, mixture
+from packwright.llm import mixing
+from packwright.llm.mixing import drawn_words, mixture, placed_words
 from packwright.llm.pii import SpanModel, personal_data, pii_digest, redacted
 from packwright.llm.secrets import secret_digest, secret_scan
 
@@ -102,3 +103,20 @@ def test_mixing(docs, no_docs):
     mixed = mixture(docs, depth=2)
     assert mixed.agg({"words": "sum"}).first()[0] == sum(r["taken"] for r in rows)
     assert set(mixed.columns) >= {"text", "copy", "words", "shard", "place"}
+
+
+def test_mix_follows_the_tree(docs, spark, monkeypatch):
+    options = {"block_words": 3, "depth": 2}
+    drawn = sorted((repr(r["doc_id"]), r["taken"]) for r in drawn_words(docs, block_words=3).collect())
+    rows = placed_words(docs, **options).collect()
+    assert sorted((repr(r["doc_id"]), r["taken"]) for r in rows) == drawn
+    whole = mixture(docs, **options).where("words > 0").select("doc_id", "shard").distinct().collect()
+    assert {(r["doc_id"], s) for r in rows for s in r["shards"]} == {(r["doc_id"], r["shard"]) for r in whole}
+    assert placed_words(docs.limit(0)).count() == 0
+    tree = mixing.output_shards
+    monkeypatch.setattr(mixing, "output_shards", lambda *a: tree(*a).where("shard > 0"))  # a tree that loses blocks is seen
+    docs.write.mode("overwrite").parquet(path := spark.conf.get("spark.checkpoint.dir") + "/mix/documents.parquet")
+    from packwright.llm.queries import op2_source_mixing
+
+    taken = op2_source_mixing(spark, path.rsplit("/", 1)[0]).agg({"taken": "sum"}).first()[0]
+    assert taken < sum(n for _, n in drawn)
