@@ -138,14 +138,10 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in ids], pa.binary())], ["y", "f"])
 
 
-def fit_quality(
+def teaching_texts(
     docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_docs: int = 3000, seed: int = 3
-) -> QualityModel | None:
-    """A model of label 1 fit on at most sample_docs labelled documents of each class, drawn by a hash of the id.
-
-    Ids whose crc32 leaves 2 modulo 4 never teach; null texts and labels other than 0 and 1 don't either. None if
-    a class has no rows.
-    """
+) -> DataFrame:
+    """(y, t): one text of each of at most sample_docs labelled ids of each class; of an id's texts the one with the least hash."""
     known = labels.where(~held_out(F.col(id_col), 4, 2)).where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("i"), F.col(label_col).alias("y"))
     known = known.dropDuplicates(["i"])
     sizes = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -153,8 +149,20 @@ def fit_quality(
     taken = [known.where((F.col("y") == y) & drawn(hashed, sizes.get(y, 0), sample_docs)).orderBy(hashed, "i").limit(sample_docs) for y in (0, 1)]
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"))
     rows = texts.join(F.broadcast(taken[0].unionByName(taken[1])), "i")  # at most 2 * sample_docs ids
-    got = rows.select("y", "t").mapInArrow(_gathered, "y int, f binary").collect()
-    got = sorted((r["y"], bytes(r["f"])) for r in got)[: 4 * sample_docs]
+    return rows.groupBy("i", "y").agg(F.min_by("t", F.xxhash64("t")).alias("t")).select("y", "t")
+
+
+def fit_quality(
+    docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_docs: int = 3000, seed: int = 3
+) -> QualityModel | None:
+    """A model of label 1 fit on one text each of at most sample_docs labelled ids of each class, drawn by a hash of the id.
+
+    Ids whose crc32 leaves 2 modulo 4 never teach; null texts and labels other than 0 and 1 don't either. None if
+    a class has no rows.
+    """
+    rows = teaching_texts(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, sample_docs=sample_docs, seed=seed)
+    got = rows.withColumn("y", F.col("y").cast("int")).mapInArrow(_gathered, "y int, f binary").collect()
+    got = sorted((r["y"], bytes(r["f"])) for r in got)
     y = np.array([g[0] for g in got], np.int64)
     if len(set(y.tolist())) < 2:
         return None

@@ -13,7 +13,7 @@ from packwright.llm import packed
 from packwright.llm.components import components
 from packwright.llm.langid import fit_language_net, identify_languages, teaching_sample
 from packwright.llm.ngram_join import jaccard_components
-from packwright.llm.quality import fit_quality, score_quality
+from packwright.llm.quality import fit_quality, score_quality, teaching_texts
 from packwright.llm.token_counts import length_histogram, quantile, suffix_sums, total_cut_at
 from packwright.llm.topk import top_inner_products
 
@@ -122,6 +122,18 @@ def test_quality(spark, docs, no_docs):
     assert fit_quality(no_docs, known) is None and score_quality(docs, None, keep=["doc_id"]).where("score = 0.5").count() == len(ROWS)
 
 
+def test_quality_of_ids_with_many_rows(spark):
+    rows = [(i, f"{w} ** {i} {k} " * 9) for i in range(12) for k, w in enumerate("abcdefghij")] + [(i, f"good words stand here {i}. " * 3) for i in range(12, 24)]
+    labels = spark.createDataFrame([(i, int(i >= 12)) for i in range(24)], "doc_id long, quality int")
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    counts = teaching_texts(df, labels, sample_docs=3).groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()
+    assert {r["y"]: r["n"] for r in counts} == {0: 3, 1: 3}
+    model = fit_quality(df, labels, sample_docs=3)
+    assert model is not None
+    scored = score_quality(df, model, keep=["doc_id"]).groupBy(F.col("doc_id") >= 12).agg(F.avg("score").alias("s")).collect()
+    assert len({r["s"] for r in scored}) == 2 and max(scored, key=lambda r: r["s"])[0]
+
+
 def test_token_counts(spark, docs, no_docs):
     import tiktoken
     from packwright.llm.token_counts import _encoding
