@@ -8,10 +8,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packwright.llm.common import shared_folder
+from packwright.llm.common import shared_folder, written
 from packwright.llm.decontaminate import contamination
 from packwright.llm.mixing import placed_words
 from packwright.llm.ngram_join import jaccard_components
@@ -29,23 +29,33 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return scored.where(F.col("_pw_quality") >= GOOD).select(*docs.columns) if model else docs
 
 
+def _same_row() -> Column:
+    """Whether a document is the one that _pw_doc and _pw_mark (its text's hash) name; null ids match null ids."""
+    return F.col("doc_id").eqNullSafe(F.col("_pw_doc")) & (F.xxhash64("text") == F.col("_pw_mark"))
+
+
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates, once; texts without words all stay.
+    """One row of each group of near duplicates; texts without words all stay.
 
-    Near duplicates share at least 0.8 of their distinct five-word shingles.
+    Near duplicates share at least 0.8 of their distinct five-word shingles. The row with the smallest id stays, null
+    last, then the one with the least hash of its text. Rows are told apart by id and text: rows that share an id, or
+    have none, go only if their own texts are linked; of rows equal in both one stays.
     """
-    found = jaccard_components(docs, size=5, percent=80)
-    dropped = found.where((F.col("n_shingles") > 0) & (F.col("component_id") < F.col("doc_id"))).select("doc_id").distinct()
-    left = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
-    blank = F.trim(F.coalesce("text", F.lit(""))) == ""
-    return left.where(~blank).dropDuplicates(["doc_id"]).unionByName(left.where(blank))
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("_pw_key"))
+    found = jaccard_components(rows, size=5, percent=80, tie_col="_pw_key").where("n_shingles > 0")
+    pairs = found.groupBy(F.col("doc_id").alias("_pw_doc"), F.col("_pw_key").alias("_pw_mark"))
+    marks = pairs.agg(F.max("_pw_first").alias("_pw_stays"), F.count(F.lit(1)).alias("_pw_rows"))
+    marks = written(marks.where(~F.col("_pw_stays") | (F.col("_pw_rows") > 1)).select("_pw_doc", "_pw_mark", "_pw_stays"))
+    joined = docs.join(marks, _same_row(), "left")
+    repeated = joined.where("_pw_stays").dropDuplicates(["_pw_doc", "_pw_mark"])
+    return joined.where("_pw_stays is null").unionByName(repeated).select(*docs.columns)
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
     found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    dirty = found.where("contaminated").select("doc_id").distinct()
-    return docs.join(dirty, "doc_id", "left_anti").select(*docs.columns)
+    dirty = found.where("contaminated").select(F.col("doc_id").alias("_pw_doc"), F.col("_pw_key").alias("_pw_mark")).distinct()
+    return docs.join(dirty, _same_row(), "left_anti").select(*docs.columns)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -42,7 +42,7 @@ def contamination(
     shingle: int = 3,
     broadcast_rows: int = 200_000,
 ) -> DataFrame:
-    """One row per document row: doc_id, n_words, n_hit, n_items, items (sorted ids as text), contaminated.
+    """One row per document row: doc_id, _pw_key, n_words, n_hit, n_items, items (sorted ids as text), contaminated.
 
     Null and empty texts have no words and hit nothing; items without words are ignored; repeated rows
     each get the same result. Windows are broadcast only after a count shows at most ``broadcast_rows``
@@ -61,7 +61,7 @@ def contamination(
     none = F.array().cast("array<string>")
     if not hits:
         return counted.select(
-            F.col("_pw_id").alias(id_col), "n_words", F.lit(0).cast("long").alias("n_hit"),
+            F.col("_pw_id").alias(id_col), "_pw_key", "n_words", F.lit(0).cast("long").alias("n_hit"),
             F.lit(0).cast("long").alias("n_items"), none.alias("items"), F.lit(False).alias("contaminated"),
         )
     found = (
@@ -76,6 +76,7 @@ def contamination(
     out = joined_back(counted, found)
     return out.select(
         F.col("_pw_id").alias(id_col),
+        "_pw_key",
         "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.when(F.col("items").isNull(), 0).otherwise(F.size("items")).cast("long").alias("n_items"),

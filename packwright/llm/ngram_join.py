@@ -42,7 +42,7 @@ def _class_key(shingles: np.ndarray) -> int:
     return int(packed.chained(packed.mixed(total), 3)[0].astype(np.int64))
 
 
-def _sized(size: int):
+def _sized(size: int, tie: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, starts, ends = packed.column(batch, "_pw_text")
@@ -51,9 +51,8 @@ def _sized(size: int):
                 for k, s in enumerate(packed.shingle_sets(raw, starts[a:b], ends[a:b], size), a):
                     if len(s):
                         n[k], keys[k] = len(s), _class_key(s)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(keys, mask=n == 0), pa.array(n)], ["_pw_id", "_pw_class", "_pw_n"]
-            )
+            columns = [batch.column(0), pa.array(keys, mask=n == 0), pa.array(n), *([batch.column(2)] if tie else [])]
+            yield pa.RecordBatch.from_arrays(columns, ["_pw_id", "_pw_class", "_pw_n", "_pw_tie"][: len(columns)])
 
     return run
 
@@ -247,18 +246,24 @@ def jaccard_components(
     peels: int = 3,
     range_tokens: int = _RANGE_TOKENS,
     fanout: int = 512,
+    tie_col: str | None = None,
 ) -> DataFrame:
     """One row per document row: id, n_shingles, component_id (the smallest id reachable by links).
 
     Links join texts with 100 * overlap >= percent * union of their shingle sets. Null and empty texts have no
     shingles and are linked with nothing; repeated rows and equal sets are one class; a null id stays null
-    unless its component holds another.
+    unless its component holds another. With ``tie_col`` the result has this column as well, and _pw_first:
+    whether the row has the least (id, tie) of its component, null ids last; texts without shingles all have.
     """
-    rows = docs.select(F.col(id_col).alias("_pw_id"), F.col(text_col).alias("_pw_text"))
+    ties = [] if tie_col is None else ["_pw_tie"]
+    rows = docs.select(F.col(id_col).alias("_pw_id"), F.col(text_col).alias("_pw_text"), *[F.col(tie_col).alias(c) for c in ties])
     kind = rows.schema["_pw_id"].dataType.simpleString()
     small_batches(docs.sparkSession)
-    sized = written(rows.mapInArrow(_sized(size), f"_pw_id {kind}, _pw_class long, _pw_n long"))
-    classes = sized.where("_pw_n > 0").groupBy("_pw_class").agg(F.max("_pw_n").alias("_pw_n"), F.min("_pw_id").alias("_pw_least"))
+    more = "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in ties)
+    sized = written(rows.mapInArrow(_sized(size, bool(ties)), f"_pw_id {kind}, _pw_class long, _pw_n long{more}"))
+    known = F.struct(F.col("_pw_id").isNull().alias("none"), F.col("_pw_id").alias("id"), *[F.col(c).alias("tie") for c in ties])
+    chief = [F.min(known).alias("_pw_chief") for _ in ties]
+    classes = sized.where("_pw_n > 0").groupBy("_pw_class").agg(F.max("_pw_n").alias("_pw_n"), F.min("_pw_id").alias("_pw_least"), *chief)
     total = classes.agg(F.sum("_pw_n")).first()[0] or 0
     # Ranges are dealt in rounds of at most ``fanout``, so blobs stay large however many ranges the input needs.
     ranges = max(8, -(-total // range_tokens))
@@ -279,11 +284,14 @@ def jaccard_components(
     roots = components(links).withColumnsRenamed({"node": "_pw_class", "root": "_pw_root"})
 
     least = classes.join(roots, "_pw_class", "left").withColumn("_pw_root", F.coalesce("_pw_root", "_pw_class"))
-    by_root = least.groupBy("_pw_root").agg(F.min("_pw_least").alias("component_id"))
-    named = least.select("_pw_class", "_pw_root").join(by_root, "_pw_root").select("_pw_class", "component_id")
+    chief = [F.min("_pw_chief").alias("_pw_chief") for _ in ties]
+    by_root = least.groupBy("_pw_root").agg(F.min("_pw_least").alias("component_id"), *chief)
+    named = least.select("_pw_class", "_pw_root").join(by_root, "_pw_root").select("_pw_class", "component_id", *["_pw_chief" for _ in ties])
+    first = [F.coalesce(F.col("_pw_chief") == known, F.lit(True)).alias("_pw_first") for _ in ties]
     return sized.join(named, "_pw_class", "left").select(
-        F.col("_pw_id").alias(id_col), F.col("_pw_n").alias("n_shingles"), F.coalesce("component_id", "_pw_id").alias("component_id")
-    )
+        F.col("_pw_id").alias(id_col), F.col("_pw_n").alias("n_shingles"), F.coalesce("component_id", "_pw_id").alias("component_id"),
+        *[F.col(c).alias(tie_col) for c in ties], *first,
+    )
 
 
 def _component_links(tokens: DataFrame, alive: DataFrame, percent: int) -> DataFrame:

@@ -173,6 +173,27 @@ def test_pipeline_stages_keep_columns(spark, docs, tmp_path):
     assert P.good_quality(spark, docs.where(F.col("doc_id") < 0), str(tmp_path)).count() == 0
 
 
+def test_pipeline_decides_by_row(spark, tmp_path):
+    import corpus_pipeline as P
+
+    passage = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [
+        (None, "first of its own words here"), (None, "second text has other words too"), (None, "third one differs again from them"),
+        (7, "seven says this at some length"), (7, "seven also says a wholly other thing"), (3, "copied words stand in two rows"),
+        (9, "copied words stand in two rows"), (9, "nine has a clean text as well"), (None, "copied words stand in two rows"),
+        (5, "five is a row that comes twice"), (5, "five is a row that comes twice"), (None, None), (None, " \n"), (2, ""), (2, ""),
+        (None, "no id says this twice over"), (None, "no id says this twice over"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = P.one_of_each_group(spark, df, str(tmp_path)).collect()
+    want = set(rows) - {(9, rows[5][1]), (None, rows[5][1])}
+    assert sorted(map(repr, map(tuple, kept))) == sorted(map(repr, [*want, (2, "")]))
+    rows = [(None, f"x {passage} y"), (None, "clean"), (4, f"{passage} z"), (4, "four is clean")]
+    clean = P.without_benchmarks(spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path)).collect()
+    assert sorted(map(repr, map(tuple, clean))) == sorted(map(repr, [rows[1], rows[3]]))
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_crc_split(spark, seed):
     import zlib
