@@ -1,6 +1,6 @@
 """License scans by an exact set-similarity join between text blocks and license notices, in DataFrame operations only.
 
-Blocks are sentences or lines. Tokens are ordered by their document frequency in the whole corpus, rarest
+Blocks are sentences of paragraphs, so a notice may be wrapped over lines, commented ones too. Tokens are ordered by their document frequency in the whole corpus, rarest
 first. A block holds a notice if it has at least ``threshold`` of the notice's distinct words. That needs one
 of the notice's first |t| - c + 1 words (its prefix, c being the words needed) among the block's own first
 words, at least c known words in the block (length filter), and enough words left behind the meeting place
@@ -37,8 +37,8 @@ NOTICES = (
     ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0."),
 )
 
-#: A block ends at a line's end, or behind a full stop, question or exclamation mark that white space follows.
-BLOCK_END = r"\n+|(?<=[.!?])[\x20\x09\x0B-\x0D]+"
+#: A block ends at a line without words, or behind a full stop, question or exclamation mark that white space follows.
+BLOCK_END = r"\n[\x00-\x2F\x3A-\x60\x7B-\x7F]*\n|(?<=[.!?])[\x20\x09-\x0D]+"
 
 
 def _distinct_words(text: str) -> list[str]:

@@ -120,3 +120,20 @@ def test_mix_follows_the_tree(docs, spark, monkeypatch):
 
     taken = op2_source_mixing(spark, path.rsplit("/", 1)[0]).agg({"taken": "sum"}).first()[0]
     assert taken < sum(n for _, n in drawn)
+
+
+def test_wrapped_license_notices(spark):
+    import textwrap
+
+    from packwright.llm.licenses import NOTICES
+
+    rows, n = [], 0
+    for lead in ("", " * ", "# ", "// "):
+        for label, text in NOTICES:
+            body = "\n".join(lead + line for line in textwrap.wrap(text, 36))
+            rows.append((n, f"{lead}Copyright 2020 Somebody\n{lead.rstrip()}\n{body}\n{lead.rstrip()}\nimport os\n", label))
+            n += 1
+    rows.append((n, "Redistribution and use in source\n\nand binary forms, with or without modification,\n\nare permitted provided that the following conditions are met.", None))
+    rows.append((n + 1, "Redistribution and use in source and binary forms. With or without modification, are permitted\nprovided that the following conditions are met.", None))
+    got = {r["doc_id"]: r["labels"].split(",") for r in license_scan(spark.createDataFrame(rows, "doc_id long, text string, label string")).collect()}
+    assert all(label in got[i] if label else got[i] == [""] for i, _, label in rows)
