@@ -24,7 +24,7 @@ def merge_into(records: DataFrame, out: str, checkpoint: str, *, language: str,
         wanted = [language, *content, version, order]
         rows = df.select(*wanted)
         if before is not None:
-            rows = rows.unionByName(before.select(language, *content, F.explode("versions").alias(version), order))
+            rows = rows.unionByName(before.select(language, *content, F.explode_outer("versions").alias(version), order))
         merged = merge_by_content(rows, language=language, content=content, version=version, order=order, suffix=suffix)
         merged.write.mode("overwrite").parquet(f"{out}/batch={number}")
 

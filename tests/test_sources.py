@@ -203,3 +203,15 @@ def test_stream_merges_batches(spark, tmp_path):
     assert got == {"a": ["8.3.10", "8.3.9"], "b": ["8.3.9"]}
     e = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     assert ingest.windowed_counts(e, "ts", "event_type").agg(F.sum("n")).first()[0] == e.count()
+
+
+def test_records_without_versions_outlive_batches(spark, tmp_path):
+    from packwright.streaming import ingest
+
+    schema, folder = "lang string, text string, version string, n long", tmp_path / "in"
+    folder.mkdir()
+    for k, row in enumerate(('{"lang": "en", "text": "no version", "n": 1}', '{"lang": "en", "text": "other", "version": "1.0", "n": 2}')):
+        (folder / f"{k}.json").write_text(row + "\n")
+        stream = ingest.stream_records(spark, str(folder), schema)
+        ingest.merge_into(stream, str(tmp_path / "out"), str(tmp_path / "ck"), language="lang", content=["text"], version="version", order="n", suffix="s").awaitTermination()
+    assert {r["text"] for r in ingest.latest(spark, str(tmp_path / "out"), 1).collect()} == {"no version", "other"}
