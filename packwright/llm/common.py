@@ -52,8 +52,7 @@ def held_out(id_col: Column, modulus: int, remainder: int) -> Column:
 def written(df: DataFrame) -> DataFrame:
     """The rows, computed once and kept as a table in the folder all executors share.
 
-    It lies under spark.checkpoint.dir, so lost executors cost nothing that was done before. Where the
-    setting is absent (tests, notebooks) a folder of the session's own is set.
+    It lies under spark.checkpoint.dir, so lost executors cost nothing that was done before; the folder's owner clears it.
     """
     spark = df.sparkSession
     base = shared_folder(spark)
@@ -63,8 +62,11 @@ def written(df: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir. A local session without it (tests, notebooks) gets a folder of its own; a cluster must name one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "").split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         base = "file://" + tempfile.mkdtemp(prefix="packwright-")
@@ -74,7 +76,23 @@ def shared_folder(spark: SparkSession) -> str:
 
 def small_enough(df: DataFrame, rows: int) -> bool:
     """Whether df has at most this many rows: the check before any broadcast."""
-    return df.limit(rows + 1).count() <= rows
+    return df.count() <= rows
+
+
+def joined_by_key(rows: DataFrame, table: DataFrame, key: str | list[str], count: str, how: str = "inner") -> DataFrame:
+    """rows joined with a written table of distinct keys, whose column ``count`` says how many rows have each.
+
+    Keys that more than a thousandth of these rows have are at most a thousand: they are sent to every task, so that
+    no task gets all rows of a frequent key. The others are shuffled.
+    """
+    keys = [key] if isinstance(key, str) else key
+    most = table.agg(F.sum(count)).first()[0] or 0
+    often = F.col(count) > max(most // 1000, 1000)
+    hot = table.where(often)
+    if hot.isEmpty():
+        return rows.join(table, keys, how)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(table.where(~often), keys, how)
+    return rows.join(F.broadcast(hot), keys).unionByName(rest)
 
 
 def match_spans(text: Column, pattern: str, keep=None) -> Column:

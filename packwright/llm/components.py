@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from packwright.llm.common import written
@@ -12,8 +12,8 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     """One star step on edges (a, b). Large: neighbours above a node move to its least neighbour; small: those below."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     seen = both if large else both.where("b < a")
-    least = F.least(F.min("b").over(Window.partitionBy("a")), F.col("a"))
-    out = seen.withColumn("m", least)
+    least = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))  # shuffles that adaptive joins may split
+    out = seen.join(least, "a")
     if large:
         out = out.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:

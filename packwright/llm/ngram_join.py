@@ -1,193 +1,76 @@
 """N-gram Jaccard join with several global orders.
 
 Texts become sets of word shingles, hashed to 64 bits; equal sets form one class, so copies cost one row each.
-Document frequencies of all shingles are counted exactly over the classes (hashes of ``_BITS`` bits travel as
-sorted, compressed blobs, a few bytes each). A shingle that no other class has can't be shared, so a class
-whose shared shingles are too few for the threshold leaves, and frequencies are counted again among the rest.
+Two sets that reach the threshold share one of their first n - ceil(t n) + 1 shingles (l of their first
+n - ceil(t n) + l) under any order of all shingles. Three orders are used: by the shingle's hash upwards, by its hash
+downwards, and by its document frequency, rarest first.
 
-What remains meets by prefixes: under a global order of the shingles, two sets that reach the threshold
-share one of their first n - ceil(t n) + 1. The orders rank by frequency and then by differently mixed hashes.
-Places to meet come from the first order; a pair goes on only if its prefixes also meet under every other
-order and its sizes and shared counts allow the threshold. The exact overlap is counted last.
+1. Classes: a class that shares too few of its first shingles, by the hash upwards, can't link and leaves.
+2. Shingles of the classes left are counted exactly; classes that share too few of all their shingles leave, and
+   the rest are counted again.
+3. Candidates meet at a shingle that stands in the prefixes of both by frequency; their sizes, shared counts and
+   places must allow the threshold, and their prefixes must also meet under both hash orders. Only then are whole
+   sets joined and their overlap counted.
 
 Only components are asked for, so pairs inside one component needn't all be met: first every class meets the
 likeliest centre of each prefix shingle; components of the links found are formed; then classes that
 aren't in the most frequent component of a shingle meet all classes there of other components. Every pair
 that could link two components is met, and a large group of near copies costs one pair a member.
+
+Python only reads texts; everything after runs in Spark's joins and aggregations. Shingles and classes that more than
+a thousandth of all rows share are at most a thousand, so they go to every task instead of into one.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from packwright.llm import packed
-from packwright.llm.common import small_batches, small_enough, written
+from packwright.llm.common import joined_by_key, small_batches, small_enough, written
 from packwright.llm.components import components
 
-_BITS = 52
-_RANGE_TOKENS = 750_000  # tokens that one range should hold
-_FLUSH_TOKENS = 1_250_000  # tokens that a task gathers before it sends blobs
 _U = np.uint64
+#: Members of a shingle's group that one task meets with the classes outside its most frequent component.
+_GROUP = 4096
 
 
-def _class_key(shingles: np.ndarray) -> int:
-    """A set's 64-bit name; the order of its members doesn't matter."""
+def _class_name(shingles: np.ndarray, text: bytes, size: int) -> tuple[int, int]:
+    """A set's 128-bit name; the order of its members doesn't matter, and the words of a lone shingle count themselves."""
     total = np.array([shingles.sum(dtype=_U), np.bitwise_xor.reduce(shingles), len(shingles)], _U)
-    return int(packed.chained(packed.mixed(total), 3)[0].astype(np.int64))
-
-
-def _sized(size: int, tie: bool = False):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw, starts, ends = packed.column(batch, "_pw_text")
-            n, keys = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
-            for a, b in packed.parts(starts, ends):
-                for k, s in enumerate(packed.shingle_sets(raw, starts[a:b], ends[a:b], size), a):
-                    if len(s):
-                        n[k], keys[k] = len(s), _class_key(s)
-            columns = [batch.column(0), pa.array(keys, mask=n == 0), pa.array(n), *([batch.column(2)] if tie else [])]
-            yield pa.RecordBatch.from_arrays(columns, ["_pw_id", "_pw_class", "_pw_n", "_pw_tie"][: len(columns)])
-
-    return run
-
-
-def _blob(*arrays: np.ndarray) -> bytes:
-    """Arrays of 8-byte numbers, byte planes apart and compressed."""
-    planes = b"".join(np.ascontiguousarray(a.astype(_U).view(np.uint8).reshape(-1, 8).T).tobytes() for a in arrays)
-    return np.array([len(a) for a in arrays], _U).tobytes() + zstandard.compress(planes, 3)
-
+    if len(shingles) == 1:
+        other = hashlib.blake2b(b" ".join(text.split(None, size)[:size]), digest_size=8).digest()
+    else:
+        other = packed.mixed(shingles ^ _U(0x5851F42D4C957F2D)).sum(dtype=_U).tobytes()
+    return int(packed.chained(packed.mixed(total), 3)[0].astype(np.int64)), int.from_bytes(other, "little", signed=True)
 
-def _unblob(blob: bytes, count: int) -> list[np.ndarray]:
-    lengths = np.frombuffer(blob[: 8 * count], _U).astype(np.int64)
-    planes, out, at = np.frombuffer(zstandard.decompress(blob[8 * count :]), np.uint8), [], 0
-    for n in lengths:
-        out.append(np.ascontiguousarray(planes[at : at + 8 * n].reshape(8, n).T).view(_U).ravel())
-        at += 8 * int(n)
-    return out
 
-
-def _bound(r: int, ranges: int) -> int:
-    return (r << _BITS) // ranges
-
-
-def _cut(token: np.ndarray, owner: np.ndarray, names: np.ndarray, first: int, last: int, step: int, ranges: int) -> pa.RecordBatch:
-    """Blobs of the ranges first, first + step, ... below last: token differences, each token's class, the classes."""
-    order = np.argsort(token, kind="stable")
-    token, owner = token[order], owner[order]
-    del order
-    starts = list(range(first, last, step))
-    at = np.searchsorted(token, np.array([_bound(r, ranges) for r in starts], _U)).tolist() + [len(token)]
-    made: tuple[list[int], list[bytes]] = ([], [])
-    for r, x, y in zip(starts, at, at[1:], strict=False):
-        if y > x:
-            used, local = np.unique(owner[x:y], return_inverse=True)
-            made[0].append(r)
-            made[1].append(_blob(np.diff(token[x:y], prepend=_U(_bound(r, ranges))), local, names[used]))
-    return pa.RecordBatch.from_arrays([pa.array(made[0], pa.int64()), pa.array(made[1], pa.binary())], ["r", "blob"])
-
-
-def _opened(blob: bytes, r: int, ranges: int) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens of a blob and the class of each."""
-    differences, local, names = _unblob(blob, 3)
-    return np.cumsum(differences) + _U(_bound(r, ranges)), names[local.astype(np.int64)]
-
-
-def _sent(size: int, ranges: int, step: int):
-    """Blobs (range, tokens with their classes) of all texts, in ranges of ``step`` final ones."""
-    shift = _U(64 - _BITS)
-
-    def cut(tokens: list[np.ndarray], keys: list[int]) -> pa.RecordBatch:
-        token = np.concatenate(tokens)
-        token >>= shift
-        owner = np.repeat(np.arange(len(keys), dtype=np.int32), [len(t) for t in tokens])
-        return _cut(token, owner, np.array(keys, np.int64).view(_U), 0, ranges, step, ranges)
+def _shingled(size: int):
+    """(id, 128-bit name, number of shingles, shingles by their hash upwards, further columns) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()  # copies that meet in a task are sent once
-        tokens, keys, held = [], [], 0
         for batch in batches:
             raw, starts, ends = packed.column(batch, "_pw_text")
             for a, b in packed.parts(starts, ends):
-                for s in packed.shingle_sets(raw, starts[a:b], ends[a:b], size):
-                    if not len(s) or (key := _class_key(s)) in seen:
-                        continue
-                    seen.add(key)
-                    tokens.append(s)
-                    keys.append(key)
-                    held += len(s)
-                    if held >= _FLUSH_TOKENS:
-                        yield cut(tokens, keys)
-                        tokens, keys, held = [], [], 0
-        if held:
-            yield cut(tokens, keys)
-
-    return run
-
-
-def _split(ranges: int, above: int, step: int):
-    """Blobs of ranges of ``above`` final ones, which come sorted by range, in ranges of ``step``."""
-
-    def cut(r: int, got: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        names, owner = np.unique(np.concatenate([o for _, o in got]), return_inverse=True)
-        return _cut(np.concatenate([t for t, _ in got]), owner, names, r, min(r + above, ranges), step, ranges)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, got, held = -1, [], 0
-        for batch in batches:
-            for r, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if got and (r != now or held >= _FLUSH_TOKENS):
-                    yield cut(now, got)
-                    got, held = [], 0
-                now = r
-                got.append(_opened(blob.as_py(), r, ranges))
-                held += len(got[-1][0])
-        if got:
-            yield cut(now, got)
-
-    return run
-
-
-def _steps(ranges: int, fanout: int) -> list[int]:
-    """How many final ranges one range of each round holds: the last round's is 1, each divides by at most fanout."""
-    steps = [1]
-    while -(-ranges // steps[0]) > fanout:
-        steps.insert(0, steps[0] * fanout)
-    return steps
-
-
-def _counted(ranges: int):
-    """Of one range: (class, null, number of tokens no other class has) and (class, token, classes that have it)."""
-
-    def run(table: pa.Table) -> pa.Table:
-        r = int(table.column("r")[0].as_py())
-        got = [_opened(x.as_py(), r, ranges) for x in table.column("blob")]
-        token, owner = np.concatenate([t for t, _ in got]), np.concatenate([o for _, o in got])
-        del got
-        order = np.lexsort((owner, token))
-        token, owner = token[order], owner[order]
-        del order
-        fresh = np.ones(len(token), bool)
-        fresh[1:] = (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])
-        token, owner = token[fresh], owner[fresh]
-        new = np.ones(len(token), bool)
-        new[1:] = token[1:] != token[:-1]
-        df = np.diff(np.append(np.flatnonzero(new), len(token)))
-        df = np.repeat(df, df)
-        lone, lone_n = np.unique(owner[df == 1], return_counts=True)
-        shared = df > 1
-        return pa.table(
-            {
-                "_pw_class": np.concatenate([lone, owner[shared]]).astype(np.int64),
-                "_pw_token": pa.concat_arrays([pa.nulls(len(lone), pa.int64()), pa.array(token[shared].astype(np.int64))]),
-                "_pw_num": np.concatenate([lone_n, df[shared]]).astype(np.int64),
-            }
-        )
+                sets = list(packed.shingle_sets(raw, starts[a:b], ends[a:b], size))
+                names = np.zeros((b - a, 2), np.int64)
+                for k, s in enumerate(sets):
+                    if len(s):
+                        short = packed.LOWER[raw[starts[a + k] : ends[a + k]]].tobytes() if len(s) == 1 else b""
+                        names[k] = _class_name(s, short, size)
+                n = np.array([len(s) for s in sets], np.int64)
+                offsets = np.zeros(len(sets) + 1, np.int32)
+                np.cumsum(n, out=offsets[1:])
+                tokens = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens))
+                kept = batch.slice(a, b - a)
+                columns = [kept.column(0), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array(n), lists, *kept.columns[2:]]
+                yield pa.RecordBatch.from_arrays(columns, ["_pw_id", "_pw_hi", "_pw_lo", "_pw_n", "_pw_tokens", "_pw_tie"][: len(columns)])
 
     return run
 
@@ -203,37 +86,62 @@ def _can_link(a_n: Column, a_shared: Column, b_n: Column, b_shared: Column, perc
     return 100 * most >= percent * (a_n + b_n - most)
 
 
-def _peeled(tokens: DataFrame, classes: DataFrame, percent: int, rounds: int) -> tuple[DataFrame, DataFrame]:
-    """Tokens (class, token, df) and classes (class, n, shared), again and again without classes that share too little."""
-    for _ in range(rounds):
-        count = F.count(F.lit(1)).over(Window.partitionBy("_pw_token"))
-        kept = tokens.join(_sent_if_few(classes.select("_pw_class")), "_pw_class", "left_semi")
-        tokens = written(kept.select("_pw_class", "_pw_token").withColumn("_pw_df", count).where("_pw_df > 1"))
-        shared = tokens.groupBy("_pw_class").agg(F.count(F.lit(1)).alias("_pw_shared"))
-        alive = classes.select("_pw_class", "_pw_n").join(shared, "_pw_class")
-        classes = written(alive.where(F.col("_pw_shared") * 100 >= F.col("_pw_n") * percent))
-    return tokens, classes
-
-
 def _sent_if_few(keys: DataFrame, rows: int = 1_000_000) -> DataFrame:
     """keys for every task if a count shows so few of them; else they are shuffled."""
     return F.broadcast(keys) if small_enough(keys, rows) else keys
 
 
-def _orders() -> list[list[Column]]:
-    return [[F.col("_pw_df"), F.col("_pw_token")], *[[F.col("_pw_df"), F.xxhash64("_pw_token", F.lit(k))] for k in (1, 2)]]
+def _of_classes(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    return rows.join(_sent_if_few(classes.select("_pw_class")), "_pw_class", "left_semi")
+
+
+def _shared(places: DataFrame) -> DataFrame:
+    """Rows (class, token, ...) whose token another class has as well, with its number of classes, _pw_df."""
+    counts = written(places.groupBy("_pw_token").agg(F.count(F.lit(1)).alias("_pw_df")).where("_pw_df > 1"))
+    return joined_by_key(places, counts, "_pw_token", "_pw_df")
+
+
+def _sharing_first(sets: DataFrame, percent: int, rounds: int) -> DataFrame:
+    """Classes (class, n) that share enough of their first shingles by hash to link with any other.
+
+    The first n - ceil(t n) + l shingles hold l of any pair's common ones, l being a tenth of n. A partner has at least
+    t n shingles, so the lesser l of the two is at least a tenth of that.
+    """
+    n, least = F.col("_pw_n"), _least_overlap(F.col("_pw_n"), percent)
+    head = F.slice("_pw_tokens", F.lit(1), (n - least + F.greatest(F.lit(1), F.floor(n / 10))).cast("int"))
+    heads = written(sets.select("_pw_class", "_pw_n", head.alias("_pw_head")))
+    classes = heads.select("_pw_class", "_pw_n")
+    for nth in range(rounds):
+        places = heads if nth == 0 else _of_classes(heads, classes)
+        found = _shared(places.select("_pw_class", "_pw_n", F.explode("_pw_head").alias("_pw_token")))
+        enough = F.count(F.lit(1)) >= F.greatest(F.lit(1), F.floor(_least_overlap(F.first("_pw_n"), percent) / 10))
+        classes = found.groupBy("_pw_class").agg(F.first("_pw_n").alias("_pw_n"), enough.alias("_pw_able")).where("_pw_able")
+        classes = written(classes.select("_pw_class", "_pw_n"))
+    return classes
+
+
+def _sharing(places: DataFrame, percent: int, rounds: int) -> DataFrame:
+    """Shared places (class, n, at, token, df) of the classes that share at least ceil(t n) of their shingles."""
+    for _ in range(rounds):
+        places = written(_shared(places.select("_pw_class", "_pw_n", "_pw_nth", "_pw_token")))
+        shared = places.groupBy("_pw_class").agg(F.first("_pw_n").alias("_pw_n"), F.count(F.lit(1)).alias("_pw_shared"))
+        alive = written(shared.where(F.col("_pw_shared") * 100 >= F.col("_pw_n") * percent).select("_pw_class", "_pw_shared"))
+        places = _of_classes(places, alive)
+    return places.join(alive, "_pw_class")
 
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose prefixes meet under every further order and whose exact overlap reaches the threshold."""
-    left = sets.select(F.col("_pw_class").alias("a"), *[F.col(c).alias(f"{c}_a") for c in sets.columns[1:]])
-    right = sets.select(F.col("_pw_class").alias("b"), *[F.col(c).alias(f"{c}_b") for c in sets.columns[1:]])
-    both = pairs.join(left, "a").join(right, "b")
-    for k in range(1, len(_orders())):
-        both = both.where(F.arrays_overlap(f"_pw_prefix{k}_a", f"_pw_prefix{k}_b"))
+    """Pairs (a, b) whose prefixes also meet under both hash orders and whose exact overlap reaches the threshold."""
+
+    def side(name: str, *columns: str) -> DataFrame:
+        return sets.select(F.col("_pw_class").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in columns])
+
+    both = pairs.join(side("a", "_pw_up", "_pw_down"), "a").join(side("b", "_pw_up", "_pw_down"), "b")
+    met = both.where(F.arrays_overlap("_pw_up_a", "_pw_up_b") & F.arrays_overlap("_pw_down_a", "_pw_down_b")).select("a", "b")
+    whole = written(met).join(side("a", "_pw_n", "_pw_tokens"), "a").join(side("b", "_pw_n", "_pw_tokens"), "b")
     overlap = F.size(F.array_intersect("_pw_tokens_a", "_pw_tokens_b"))
     union = F.col("_pw_n_a") + F.col("_pw_n_b") - F.col("_pw_overlap")
-    return both.withColumn("_pw_overlap", overlap).where(100 * F.col("_pw_overlap") >= percent * union).select("a", "b")
+    return whole.withColumn("_pw_overlap", overlap).where(100 * F.col("_pw_overlap") >= percent * union).select("a", "b")
 
 
 def jaccard_components(
@@ -243,101 +151,88 @@ def jaccard_components(
     text_col: str = "text",
     size: int = 4,
     percent: int = 85,
-    peels: int = 3,
-    range_tokens: int = _RANGE_TOKENS,
-    fanout: int = 512,
+    peels: int = 2,
     tie_col: str | None = None,
 ) -> DataFrame:
     """One row per document row: id, n_shingles, component_id (the smallest id reachable by links).
 
     Links join texts with 100 * overlap >= percent * union of their shingle sets. Null and empty texts have no
-    shingles and are linked with nothing; repeated rows and equal sets are one class; a null id stays null
-    unless its component holds another. With ``tie_col`` the result has this column as well, and _pw_first:
-    whether the row has the least (id, tie) of its component, null ids last; texts without shingles all have.
+    shingles and are linked with nothing; very long texts are read whole, in pieces of bounded memory but for their
+    own set; repeated rows and equal sets are one class, so ties need no order; a null id stays null unless its
+    component holds another; an empty table gives no rows; further columns of docs are not read, whatever their names.
+    With ``tie_col`` the result has this column as well, and _pw_first: whether the row has the least (id, tie) of
+    its component, null ids last; texts without shingles all have. Shingles are known by 64-bit hashes: two of a pair
+    would have to collide to change its overlap.
     """
     ties = [] if tie_col is None else ["_pw_tie"]
     rows = docs.select(F.col(id_col).alias("_pw_id"), F.col(text_col).alias("_pw_text"), *[F.col(tie_col).alias(c) for c in ties])
     kind = rows.schema["_pw_id"].dataType.simpleString()
     small_batches(docs.sparkSession)
     more = "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in ties)
-    sized = written(rows.mapInArrow(_sized(size, bool(ties)), f"_pw_id {kind}, _pw_class long, _pw_n long{more}"))
+    made = rows.mapInArrow(_shingled(size), f"_pw_id {kind}, _pw_hi long, _pw_lo long, _pw_n long, _pw_tokens array<long>{more}")
+    rows = written(made.withColumn("_pw_row", F.monotonically_increasing_id()))
+
+    # A class is named by its first row.
     known = F.struct(F.col("_pw_id").isNull().alias("none"), F.col("_pw_id").alias("id"), *[F.col(c).alias("tie") for c in ties])
     chief = [F.min(known).alias("_pw_chief") for _ in ties]
-    classes = sized.where("_pw_n > 0").groupBy("_pw_class").agg(F.max("_pw_n").alias("_pw_n"), F.min("_pw_id").alias("_pw_least"), *chief)
-    total = classes.agg(F.sum("_pw_n")).first()[0] or 0
-    # Ranges are dealt in rounds of at most ``fanout``, so blobs stay large however many ranges the input needs.
-    ranges = max(8, -(-total // range_tokens))
-    steps = _steps(ranges, fanout)
-    blobs = rows.select("_pw_text").mapInArrow(_sent(size, ranges, steps[0]), "r long, blob binary")
-    for above, step in zip(steps, steps[1:], strict=False):
-        blobs = blobs.repartition("r").sortWithinPartitions("r").mapInArrow(_split(ranges, above, step), "r long, blob binary")
-    counted = written(blobs.groupBy("r").applyInArrow(_counted(ranges), "_pw_class long, _pw_token long, _pw_num long"))
-
-    lone = counted.where("_pw_token is null").groupBy("_pw_class").agg(F.sum("_pw_num").alias("_pw_lone"))
-    able = classes.join(lone, "_pw_class", "left").where(
-        (F.col("_pw_n") - F.coalesce("_pw_lone", F.lit(0))) * 100 >= F.col("_pw_n") * percent
-    )
-    able = written(able.select("_pw_class", "_pw_n"))
-    tokens = counted.where("_pw_token is not null").select("_pw_class", "_pw_token")
-    tokens, alive = _peeled(tokens, able, percent, peels)
-    links = _component_links(tokens, alive, percent)
-    roots = components(links).withColumnsRenamed({"node": "_pw_class", "root": "_pw_root"})
+    grouped = rows.where("_pw_n > 0").groupBy("_pw_hi", "_pw_lo")
+    classes = written(grouped.agg(F.min("_pw_row").alias("_pw_class"), F.min("_pw_id").alias("_pw_least"), F.count(F.lit(1)).alias("_pw_rows"), *chief))
+    sets = _of_classes(rows.select(F.col("_pw_row").alias("_pw_class"), "_pw_n", "_pw_tokens"), classes)
+    able = _sharing_first(sets, percent, peels)
+    sets = _of_classes(rows.select(F.col("_pw_row").alias("_pw_class"), "_pw_n", "_pw_tokens"), able)
+    places = _sharing(sets.select("_pw_class", "_pw_n", F.posexplode("_pw_tokens").alias("_pw_nth", "_pw_token")), percent, peels)
+    roots = components(_component_links(places, percent)).withColumnsRenamed({"node": "_pw_class", "root": "_pw_root"})
 
     least = classes.join(roots, "_pw_class", "left").withColumn("_pw_root", F.coalesce("_pw_root", "_pw_class"))
     chief = [F.min("_pw_chief").alias("_pw_chief") for _ in ties]
     by_root = least.groupBy("_pw_root").agg(F.min("_pw_least").alias("component_id"), *chief)
-    named = least.select("_pw_class", "_pw_root").join(by_root, "_pw_root").select("_pw_class", "component_id", *["_pw_chief" for _ in ties])
+    named = least.select("_pw_hi", "_pw_lo", "_pw_rows", "_pw_root").join(by_root, "_pw_root").drop("_pw_root")
     first = [F.coalesce(F.col("_pw_chief") == known, F.lit(True)).alias("_pw_first") for _ in ties]
-    return sized.join(named, "_pw_class", "left").select(
+    out = joined_by_key(rows.drop("_pw_tokens", "_pw_row"), written(named), ["_pw_hi", "_pw_lo"], "_pw_rows", how="left")
+    return out.select(
         F.col("_pw_id").alias(id_col), F.col("_pw_n").alias("n_shingles"), F.coalesce("component_id", "_pw_id").alias("component_id"),
         *[F.col(c).alias(tie_col) for c in ties], *first,
     )
 
 
-def _component_links(tokens: DataFrame, alive: DataFrame, percent: int) -> DataFrame:
+def _component_links(places: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between classes that have the components of all links."""
-    ranked = tokens.join(alive, "_pw_class")  # also drops the tokens of classes that left last
-    most = F.col("_pw_n") - _least_overlap(F.col("_pw_n"), percent) + 1
-    lone = F.col("_pw_n") - F.col("_pw_shared")  # tokens that nobody shares stand first in every order
-    for k, order in enumerate(_orders()):
-        place = F.row_number().over(Window.partitionBy("_pw_class").orderBy(*order))
-        ranked = ranked.withColumn(f"_pw_in{k}", lone + place <= most)
-        if k == 0:
-            ranked = ranked.withColumn("_pw_at", lone + place)
-    ranked = written(ranked)
-    sets = written(
-        ranked.groupBy("_pw_class").agg(
-            F.first("_pw_n").alias("_pw_n"),
-            F.collect_list("_pw_token").alias("_pw_tokens"),
-            *[F.collect_list(F.when(F.col(f"_pw_in{k}"), F.col("_pw_token"))).alias(f"_pw_prefix{k}") for k in range(1, len(_orders()))],
-        )
-    )
-    places = ranked.where("_pw_in0").select("_pw_token", "_pw_class", "_pw_n", "_pw_shared", "_pw_at")
-    me = F.struct((F.col("_pw_n") - F.col("_pw_shared")).alias("lone"), F.col("_pw_class").alias("c"), F.col("_pw_n").alias("n"), F.col("_pw_shared").alias("s"))
-    centre = places.groupBy("_pw_token").agg(F.min(me).alias("_pw_centre"))
-    met = places.join(centre, "_pw_token").where(F.col("_pw_centre.c") != F.col("_pw_class"))
-    met = met.where(_can_link(F.col("_pw_n"), F.col("_pw_shared"), F.col("_pw_centre.n"), F.col("_pw_centre.s"), percent))
+    n, shared = F.col("_pw_n"), F.col("_pw_shared")
+    most = n - _least_overlap(n, percent) + 1
+    # Shingles that nobody shares stand first by frequency.
+    at = n - shared + F.row_number().over(Window.partitionBy("_pw_class").orderBy("_pw_df", "_pw_token"))
+    ranked = places.withColumn("_pw_at", at)
+    up = F.collect_list(F.when(F.col("_pw_nth") < most, F.col("_pw_token")))
+    down = F.collect_list(F.when(F.col("_pw_nth") >= n - most, F.col("_pw_token")))
+    sets = written(places.groupBy("_pw_class").agg(F.first("_pw_n").alias("_pw_n"), F.collect_list("_pw_token").alias("_pw_tokens"), up.alias("_pw_up"), down.alias("_pw_down")))
+    places = written(ranked.where(F.col("_pw_at") <= most).select("_pw_token", "_pw_class", "_pw_n", "_pw_shared", "_pw_at"))
+    me = F.struct((n - shared).alias("lone"), F.col("_pw_class").alias("c"), n.alias("n"), shared.alias("s"))
+    centre = written(places.groupBy("_pw_token").agg(F.min(me).alias("_pw_centre"), F.count(F.lit(1)).alias("_pw_members")).where("_pw_members > 1"))
+    met = joined_by_key(places, centre, "_pw_token", "_pw_members").where(F.col("_pw_centre.c") != F.col("_pw_class"))
+    met = met.where(_can_link(n, shared, F.col("_pw_centre.n"), F.col("_pw_centre.s"), percent))
     ordered = [F.least("_pw_class", "_pw_centre.c").alias("a"), F.greatest("_pw_class", "_pw_centre.c").alias("b")]
     first = written(_links(met.select(*ordered).distinct(), sets, percent))
 
     roots = components(first).withColumnsRenamed({"node": "_pw_class", "root": "_pw_root"})
-    labelled = places.join(roots, "_pw_class", "left").withColumn("_pw_root", F.coalesce("_pw_root", "_pw_class"))
-    labelled = written(labelled)
+    labelled = written(places.join(roots, "_pw_class", "left").withColumn("_pw_root", F.coalesce("_pw_root", "_pw_class")))
     common = (
         labelled.groupBy("_pw_token", "_pw_root")
         .agg(F.count(F.lit(1)).alias("n"))
         .groupBy("_pw_token")
-        .agg(F.max_by("_pw_root", F.struct("n", "_pw_root")).alias("_pw_common"), F.count(F.lit(1)).alias("_pw_roots"))
+        .agg(F.max_by("_pw_root", F.struct("n", "_pw_root")).alias("_pw_common"), F.count(F.lit(1)).alias("_pw_roots"), F.sum("n").alias("_pw_members"))
         .where("_pw_roots > 1")
     )
-    mixed = labelled.join(common.select("_pw_token", "_pw_common"), "_pw_token")
+    # A shingle's group is split into parts of bounded size, which the classes outside its most frequent component all meet.
+    mixed = joined_by_key(labelled, written(common), "_pw_token", "_pw_members").withColumn("_pw_parts", F.ceil(F.col("_pw_members") / _GROUP))
+    mixed = written(mixed.withColumn("_pw_part", F.pmod(F.xxhash64("_pw_class"), F.col("_pw_parts"))))
     few = mixed.where("_pw_root <> _pw_common").select(
-        "_pw_token", F.col("_pw_class").alias("c"), F.col("_pw_n").alias("n"), F.col("_pw_shared").alias("s"), F.col("_pw_root").alias("r"), F.col("_pw_at").alias("at")
-    )
-    other = mixed.join(few, "_pw_token").where(F.col("r") != F.col("_pw_root"))
+        "_pw_token", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_pw_parts") - 1)).alias("_pw_part"),
+        F.col("_pw_class").alias("c"), F.col("_pw_n").alias("n"), F.col("_pw_shared").alias("s"), F.col("_pw_root").alias("r"), F.col("_pw_at").alias("at"),
+    )
+    other = mixed.join(few, ["_pw_token", "_pw_part"]).where(F.col("r") != F.col("_pw_root"))
     # The first shingle that two sets share, under the order, has all the others behind it on both sides.
-    left = 1 + F.least(F.col("_pw_n") - F.col("_pw_at"), F.col("n") - F.col("at"))
-    other = other.where((100 + percent) * left >= percent * (F.col("_pw_n") + F.col("n")))
-    other = other.where(_can_link(F.col("_pw_n"), F.col("_pw_shared"), F.col("n"), F.col("s"), percent))
+    left = 1 + F.least(n - F.col("_pw_at"), F.col("n") - F.col("at"))
+    other = other.where((100 + percent) * left >= percent * (n + F.col("n")))
+    other = other.where(_can_link(n, shared, F.col("n"), F.col("s"), percent))
     ordered = [F.least("_pw_class", "c").alias("a"), F.greatest("_pw_class", "c").alias("b")]
     return first.unionByName(_links(other.select(*ordered).distinct(), sets, percent))

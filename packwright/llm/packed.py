@@ -10,6 +10,8 @@ import pyarrow as pa
 
 #: Bytes hashed at a time; tables and temporaries stay a small multiple of this.
 BLOCK = 1 << 18
+#: Words of more bytes than this are hashed by a digest.
+LONG_WORD = 64
 _P = 0x9E3779B97F4A7C15 | 1
 _U = np.uint64
 #: Bytes of white space between plain words.
@@ -77,21 +79,25 @@ def words(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, separator: np.n
 
 
 def word_hashes(raw: np.ndarray, s: np.ndarray, e: np.ndarray, fold: np.ndarray = LOWER) -> np.ndarray:
-    """64-bit hash of every word's folded bytes; the words come in order."""
+    """64-bit hash of every word's folded bytes; the words come in order.
+
+    Short words are polynomials in their bytes, mixed; long ones, for which such polynomials can be made to collide,
+    are digests.
+    """
     out = np.empty(len(s), _U)
     powers, inverse = _powers()
     i = 0
     while i < len(s):
         base = int(s[i])
         to = max(i + 1, int(np.searchsorted(e, base + BLOCK, "right")))
-        if int(e[to - 1]) - base > BLOCK:  # one giant word
-            out[i] = int.from_bytes(hashlib.blake2b(fold[raw[base : int(e[i])]].tobytes(), digest_size=8).digest(), "little")
-        else:
+        if int(e[to - 1]) - base <= BLOCK:  # else one giant word
             block = (fold[raw[base : int(e[to - 1])]].astype(_U) + _U(1)) * powers[: int(e[to - 1]) - base]
             total = np.zeros(len(block) + 1, _U)
             np.cumsum(block, out=total[1:])
             out[i:to] = (total[e[i:to] - base] - total[s[i:to] - base]) * inverse[s[i:to] - base]
         i = to
+    for k in np.flatnonzero(e - s > LONG_WORD):
+        out[k] = int.from_bytes(hashlib.blake2b(fold[raw[int(s[k]) : int(e[k])]].tobytes(), digest_size=8).digest(), "little")
     return mixed(out)
 
 

@@ -58,9 +58,33 @@ def test_ngram_join_agrees_with_all_pairs(spark):
     rows += [(300 + i, r.choice(rows)[1].upper()) for i in range(30)]
     want = brute.components(rows)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for options in ({}, {"range_tokens": 50, "fanout": 6}):  # one round of ranges, and several
-        got = jaccard_components(df, **options)
-        assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in got.collect()} == want
+    got = jaccard_components(df)
+    assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in got.collect()} == want
+
+
+def test_ngram_join_of_frequent_keys(spark, monkeypatch):
+    """Frequent shingles and classes go another way; groups are split; nothing changes."""
+    from packwright.llm import common, ngram_join
+
+    r = random.Random(5)
+    base = [f"b{i}" for i in range(40)]
+    rows = [(i, " ".join(base[:20] + [f"x{r.randrange(3)}"] + base[21:])) for i in range(40)]
+    rows += [(100 + i, " ".join(r.sample(base, 25))) for i in range(60)] + [(200 + i, "one two three four five") for i in range(50)]
+    rows += [(300 + i, " ".join(base[:24] + [f"y{r.randrange(40)}" for _ in range(9)])) for i in range(60)]
+    df, want = spark.createDataFrame(rows, "doc_id long, text string"), brute.components(rows)
+    plain = common.joined_by_key
+    hot = []
+
+    def eager(left, table, key, count, how="inner"):
+        scaled = table.withColumn(count, F.when(F.col(count) > 5, F.col(count) * 1000).otherwise(F.col(count)))
+        hot.append(not scaled.where(F.col(count) > 1000).isEmpty())
+        back = F.when(F.col(count) > 1000, (F.col(count) / 1000).cast("long")).otherwise(F.col(count))
+        return plain(left, scaled, key, count, how).withColumn(count, back)
+
+    monkeypatch.setattr(ngram_join, "joined_by_key", eager)
+    monkeypatch.setattr(ngram_join, "_GROUP", 3)
+    got = jaccard_components(df).collect()
+    assert any(hot) and {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in got} == want
 
 
 def test_top_products(spark):
