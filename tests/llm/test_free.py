@@ -87,24 +87,47 @@ def test_ngram_join_of_frequent_keys(spark, monkeypatch):
     assert any(hot) and {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in got} == want
 
 
-def test_top_products(spark):
+def best_products(rows, k=5, every=50):
+    """[(query_id, rank, vec_id, score)] over plain rows (id, vector), in exact integers."""
+    import math
+
+    own = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    out = []
+    for n, (q, v) in enumerate(own):
+        if q % every == 0:
+            scores = [(-sum(a * b for a, b in zip(v, w, strict=True)), i) for m, (i, w) in enumerate(own) if m != n and len(w) == len(v)]
+            out += [(q, r + 1, i, max(-(2**63) + 1, min(2**63 - 1, -s))) for r, (s, i) in enumerate(sorted(scores)[:k])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("clustered", [False, True])
+def test_top_products(spark, clustered):
     r = np.random.default_rng(2)
     v = r.normal(0, 0.3, (700, 8)).round(2)
+    if clustered:
+        v += 5 * r.normal(0, 1, (10, 8)).round(1)[np.arange(700) % 10]
     v[10] = v[20]
     rows = [(i, [float(x) for x in v[i]]) for i in range(700)]
-    rows += [(1000, None), (1050, [None, *[0.1] * 7]), (1100, [float("nan")] * 8), (1150, [0.5] * 3), (None, [0.1] * 8), (50, rows[50][1])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = {}
-    for x in top_inner_products(df, shard_rows=100, block_rows=4).collect():
-        got.setdefault(x["query_id"], []).append((x["rank"], x["vec_id"], x["score"]))
-    whole = np.floor(256 * v).astype(int)
-    for q in range(0, 700, 50):
-        best = sorted((-int(whole[j] @ whole[q]), j) for j in range(700) if j != q)[:5]
-        assert sorted(got.pop(q)) == [(k + 1, j, -s) for k, (s, j) in enumerate(best)]
-    assert not got
+    rows += [(1000, None), (1050, [None, *[0.1] * 7]), (1100, [float("nan")] * 8), (1150, [0.5] * 3), (None, [0.1] * 8), (1200, []), (1250, [])]
+    rows += [(50, rows[50][1]), (50, rows[51][1]), (0, rows[0][1]), (7, rows[100][1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"id": F.lit(1), "v": F.lit("x"), "cell": F.lit(2), "row": F.lit(3)})
+    for options in ({"shard_rows": 100, "block_rows": 4}, {"shard_rows": 40, "most_cells": 4}, {}):
+        got = sorted(map(tuple, top_inner_products(df, **options).collect()))
+        assert got == best_products(rows)
     assert top_inner_products(df.limit(0)).count() == 0
 
 
+def test_top_products_of_large_components(spark):
+    r = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in r.integers(2**20, 2**21, 6)]) for i in range(120)]  # products pass 2**53, not 2**63
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, top_inner_products(df, shard_rows=30).collect())) == best_products(rows)
+    rows = [(i, [1e300 * (i % 3 - 1), 1.7e308, 0.5]) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = top_inner_products(df, shard_rows=16).collect()
+    assert len(got) == 10 and all(x["score"] == 2**63 - 1 for x in got)
+
+
 def test_languages(spark, docs, no_docs):
     rows = [(i, t * 5, lang) for i in range(40) for t, lang in ((f"the cat {i} and the thing ", "en"), (f"der große {i} hund und über ", "de"))]
     net = fit_language_net(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
