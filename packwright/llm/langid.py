@@ -218,8 +218,9 @@ def fit_language_net(
 def identify_languages(docs: DataFrame, net: ByteNet | None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document row: id, lang_pred, score (the mean probability of lang_pred over all windows).
 
-    Null texts and texts without a letter are ``und`` with score 0, as is everything if net is None; repeated
-    rows get the same result.
+    Null and empty texts and texts without a letter are ``und`` with score 0, as is everything if net is None; very long
+    texts are read whole, some windows at a time; of languages that tie the first by name is taken; repeated rows get
+    the same result; an empty table gives no rows; other columns are not read, whatever their names.
     """
     rows = docs.select(F.col(id_col).alias("_pw_id"), F.col(text_col).cast("string").alias("_pw_text"))
     kind = rows.schema["_pw_id"].dataType.simpleString()

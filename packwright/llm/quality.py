@@ -139,28 +139,36 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def teaching_texts(
-    docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_docs: int = 3000, seed: int = 3
+    docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_docs: int = 3000, sample_chars: int = 8192, seed: int = 3
 ) -> DataFrame:
-    """(y, t): one text of each of at most sample_docs labelled ids of each class; of an id's texts the one with the least hash."""
-    known = labels.where(~held_out(F.col(id_col), 4, 2)).where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("i"), F.col(label_col).alias("y"))
-    known = known.dropDuplicates(["i"])
+    """(y, t): one text of each of at most sample_docs labelled ids of each class; of an id's texts the one with the least hash.
+
+    Ids that have both labels don't teach. Texts of more than sample_chars characters teach by four pieces spread over
+    them, so what the fit gathers has a bound.
+    """
+    known = labels.where(~held_out(F.col(id_col), 4, 2)).where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y"))
+    known = known.groupBy("i").agg(F.min("y").alias("y"), F.max("y").alias("other")).where("y = other").drop("other")
     sizes = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     hashed = F.xxhash64("i", F.lit(seed))
     taken = [known.where((F.col("y") == y) & drawn(hashed, sizes.get(y, 0), sample_docs)).orderBy(hashed, "i").limit(sample_docs) for y in (0, 1)]
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"))
     rows = texts.join(F.broadcast(taken[0].unionByName(taken[1])), "i")  # at most 2 * sample_docs ids
-    return rows.groupBy("i", "y").agg(F.min_by("t", F.xxhash64("t")).alias("t")).select("y", "t")
+    rows = rows.groupBy("i", "y").agg(F.min_by("t", F.xxhash64("t")).alias("t"))
+    piece = sample_chars // 4
+    spread = [F.substring("t", (F.floor((F.length("t") - piece) * k / 3) + 1).cast("int"), F.lit(piece)) for k in range(4)]
+    return rows.select("y", F.when(F.length("t") > sample_chars, F.concat_ws(" ", *spread)).otherwise(F.col("t")).alias("t"))
 
 
 def fit_quality(
-    docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_docs: int = 3000, seed: int = 3
+    docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_docs: int = 3000, sample_chars: int = 8192, seed: int = 3
 ) -> QualityModel | None:
     """A model of label 1 fit on one text each of at most sample_docs labelled ids of each class, drawn by a hash of the id.
 
-    Ids whose crc32 leaves 2 modulo 4 never teach; null texts and labels other than 0 and 1 don't either. None if
-    a class has no rows.
+    Ids whose crc32 leaves 2 modulo 4 never teach; null texts, null ids, ids with both labels and labels other than 0
+    and 1 don't either; empty texts teach the bias; very long ones teach by pieces of sample_chars characters in all;
+    repeated rows count once; other columns are not read. None if a class has no rows, so for empty tables.
     """
-    rows = teaching_texts(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, sample_docs=sample_docs, seed=seed)
+    rows = teaching_texts(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, sample_docs=sample_docs, sample_chars=sample_chars, seed=seed)
     got = rows.withColumn("y", F.col("y").cast("int")).mapInArrow(_gathered, "y int, f binary").collect()
     got = sorted((r["y"], bytes(r["f"])) for r in got)
     y = np.array([g[0] for g in got], np.int64)
@@ -186,9 +194,11 @@ def _scored(model: QualityModel | None):
 def score_quality(docs: DataFrame, model: QualityModel | None, *, text_col: str = "text", column: str = "score", keep: list[str] | None = None) -> DataFrame:
     """The kept columns (all by default) and a score from 0 to 1 of every whole text, higher where label 1 is likelier.
 
-    Null and empty texts have no n-grams and get the score of the bias; without a model every score is 0.5.
+    Null and empty texts have no n-grams and get the score of the bias; without a model every score is 0.5; very long
+    texts are scored whole; repeated rows and ties get the same score; an empty table gives no rows. A column of docs
+    that has the score's name gives way to it.
     """
-    cols = docs.columns if keep is None else keep
+    cols = [c for c in (docs.columns if keep is None else keep) if c != column]
     rows = docs.select(*[F.col(f"`{c}`") for c in cols], F.col(text_col).cast("string").alias("_pw_text"))
     small_batches(docs.sparkSession)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)

@@ -45,6 +45,9 @@ def _lengths(vocabulary: bytes):
 def length_histogram(docs: DataFrame, vocabulary_path: str, *, text_col: str = "text") -> DataFrame:
     """n_tokens, n_docs: how many documents have each encoded length. Null and empty texts have length 0.
 
+    Very long texts are encoded whole; repeated rows each count; lengths that tie are one row; an empty table gives no
+    rows; other columns are not read, whatever their names.
+
     The vocabulary (ranks, one a line) is read through Spark, so its path may be in any store, and travels with
     the function: a public vocabulary has a megabyte or so, whatever the documents.
     """
