@@ -27,7 +27,8 @@ KINDS = ("email", "ip", "card", "phone")
 PROPOSALS = (
     ("address", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++\x20?(?:@|\(at\)|\[at\])\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|\(dot\)|\[dot\])\x20?[A-Za-z0-9-]++)++"),
     ("dotted", r"(?:(?<![0-9])|\G)[0-9]{1,4}+(?:\.[0-9]{1,4}+){3}"),
-    ("number", r"\+?\(?[0-9](?:[\x20().-]{0,2}[0-9]){6,24}+"),
+    ("number", r"\+?\(?[0-9](?:[\x20()./-]{0,2}[0-9]){6,24}+"),
+    ("account", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}+(?:\x20?[A-Z0-9]{1,3})?+(?![A-Za-z0-9])"),
 )
 #: Code points of context on the left and on the right of a proposal.
 LEFT, RIGHT = 32, 8
@@ -46,6 +47,18 @@ def luhn(digits: Column) -> Column:
     return F.aggregate(each, F.lit(0), lambda a, d: a + F.coalesce(d, F.lit(0))) % 10 == 0
 
 
+def checks_out(found: Column) -> Column:
+    """Whether an account number, its first four signs moved to the end and its letters read as 10 to 35, leaves 1 modulo 97."""
+    flat = F.regexp_replace(found, "[^A-Z0-9]", "")
+    signs = F.split(F.concat(F.substring(flat, 5, 64), F.substring(flat, 1, 4)), "(?!^)(?!$)")
+
+    def step(rest: Column, c: Column) -> Column:
+        value = F.when(c.rlike("^[0-9]$"), c.cast("int")).otherwise(F.ascii(c) - 55)
+        return (F.when(value > 9, rest * 100).otherwise(rest * 10) + value) % 97
+
+    return F.aggregate(signs, F.lit(0), lambda rest, c: F.when(c == "", rest).otherwise(step(rest, c)).cast("int")) == 1
+
+
 def _small_parts(found: Column) -> Column:
     """Whether every dotted part is at most 255, however many zeros it starts with."""
     parts = F.transform(F.split(found, "[.]"), lambda p: F.regexp_replace(p, "^0+(?=[0-9])", ""))
@@ -80,6 +93,8 @@ def _with_features(spans: DataFrame) -> DataFrame:
     made = {
         "is_address": flag(F.col("kind") == "address"),
         "is_dotted": flag(F.col("kind") == "dotted"),
+        "is_account": flag(F.col("kind") == "account"),
+        "checks_out": flag(F.when(F.col("kind") == "account", checks_out(m))),
         "length": F.length(m).cast("double"),
         "n_digits": F.length(d).cast("double"),
         "n_separators": F.length(F.regexp_replace(m, r"[^\x20-]", "")).cast("double"),
@@ -106,7 +121,7 @@ def _with_features(spans: DataFrame) -> DataFrame:
 
 
 FEATURES = (
-    "is_address", "is_dotted", "length", "n_digits", "n_separators", "n_points", "has_at", "plus", "parenthesis", "luhn", "small_parts",
+    "is_address", "is_dotted", "is_account", "checks_out", "length", "n_digits", "n_separators", "n_points", "has_at", "plus", "parenthesis", "luhn", "small_parts",
     "area_form", "person_form", "date_form", "four_groups", "joined_left", "joined_right",
     "says_phone", "says_person", "says_card", "says_mail", "says_host", "says_other",
 )
@@ -136,6 +151,17 @@ def labelled_spans(seed: int, n: int) -> list[tuple[str, str, str, str, float, b
         sep = r.choice((" ", "-", ""))
         return sep.join(s[i : i + 4] for i in range(0, 16, 4))
 
+    def groups(k: int) -> str:
+        sep, s = r.choice((" ", "-", "/", "")), digits(k)
+        at = sorted({2, *r.sample(range(4, k - 1), r.randint(0, 2))})
+        return sep.join(s[i:j] for i, j in zip([0, *at], [*at, k], strict=True))
+
+    def account(valid: bool) -> str:
+        place, body = r.choice(("DE", "FR", "GB", "ES", "NL")), digits(r.choice((14, 18, 20)))
+        check = 98 - int(body + "".join(str(ord(c) - 55) for c in place) + "00") % 97
+        s = f"{place}{(check + (0 if valid else r.randint(1, 90))) % 97:02d}{body}"
+        return r.choice((s, " ".join(s[i : i + 4] for i in range(0, len(s), 4))))
+
     def area(sep: str) -> str:
         return r.choice((f"({digits(3)}) {digits(3)}-{digits(4)}", sep.join((digits(3), digits(3), digits(4)))))
 
@@ -152,6 +178,10 @@ def labelled_spans(seed: int, n: int) -> list[tuple[str, str, str, str, float, b
         (0, lambda: ("number", r.choice((plain(), says("order", "item", "invoice"))), grouped(card(False)))),
         (1, lambda: ("number", says("tel", "phone", "call", "mobile"), area(r.choice(("-", ".", " "))))),
         (1, lambda: ("number", r.choice((plain(), says("phone", "call"))), "+" + r.choice((f"1 ({digits(3)}) {digits(3)}-{digits(4)}", f"4{digits(1)} {digits(3)} {digits(6)}")))),
+        (1, lambda: ("number", says("tel", "phone", "call", "fax", "mobile"), "0" + groups(r.randint(8, 11)))),
+        (0, lambda: ("number", r.choice((plain(), says("item", "order", "page", "total"))), "0" + groups(r.randint(8, 11)))),
+        (1, lambda: ("account", r.choice((plain(), says("account", "bank", "pay"))), account(True))),
+        (0, lambda: ("account", r.choice((plain(), says("item", "order", "version"))), account(False))),
         (1, lambda: ("number", says("ssn", "social", "security"), f"{digits(3)}-{digits(2)}-{digits(4)}")),
         (0, lambda: ("number", plain(), f"{digits(3)}-{digits(2)}-{digits(4)}")),
         (0, lambda: ("number", r.choice((plain(), says("on", "date", "from"))), f"{r.randint(1900, 2030)}-{r.randint(10, 12)}-{r.randint(10, 28)}")),
@@ -203,6 +233,18 @@ class SpanModel:
         return scored.drop(*[f"f_{k}" for k in FEATURES], "features", "rawPrediction", "probability", "prediction")
 
 
+_standard: dict[str, SpanModel] = {}
+
+
+def standard_model(spark: SparkSession) -> SpanModel:
+    """The trees with the standard settings, fit once in an application."""
+    name = spark.sparkContext.applicationId
+    if name not in _standard:
+        _standard.clear()
+        _standard[name] = SpanModel(spark)
+    return _standard[name]
+
+
 def _overlaps(span: Column, others: Column) -> Column:
     return F.exists(others, lambda o: (o["start"] < span["end"]) & (span["start"] < o["end"]))
 
@@ -210,10 +252,11 @@ def _overlaps(span: Column, others: Column) -> Column:
 def personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", model: SpanModel | None = None) -> DataFrame:
     """One row per document row: doc_id, _pw_key, base, added, all: arrays of (start, order, end, kind, found).
 
-    Null texts count as empty and have no spans; repeated rows get the same result. Of accepted proposals that
+    Null and empty texts have no spans; very long texts are searched whole, one row each; repeated rows get the same
+    result; an empty table gives no rows; other columns are not read, whatever their names. Of accepted proposals that
     overlap, the best score stays (then the first start); those that overlap a base span are dropped.
     """
-    model = model or SpanModel(docs.sparkSession)
+    model = model or standard_model(docs.sparkSession)
     rows = texts(docs, id_col, text_col).withColumn("_pw_text", F.coalesce("_pw_text", F.lit("")))
     text = F.col("_pw_text")
     based = rows.select("_pw_id", "_pw_key", base_spans(text).alias("base"))
