@@ -70,8 +70,9 @@ def drawn_words(
 
     taken is the number of words the mix takes, repeats counted: size for every whole pass (_pw_passes) and in
     the partial pass size, part of it (one document a source) or nothing (_pw_partial). A source's words sum to
-    its target rounded down. Null texts have size 0 and are taken 0 times; null sources are one source;
-    repeated rows each count. A source has at most ``most_blocks`` blocks, which grow with it; only the block
+    its target rounded down. Null and empty texts have size 0 and are taken 0 times; null sources are one source;
+    repeated rows each count; very long texts are one row, whose part may be taken; draws that tie are ordered by id,
+    size and hash of the text; an empty table gives no rows; other columns are not read, whatever their names. A source has at most ``most_blocks`` blocks, which grow with it; only the block
     where the target falls is ordered by document. Texts are read once; all else runs on a narrow table.
     """
     ident = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
@@ -122,6 +123,8 @@ def output_shards(drawn: DataFrame, depth: int = 3, seed: int = 17) -> DataFrame
 
     There are 2**depth shards. At every node the blocks, in the order of a fresh draw, are halved: the left
     half's counts by source are one multivariate-hypergeometric draw, and the halves' quotas add up exactly.
+    Where the halves meet is found from counts of draws in 2**14 ranges; only blocks of the range that holds it are
+    ordered, so no node is one task. A table without words has no blocks.
     """
     first = drawn.where(F.col("_pw_partial") > 0).select("_pw_source", "_pw_block", F.col("_pw_passes").alias("_pw_copy")).distinct()
     whole = drawn.where(F.col("_pw_passes") > 0).select("_pw_source", "_pw_block", "_pw_passes").distinct()
@@ -130,10 +133,17 @@ def output_shards(drawn: DataFrame, depth: int = 3, seed: int = 17) -> DataFrame
     blocks = whole.unionByName(first.select("_pw_source", "_pw_block", F.col("_pw_copy").cast("long").alias("_pw_copy"))).withColumn("shard", F.lit(0))
     for level in range(depth):
         name = [F.coalesce("_pw_source", F.lit("")), *[F.col(c).cast("string") for c in ("_pw_block", "_pw_copy")]]
-        order = Window.partitionBy("shard").orderBy(_draw(*name, f"level {level}", seed=seed), *name)
-        size = F.count(F.lit(1)).over(Window.partitionBy("shard"))
-        right = (F.row_number().over(order) * 2 > size + 1).cast("int")
-        blocks = blocks.withColumn("_pw_right", right).withColumn("shard", F.col("shard") * 2 + F.col("_pw_right")).drop("_pw_right")
+        blocks = written(blocks.withColumn("_pw_at", _draw(*name, f"level {level}", seed=seed)).withColumn("_pw_range", F.shiftright("_pw_at", 38)))
+        counts = blocks.groupBy("shard", "_pw_range").agg(F.count(F.lit(1)).alias("n"))
+        upto = F.sum("n").over(Window.partitionBy("shard").orderBy("_pw_range"))
+        left = F.floor((F.sum("n").over(Window.partitionBy("shard")) + 1) / 2)
+        counts = counts.select("shard", "_pw_range", (left - upto + F.col("n")).alias("_pw_stay"), "n")  # at most 2**14 rows a node
+        blocks = blocks.join(counts, ["shard", "_pw_range"])
+        order = Window.partitionBy("shard", "_pw_range").orderBy("_pw_at", *name)
+        inside = (F.col("_pw_stay") > 0) & (F.col("_pw_stay") < F.col("n"))
+        sure = blocks.where(~inside).withColumn("_pw_right", (F.col("_pw_stay") <= 0).cast("int"))
+        split = blocks.where(inside).withColumn("_pw_right", (F.row_number().over(order) > F.col("_pw_stay")).cast("int"))
+        blocks = sure.unionByName(split).select("_pw_source", "_pw_block", "_pw_copy", (F.col("shard") * 2 + F.col("_pw_right")).alias("shard"))
     return blocks
 
 
@@ -157,28 +167,31 @@ def placed_words(docs: DataFrame, *, depth: int = 3, seed: int = 17, **options)
     return rows.withColumn("taken", taken).withColumn("shards", F.array_sort(F.array_distinct("_pw_each.shard"))).drop("_pw_each")
 
 
-def mixture(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, seed: int = 17, **options) -> DataFrame:
+def mixture(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", depth: int = 3, seed: int = 17, **options) -> DataFrame:
     """One row for every time a document enters the mix: docs' columns, copy, words, shard and place.
 
     words is the document's size, or for the last document of a source's partial pass how many of its leading
-    words are taken. place is the random order inside the shard. Columns of docs with these names give way.
+    words are taken. place is the random order inside the shard. Columns of docs with these names give way. Texts that
+    are null, empty or not drawn do not come; repeated rows are drawn one by one, ties by id, size and hash of the
+    text; very long texts are taken whole but for a partial pass's last; an empty table gives no rows.
     """
-    drawn = written(drawn_words(docs, id_col=id_col, text_col=text_col, seed=seed, **options))
+    drawn = written(drawn_words(docs, id_col=id_col, text_col=text_col, source_col=source_col, seed=seed, **options))
     shards = output_shards(drawn, depth, seed)
     copies = F.when(F.col("_pw_partial") > 0, F.col("_pw_passes")).otherwise(F.col("_pw_passes") - 1)
-    nth = F.row_number().over(Window.partitionBy("_pw_id", "_pw_key").orderBy(F.lit(0)))  # repeated rows are alike
+    row = ("_pw_id", "_pw_source", "_pw_key")
+    nth = F.row_number().over(Window.partitionBy(*row).orderBy(F.lit(0)))  # repeated rows are alike
     each = drawn.withColumnRenamed(id_col, "_pw_id").withColumn("_pw_nth", nth).where("taken > 0")
     each = each.withColumn("_pw_copy", F.explode(F.sequence(F.lit(0).cast("long"), copies.cast("long"))))
     words = F.when(F.col("_pw_copy") < F.col("_pw_passes"), F.col("size")).otherwise(F.col("_pw_partial"))
     each = _same_source(each.withColumn("_pw_taken", words), shards.withColumnRenamed("shard", "_pw_shard"), ("_pw_block", "_pw_copy"))
     place = _draw(F.coalesce(F.col("_pw_id").cast("string"), F.lit("")), F.col("_pw_copy").cast("string"), "place", seed=seed)
-    each = each.select("_pw_id", "_pw_key", "_pw_nth", "_pw_copy", "_pw_taken", "_pw_shard", place.alias("_pw_place"))
+    each = each.select(*row, "_pw_nth", "_pw_copy", "_pw_taken", "_pw_shard", place.alias("_pw_place"))
     own = [c for c in docs.columns if c not in ("copy", "words", "shard", "place")]
-    rows = docs.select(*[F.col(f"`{c}`") for c in own], F.col(id_col).alias("_pw_id"), F.xxhash64(text_col).alias("_pw_key"))
-    rows = rows.withColumn("_pw_nth", nth).withColumnsRenamed({"_pw_id": "_pw_id_d", "_pw_key": "_pw_key_d", "_pw_nth": "_pw_nth_d"})
-    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"{c}_d")) for c in ("_pw_id", "_pw_key", "_pw_nth")])
+    rows = docs.select(*[F.col(f"`{c}`") for c in own], F.col(id_col).alias("_pw_id"), F.col(source_col).cast("string").alias("_pw_source"), F.xxhash64(text_col).alias("_pw_key"))
+    rows = rows.withColumn("_pw_nth", nth).withColumnsRenamed({c: f"{c}_d" for c in (*row, "_pw_nth")})
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"{c}_d")) for c in (*row, "_pw_nth")])
     placed = rows.join(each, same).select(
         *[F.col(f"`{c}`") for c in own], F.col("_pw_copy").alias("copy"), F.col("_pw_taken").alias("words"),
         F.col("_pw_shard").alias("shard"), F.col("_pw_place").alias("place"),
     )
-    return placed.repartition("shard", F.col("place") % 64).sortWithinPartitions("shard", "place")
+    return placed.repartitionByRange("shard", "place").sortWithinPartitions("shard", "place")
