@@ -44,8 +44,10 @@ def contamination(
 ) -> DataFrame:
     """One row per document row: doc_id, _pw_key, n_words, n_hit, n_items, items (sorted ids as text), contaminated.
 
-    Null and empty texts have no words and hit nothing; items without words are ignored; repeated rows
-    each get the same result. Windows are broadcast only after a count shows at most ``broadcast_rows``
+    Null and empty texts have no words and hit nothing; items without words are ignored; very long texts are whole
+    word arrays of one row; of a window's shingles that are equally rare the first is taken; repeated rows
+    each get the same result; items that repeat an id count once; empty tables give no rows or no hits; other columns
+    are not read, whatever their names. Windows are broadcast only after a count shows at most ``broadcast_rows``
     of them; beyond that the shingles are shuffled and the words compared after joining the text again.
     """
     wins = item_windows(items, item_col, item_text_col, window).distinct()

@@ -57,8 +57,11 @@ def secret_scan(
     """One row per document row: doc_id, base, added, all (arrays of spans), n_live, n_copied.
 
     base and added hold structs (start, order, end, kind, found); n_live and n_copied count the base spans
-    whose value is owner-specific or widely copied. Null texts count as empty; a null owner or repository is
-    one of its own; repeated rows get the same result and count once. A value is owner-specific if at most
+    whose value is owner-specific or widely copied. Null and empty texts have no spans; a null owner or repository is
+    one of its own; very long texts are searched whole, one row each; repeated rows get the same result and count
+    once; of overlapping candidates the first, then the longer one stays; an empty table gives no rows; other columns
+    are not read, whatever their names. Where documents carry no repository, each is its own, and a source stands for
+    its owner: with few sources nearly every value looks owner-specific, so the number of repositories decides. A value is owner-specific if at most
     ``most_owners`` owners and ``most_repos`` repositories have it.
     """
     text = F.coalesce(F.col("_pw_text"), F.lit(""))

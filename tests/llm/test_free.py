@@ -249,3 +249,158 @@ def test_crc_split(spark, seed):
 
     got = spark.range(50).select("id", held_out(F.col("id"), 3, seed).alias("h")).collect()
     assert all(r["h"] == (zlib.crc32(str(r["id"]).encode()) % 3 == seed) for r in got)
+
+
+def test_convolution_agrees_with_a_plain_one():
+    from packwright.llm.langid import FILTERS, WIDTHS, WINDOW, ByteNet
+
+    r = np.random.default_rng(1)
+    net = ByteNet(["a", "b", "c"])
+    x = r.integers(0, 256, (3, WINDOW)).astype(np.uint8)
+    x[1, 40:] = 0
+    for row, got in zip(x, net.probabilities(x), strict=True):
+        pooled = []
+        for w in WIDTHS:
+            for f in range(FILTERS):
+                pooled.append(max(sum(float(net.tables[w][j][row[i + j], f]) for j in range(w)) for i in range(WINDOW - w + 1)))
+        z = [sum(p * float(net.dense[k, c]) for k, p in enumerate(pooled)) + float(net.bias[c]) for c in range(3)]
+        e = np.exp(np.array(z) - max(z))
+        assert np.allclose(got, e / e.sum(), atol=1e-4)
+
+
+def test_gradient_agrees_with_numeric_ones():
+    """One step of the fit moves a weight against the sign of the loss's numeric derivative."""
+    from packwright.llm.langid import WINDOW, ByteNet
+
+    r = np.random.default_rng(2)
+    x = r.integers(97, 123, (64, WINDOW)).astype(np.uint8)
+    y = r.integers(0, 2, 64)
+    for k in range(6):
+        x[y == 1, 10 + k] = 97
+
+    def loss(net):
+        net.__dict__.pop("_made", None)
+        return -np.log(net.probabilities(x)[np.arange(64), y] + 1e-9).mean()
+
+    before, after = loss(ByteNet(["a", "b"], 3)), loss(ByteNet(["a", "b"], 3).fit(x, y, steps=40))
+    assert after < before / 2
+    net = ByteNet(["a", "b"], 3)
+    moved = ByteNet(["a", "b"], 3).fit(x, y, steps=1, batch=4096)
+    for c in range(2):
+        up, down = ByteNet(["a", "b"], 3), ByteNet(["a", "b"], 3)
+        up.bias[c] += 1e-2
+        down.bias[c] -= 1e-2
+        slope = loss(up) - loss(down)
+        assert abs(slope) < 1e-6 or np.sign(moved.bias[c] - net.bias[c]) == -np.sign(slope)
+
+
+def test_dual_descent_agrees_with_plain_subgradient():
+    """The hinge-loss optimum found by coordinate descent is no worse than long plain subgradient descent's."""
+    from packwright.llm.quality import BITS, fit_rows
+
+    r = np.random.default_rng(3)
+    rows = [np.unique(r.integers(0, 60, 12)) for _ in range(15)]
+    y = np.array([int(3 in x or 7 in x) for x in rows])
+    y[:2] = (0, 1)
+    model = fit_rows(rows, y, rounds=400)
+    used = np.unique(np.concatenate(rows))
+    up = np.array([1 + sum(y[i] for i in range(15) if t in rows[i]) for t in range(60)], float)
+    down = np.array([1 + sum(1 - y[i] for i in range(15) if t in rows[i]) for t in range(60)], float)
+    rest = (1 << BITS) - 60
+    ratio = np.log((up / (up.sum() + rest)) / (down / (down.sum() + rest)))
+    seen = used[np.abs(ratio[used]) > 1e-12]
+    assert np.allclose(model.ratio[seen], ratio[seen])
+    x = np.zeros((15, 61))
+    for i, ids in enumerate(rows):
+        v = ratio[ids]
+        x[i, ids] = v / np.linalg.norm(v)
+    x[:, 60] = 1
+    sign = 2 * y - 1
+
+    def cost(w):
+        return 0.5 * w @ w + np.maximum(0, 1 - sign * (x @ w)).sum()
+
+    ours = np.zeros(61)
+    ours[seen], ours[60] = model.value[seen] / ratio[seen], model.bias
+    w, best = np.zeros(61), np.inf
+    for step in range(1, 20_000):
+        w -= (w - (sign * (sign * (x @ w) < 1)) @ x) / step
+        best = min(best, cost(w))
+    assert cost(ours) <= best * 1.01 + 1e-3
+
+
+def test_quality_columns_and_labels(spark, docs):
+    rows = [(i, "good words stand here now. " * 4 if i % 2 else f"x{i} ** " * 20) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("clash"))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(1, 0), (2, 1), (None, 1)], "doc_id long, quality int")
+    taught = teaching_texts(df, labels).count()
+    from packwright.llm.common import held_out
+
+    assert taught == spark.range(60).where(~held_out(F.col("id"), 4, 2) & ~F.col("id").isin(1, 2)).count()
+    scored = score_quality(df, fit_quality(df, labels))
+    assert scored.columns == ["doc_id", "text", "score"] and dict(scored.dtypes)["score"] == "double"
+    long = spark.createDataFrame([(0, "abc " * 50_000)], "doc_id long, text string")
+    piece = teaching_texts(long, spark.createDataFrame([(0, 1)], "doc_id long, quality int"), sample_chars=400).first()["t"]
+    assert len(piece) <= 404
+
+
+def test_tokens_of_a_run_without_blanks(spark):
+    from packwright.llm.token_counts import _encoding
+
+    text = "ab" * 30_000
+    enc = _encoding(open(VOCABULARY, "rb").read())
+    got = length_histogram(spark.createDataFrame([(text,)], "text string"), VOCABULARY).collect()
+    assert [tuple(r) for r in got] == [(len(enc.encode_ordinary(text)), 1)]
+
+
+def test_pipeline_runs_from_end_to_end(spark, tmp_path):
+    """The pipeline's rows against plain versions of its stages, on rows with repeated and null ids."""
+    import corpus_pipeline as P
+
+    r = random.Random(9)
+    passage = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    good = lambda: " ".join("".join(r.choice("abcdefghil") for _ in range(r.randrange(2, 8))) for _ in range(40)) + "."
+    rows, labels = [], []
+    for i in range(120):
+        rows.append((i, good() if i % 2 else "x** $$ " * 30 + str(i), r.choice("abc")))
+        labels.append((i, i % 2))
+    kept = [rows[k][1] for k in range(1, 120, 2)]
+    rows += [(200, kept[0], "a"), (201, f"{kept[1]} tail", "b"), (1, good(), "c"), (None, good(), "a"), (None, good(), None)]
+    rows += [(202, f"{good()} {passage} {good()}", "b"), (203, f"{good()} mail me.now@example.org {good()}", "c")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    out = P.run(spark, str(tmp_path)).collect()
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    model = fit_quality(docs, spark.read.parquet(str(tmp_path / "labels.parquet")))
+    good_ones = [tuple(x) for x in score_quality(docs, model, column="q").where("q >= 0.7").select("doc_id", "text").collect()]
+    assert all(passed in good_ones for passed in [(i, t) for i, t, _ in rows if i is None or i % 2])
+    names = {i: t for i, t in enumerate(t for _, t in good_ones)}  # rows by number, so that ids may repeat
+    group = brute.components(list(names.items()), k=5, num=80)
+    first = {}
+    for i, (n, root) in group.items():
+        key = (good_ones[i][0] is None, good_ones[i][0] or 0)
+        if n and (root not in first or key < first[root][0]):
+            first[root] = (key, i)
+    left = [good_ones[i] for i, (n, root) in group.items() if not n or first[root][1] == i]
+    plain = brute.decontamination([(i, t) for i, (_, t) in enumerate(left)], [(1, passage)])
+    left = [row for i, row in enumerate(left) if not plain[i][4]]
+    assert sorted(repr(x["doc_id"]) for x in out) == sorted(repr(i) for i, _ in left)
+    assert 202 not in [i for i, _ in left] and 200 not in [i for i, _ in left] and (203 in [i for i, _ in left])
+    sizes = {i: len(t.split()) for i, t in left if i is not None and i != 1}
+    assert all(x["size"] == sizes[x["doc_id"]] and 0 <= x["taken"] <= 2 * x["size"] for x in out if x["doc_id"] in sizes)
+    by_source = {}
+    for x in out:
+        by_source.setdefault(x["source_size"], [0, x["target"]])[0] += x["taken"]
+    assert sum(t for t, _ in by_source.values()) == sum(int(t) for _, t in by_source.values())
+
+
+@pytest.mark.parametrize("name", ["op1_benchmark_decontamination", "op2_source_mixing", "op4_ngram_jaccard_join", "op7_exact_topk", "op9_license_scans"])
+def test_queries_agree_with_sql(spark, name):
+    from oracle_check import connect, differences
+
+    from packwright.llm.oracle import ORACLES
+    from packwright.llm.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    assert differences(spark, connect(sf), QUERIES[name], ORACLES[name], sf) == ""

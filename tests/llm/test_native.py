@@ -137,3 +137,69 @@ def test_wrapped_license_notices(spark):
     rows.append((n + 1, "Redistribution and use in source and binary forms. With or without modification, are permitted\nprovided that the following conditions are met.", None))
     got = {r["doc_id"]: r["labels"].split(",") for r in license_scan(spark.createDataFrame(rows, "doc_id long, text string, label string")).collect()}
     assert all(label in got[i] if label else got[i] == [""] for i, _, label in rows)
+
+
+def test_mixture_tells_sources_apart(spark):
+    rows = [(1, "one two three four", "x"), (1, "one two three four", "y"), (2, "five six", "x"), (3, "seven " * 9, "y"), (4, "eight", None)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    drawn = drawn_words(df, block_words=2).groupBy("_pw_source").agg({"taken": "sum"}).collect()
+    mixed = mixture(df, block_words=2).groupBy("source").agg({"words": "sum"}).collect()
+    assert {r[0]: r[1] for r in mixed} == {r[0]: r[1] for r in drawn if r[1]}
+
+
+def test_tree_halves_every_node(spark):
+    """Quotas: the halves of every node differ by one block at most, sources' blocks are shared out whole and once."""
+    import random
+
+    r = random.Random(8)
+    df = spark.createDataFrame([(i, "w " * r.randrange(1, 9), r.choice("aab")) for i in range(900)], "doc_id long, text string, source string")
+    drawn = drawn_words(df, block_words=10).cache()
+    shards = mixing.output_shards(drawn, depth=3).collect()
+    blocks = [(x["_pw_source"], x["_pw_block"], x["_pw_copy"]) for x in shards]
+    want = set()
+    for x in drawn.collect():
+        n = x["_pw_passes"] + (x["_pw_partial"] > 0)
+        want |= {(x["_pw_source"], x["_pw_block"], c) for c in range(n)}
+    assert len(blocks) == len(set(blocks)) and set(blocks) == want
+    for level in range(3):
+        nodes = {}
+        for x in shards:
+            nodes.setdefault(x["shard"] >> (3 - level), [0, 0])[(x["shard"] >> (2 - level)) & 1] += 1
+        assert all(0 <= left - right <= 1 for left, right in nodes.values())
+    by_source = {}
+    for x in shards:
+        by_source.setdefault(x["_pw_source"], [0] * 8)[x["shard"]] += 1
+    assert all(max(v) - min(v) < 0.5 * sum(v) for v in by_source.values())
+
+
+def test_account_numbers(spark, model):
+    from packwright.llm.pii import checks_out
+
+    from pyspark.sql import functions as F
+
+    rows = [(1, "DE89370400440532013000"), (2, "GB82 WEST 1234 5698 7654 32"), (3, "DE88370400440532013000")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["c"] for r in df.select("doc_id", checks_out(F.col("text")).alias("c")).collect()} == {1: True, 2: True, 3: False}
+    texts = [(1, "pay to DE89 3704 0044 0532 0130 00 soon"), (2, "tel 030 1234567"), (3, "order DE88 3704 0044 0532 0130 00 item"), (4, "item 030 1234567")]
+    got = pii_digest(personal_data(spark.createDataFrame(texts, "doc_id long, text string"), model=model)).collect()
+    assert {r["doc_id"]: r["spans"] for r in got} == {1: "account:7:34", 2: "number:4:15", 3: "", 4: ""}
+
+
+def test_ownership_counts_against_plain_ones(spark):
+    import random
+    import re
+
+    r = random.Random(6)
+    values = ["".join(r.choice("0123456789abcdef") for _ in range(20)) for _ in range(12)]
+    rows = [(i, " ".join(r.choice(values[: 3 + i % 9]) for _ in range(r.randrange(4))), r.choice(["o1", "o2", None])) for i in range(40)]
+    rows.append(rows[3])
+    owners, repos = {}, {}
+    for d, t, o in rows:
+        for v in re.findall("[0-9a-f]{16,}", t):
+            owners.setdefault(v, set()).add(o)
+            repos.setdefault(v, set()).add(d)
+    live = {v for v in owners if len(owners[v]) <= 1 and len(repos[v]) <= 4}
+    want = sorted((d, sum(v in live for v in t.split()), sum(v not in live for v in t.split())) for d, t, _ in rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = secret_scan(df, most_repos=4).select("doc_id", "n_live", "n_copied").collect()
+    assert live and sorted(map(tuple, got)) == want
