@@ -23,7 +23,12 @@ GOOD = 0.7
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts; its labels are the table's."""
+    """Documents that the quality classifier accepts; its labels are the table's.
+
+    Null and empty texts get the score of the bias and stay or go by it; very long texts are scored whole; repeated
+    rows and ties share their score; all rows stay where the labels lack a class; an empty table stays empty; columns
+    named like a result stay as they are.
+    """
     model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = score_quality(docs, model, column="_pw_quality")
     return scored.where(F.col("_pw_quality") >= GOOD).select(*docs.columns) if model else docs
@@ -39,7 +44,8 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     Near duplicates share at least 0.8 of their distinct five-word shingles. The row with the smallest id stays, null
     last, then the one with the least hash of its text. Rows are told apart by id and text: rows that share an id, or
-    have none, go only if their own texts are linked; of rows equal in both one stays.
+    have none, go only if their own texts are linked; of rows equal in both one stays. Very long texts are compared
+    whole; an empty table stays empty; further columns, whatever their names, only travel along.
     """
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("_pw_key"))
     found = jaccard_components(rows, size=5, percent=80, tie_col="_pw_key").where("n_shingles > 0")
@@ -52,14 +58,22 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of a benchmark item."""
+    """Documents that hold no window of a benchmark item.
+
+    Null and empty texts hold none; very long texts are searched whole; rows are judged by id and text, so repeated
+    rows and null ids fare alike; without items, or rows, nothing goes; further columns only travel along.
+    """
     found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     dirty = found.where("contaminated").select(F.col("doc_id").alias("_pw_doc"), F.col("_pw_key").alias("_pw_mark")).distinct()
     return docs.join(dirty, _same_row(), "left_anti").select(*docs.columns)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data in their texts replaced by its kind in brackets; n_chars follows the text."""
+    """All documents, personal data in their texts replaced by its kind in brackets; n_chars follows the text.
+
+    Null and empty texts stay; very long texts are searched whole; overlapping spans merge; repeated rows and null ids
+    fare alike; an empty table stays empty; further columns, whatever their names, only travel along.
+    """
     found = personal_data(docs)
     spans = found.where(F.size("all") > 0).select(F.col("doc_id").alias("_pw_doc"), F.col("_pw_key"), F.col("all").alias("_pw_all"))
     spans = spans.dropDuplicates(["_pw_doc", "_pw_key"])
@@ -74,7 +88,11 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with the words that the mix takes of it and the output shards that get them."""
+    """Every document with the words that the mix takes of it and the output shards that get them.
+
+    Null and empty texts have no words; null sources are one source; very long texts are one row; repeated rows each
+    count; ties are ordered as drawn_words says; an empty table gives no rows.
+    """
     return placed_words(docs).select("doc_id", "size", "source_size", "target", "taken", "shards")
 
 
