@@ -6,8 +6,7 @@ n - ceil(t n) + l) under any order of all shingles. Three orders are used: by th
 downwards, and by its document frequency, rarest first.
 
 1. Classes: a class that shares too few of its first shingles, by the hash upwards, can't link and leaves.
-2. Shingles of the classes left are counted exactly; classes that share too few of all their shingles leave, and
-   the rest are counted again.
+2. Shingles of the classes left are counted exactly; classes that share too few of all their shingles leave.
 3. Candidates meet at a shingle that stands in the prefixes of both by frequency; their sizes, shared counts and
    places must allow the threshold, and their prefixes must also meet under both hash orders. Only then are whole
    sets joined and their overlap counted.
@@ -28,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packwright.llm import packed
@@ -50,11 +49,22 @@ def _class_name(shingles: np.ndarray, text: bytes, size: int) -> tuple[int, int]
     return int(packed.chained(packed.mixed(total), 3)[0].astype(np.int64)), int.from_bytes(other, "little", signed=True)
 
 
-def _shingled(size: int):
-    """(id, 128-bit name, number of shingles, shingles by their hash upwards, further columns) of every row."""
+def _shingled(size: int, percent: int | None):
+    """(columns before the text, 128-bit name, number of shingles, shingles by their hash upwards, columns behind the text).
+
+    With percent only the first n - ceil(t n) + l shingles, l being a tenth of n; else all.
+    """
+
+    def signed(s: np.ndarray) -> np.ndarray:
+        """Sorted hashes in the order of signed numbers."""
+        k = int(np.searchsorted(s, _U(1 << 63)))
+        every = np.concatenate((s[k:], s[:k])).view(np.int64)
+        n = len(s)
+        return every if percent is None or not n else every[: n + (-n * percent // 100) + max(1, n // 10)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            at = batch.schema.get_field_index("_pw_text")
             raw, starts, ends = packed.column(batch, "_pw_text")
             for a, b in packed.parts(starts, ends):
                 sets = list(packed.shingle_sets(raw, starts[a:b], ends[a:b], size))
@@ -64,17 +74,22 @@ def _shingled(size: int):
                         short = packed.LOWER[raw[starts[a + k] : ends[a + k]]].tobytes() if len(s) == 1 else b""
                         names[k] = _class_name(s, short, size)
                 n = np.array([len(s) for s in sets], np.int64)
+                kept = [signed(s) for s in sets]
                 offsets = np.zeros(len(sets) + 1, np.int32)
-                np.cumsum(n, out=offsets[1:])
-                tokens = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
+                np.cumsum([len(s) for s in kept], out=offsets[1:])
+                tokens = np.concatenate(kept) if kept else np.zeros(0, np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens))
-                kept = batch.slice(a, b - a)
-                columns = [kept.column(0), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array(n), lists, *kept.columns[2:]]
-                yield pa.RecordBatch.from_arrays(columns, ["_pw_id", "_pw_hi", "_pw_lo", "_pw_n", "_pw_tokens", "_pw_tie"][: len(columns)])
+                part = batch.slice(a, b - a)
+                columns = [*part.columns[:at], pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array(n), lists, *part.columns[at + 1 :]]
+                fields = [*batch.schema.names[:at], "_pw_hi", "_pw_lo", "_pw_n", "_pw_tokens", *batch.schema.names[at + 1 :]]
+                yield pa.RecordBatch.from_arrays(columns, fields)
 
     return run
 
 
+_MADE = "_pw_hi long, _pw_lo long, _pw_n long, _pw_tokens array<long>"
+
+
 def _least_overlap(n: Column, percent: int) -> Column:
     """The fewest shingles of n that any partner at the threshold must share."""
     return F.ceil(n * percent / F.lit(100.0) - 1e-9).cast("long")
@@ -101,33 +116,31 @@ def _shared(places: DataFrame) -> DataFrame:
     return joined_by_key(places, counts, "_pw_token", "_pw_df")
 
 
-def _sharing_first(sets: DataFrame, percent: int, rounds: int) -> DataFrame:
-    """Classes (class, n) that share enough of their first shingles by hash to link with any other.
+def _sharing_first(heads: DataFrame, percent: int) -> DataFrame:
+    """Classes of (class, n, first shingles by hash) that share enough of them to link with any other.
 
     The first n - ceil(t n) + l shingles hold l of any pair's common ones, l being a tenth of n. A partner has at least
     t n shingles, so the lesser l of the two is at least a tenth of that.
     """
-    n, least = F.col("_pw_n"), _least_overlap(F.col("_pw_n"), percent)
-    head = F.slice("_pw_tokens", F.lit(1), (n - least + F.greatest(F.lit(1), F.floor(n / 10))).cast("int"))
-    heads = written(sets.select("_pw_class", "_pw_n", head.alias("_pw_head")))
-    classes = heads.select("_pw_class", "_pw_n")
-    for nth in range(rounds):
-        places = heads if nth == 0 else _of_classes(heads, classes)
-        found = _shared(places.select("_pw_class", "_pw_n", F.explode("_pw_head").alias("_pw_token")))
-        enough = F.count(F.lit(1)) >= F.greatest(F.lit(1), F.floor(_least_overlap(F.first("_pw_n"), percent) / 10))
-        classes = found.groupBy("_pw_class").agg(F.first("_pw_n").alias("_pw_n"), enough.alias("_pw_able")).where("_pw_able")
-        classes = written(classes.select("_pw_class", "_pw_n"))
-    return classes
-
-
-def _sharing(places: DataFrame, percent: int, rounds: int) -> DataFrame:
-    """Shared places (class, n, at, token, df) of the classes that share at least ceil(t n) of their shingles."""
-    for _ in range(rounds):
-        places = written(_shared(places.select("_pw_class", "_pw_n", "_pw_nth", "_pw_token")))
-        shared = places.groupBy("_pw_class").agg(F.first("_pw_n").alias("_pw_n"), F.count(F.lit(1)).alias("_pw_shared"))
-        alive = written(shared.where(F.col("_pw_shared") * 100 >= F.col("_pw_n") * percent).select("_pw_class", "_pw_shared"))
-        places = _of_classes(places, alive)
-    return places.join(alive, "_pw_class")
+    places = heads.select("_pw_class", F.explode("_pw_tokens").alias("_pw_token"))
+    found = _shared(places).groupBy("_pw_class").agg(F.count(F.lit(1)).alias("_pw_found"))
+    enough = F.greatest(F.lit(1), F.floor(_least_overlap(F.col("_pw_n"), percent) / 10))
+    return written(heads.select("_pw_class", "_pw_n").join(found, "_pw_class").where(F.col("_pw_found") >= enough).select("_pw_class"))
+
+
+def _sharing(sets: DataFrame, percent: int) -> DataFrame:
+    """Classes that share at least ceil(t n) of their shingles: class, n, shared; tokens, rarest first; up and down, prefixes by hash."""
+    n = F.col("_pw_n")
+    most = (n - _least_overlap(n, percent) + 1).cast("int")
+    places = sets.select("_pw_class", F.explode("_pw_tokens").alias("_pw_token"))
+    listed = F.sort_array(F.collect_list(F.struct("_pw_df", "_pw_token")))["_pw_token"]
+    shared = _shared(places).groupBy("_pw_class").agg(listed.alias("_pw_tokens"))
+    bounds = sets.select("_pw_class", n, F.get("_pw_tokens", most - 1).alias("_pw_low"), F.get("_pw_tokens", n.cast("int") - most).alias("_pw_high"))
+    out = bounds.join(shared, "_pw_class").withColumn("_pw_shared", F.size("_pw_tokens"))
+    up = F.filter("_pw_tokens", lambda t: t <= F.col("_pw_low"))
+    down = F.filter("_pw_tokens", lambda t: t >= F.col("_pw_high"))
+    enough = F.col("_pw_shared") * 100 >= n * percent
+    return written(out.where(enough).select("_pw_class", "_pw_n", "_pw_shared", "_pw_tokens", up.alias("_pw_up"), down.alias("_pw_down")))
 
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -151,7 +164,6 @@ def jaccard_components(
     text_col: str = "text",
     size: int = 4,
     percent: int = 85,
-    peels: int = 2,
     tie_col: str | None = None,
 ) -> DataFrame:
     """One row per document row: id, n_shingles, component_id (the smallest id reachable by links).
@@ -169,43 +181,46 @@ def jaccard_components(
     kind = rows.schema["_pw_id"].dataType.simpleString()
     small_batches(docs.sparkSession)
     more = "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in ties)
-    made = rows.mapInArrow(_shingled(size), f"_pw_id {kind}, _pw_hi long, _pw_lo long, _pw_n long, _pw_tokens array<long>{more}")
+    texts = rows.withColumn("_pw_key", F.xxhash64("_pw_text"))
+    made = texts.mapInArrow(_shingled(size, percent), f"_pw_id {kind}, {_MADE}{more}, _pw_key long")
     rows = written(made.withColumn("_pw_row", F.monotonically_increasing_id()))
 
     # A class is named by its first row.
     known = F.struct(F.col("_pw_id").isNull().alias("none"), F.col("_pw_id").alias("id"), *[F.col(c).alias("tie") for c in ties])
     chief = [F.min(known).alias("_pw_chief") for _ in ties]
     grouped = rows.where("_pw_n > 0").groupBy("_pw_hi", "_pw_lo")
-    classes = written(grouped.agg(F.min("_pw_row").alias("_pw_class"), F.min("_pw_id").alias("_pw_least"), F.count(F.lit(1)).alias("_pw_rows"), *chief))
-    sets = _of_classes(rows.select(F.col("_pw_row").alias("_pw_class"), "_pw_n", "_pw_tokens"), classes)
-    able = _sharing_first(sets, percent, peels)
-    sets = _of_classes(rows.select(F.col("_pw_row").alias("_pw_class"), "_pw_n", "_pw_tokens"), able)
-    places = _sharing(sets.select("_pw_class", "_pw_n", F.posexplode("_pw_tokens").alias("_pw_nth", "_pw_token")), percent, peels)
-    roots = components(_component_links(places, percent)).withColumnsRenamed({"node": "_pw_class", "root": "_pw_root"})
+    classes = grouped.agg(F.min(F.struct("_pw_row", "_pw_key")).alias("_pw_named"), F.min("_pw_id").alias("_pw_least"), F.count(F.lit(1)).alias("_pw_rows"), *chief)
+    classes = written(classes.withColumns({"_pw_class": F.col("_pw_named._pw_row"), "_pw_key": F.col("_pw_named._pw_key")}).drop("_pw_named"))
+    heads = written(_of_classes(rows.select(F.col("_pw_row").alias("_pw_class"), "_pw_n", "_pw_tokens"), classes))
+    able = _sharing_first(heads, percent)
+
+    # Only the classes left have their texts read again, for all their shingles; copies of a text are read once.
+    wanted = _of_classes(classes, able).select("_pw_class", "_pw_key", F.col("_pw_hi").alias("_pw_hi_of"), F.col("_pw_lo").alias("_pw_lo_of"))
+    again = texts.select("_pw_key", "_pw_text").join(_sent_if_few(wanted), "_pw_key").drop("_pw_key").distinct()
+    again = again.select("_pw_class", "_pw_hi_of", "_pw_lo_of", "_pw_text").mapInArrow(_shingled(size, None), f"_pw_class long, _pw_hi_of long, _pw_lo_of long, {_MADE}")
+    whole = written(again.where("_pw_hi = _pw_hi_of and _pw_lo = _pw_lo_of").select("_pw_class", "_pw_n", "_pw_tokens"))
+    sets = _sharing(whole, percent)
+    roots = components(_component_links(sets, percent)).withColumnsRenamed({"node": "_pw_class", "root": "_pw_root"})
 
     least = classes.join(roots, "_pw_class", "left").withColumn("_pw_root", F.coalesce("_pw_root", "_pw_class"))
     chief = [F.min("_pw_chief").alias("_pw_chief") for _ in ties]
     by_root = least.groupBy("_pw_root").agg(F.min("_pw_least").alias("component_id"), *chief)
     named = least.select("_pw_hi", "_pw_lo", "_pw_rows", "_pw_root").join(by_root, "_pw_root").drop("_pw_root")
     first = [F.coalesce(F.col("_pw_chief") == known, F.lit(True)).alias("_pw_first") for _ in ties]
-    out = joined_by_key(rows.drop("_pw_tokens", "_pw_row"), written(named), ["_pw_hi", "_pw_lo"], "_pw_rows", how="left")
+    out = joined_by_key(rows.drop("_pw_tokens", "_pw_row", "_pw_key"), written(named), ["_pw_hi", "_pw_lo"], "_pw_rows", how="left")
     return out.select(
         F.col("_pw_id").alias(id_col), F.col("_pw_n").alias("n_shingles"), F.coalesce("component_id", "_pw_id").alias("component_id"),
         *[F.col(c).alias(tie_col) for c in ties], *first,
     )
 
 
-def _component_links(places: DataFrame, percent: int) -> DataFrame:
+def _component_links(sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between classes that have the components of all links."""
     n, shared = F.col("_pw_n"), F.col("_pw_shared")
-    most = n - _least_overlap(n, percent) + 1
-    # Shingles that nobody shares stand first by frequency.
-    at = n - shared + F.row_number().over(Window.partitionBy("_pw_class").orderBy("_pw_df", "_pw_token"))
-    ranked = places.withColumn("_pw_at", at)
-    up = F.collect_list(F.when(F.col("_pw_nth") < most, F.col("_pw_token")))
-    down = F.collect_list(F.when(F.col("_pw_nth") >= n - most, F.col("_pw_token")))
-    sets = written(places.groupBy("_pw_class").agg(F.first("_pw_n").alias("_pw_n"), F.collect_list("_pw_token").alias("_pw_tokens"), up.alias("_pw_up"), down.alias("_pw_down")))
-    places = written(ranked.where(F.col("_pw_at") <= most).select("_pw_token", "_pw_class", "_pw_n", "_pw_shared", "_pw_at"))
+    lone = n - shared  # shingles that nobody shares stand first by frequency
+    prefix = F.slice("_pw_tokens", F.lit(1), (n - _least_overlap(n, percent) + 1 - lone).cast("int"))
+    places = sets.select("_pw_class", "_pw_n", "_pw_shared", F.posexplode(prefix).alias("_pw_nth", "_pw_token"))
+    places = written(places.withColumn("_pw_at", lone + F.col("_pw_nth") + 1).drop("_pw_nth"))
     me = F.struct((n - shared).alias("lone"), F.col("_pw_class").alias("c"), n.alias("n"), shared.alias("s"))
     centre = written(places.groupBy("_pw_token").agg(F.min(me).alias("_pw_centre"), F.count(F.lit(1)).alias("_pw_members")).where("_pw_members > 1"))
     met = joined_by_key(places, centre, "_pw_token", "_pw_members").where(F.col("_pw_centre.c") != F.col("_pw_class"))
