@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from packwright.functions.text import fold
 from packwright.operators.fts import bm25
+from packwright.plans.shared import written
 
 
 def callers(calls: DataFrame, modules: DataFrame, name: str, limit: int = 50) -> DataFrame:
@@ -43,14 +46,15 @@ def modules(modules_: DataFrame, name: str, limit: int = 20) -> DataFrame:
     return modules_.join(scored, "module_id").orderBy("score", F.length("rel_path"), "rel_path").drop("score").limit(limit)
 
 
-def reachable(calls: DataFrame, name: str, depth: int = 10) -> DataFrame:
-    """Names that a name calls, directly or not, with the fewest steps; an extension by joins, one a step."""
+def reachable(calls: DataFrame, name: str, depth: int | None = None) -> DataFrame:
+    """Names that a name calls, directly or not (in at most depth steps if given), with the fewest steps; one join a step."""
     edge = calls.where("caller_name is not null").select(F.lower("caller_name").alias("a"), F.lower("callee_name").alias("b")).distinct()
     seen = calls.sparkSession.range(1).select(F.lower(F.lit(name)).alias("name"), F.lit(0).alias("steps"))
     front = seen
-    for step in range(1, depth + 1):
+    for step in itertools.count(1) if depth is None else range(1, depth + 1):
         met = front.join(edge, front["name"] == edge["a"]).select(F.col("b").alias("name")).distinct()
         front = met.join(seen.select("name"), "name", "left_anti").withColumn("steps", F.lit(step))
+        front = written(front)
         if front.isEmpty():
             break
         seen = seen.unionByName(front)

@@ -60,8 +60,5 @@ def distinct_in_order(values: Column, ignore_case: bool = True) -> Column:
     """Distinct array members in their order, the first spelling kept."""
     if not ignore_case:
         return F.array_distinct(values)
-    return F.aggregate(
-        values,
-        F.array().cast("array<string>"),
-        lambda acc, v: F.when(F.exists(acc, lambda a: F.lower(a) == F.lower(v)), acc).otherwise(F.concat(acc, F.array(v))),
-    )
+    lowered = F.transform(values, F.lower)
+    return F.transform(F.array_distinct(lowered), lambda k: F.element_at(values, F.array_position(lowered, k).cast("int")))

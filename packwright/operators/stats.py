@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from packwright.plans.shared import written
+
 
 def counter(df: DataFrame, *keys: Column | str, limit: int | None = None) -> DataFrame:
     """Rows per key, most frequent first when limited."""
@@ -24,23 +26,25 @@ def versions_seen(df: DataFrame, versions: str) -> DataFrame:
 
 def position_quantile(df: DataFrame, key: str, value: str, q: float = 0.95) -> DataFrame:
     """Average and the value at sorted position int(n * q) - 1 (at least 0) of each key."""
-    place = F.row_number().over(Window.partitionBy(key).orderBy(value))
-    size = F.count(F.lit(1)).over(Window.partitionBy(key))
-    ranked = df.select(key, value, place.alias("_p"), size.alias("_n"))
-    wanted = F.greatest(F.lit(1), F.floor(F.col("_n") * F.lit(q)))
+    counts = df.groupBy(key, value).agg(F.count(F.lit(1)).alias("_n"))  # equal values meet before the shuffle
+    upto = F.sum("_n").over(Window.partitionBy(key).orderBy(value))
+    size = F.sum("_n").over(Window.partitionBy(key))
+    ranked = counts.withColumn("_upto", upto).withColumn("_size", size)
+    reached = F.col("_upto") >= F.greatest(F.lit(1), F.floor(F.col("_size") * F.lit(q)))
+    held = F.when(F.col(value).isNotNull(), F.col("_n"))
     return ranked.groupBy(key).agg(
-        F.avg(value).alias("average"), F.max(F.when(F.col("_p") == wanted, F.col(value))).alias("at_quantile")
+        (F.sum(F.col(value) * F.col("_n")) / F.sum(held)).alias("average"), F.min(F.when(reached, F.col(value))).alias("at_quantile")
     )
 
 
 def even_sample(df: DataFrame, path: str, count: int) -> DataFrame:
     """Every n//count-th row by path and always the last, count rows at most.
 
-    Places come from a range sort and per-partition counts, so no task sees more than its range.
+    Places come from a range sort, written once so that its parts are the same whenever they are read, and counts of
+    its parts, so no task sees more than its range.
     """
     spark = df.sparkSession
-    ordered = df.repartitionByRange(path).sortWithinPartitions(path)
-    ordered = ordered.select(path, F.spark_partition_id().alias("_part"))
+    ordered = written(df.repartitionByRange(path).select(path, F.spark_partition_id().alias("_part")))
     sizes = ordered.groupBy("_part").agg(F.count(F.lit(1)).alias("_size")).orderBy("_part").collect()  # one row a partition
     total, before, offsets = 0, 0, []
     for r in sizes:

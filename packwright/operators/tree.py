@@ -5,20 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from packwright.plans.shared import written
 
-def breadcrumbs(nodes: DataFrame, id_col: str, parent_col: str, title_col: str, max_depth: int = 32) -> DataFrame:
+
+def breadcrumbs(nodes: DataFrame, id_col: str, parent_col: str, title_col: str) -> DataFrame:
     """(id, depth, breadcrumb): titles from the root down to each node, joined level by level.
 
-    One equi-join a level; the level's rows alone are joined, and the loop ends when a level is empty.
+    One equi-join a level: the level's rows alone are joined, and written, so that no level is computed twice. Nodes
+    that no root reaches (their parent is missing or below them) have no row; a node that is below itself and below a
+    root ends in an error.
     """
     base = nodes.select(F.col(id_col).alias("id"), F.col(parent_col).alias("parent"), F.col(title_col).alias("title"))
     front = base.where("parent is null").select("id", F.lit(0).alias("depth"), F.array("title").alias("breadcrumb"))
-    levels = [front]
-    for depth in range(1, max_depth):
+    levels, most = [front], nodes.count()
+    for depth in range(1, most + 2):
+        if depth > most:
+            raise ValueError("a node stands below itself")
         up = front.select(F.col("id").alias("_up"), F.col("breadcrumb").alias("_crumb"))
         front = base.join(up, F.col("parent") == F.col("_up")).select(
             "id", F.lit(depth).alias("depth"), F.concat("_crumb", F.array("title")).alias("breadcrumb")
         )
+        front = written(front)
         if front.isEmpty():
             break
         levels.append(front)

@@ -77,7 +77,7 @@ ORACLES: dict[str, str] = {
     "html_title": f"""SELECT page_id, coalesce(nullif({_squeeze("regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g')")}, ''),
       nullif({_squeeze("regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '<[^>]*>', '', 'g')")}, ''), 'Untitled') AS title FROM pages""",
     "title_parts": "SELECT p_partkey, trim(p_name) AS base, CASE WHEN lower(p_type) <> lower(p_name) AND p_type <> '' THEN p_type END AS synonym FROM part",
-    "code_blocks": f"SELECT conv_id, turn, {_strip('translate(substr(text, 1, 60), chr(96), chr(39))')} AS code FROM conversations",
+    "code_blocks": f"SELECT conv_id, turn, {_strip('translate(text, chr(96), chr(39))')} AS code FROM conversations",
     "search_tokens": f"SELECT conv_id, turn, array_to_string({_tokens('text')}, ' ') AS tokens FROM conversations",
     "version_sort": f"""SELECT doc_id, coalesce((SELECT string_agg(v, ',' ORDER BY CAST(string_split(v, '.')[3] AS INTEGER) DESC)
       FROM (SELECT DISTINCT unnest(t.versions) AS v)), '') AS versions FROM ({_VERSIONS}) t""",
@@ -88,12 +88,13 @@ ORACLES: dict[str, str] = {
     "version_match": f"SELECT DISTINCT doc_id FROM (SELECT doc_id, unnest(versions) AS v FROM ({_VERSIONS})) WHERE v = '8.3.3'",
     "first_nonblank_name": "SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND trim(source) <> '' THEN trim(source) ELSE trim(lang) END AS name FROM documents",
     "record_payload": f"SELECT p_partkey, {_cut('concat_ws(' + chr(39) + ' ' + chr(39) + ', p_name, p_brand, p_type)', 30, '…')} AS payload FROM part",
-    "field_identity": """WITH f AS (SELECT l_orderkey, 'Document.D' || l_suppkey AS o, l_orderkey % 4 AS g, 'f' || l_partkey AS n, l_returnflag AS s,
-        CASE WHEN l_orderkey % 3 > 0 THEN l_linestatus ELSE '' END AS fm FROM lineitem WHERE l_linenumber = 1)
-      SELECT l_orderkey, CASE g WHEN 1 THEN s || '.' || n WHEN 2 THEN CASE WHEN fm = '' THEN n ELSE fm || '.' || n END ELSE n END AS display_name,
+    "field_identity": """WITH f AS (SELECT l_orderkey, l_linenumber, 'Document.D' || l_suppkey AS o, l_orderkey % 4 AS g, 'f' || l_partkey AS n, l_returnflag AS s,
+        CASE WHEN l_orderkey % 3 > 0 THEN l_linestatus ELSE '' END AS fm FROM lineitem)
+      SELECT l_orderkey, l_linenumber, CASE g WHEN 1 THEN s || '.' || n WHEN 2 THEN CASE WHEN fm = '' THEN n ELSE fm || '.' || n END ELSE n END AS display_name,
         CASE g WHEN 1 THEN o || '.' || s || '.' || n WHEN 2 THEN o || '.Forms.' || CASE WHEN fm = '' THEN '' ELSE fm || '.' END || n ELSE o || '.' || n END AS topic_path FROM f""",
     "exact_lookup_ascii": f"SELECT p_partkey, p_name FROM part WHERE {_fold('p_name')} = 'small ring' OR {_fold('p_type')} = 'small ring'",
-    "exact_lookup_unicode": f"SELECT doc_id, head FROM (SELECT doc_id, {_squeeze('substr(text, 1, 6)')} AS head FROM documents), (VALUES ('étion d'), ('the tha'), ('erthor')) q(w) WHERE lower(head) = w",
+    "exact_lookup_unicode": """SELECT doc_id, 'Ünité ' || source AS name FROM documents WHERE lower('Ünité ' || source) = 'ünité src3'
+      UNION ALL SELECT doc_id, 'Ünité ' || source FROM documents WHERE lower(text) = (SELECT lower(text) FROM documents WHERE doc_id = 0)""",
     "like_find": "SELECT page_id, url FROM pages WHERE contains(lower(url), 'example.com') ORDER BY length(url), url, page_id LIMIT 20",
     "blank_and_form_check": f"SELECT count(*) FILTER (WHERE {_strip('text')} = '') AS n_blank, count(*) FILTER (WHERE contains(lower(text), 'licensed under')) AS n_form FROM documents",
     "exclusion_reasons": """SELECT p_partkey, list_extract(['Documents/D/Templates/T/Template.bin', 'XDTOPackages/X/Package.bin', 'Reports/R/Templates/T/Ext/Template/_files/a.txt',
@@ -106,7 +107,7 @@ ORACLES: dict[str, str] = {
       CASE p_partkey % 8 WHEN 6 THEN 'form_help' WHEN 7 THEN 'cli_help' ELSE 'article' END AS article FROM part""",
     "json_props_project": "SELECT event_id, CAST(regexp_extract(props, '\"k\": *([0-9]+)', 1) AS INTEGER) AS k FROM events WHERE CAST(regexp_extract(props, '\"k\": *([0-9]+)', 1) AS INTEGER) >= 50",
     "fts_postings": f"""SELECT term, doc_id, count(*) AS tf, CAST(min(i) - 1 AS INTEGER) AS first_position FROM
-      (SELECT conv_id AS doc_id, unnest(t) AS term, unnest(range(1, len(t) + 1)) AS i FROM (SELECT conv_id, {_tokens('text')} AS t FROM conversations WHERE turn = 0)) GROUP BY term, doc_id""",
+      (SELECT conv_id || ':' || turn AS doc_id, unnest(t) AS term, unnest(range(1, len(t) + 1)) AS i FROM (SELECT conv_id, turn, {_tokens('text')} AS t FROM conversations)) GROUP BY term, doc_id""",
     "fts_corpus_stats": f"SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens, round(avg(n), 6) AS avg_len FROM (SELECT len({_tokens('text')}) + len({_tokens('source')}) AS n FROM documents)",
     "fts_match_and": f"""WITH t AS (SELECT doc_id, list_concat({_tokens('text')}, {_tokens('source')}) AS w FROM documents)
       SELECT doc_id FROM t WHERE list_contains(w, 'the') AND list_contains(w, 'and') AND list_contains(w, 'erthor') AND list_contains(w, 'src7')
@@ -119,7 +120,7 @@ ORACLES: dict[str, str] = {
     "search_exact_tier": "SELECT doc_id, lang AS name, 0 AS tier FROM documents WHERE lower(lang || '/' || source) = 'en/src3' OR lower(lang) = 'en/src3' ORDER BY doc_id LIMIT 15",
     "exact_or_fts": f"SELECT doc_id FROM documents WHERE lower(source) = 'src5' OR list_contains({_tokens('text')}, 'src5')",
     "token_score_rank": """SELECT doc_id, CAST(CASE WHEN contains(h, 'the') THEN 5 ELSE 0 END + CASE WHEN contains(h, 'src1') THEN 5 ELSE 0 END AS INTEGER) AS score
-      FROM (SELECT doc_id, lower(source || ' ' || lang || ' ' || substr(text, 1, 200)) AS h FROM documents) ORDER BY 2 DESC, 1 LIMIT 25""",
+      FROM (SELECT doc_id, lower(source || ' ' || lang || ' ' || text) AS h FROM documents) ORDER BY 2 DESC, 1 LIMIT 25""",
     "member_exact_rank": "SELECT p_partkey, CAST(CASE WHEN lower(p_type || '.' || p_name) = 'small ring' THEN 0 WHEN lower(p_name) = 'small ring' THEN 1 WHEN lower(p_brand) = 'small ring' OR lower(p_type) = 'small ring' THEN 2 ELSE 4 END AS INTEGER) AS rank FROM part",
     "any_field_lookup": "SELECT p_partkey FROM part WHERE p_name = 'Brand#2' OR p_brand = 'Brand#2' OR p_type = 'Brand#2'",
     "content_hash_merge": f"""WITH h AS (SELECT doc_id, lang, doc_id % 12 AS m, sha256(length({_normal('text')}) || chr(31) || {_normal('text')}) AS content_hash FROM documents),
@@ -128,8 +129,8 @@ ORACLES: dict[str, str] = {
     "latest_by_path": "SELECT max(event_id) AS event_id, user_id, '1.' || max(event_id) AS version FROM events GROUP BY user_id",
     "first_by_key": "SELECT min(event_id) AS event_id, user_id, event_type FROM events GROUP BY user_id, event_type",
     "dedup_results": "SELECT max(doc_id) AS doc_id, lang, arg_max(source, doc_id) AS source, sha256(text) AS content_hash FROM documents GROUP BY lang, sha256(text)",
-    "distinct_ignoring_case": f"""WITH w AS (SELECT conv_id, unnest(t) AS w, unnest(range(1, len(t) + 1)) AS i FROM (SELECT conv_id, string_split({_squeeze('text')}, ' ')[1:30] AS t FROM conversations WHERE turn = 0)),
-      f AS (SELECT conv_id, lower(w) AS k, min(i) AS i, arg_min(w, i) AS w FROM w GROUP BY conv_id, lower(w)) SELECT conv_id, string_agg(w, ' ' ORDER BY i) AS words FROM f GROUP BY conv_id""",
+    "distinct_ignoring_case": f"""WITH w AS (SELECT conv_id, turn, unnest(t) AS w, unnest(range(1, len(t) + 1)) AS i FROM (SELECT conv_id, turn, string_split({_squeeze('text')}, ' ') AS t FROM conversations)),
+      f AS (SELECT conv_id, turn, lower(w) AS k, min(i) AS i, arg_min(w, i) AS w FROM w GROUP BY conv_id, turn, lower(w)) SELECT conv_id, turn, string_agg(w, ' ' ORDER BY i) AS words FROM f GROUP BY conv_id, turn""",
     "callees_topk": f"SELECT callee_name, count(*) AS n FROM ({_CALLS}) WHERE lower(caller_name) = 'user3' GROUP BY callee_name ORDER BY n DESC, callee_name LIMIT 12",
     "callers": f"SELECT 'm/' || module_id AS rel_path, line, caller_name, callee_name, args_count FROM ({_CALLS}) WHERE lower(callee_name) = 'click_3' ORDER BY 1, 2 LIMIT 40",
     "related_links": f"""SELECT {_id("caller_name || '|' || callee_name || '|calls'")} AS id, caller_name AS source_full_name, callee_name AS target_name, 'calls' AS link_kind, '' AS reason
@@ -143,9 +144,9 @@ ORACLES: dict[str, str] = {
       UNION ALL SELECT 's' || s_suppkey, 2, r_name || ' / ' || n_name || ' / ' || s_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
     "folder_tree": f"SELECT DISTINCT array_to_string(p[1:n], '/') AS folder FROM (SELECT p, unnest(range(1, len(p))) AS n FROM (SELECT string_split({_REL}, '/') AS p FROM pages))",
     "entries_blobs_left": "SELECT doc_id, quality FROM documents LEFT JOIN labels USING (doc_id)",
-    "owner_parent_resolve": """SELECT l_orderkey, l_linenumber, n_name, coalesce(p_name, CAST(l_partkey AS VARCHAR)) AS type_name FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-      LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 > 0) c ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey
-      LEFT JOIN (SELECT * FROM part WHERE p_partkey % 2 = 0) p ON l_partkey = p_partkey WHERE l_linenumber <= 2""",
+    "owner_parent_resolve": """SELECT l_orderkey, l_linenumber, n_name, coalesce(p_name, CAST(part AS VARCHAR)) AS type_name
+      FROM (SELECT *, CASE WHEN l_partkey % 2 = 0 THEN l_partkey ELSE -l_partkey END AS part FROM lineitem) JOIN orders ON l_orderkey = o_orderkey
+      LEFT JOIN customer ON CASE WHEN o_orderkey % 3 > 0 THEN o_custkey ELSE -o_custkey - 1 END = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN part ON part = p_partkey""",
     "pack_stats": """SELECT 'page' AS entry_type, count(*) AS n, CAST(coalesce(sum(length(html)), 0) AS BIGINT) AS size_bytes FROM pages
       UNION ALL SELECT 'document', count(*), CAST(coalesce(sum(length(text)), 0) AS BIGINT) FROM documents""",
     "domain_counts": "SELECT lang, source, count(*) AS n FROM documents GROUP BY lang, source",
@@ -154,7 +155,7 @@ ORACLES: dict[str, str] = {
       FROM (SELECT l_returnflag, l_quantity AS q, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) AS p, count(*) OVER (PARTITION BY l_returnflag) AS n FROM lineitem) GROUP BY l_returnflag""",
     "top_property_profile": "SELECT o_orderpriority, o_orderstatus, count(*) AS n FROM orders GROUP BY 1, 2 ORDER BY n DESC, 1, 2 LIMIT 8",
     "resolution_ratio": """SELECT count(*) AS n_refs, count(c_custkey) AS n_resolved, round(count(c_custkey) / count(*), 6) AS ratio
-      FROM orders LEFT JOIN (SELECT c_custkey FROM customer WHERE c_custkey % 4 > 0) c ON o_custkey = c_custkey""",
+      FROM orders LEFT JOIN customer ON CASE WHEN o_orderkey % 4 > 0 THEN o_custkey ELSE -o_custkey - 1 END = c_custkey""",
     "even_sample": """SELECT path FROM (SELECT path, i, n, greatest(1, n // 25) AS step FROM (SELECT 'd' || lpad(CAST(doc_id AS VARCHAR), 9, '0') AS path,
       row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM documents)) WHERE n <= 25 OR (i % step = 0 AND i < step * 24) OR i = n - 1""",
     "sample_verify": "SELECT doc_id FROM documents WHERE doc_id % 97 = 5",
@@ -162,10 +163,15 @@ ORACLES: dict[str, str] = {
     "cosine_topk": """WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0)
       SELECT vec_id, round(list_sum(list_transform(list_zip(v, e), lambda p: p[1] * p[2])) / (sqrt(list_sum(list_transform(v, lambda x: x * x))) * sqrt(list_sum(list_transform(e, lambda x: x * x)))), 6) AS cosine
       FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), (SELECT list_transform(e, lambda x: CAST(x AS DOUBLE)) AS e FROM q) ORDER BY cosine DESC, vec_id LIMIT 10""",
-    "code_symbols": """SELECT p_partkey AS module_id, 'Get' || p_partkey AS name, 'function' AS kind, 2 AS line, 4 AS end_line, true AS is_export,
-      'Function Get' || p_partkey || '(A) Export' AS signature, 'Part ' || p_name AS doc_comment FROM part
-      UNION ALL SELECT p_partkey, 'V' || p_partkey, 'variable', 5, 5, false, 'Var V' || p_partkey, '' FROM part""",
-    "code_calls": """SELECT p_partkey AS module_id, 'Get' || p_partkey AS caller_name, c AS callee_name, 3 AS line, 2 AS args_count FROM part, (VALUES ('Find'), ('Sum')) v(c)""",
+    "code_symbols": """WITH p AS (SELECT p_partkey AS i, CAST(p_partkey AS VARCHAR) AS k, p_name FROM part)
+      SELECT i AS module_id, 'Get' || k AS name, 'function' AS kind, 2 AS line, 4 AS end_line, true AS is_export, 'Function Get' || k || '(A) Export' AS signature, 'Part ' || p_name AS doc_comment FROM p WHERE i % 3 = 0
+      UNION ALL SELECT i, 'V' || k, 'variable', 5, 5, false, 'Var V' || k, '' FROM p WHERE i % 3 = 0
+      UNION ALL SELECT i, 'Шаг' || k, 'procedure', 3, 7, true, 'Процедура Шаг' || k || '(А, Б = 1) Экспорт', p_name || ' Заметка (не вызов)' FROM p WHERE i % 3 = 1
+      UNION ALL SELECT i, n || k, 'variable', 1, 1, true, 'Var ' || n || k, '' FROM p, (VALUES ('П'), ('К')) v(n) WHERE i % 3 = 2
+      UNION ALL SELECT i, 'Run' || k, 'procedure', 2, 7, false, 'Procedure Run' || k || '()', '' FROM p WHERE i % 3 = 2""",
+    "code_calls": """SELECT p_partkey AS module_id, caller || p_partkey AS caller_name, callee AS callee_name, line, args AS args_count FROM part,
+      (VALUES (0, 'Get', 'Find', 3, 2), (0, 'Get', 'Sum', 3, 2), (1, 'Шаг', 'Тест', 4, 2), (2, 'Run', 'Log', 3, 3), (2, 'Run', 'Array', 5, 1), (2, 'Run', 'Min', 6, 2), (2, 'Run', 'Max', 6, 2))
+      v(shape, caller, callee, line, args) WHERE p_partkey % 3 = shape""",
     "contents_breadcrumbs": """SELECT r_regionkey + 1 AS id, r_name AS title, '' AS breadcrumb FROM region
       UNION ALL SELECT n_nationkey + 10, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey""",
     "configuration_fields": """SELECT 'A' || s_nationkey AS name, 'Catalog.S' || s_suppkey || '.A' || s_nationkey AS topic_path,

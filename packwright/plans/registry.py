@@ -85,7 +85,7 @@ def title_parts(spark, sf):
 
 @query
 def code_blocks(spark, sf):
-    fenced = F.concat(F.lit("a\n```sql\n"), F.translate(F.substring("text", 1, 60), "`", "'"), F.lit("\n```\nb"))
+    fenced = F.concat(F.lit("a\n```sql\n"), F.translate("text", "`", "'"), F.lit("\n```\nb"))
     return table(spark, sf, "conversations").select("conv_id", "turn", F.array_join(T.code_blocks(fenced), "|").alias("code"))
 
 
@@ -144,10 +144,10 @@ def record_payload(spark, sf):
 
 @query
 def field_identity(spark, sf):
-    o = table(spark, sf, "lineitem").where("l_linenumber = 1")
+    o = table(spark, sf, "lineitem")
     group = F.element_at(F.array(*map(F.lit, ("tabular_sections", "tabular_section_requisites", "form_attributes", "requisites"))), (F.col("l_orderkey") % 4 + 1).cast("int"))
     named = P.field_identity(F.concat(F.lit("Document.D"), F.col("l_suppkey")), group, F.concat(F.lit("f"), F.col("l_partkey")), F.col("l_returnflag"), F.when(F.col("l_orderkey") % 3 > 0, F.col("l_linestatus")))
-    return o.select("l_orderkey", named["display_name"].alias("display_name"), named["topic_path"].alias("topic_path"))
+    return o.select("l_orderkey", "l_linenumber", named["display_name"].alias("display_name"), named["topic_path"].alias("topic_path"))
 
 
 @query
@@ -157,8 +157,9 @@ def exact_lookup_ascii(spark, sf):
 
 @query
 def exact_lookup_unicode(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", T.squeezed(F.substring("text", 1, 6)).alias("head"))
-    return lookup.equal_rows(d, "ÉTION D", ["head"]).union(lookup.equal_rows(d, "THE THA", ["head"])).union(lookup.equal_rows(d, "ERTHOR", ["head"]))
+    d = table(spark, sf, "documents").select("doc_id", F.concat(F.lit("Ünité "), "source").alias("name"), "text")
+    first = d.where("doc_id = 0").select("text").first()
+    return lookup.equal_rows(d, "üNITÉ SRC3", ["name"]).union(lookup.equal_rows(d, first["text"].swapcase() if first["text"].isascii() else first["text"], ["text"])).select("doc_id", "name")
 
 
 @query
@@ -207,7 +208,7 @@ def json_props_project(spark, sf):
 
 @query
 def fts_postings(spark, sf):
-    return fts.postings(table(spark, sf, "conversations").where("turn = 0"), "conv_id", ["text"]).select("term", "doc_id", "tf", F.element_at("positions", 1).alias("first_position"))
+    return fts.postings(table(spark, sf, "conversations").withColumn("id", F.concat_ws(":", "conv_id", "turn")), "id", ["text"]).select("term", "doc_id", "tf", F.element_at("positions", 1).alias("first_position"))
 
 
 @query
@@ -265,7 +266,7 @@ def exact_or_fts(spark, sf):
 
 @query
 def token_score_rank(spark, sf):
-    score = lookup.token_score("the src1", F.col("source"), F.col("lang"), F.substring("text", 1, 200))
+    score = lookup.token_score("the src1", F.col("source"), F.col("lang"), F.col("text"))
     return table(spark, sf, "documents").select("doc_id", score.alias("score")).orderBy(F.desc("score"), "doc_id").limit(25)
 
 
@@ -311,8 +312,8 @@ def dedup_results(spark, sf):
 
 @query
 def distinct_ignoring_case(spark, sf):
-    words = F.slice(F.split(T.squeezed("text"), " "), 1, 30)
-    return table(spark, sf, "conversations").where("turn = 0").select("conv_id", F.array_join(merge.distinct_in_order(words), " ").alias("words"))
+    words = F.split(T.squeezed("text"), " ")
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.array_join(merge.distinct_in_order(words), " ").alias("words"))
 
 
 # --- graphs and joins ---------------------------------------------------------------------------------------
@@ -380,10 +381,12 @@ def entries_blobs_left(spark, sf):
 @query
 def owner_parent_resolve(spark, sf):
     """Lines with their order (misses go), its customer's nation (misses stay) and the part's name or its key."""
-    line = table(spark, sf, "lineitem").where("l_linenumber <= 2").select("l_orderkey", "l_linenumber", "l_partkey")
-    order = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey"))
-    customer = table(spark, sf, "customer").where("c_custkey % 3 > 0").select("c_custkey", F.col("c_nationkey").alias("n_nationkey"))
-    part = table(spark, sf, "part").where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("l_partkey"), "p_name")
+    key = F.when(F.col("l_partkey") % 2 == 0, F.col("l_partkey")).otherwise(-F.col("l_partkey"))  # no part has a key below 0
+    line = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", key.alias("l_partkey"))
+    buyer = F.when(F.col("o_orderkey") % 3 > 0, F.col("o_custkey")).otherwise(-F.col("o_custkey") - 1)
+    order = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), buyer.alias("c_custkey"))
+    customer = table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("n_nationkey"))
+    part = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
     joined = line.join(order, "l_orderkey").join(customer, "c_custkey", "left").join(table(spark, sf, "nation"), "n_nationkey", "left").join(part, "l_partkey", "left")
     return joined.select("l_orderkey", "l_linenumber", "n_name", F.coalesce("p_name", F.col("l_partkey").cast("string")).alias("type_name"))
 
@@ -422,8 +425,8 @@ def top_property_profile(spark, sf):
 
 @query
 def resolution_ratio(spark, sf):
-    owners = table(spark, sf, "customer").where("c_custkey % 4 > 0")
-    return stats.resolution(table(spark, sf, "orders"), owners, "o_custkey", "c_custkey")
+    refs = F.when(F.col("o_orderkey") % 4 > 0, F.col("o_custkey")).otherwise(-F.col("o_custkey") - 1)
+    return stats.resolution(table(spark, sf, "orders").select(refs.alias("ref")), table(spark, sf, "customer"), "ref", "c_custkey")
 
 
 @query
@@ -484,24 +487,30 @@ def article_clean(spark, sf):
 
 @query
 def md_sections(spark, sf):
-    made = F.concat(F.lit("# T\n\nintro\n## One\n"), F.substring("text", 1, 80), F.lit("\n```\n## code\n```\n## Two\nend"))
-    rows = table(spark, sf, "conversations").where("turn = 0").select("conv_id", F.explode(markdown.sections(made)).alias("s"))
-    return rows.select("conv_id", "s.heading", F.length("s.body").alias("n"))
+    made = F.concat(F.lit("# T\n\nintro\n## One\n"), F.col("text"), F.lit("\n```\n## code\n```\n## Two\nend"))
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", F.explode(markdown.sections(made)).alias("s"))
+    return rows.select("conv_id", "turn", "s.heading", F.length("s.body").alias("n"))
 
 
 def _modules(spark, sf):
-    code_text = F.format_string("// Part %s\nFunction Get%d(A) Export\n  Return Find(A, Sum(1, %d));\nEndFunction\nVar V%d;\n", "p_name", "p_partkey", "p_size", "p_partkey")
+    """Modules of three shapes: both tongues, comments, strings and nested brackets."""
+    shapes = (
+        '// Part %1$s\nFunction Get%2$d(A) Export\n  Return Find(A, Sum(1, %3$d));\nEndFunction\nVar V%2$d;\n',
+        '// %1$s\n// Заметка (не вызов)\nПроцедура Шаг%2$d(А, Б = 1) Экспорт\n  Если Тест("a(b), ""c""", %3$d) Тогда\n    Х.Метод(1); // Вызов(2)\n  КонецЕсли;\nКонецПроцедуры\n',
+        'Перем П%2$d, К%2$d Экспорт;\nProcedure Run%2$d()\n  Log(\n    "%1$s",\n    New Array(3),\n    Min(1, Max(2, 3)));\nEndProcedure\n',
+    )
+    code_text = F.element_at(F.array(*[F.format_string(x, "p_name", "p_partkey", "p_size") for x in shapes]), (F.col("p_partkey") % 3 + 1).cast("int"))
     return table(spark, sf, "part").select(F.col("p_partkey").alias("module_id"), code_text.alias("text"))
 
 
 @query
 def code_symbols(spark, sf):
-    return code_modules.symbols(_modules(spark, sf))
+    return code_modules.symbols(code_modules.tagged(_modules(spark, sf)))
 
 
 @query
 def code_calls(spark, sf):
-    return code_modules.calls(_modules(spark, sf))
+    return code_modules.calls(code_modules.tagged(_modules(spark, sf)))
 
 
 @query

@@ -1,9 +1,10 @@
-"""Bilingual code modules: modules, symbols and calls by patterns over their text."""
+"""Bilingual code modules: modules, symbols and calls, read from the language's tokens."""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,19 +12,36 @@ from pyspark.sql import functions as F
 
 from packwright.functions.paths import module_hint
 from packwright.functions.text import compact
+from packwright.plans.shared import written
 from packwright.sources.files import decoded
 
 # The language's words in both tongues.
-_HEAD = re.compile(r"^[^\S\n]*(?P<kw>Процедура|Procedure|Функция|Function)\s+(?P<name>\w+)\s*\((?P<params>[^)]*)\)\s*(?P<export>Экспорт|Export)?", re.I | re.M)
-_END = re.compile(r"^[^\S\n]*(?:КонецПроцедуры|EndProcedure|КонецФункции|EndFunction)[^\S\n]*(?://.*)?$", re.I | re.M)
-_VARS = re.compile(r"^[^\S\n]*(?:Перем|Var)\s+(?P<vars>[^;]+);", re.I | re.M)
-_CALL = re.compile(r"(?:^|[^.\w])(?P<name>[А-ЯЁа-яёA-Za-z_]\w*)\s*\(")
-KEYWORDS = frozenset(
-    "если пока для каждого из по цикл процедура функция перем возврат новый попытка исключение конецпопытки "
-    "if while for each in do loop procedure function var return new try except endtry".split()
+PROCEDURE = {"процедура", "procedure"}
+FUNCTION = {"функция", "function"}
+END = {"конецпроцедуры", "endprocedure", "конецфункции", "endfunction"}
+VARIABLE = {"перем", "var"}
+EXPORT = {"экспорт", "export"}
+# Words that may stand before a bracket without being calls.
+NO_CALL = {
+    "если", "пока", "для", "каждого", "из", "по", "цикл", "процедура", "функция", "перем", "возврат", "новый", "попытка", "исключение", "конецпопытки",
+    "if", "while", "for", "each", "in", "do", "loop", "procedure", "function", "var", "return", "new", "try", "except", "endtry",
+}
+#: What a text consists of: comments, strings (a doubled quote is part of one), dates, names, numbers, single signs.
+_TOKEN = re.compile(r"""(?P<comment>//[^\n]*)|(?P<string>"(?:[^"]|"")*"?)|(?P<date>'[^'\n]*'?)|(?P<name>[^\W\d]\w*)|(?P<number>\d[\w.]*)|(?P<sign>\S)""")
+_ROWS = (
+    "module_id long, row string, name string, kind string, line int, end_line int, is_export boolean, signature string, doc_comment string, caller_name string, args_count int"
 )
-_SYMBOL = "module_id long, name string, kind string, line int, end_line int, is_export boolean, signature string, doc_comment string"
-_CALLS = "module_id long, caller_name string, callee_name string, line int, args_count int"
+
+
+class Token(NamedTuple):
+    kind: str
+    text: str
+    line: int
+    first: bool  # of its line
+    at: int
+
+    def among(self, words: set[str]) -> bool:
+        return self.kind == "name" and self.text.lower() in words
 
 
 def modules(files: DataFrame, excerpt: int = 400) -> DataFrame:
@@ -37,77 +55,115 @@ def modules(files: DataFrame, excerpt: int = 400) -> DataFrame:
     )
 
 
-def symbols_of(text: str) -> list[tuple]:
-    """(name, kind, line, end_line, is_export, signature, doc_comment), by line."""
-    line_of = lambda at: text.count("\n", 0, at) + 1
-    lines, ends, out = text.split("\n"), [line_of(m.start()) for m in _END.finditer(text)], []
-    for m in _HEAD.finditer(text):
-        line, export = line_of(m.start("kw")), bool(m["export"])
-        function = m["kw"].lower() in ("функция", "function")
-        russian = re.search("[А-ЯЁа-яё]", m["name"])
-        word = ("Функция" if function else "Процедура") if russian else ("Function" if function else "Procedure")
-        tail = (" Экспорт" if russian else " Export") if export else ""
-        notes, k = [], line - 2
-        while k >= 0 and lines[k].lstrip().startswith("//"):
-            notes.append(lines[k].strip().removeprefix("//").strip())
-            k -= 1
-        end = next((e for e in ends if e > line), line)
-        out.append((m["name"], "function" if function else "procedure", line, end, export, f"{word} {m['name']}({m['params'].strip()}){tail}", " ".join(n for n in reversed(notes) if n)))
-    for m in _VARS.finditer(text):
-        line = line_of(m.start())
-        bare = re.sub(r"\b(?:Экспорт|Export)\b", "", m["vars"], flags=re.I)
-        out += [(n, "variable", line, line, bare != m["vars"], f"Var {n}", "") for n in re.findall(r"[А-ЯЁа-яёA-Za-z_]\w*", bare)]
-    return sorted(out, key=lambda s: (s[2], s[0].lower()))
-
-
-def _arguments(rest: str) -> int:
-    n, depth = 0 if rest.lstrip().startswith(")") else 1, 1
-    for c in rest:
-        depth += (c == "(") - (c == ")")
-        if depth == 0:
-            break
-        n += c == "," and depth == 1
-    return n
-
-
-def calls_of(text: str) -> list[tuple]:
-    """(caller_name, callee_name, line, args_count): calls inside and outside procedures, header lines aside."""
-    out, inside = [], None
-    for number, line in enumerate(text.split("\n"), 1):
-        if head := re.match(r"\s*(?:Процедура|Procedure|Функция|Function)\s+(\w+)", line, re.I):
-            inside = head[1]
-        elif _END.match(line.strip()):
+def tokens_of(text: str) -> Iterator[Token]:
+    line, upto, last = 1, 0, 0
+    for m in _TOKEN.finditer(text):
+        line += text.count("\n", upto, m.start())
+        upto = m.start()
+        yield Token(m.lastgroup, m[0], line, line != last, m.start())
+        last = line
+
+
+def _closed(tokens: list[Token], k: int) -> int:
+    """Where the bracket that opens at k closes, or the end."""
+    depth = 0
+    for j in range(k, len(tokens)):
+        if tokens[j].kind == "sign":
+            depth += (tokens[j].text in "([") - (tokens[j].text in ")]")
+        if not depth:
+            return j
+    return len(tokens)
+
+
+def _arguments(tokens: list[Token], k: int) -> int:
+    """How many arguments the brackets at k hold: commas outside inner brackets, and one more if there is anything."""
+    end, j, n = _closed(tokens, k), k + 1, 0
+    if j >= end:
+        return 0
+    while j < end:
+        if tokens[j].kind == "sign" and tokens[j].text in "([":
+            j = _closed(tokens, j)
+        elif tokens[j].text == ",":
+            n += 1
+        j += 1
+    return n + 1
+
+
+def _comment_above(comments: dict[int, str], line: int) -> str:
+    """The comment lines that stand right above a line, joined."""
+    notes = []
+    while (line := line - 1) in comments:
+        notes.append(comments[line].strip("/ \t\r"))
+    return " ".join(n for n in reversed(notes) if n)
+
+
+def parsed(text: str) -> list[tuple]:
+    """(row, name, kind, line, end_line, is_export, signature, doc_comment, caller_name, args_count) of one module.
+
+    Names before brackets are calls unless a point stands before them or they are words of the language; those in
+    comments, strings and headers are none.
+    """
+    every = list(tokens_of(text))
+    comments = {t.line: t.text for t in every if t.kind == "comment" and t.first}
+    code = [t for t in every if t.kind != "comment"]
+    out, ends, inside, k = [], [], None, 0
+    heads: list[list] = []
+    while k < len(code):
+        t, after = code[k], code[k + 1 : k + 3]
+        if t.first and t.among(PROCEDURE | FUNCTION) and len(after) == 2 and after[0].kind == "name" and after[1].text == "(":
+            end = _closed(code, k + 2)
+            export = end + 1 < len(code) and code[end + 1].among(EXPORT)
+            name, kind = after[0].text, "function" if t.among(FUNCTION) else "procedure"
+            params = text[after[1].at + 1 : code[end].at if end < len(code) else len(text)].strip()
+            russian = bool(re.search("[А-ЯЁа-яё]", name))
+            word = {("function", True): "Функция", ("procedure", True): "Процедура"}.get((kind, russian), kind.title())
+            mark = (" Экспорт" if russian else " Export") if export else ""
+            heads.append([name, kind, t.line, t.line, export, f"{word} {name}({params}){mark}", _comment_above(comments, t.line)])
+            inside, k = name, end + 1 + export
+            continue
+        if t.first and t.among(END):
+            ends.append(t.line)
             inside = None
-        else:
-            out += [(inside, m["name"], number, _arguments(line[m.end() :])) for m in _CALL.finditer(line) if m["name"].lower() not in KEYWORDS]
-    return sorted(out, key=lambda c: (c[2], c[1].lower()))
+        elif t.first and t.among(VARIABLE):
+            stop = next((j for j in range(k, len(code)) if code[j].text == ";"), len(code))
+            listed = code[k + 1 : stop]
+            export = any(x.among(EXPORT) for x in listed)
+            out += [("symbol", x.text, "variable", t.line, t.line, export, f"Var {x.text}", "", None, None) for x in listed if x.kind == "name" and not x.among(EXPORT)]
+            k = stop
+        elif t.kind == "name" and after and after[0].text == "(" and t.text.lower() not in NO_CALL and not (k and code[k - 1].text == "."):
+            out.append(("call", t.text, None, t.line, None, None, None, None, inside, _arguments(code, k + 1)))
+        k += 1
+    for h in heads:  # a body ends at the next end behind its header
+        h[3] = next((e for e in ends if e > h[2]), h[2])
+        out.append(("symbol", *h, None, None))
+    return sorted(out, key=lambda r: (r[0], r[3], r[1].lower()))
+
 
+def _tagged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns = [c.split()[0] for c in _ROWS.split(", ")]
+    for b in batches:
+        rows = [(i, *row) for i, t in zip(b["module_id"], b["text"], strict=True) for row in parsed(t)]
+        yield pd.DataFrame(rows, columns=columns).astype({c: "Int32" for c in ("line", "end_line", "args_count")})
 
-def _rows(parse, width: int, columns: list[str]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame([(i, *row) for i, t in zip(b["module_id"], b["text"], strict=True) for row in parse(t)], columns=columns)
 
-    return run
+def tagged(modules_: DataFrame) -> DataFrame:
+    """Symbols and calls of all modules, one kind of row each; texts are parsed once."""
+    return modules_.select("module_id", "text").mapInPandas(_tagged, _ROWS)
 
 
-def symbols(modules_: DataFrame) -> DataFrame:
-    names = [x.split()[0] for x in _SYMBOL.split(", ")]
-    return modules_.select("module_id", "text").mapInPandas(_rows(symbols_of, 7, names), _SYMBOL)
+def symbols(rows: DataFrame) -> DataFrame:
+    """Procedures, functions and variables among tagged rows."""
+    return rows.where("row = 'symbol'").select("module_id", "name", "kind", "line", "end_line", "is_export", "signature", "doc_comment")
 
 
-def calls(modules_: DataFrame) -> DataFrame:
-    names = [x.split()[0] for x in _CALLS.split(", ")]
-    return modules_.select("module_id", "text").mapInPandas(_rows(calls_of, 4, names), _CALLS)
+def calls(rows: DataFrame) -> DataFrame:
+    """Calls among tagged rows."""
+    return rows.where("row = 'call'").select("module_id", "caller_name", F.col("name").alias("callee_name"), "line", "args_count")
 
 
 def code_pack(modules_: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """modules with symbol and call counts, symbols, calls."""
-    s, c = symbols(modules_), calls(modules_)
-    counted = (
-        modules_.drop("text")
-        .join(s.groupBy("module_id").agg(F.count(F.lit(1)).alias("symbol_count")), "module_id", "left")
-        .join(c.groupBy("module_id").agg(F.count(F.lit(1)).alias("call_count")), "module_id", "left")
-        .fillna(0, ["symbol_count", "call_count"])
-    )
-    return counted, s, c
+    rows = written(tagged(modules_))
+    counts = rows.groupBy("module_id").agg(F.count_if(F.col("row") == "symbol").alias("symbol_count"), F.count_if(F.col("row") == "call").alias("call_count"))
+    counted = modules_.drop("text").join(counts, "module_id", "left").fillna(0, ["symbol_count", "call_count"])
+    return counted, symbols(rows), calls(rows)
