@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from packwright.plans.shared import shared_folder, written
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 #: What lies between words: every ASCII character but digits and lower-case letters.
@@ -49,31 +49,6 @@ def held_out(id_col: Column, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The rows, computed once and kept as a table in the folder all executors share.
-
-    It lies under spark.checkpoint.dir, so lost executors cost nothing that was done before; the folder's owner clears it.
-    """
-    spark = df.sparkSession
-    base = shared_folder(spark)
-    path = f"{base}/packwright/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir. A local session without it (tests, notebooks) gets a folder of its own; a cluster must name one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.conf.get("spark.master", "").split("[")[0] == "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        import tempfile
-
-        base = "file://" + tempfile.mkdtemp(prefix="packwright-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
 def small_enough(df: DataFrame, rows: int) -> bool:
     """Whether df has at most this many rows: the check before any broadcast."""
     return df.count() <= rows
