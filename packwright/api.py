@@ -32,9 +32,16 @@ class Engine:
         equal = docs.where((F.col("name_key") == key) | (F.col("path_key") == key))
         if exact or not equal.isEmpty():
             return shown(equal.orderBy("doc_id").limit(limit))
-        scored = fts.bm25(docs, "doc_id", ["name", "payload"], q)
+        scored = self._scored(docs, q, role, target)
         return shown(docs.join(scored, "doc_id").orderBy("score", F.length("name"), "doc_id").limit(limit))
 
+    def _scored(self, docs: DataFrame, q: str, role: str, target: str | None) -> DataFrame:
+        """Scores from the pack's text index; packs without one are scanned."""
+        totals = packs.read_manifest(self.spark, self.workspace.resolve(role, target)).get("text_index")
+        if not totals:
+            return fts.bm25(docs, "doc_id", packs.INDEXED, q)
+        return fts.bm25_indexed(self._table(role, "postings", target), self._table(role, "lengths", target), q, totals)
+
     def candidates(self, q: str) -> DataFrame:
         return resolver.resolved(self.spark.createDataFrame([(q,)], "query string"), "query")
 

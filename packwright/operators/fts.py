@@ -106,25 +106,39 @@ def bm25(docs: DataFrame, id_col: str, columns: list[str], query: str) -> DataFr
     return hits.select("doc_id", score.alias("score"))
 
 
-def bm25_indexed(index: DataFrame, lengths: DataFrame, query: str) -> DataFrame:
-    """As bm25 for single words, from a postings table: only the query's terms are read.
+def bm25_indexed(index: DataFrame, lengths: DataFrame, query: str, totals: dict | None = None) -> DataFrame:
+    """As bm25, from a postings table: only the query's terms are read, phrases are found by their positions.
 
     The filter on terms reaches the Parquet scan, where sorted terms leave most row groups unread; documents
-    meet their lengths in one join of the hits.
+    meet their lengths in one join of the hits. totals (n_docs, avg_len) are counted if a pack doesn't give them.
     """
     phrases, _ = _query_terms(index, query)
+    phrases = list(dict.fromkeys(map(tuple, phrases)))
     terms = list(dict.fromkeys(t for p in phrases for t in p))
-    hits = index.where(F.col("term").isin(terms)).groupBy("doc_id", "term").agg(F.sum("tf").alias("tf"))
-    found = {r["term"]: r["n"] for r in hits.groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a term
-    total = corpus_stats(lengths).first()
-    if not terms or set(found) != set(terms):
-        return hits.select("doc_id", F.lit(0.0).alias("score")).limit(0)
-    n = F.element_at(F.create_map(*[x for t, k in found.items() for x in (F.lit(t), F.lit(k))]), F.col("term"))
-    idf = F.greatest(F.log((total["n_docs"] - n + 0.5) / (n + 0.5)), F.lit(1e-6))
+    if not terms:
+        return lengths.select("doc_id", F.lit(0.0).alias("score")).limit(0)
+    hits = index.where(F.col("term").isin(terms))
+    places = [F.first(F.when(F.col("term") == t, F.col("positions")), ignorenulls=True).alias(f"p{k}") for k, t in enumerate(terms)]
+    none = F.array().cast("array<int>")
+    at = [F.coalesce(F.col(f"p{k}"), none) for k in range(len(terms))]
+
+    def times(phrase: tuple[str, ...]) -> Column:
+        own = [at[terms.index(t)] for t in phrase]
+        beside = lambda p: reduce(lambda x, y: x & y, [F.array_contains(o, p + k) for k, o in enumerate(own) if k], F.lit(True))
+        return F.size(F.filter(own[0], beside))
+
+    by_column = hits.groupBy("doc_id", "col").agg(*places).select("doc_id", *[times(p).alias(f"tf{n}") for n, p in enumerate(phrases)])
+    names = [f"tf{n}" for n in range(len(phrases))]
+    counts = by_column.groupBy("doc_id").agg(*[F.sum(c).alias(c) for c in names])
+    found = counts.agg(*[F.count_if(F.col(c) > 0).alias(c) for c in names]).first()  # one row
+    total = totals or corpus_stats(lengths).first().asDict()
+    met = counts.where(reduce(lambda x, y: x & y, [F.col(c) > 0 for c in names])).join(lengths, "doc_id")
     norm = K1 * (1 - B + B * F.col("doc_len") / F.lit(total["avg_len"] or 1.0))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
-    scored = hits.join(lengths, "doc_id").groupBy("doc_id").agg((-F.sum(part)).alias("score"), F.count(F.lit(1)).alias("_n"))
-    return scored.where(F.col("_n") == len(terms)).select("doc_id", "score")
+    score = F.lit(0.0)
+    for c in names:
+        idf = F.greatest(F.log(F.lit((total["n_docs"] - found[c] + 0.5) / (found[c] + 0.5))), F.lit(1e-6))
+        score = score - idf * F.col(c) * (K1 + 1) / (F.col(c) + norm)
+    return met.select("doc_id", score.alias("score"))
 
 
 def search(
@@ -150,7 +164,7 @@ def exact_or_text(docs: DataFrame, query: str, *, id_col: str, name_col: str, co
 
 def write_postings(table: DataFrame, path: str) -> None:
     """Postings by ranges of terms, sorted, so that a term's row groups are found from the footers."""
-    table.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.option("compression", "zstd").parquet(path)
+    table.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
 def ranked_in_group(df: DataFrame, group: str, *order: Column) -> DataFrame:

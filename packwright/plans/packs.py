@@ -10,6 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packwright.functions.text import fold, hash_id
+from packwright.operators import fts
+
+#: Columns of a docs pack that full-text search reads.
+INDEXED = ["name", "payload"]
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -22,12 +26,22 @@ def write_docs(docs: list[DataFrame], path: str) -> dict:
     """A docs pack: partitioned by domain, sorted by folded name so that row groups can be skipped. Returns its manifest."""
     began = time.time()
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [numbered(d) for d in docs])
-    rows = rows.repartition("domain", F.xxhash64("name_key") % 64).sortWithinPartitions("domain", "name_key")
+    rows = rows.repartitionByRange("domain", "name_key").sortWithinPartitions("domain", "name_key")
     rows.write.mode("overwrite").option("compression", "zstd").partitionBy("domain").parquet(f"{path}/docs")
     saved = rows.sparkSession.read.parquet(f"{path}/docs")
     counts = {r["domain"]: r["n"] for r in saved.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
     versions = [r["v"] for r in saved.select(F.explode("versions").alias("v")).distinct().orderBy("v").collect()]
-    return write_manifest(saved.sparkSession, path, {"format": "packwright_docs_v1", "domain_counts": counts, "versions_seen": versions, "duration_sec": round(time.time() - began, 3)})
+    totals = write_index(saved, path)
+    return write_manifest(saved.sparkSession, path, {"format": "packwright_docs_v1", "text_index": totals, "domain_counts": counts, "versions_seen": versions, "duration_sec": round(time.time() - began, 3)})
+
+
+def write_index(docs: DataFrame, path: str) -> dict:
+    """The text index of a docs pack: postings by ranges of terms, lengths, and the totals that ranking needs."""
+    fts.write_postings(fts.postings(docs, "doc_id", INDEXED), f"{path}/postings")
+    lengths = fts.document_lengths(docs, "doc_id", INDEXED)
+    lengths.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/lengths")
+    found = fts.corpus_stats(docs.sparkSession.read.parquet(f"{path}/lengths")).first()
+    return {"n_docs": found["n_docs"], "avg_len": found["avg_len"]}
 
 
 def write_tables(tables: dict[str, DataFrame], path: str, kind: str, extra: dict | None = None) -> dict:

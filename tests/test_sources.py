@@ -215,3 +215,63 @@ def test_records_without_versions_outlive_batches(spark, tmp_path):
         stream = ingest.stream_records(spark, str(folder), schema)
         ingest.merge_into(stream, str(tmp_path / "out"), str(tmp_path / "ck"), language="lang", content=["text"], version="version", order="n", suffix="s").awaitTermination()
     assert {r["text"] for r in ingest.latest(spark, str(tmp_path / "out"), 1).collect()} == {"no version", "other"}
+
+
+def test_phrases_from_postings(spark):
+    from packwright.operators import fts
+
+    rows = [(1, "of the sea", "x"), (2, "the of sea of", "the"), (3, "sea of the of the", "of the"), (4, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, name string")
+    index, lengths = fts.postings(docs, "doc_id", ["text", "name"]), fts.document_lengths(docs, "doc_id", ["text", "name"])
+    for q in ("of_the", "sea", "of_the sea", "the of", "none_at all", ""):
+        scan = {r["doc_id"]: round(r["score"], 9) for r in fts.bm25(docs, "doc_id", ["text", "name"], q).collect()}
+        assert {r["doc_id"]: round(r["score"], 9) for r in fts.bm25_indexed(index, lengths, q).collect()} == scan
+    assert {r["doc_id"] for r in fts.bm25_indexed(index, lengths, "of_the").collect()} == {1, 3}
+
+
+def test_pack_has_a_text_index(spark, tmp_path):
+    from packwright.operators import fts
+    from packwright.plans import packs
+
+    rows = [("d", f"Name{i}", f"t/{i}", "8.3", ["8.3"], f"body of the text {i}") for i in range(5)]
+    docs = spark.createDataFrame(rows, "domain string, name string, topic_path string, version string, versions array<string>, payload string")
+    manifest = packs.write_docs([docs], str(tmp_path))
+    assert manifest["text_index"]["n_docs"] == 5
+    index = packs.table(spark, str(tmp_path), "postings")
+    assert "IsNotNull(term), EqualTo(term,body)" in index.where("term = 'body'")._jdf.queryExecution().executedPlan().toString()
+    found = fts.bm25_indexed(index, packs.table(spark, str(tmp_path), "lengths"), "of_the 3", manifest["text_index"])
+    assert found.count() == 1
+
+
+def test_code_tokens():
+    from packwright.sources.code_modules import parsed
+
+    text = '''// About
+// it
+Function Sum(A, B = "x)") Export
+  Return Add(A, Inner(B, 2), "Text(1)"); // Call(3)
+EndFunction
+Var One, Two Export;
+Obj.Method(Arg());
+'''
+    rows = parsed(text)
+    assert [r[1:8] for r in rows if r[0] == "symbol"] == [
+        ("Sum", "function", 3, 5, True, 'Function Sum(A, B = "x)") Export', "About it"),
+        ("One", "variable", 6, 6, True, "Var One", ""), ("Two", "variable", 6, 6, True, "Var Two", ""),
+    ]
+    assert [(r[8], r[1], r[3], r[9]) for r in rows if r[0] == "call"] == [("Sum", "Add", 4, 3), ("Sum", "Inner", 4, 2), (None, "Arg", 7, 0)]
+
+
+def test_trees_of_any_depth(spark):
+    import pytest
+
+    from packwright.operators import code, tree
+
+    n = 40
+    nodes = spark.createDataFrame([(i, i - 1 if i else None, f"t{i}") for i in range(n)], "id long, parent long, title string")
+    assert tree.breadcrumbs(nodes, "id", "parent", "title").agg({"depth": "max"}).first()[0] == n - 1
+    calls = spark.createDataFrame([(f"f{i}", f"f{i + 1}") for i in range(14)] + [("f14", "f0")], "caller_name string, callee_name string")
+    assert code.reachable(calls, "f0").count() == 14 and code.reachable(calls, "f0", 3).count() == 3
+    looped = spark.createDataFrame([(1, None, "a"), (2, 1, "b"), (1, 2, "a")], "id long, parent long, title string")
+    with pytest.raises(ValueError):
+        tree.breadcrumbs(looped, "id", "parent", "title")
