@@ -204,8 +204,8 @@ def jaccard_components(
 
     least = classes.join(roots, "_pw_class", "left").withColumn("_pw_root", F.coalesce("_pw_root", "_pw_class"))
     chief = [F.min("_pw_chief").alias("_pw_chief") for _ in ties]
-    by_root = least.groupBy("_pw_root").agg(F.min("_pw_least").alias("component_id"), *chief)
-    named = least.select("_pw_hi", "_pw_lo", "_pw_rows", "_pw_root").join(by_root, "_pw_root").drop("_pw_root")
+    by_root = written(least.groupBy("_pw_root").agg(F.min("_pw_least").alias("component_id"), F.count(F.lit(1)).alias("_pw_members"), *chief))
+    named = joined_by_key(least.select("_pw_hi", "_pw_lo", "_pw_rows", "_pw_root"), by_root, "_pw_root", "_pw_members").drop("_pw_root", "_pw_members")
     first = [F.coalesce(F.col("_pw_chief") == known, F.lit(True)).alias("_pw_first") for _ in ties]
     out = joined_by_key(rows.drop("_pw_tokens", "_pw_row", "_pw_key"), written(named), ["_pw_hi", "_pw_lo"], "_pw_rows", how="left")
     return out.select(
