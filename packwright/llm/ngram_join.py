@@ -200,7 +200,7 @@ def jaccard_components(
     again = again.select("_pw_class", "_pw_hi_of", "_pw_lo_of", "_pw_text").mapInArrow(_shingled(size, None), f"_pw_class long, _pw_hi_of long, _pw_lo_of long, {_MADE}")
     whole = written(again.where("_pw_hi = _pw_hi_of and _pw_lo = _pw_lo_of").select("_pw_class", "_pw_n", "_pw_tokens"))
     sets = _sharing(whole, percent)
-    roots = components(_component_links(sets, percent)).withColumnsRenamed({"node": "_pw_class", "root": "_pw_root"})
+    roots = _class_roots(sets, percent)
 
     least = classes.join(roots, "_pw_class", "left").withColumn("_pw_root", F.coalesce("_pw_root", "_pw_class"))
     chief = [F.min("_pw_chief").alias("_pw_chief") for _ in ties]
@@ -214,8 +214,12 @@ def jaccard_components(
     )
 
 
-def _component_links(sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between classes that have the components of all links."""
+def _roots(links: DataFrame) -> DataFrame:
+    return written(components(links).withColumnsRenamed({"node": "_pw_class", "root": "_pw_root"}))
+
+
+def _class_roots(sets: DataFrame, percent: int) -> DataFrame:
+    """(class, root) of the components of all links; classes without links don't appear."""
     n, shared = F.col("_pw_n"), F.col("_pw_shared")
     lone = n - shared  # shingles that nobody shares stand first by frequency
     prefix = F.slice("_pw_tokens", F.lit(1), (n - _least_overlap(n, percent) + 1 - lone).cast("int"))
@@ -228,7 +232,7 @@ def _component_links(sets: DataFrame, percent: int) -> DataFrame:
     ordered = [F.least("_pw_class", "_pw_centre.c").alias("a"), F.greatest("_pw_class", "_pw_centre.c").alias("b")]
     first = written(_links(met.select(*ordered).distinct(), sets, percent))
 
-    roots = components(first).withColumnsRenamed({"node": "_pw_class", "root": "_pw_root"})
+    roots = _roots(first)
     labelled = written(places.join(roots, "_pw_class", "left").withColumn("_pw_root", F.coalesce("_pw_root", "_pw_class")))
     common = (
         labelled.groupBy("_pw_token", "_pw_root")
@@ -250,4 +254,14 @@ def _component_links(sets: DataFrame, percent: int) -> DataFrame:
     other = other.where((100 + percent) * left >= percent * (n + F.col("n")))
     other = other.where(_can_link(n, shared, F.col("n"), F.col("s"), percent))
     ordered = [F.least("_pw_class", "c").alias("a"), F.greatest("_pw_class", "c").alias("b")]
-    return first.unionByName(_links(other.select(*ordered).distinct(), sets, percent))
+    more = written(_links(other.select(*ordered).distinct(), sets, percent))
+    if more.isEmpty():
+        return roots
+    # The components found are single nodes from here on.
+    named = [roots.select(F.col("_pw_class").alias(x), F.col("_pw_root").alias(f"root_{x}")) for x in ("a", "b")]
+    between = more.join(named[0], "a", "left").join(named[1], "b", "left")
+    upper = _roots(between.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")))
+    moved = upper.select(F.col("_pw_class").alias("_pw_root"), F.col("_pw_root").alias("_pw_upper"))
+    below = roots.join(_sent_if_few(moved), "_pw_root", "left")
+    below = below.select("_pw_class", F.coalesce("_pw_upper", "_pw_root").alias("_pw_root"))
+    return below.unionByName(upper.join(roots.select("_pw_class"), "_pw_class", "left_anti"))
