@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from xml.etree import ElementTree as ET
 
@@ -82,9 +83,12 @@ def _types(e: ET.Element) -> str:
     return " | ".join(dict.fromkeys(_text(t) for t in (kinds.iter() if kinds is not None else ()) if _tag(t) == "Type" and _text(t)))
 
 
+_DTD = re.compile(rb"\A(?:\xef\xbb\xbf)?(?>\s+|<\?.*?\?>|<!--.*?-->)*+<!DOCTYPE", re.S)
+
+
 def parsed(content: bytes) -> list[tuple[str, str, str, str, str, str, str]]:
     """(row, group, name, synonym, type, section, version) of one XML file; malformed files and those with a DTD give none."""
-    if b"<!DOCTYPE" in content[:4096] or b"<!ENTITY" in content[:4096]:
+    if _DTD.match(content):
         return []
     try:
         root = ET.fromstring(content)
@@ -172,14 +176,17 @@ EXPORT_GROUPS = {
 
 
 def export_records(files: DataFrame) -> DataFrame:
-    """(rel_path, tag, fields, types): each catalog record of an export, its child texts as a map, read in a stream."""
+    """(rel_path, tag, fields, types): each catalog record of an export, its child texts as a map, read in a stream.
+
+    Files with a DTD give none; malformed ones give the records before the fault.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for path, content in zip(b["rel_path"], b["content"], strict=True):
                 rows, parser = [], ET.XMLPullParser(("end",))
                 try:
-                    parser.feed(bytes(content))
+                    parser.feed(b"" if _DTD.match(bytes(content)) else bytes(content))
                 except ET.ParseError:
                     pass
                 for _, e in parser.read_events():

@@ -275,3 +275,13 @@ def test_trees_of_any_depth(spark):
     looped = spark.createDataFrame([(1, None, "a"), (2, 1, "b"), (1, 2, "a")], "id long, parent long, title string")
     with pytest.raises(ValueError):
         tree.breadcrumbs(looped, "id", "parent", "title")
+
+
+def test_files_with_a_dtd_give_no_records(spark):
+    body = b"<R><CatalogObject.X><Ref>1</Ref></CatalogObject.X></R>"
+    dtd = b"<?xml version='1.0'?>" + b"<!-- <a> -->" + b" " * 9000 + b"<!DOCTYPE R [<!ENTITY e 'x'>]>" + body
+    text = b"<R><CatalogObject.X><Ref><![CDATA[<!DOCTYPE html>]]></Ref></CatalogObject.X></R>"
+    files = spark.createDataFrame([(n, bytearray(c)) for n, c in (("dtd", dtd), ("plain", body), ("text", text))], "rel_path string, content binary")
+    found = {r["rel_path"]: r["fields"]["Ref"] for r in config_xml.export_records(files).collect()}
+    assert found == {"plain": "1", "text": "<!DOCTYPE html>"}
+    assert config_xml.parsed(dtd) == [] and config_xml.parsed(text)
