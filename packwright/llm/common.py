@@ -61,11 +61,12 @@ def joined_by_key(rows: DataFrame, table: DataFrame, key: str | list[str], count
     no task gets all rows of a frequent key. The others are shuffled.
     """
     keys = [key] if isinstance(key, str) else key
-    most = table.agg(F.sum(count)).first()[0] or 0
-    often = F.col(count) > max(most // 1000, 1000)
-    hot = table.where(often)
-    if hot.isEmpty():
+    every, most = table.agg(F.sum(count), F.max(count)).first()
+    bound = max((every or 0) // 1000, 1000)
+    if (most or 0) <= bound:
         return rows.join(table, keys, how)
+    often = F.col(count) > bound
+    hot = table.where(often)
     rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(table.where(~often), keys, how)
     return rows.join(F.broadcast(hot), keys).unionByName(rest)
 
