@@ -149,6 +149,42 @@ def title_synonym(title: Column | str) -> Column:
     return F.when((F.instr(t, " (") > 0) & (inside != "") & (F.lower(inside) != F.lower(title_base(title))), inside)
 
 
+# Contents titles that group pages and name no owner.
+GROUP_TITLES = ["объекты", "типы", "методы", "свойства", "конструкторы", "события", "functions", "methods", "properties", "types", "events", "constructors"]
+# Kinds of pages whose names stand behind their owner's.
+MEMBER_KINDS = ["method", "property", "event", "constructor", "field"]
+
+
+def member_parent(title: Column, breadcrumb: Column) -> Column:
+    """The nearest title above a page that is not blank, its own or a group's; empty if there is none."""
+    own = F.lower(strip(title))
+    above = F.filter(F.transform(breadcrumb, strip), lambda x: (x != "") & (F.lower(x) != own) & ~F.lower(x).isin(GROUP_TITLES))
+    return F.coalesce(F.try_element_at(above, F.lit(-1)), F.lit(""))
+
+
+def qualified_name(title: Column, kind: Column, breadcrumb: Column) -> Column:
+    """A title without its synonym, for members without a dot behind the title above them."""
+    base = title_base(title)
+    parent = member_parent(base, breadcrumb)
+    return F.when(~F.contains(base, F.lit(".")) & kind.isin(MEMBER_KINDS) & (parent != ""), F.concat_ws(".", parent, base)).otherwise(base)
+
+
+def name_parts(name: Column | str) -> Column:
+    """struct<owner, member> of a dotted name, cut at its last dot; a plain name has an empty owner."""
+    value = strip(name)
+    member = F.substring_index(value, ".", -1)
+    owner = F.when(F.contains(value, F.lit(".")), F.substring(value, F.lit(1), F.length(value) - F.length(member) - 1)).otherwise("")
+    return F.struct(strip(owner).alias("owner"), strip(member).alias("member"))
+
+
+def without_title_lines(c: Column | str, title: Column, breadcrumb: Column) -> Column:
+    """A text without the blank lines and those that only repeat the page's title or one above it."""
+    above = F.coalesce(F.transform(breadcrumb, lambda x: F.lower(strip(x))), F.array().cast("array<string>"))
+    noise = F.array_append(F.filter(above, lambda x: x != ""), F.lower(title_base(title)))
+    lines = F.filter(F.transform(F.split(normalized(c), "\n"), strip), lambda x: x != "")
+    return F.array_join(F.filter(lines, lambda x: ~F.array_contains(noise, F.lower(title_base(x)))), "\n")
+
+
 def code_blocks(c: Column | str) -> Column:
     """The bodies of fenced code blocks."""
     return F.transform(F.regexp_extract_all(_text(c), F.lit("```[^\n]*\n([^`]*)```"), F.lit(1)), strip)

@@ -85,3 +85,9 @@ def token_score(query: str, primary: Column, *others: Column) -> Column:
     for w in words:
         score = score + F.when(F.contains(hay, F.lit(w)), 5).otherwise(0)
     return score if q else F.lit(0)
+
+
+def ranked_examples(examples: DataFrame, query: str, limit: int) -> DataFrame:
+    """The examples that score highest for a query; ties by full name, title and description. Rows without any score have no place."""
+    score = token_score(query, F.col("full_name"), F.col("title"), F.col("description"), F.col("code"))
+    return examples.withColumn("score", score).where("score > 0").orderBy(F.desc("score"), "full_name", "title", "description").limit(limit)

@@ -11,7 +11,7 @@ from packwright.functions import paths as P
 from packwright.functions import resolver
 from packwright.functions import text as T
 from packwright.operators import code, fts, links, lookup, merge, stats, tree, vectors
-from packwright.sources import code_modules, container, config_xml, markdown, pages, records
+from packwright.sources import code_modules, container, config_xml, markdown, pages, records, unpacked
 from packwright.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,6 +83,36 @@ def title_parts(spark, sf):
     return table(spark, sf, "part").select("p_partkey", T.title_base(title).alias("base"), T.title_synonym(title).alias("synonym"))
 
 
+@query
+def qualified_names(spark, sf):
+    title = F.concat_ws(" (", "p_name", F.concat("p_type", F.lit(")")))
+    above = F.array(F.col("p_brand"), F.lit(" Methods "), F.lit(""), F.upper("p_name"))
+    name = T.qualified_name(title, F.when(F.col("p_size") > 25, "method").otherwise("topic"), above)
+    rows = table(spark, sf, "part").select("p_partkey", name.alias("qualified"))
+    return rows.select("*", T.name_parts("qualified")["owner"].alias("owner"), T.name_parts("qualified")["member"].alias("member"))
+
+
+@query
+def text_without_titles(spark, sf):
+    text = F.concat_ws("\n", F.concat("source", F.lit(" (heading)")), F.lit(" "), "text", F.upper("lang"))
+    return table(spark, sf, "documents").select("doc_id", T.without_title_lines(text, F.col("source"), F.array("lang")).alias("body"))
+
+
+@query
+def owner_stubs(spark, sf):
+    docs = table(spark, sf, "documents").where("source is not null and lang is not null")
+    members = docs.select(F.col("source").alias("owner_name"), F.col("lang").alias("version"), F.lit("ru").alias("language"))
+    objects = docs.select(F.col("source").alias("object_name"), F.lit("en").alias("version"), F.lit("ru").alias("language"))
+    return unpacked.owner_stubs(members, objects).select("full_name", "version", "kind", "resolver_kind", "summary")
+
+
+@query
+def ranked_examples(spark, sf):
+    part = table(spark, sf, "part")
+    examples = part.select(F.concat_ws(".", "p_brand", "p_name").alias("full_name"), F.col("p_name").alias("title"), F.col("p_type").alias("description"), F.lit(None).cast("string").alias("code"))
+    return lookup.ranked_examples(examples, "cold widget", 20)
+
+
 @query
 def code_blocks(spark, sf):
     fenced = F.concat(F.lit("a\n```sql\n"), F.translate("text", "`", "'"), F.lit("\n```\nb"))

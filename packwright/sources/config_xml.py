@@ -175,6 +175,12 @@ EXPORT_GROUPS = {
 }
 
 
+def is_export(content: Column) -> Column:
+    """Whether a file's first element is the root of a metadata export; prefixes, comments and the declaration aside."""
+    head = F.substring(content, 1, 65536).cast("string")
+    return F.coalesce(head.rlike(r"^\uFEFF?(?:\s|<\?[^>]*\?>|<!--(?:(?!-->)[\s\S])*+-->)*+<(?:[\w.-]+:)?Конфигурация[\s/>]"), F.lit(False))
+
+
 def export_records(files: DataFrame) -> DataFrame:
     """(rel_path, tag, fields, types): each catalog record of an export, its child texts as a map, read in a stream.
 
