@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from packwright.functions import resolver
 from packwright.functions.text import fold
 from packwright.operators import code, fts, lookup, stats
-from packwright.plans import packs
-from packwright.plans.catalog import Workspace, public
+from packwright.plans import build, packs
+from packwright.plans.catalog import Workspace, public, verify
 from packwright.sources import files
 
 SHOWN = ("domain", "name", "topic_path", "version", "snippet")
@@ -71,3 +71,24 @@ class Engine:
 
     def status(self) -> dict:
         return public(self.workspace.as_dict())
+
+    def verify(self, role: str = "metadata", names: list[str] | None = None, target: str | None = None) -> DataFrame:
+        """(check, ok) for a docs pack: each name answers, no field is blank, forms are there."""
+        return verify(self._table(role, "docs", target), names or [])
+
+    def ensure(self, needs: list[str], sources: list[str], out: str) -> dict:
+        """Builds what is missing or stale of the sources' targets; the workspace is kept in OUT/workspace."""
+        built = build.ensure(self.spark, self.workspace, needs, {s: s for s in sources}, out)
+        packs.write_manifest(self.spark, f"{out}/workspace", self.workspace.as_dict())
+        return {"built": built, "profile": self.workspace.profile}
+
+    def build_kb(self, trees: list[tuple[str, str]], language: str, out: str) -> dict:
+        """Builds the platform pack of (version, folder) trees of help pages; the workspace is kept in OUT/workspace."""
+        read = [(files.scan(self.spark, folder), version, language) for version, folder in trees]
+        manifest = build.build_help(read, f"{out}/platform")
+        self.workspace.packs["platform"] = f"{out}/platform"
+        packs.write_manifest(self.spark, f"{out}/workspace", self.workspace.as_dict())
+        return public(manifest)
+
+    def export(self, out: str) -> dict:
+        return public(build.export(self.spark, self.workspace, out))

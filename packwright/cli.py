@@ -1,4 +1,8 @@
-"""Command line: ``python -m packwright.cli WORKSPACE.json query-kb|query-code|query-config|resolve-packs|status ...``."""
+"""Command line: ``python -m packwright.cli WORKSPACE COMMAND ...``.
+
+WORKSPACE is a JSON file (``{}`` at first), or OUT/workspace/manifest, which ``ensure`` and ``build-kb`` write. Commands that ask: query-kb, query-code,
+query-config, resolve-packs, status, extract, verify. Commands that build: ensure, build-kb, export.
+"""
 
 from __future__ import annotations
 
@@ -22,6 +26,21 @@ def parser() -> argparse.ArgumentParser:
         s.add_argument("--limit", type=int, default=20)
     for s in (kb, sub.add_parser("resolve-packs"), sub.add_parser("status"), *[sub.choices[n] for n in ("query-code", "query-config")]):
         s.add_argument("--target")
+    ensure = sub.add_parser("ensure", help="build what the sources need and write the workspace to OUT/workspace")
+    ensure.add_argument("--needs", nargs="+", default=["metadata"], choices=("platform", "standards", "metadata", "code", "full"))
+    ensure.add_argument("--source", nargs="+", required=True)
+    book = sub.add_parser("build-kb", help="build the platform pack from VERSION=FOLDER trees of help pages")
+    book.add_argument("--tree", nargs="+", required=True)
+    book.add_argument("--language", default="ru")
+    for s in (ensure, book, sub.add_parser("export", help="copy all packs under OUT")):
+        s.add_argument("--out", required=True)
+    check = sub.add_parser("verify", help="ask a pack for names; ends with 1 if a check fails")
+    check.add_argument("--role", default="metadata")
+    check.add_argument("--name", nargs="*", default=[])
+    extract = sub.add_parser("extract", help="the text of one file of a full pack")
+    extract.add_argument("path")
+    for s in (check, extract):
+        s.add_argument("--target")
     kb.add_argument("--domain")
     kb.add_argument("--version")
     return p
@@ -34,6 +53,16 @@ def answer(engine, a: argparse.Namespace):
         return engine.code(a.what, a.q, a.target, a.limit)
     if a.command == "query-config":
         return engine.config(a.what, a.q, a.target, a.limit)
+    if a.command == "extract":
+        return engine.config("read", a.path, a.target)
+    if a.command == "verify":
+        return engine.verify(a.role, a.name, a.target)
+    if a.command == "ensure":
+        return engine.ensure(a.needs, a.source, a.out)
+    if a.command == "build-kb":
+        return engine.build_kb([t.split("=", 1) for t in a.tree], a.language, a.out)
+    if a.command == "export":
+        return engine.export(a.out)
     return engine.workspace.resolve_all(a.target) if a.command == "resolve-packs" else engine.status()
 
 
@@ -54,8 +83,9 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.getOrCreate()
     saved = json.loads("\n".join(r["value"] for r in spark.read.text(a.workspace).collect()))
     workspace = Workspace(saved.get("profile", "base"), saved.get("packs", {}), saved.get("targets", {}))
-    print(plain(answer(Engine(spark, workspace), a)))
-    return 0
+    result = answer(Engine(spark, workspace), a)
+    print(plain(result))
+    return int(a.command == "verify" and not result.where("not ok").isEmpty())
 
 
 if __name__ == "__main__":

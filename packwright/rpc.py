@@ -14,6 +14,7 @@ TOOLS = {
     "query_config": {"command": _TEXT, "q": _TEXT, "target": _TEXT, "limit": _COUNT},
     "resolve_packs": {"target": _TEXT, "role": _TEXT},
     "status": {},
+    "ensure": {"needs": {"type": "array", "items": _TEXT}, "sources": {"type": "array", "items": _TEXT}, "out": _TEXT},
 }
 
 
@@ -27,6 +28,8 @@ def call(engine, name: str, args: dict) -> str:
     if name == "resolve_packs":
         role = args.get("role")
         return plain(engine.workspace.resolve(role, args.get("target")) if role else engine.workspace.resolve_all(args.get("target")))
+    if name == "ensure":
+        return plain(engine.ensure(args["needs"], args["sources"], args["out"]))
     if name == "status":
         return plain(engine.status())
     raise KeyError(f"unknown tool: {name}")

@@ -1,5 +1,9 @@
+import json
+
 from test_sources import PAGE, tree_root  # noqa: F401
 
+from packwright import cli, rpc
+from packwright.api import Engine
 from packwright.plans import build, packs
 from packwright.plans.catalog import Workspace
 from packwright.sources import files
@@ -30,3 +34,28 @@ def test_help_pack_merges_versions(spark, tmp_path):
     row = packs.table(spark, str(tmp_path / "p"), "docs").first()
     assert row["name"] == "Получить" and "Gets it." in row["payload"]
     assert spark.read.parquet(str(tmp_path / "p/links")).where("link_kind = 'see_also'").count() == 2
+
+
+def test_commands_build_verify_extract_and_export(spark, tree_root, tmp_path, capsys):  # noqa: F811
+    out, pages = str(tmp_path / "w"), tmp_path / "help" / "o" / "methods"
+    pages.mkdir(parents=True)
+    (pages / "get.html").write_text(PAGE, encoding="utf-8")
+    (tmp_path / "w.json").write_text("{}")
+    assert cli.main([str(tmp_path / "w.json"), "build-kb", "--tree", f"8.3.10={tmp_path / 'help'}", "--out", out]) == 0
+    saved = f"{out}/workspace/manifest"
+    assert cli.main([saved, "ensure", "--needs", "full", "--source", tree_root, "--out", out]) == 0
+    capsys.readouterr()
+    assert cli.main([saved, "verify", "--name", "Document.D1"]) == 0 and '"ok": true' in capsys.readouterr().out
+    assert cli.main([saved, "verify", "--name", "Document.Missing"]) == 1
+    capsys.readouterr()
+    assert cli.main([saved, "extract", "Configuration.xml"]) == 0 and "<Name>Conf</Name>" in capsys.readouterr().out
+    assert cli.main([saved, "query-kb", "--q", "Получить"]) == 0 and "Получить" in capsys.readouterr().out
+    assert cli.main([saved, "export", "--out", str(tmp_path / "bundle")]) == 0
+    assert packs.read_manifest(spark, str(tmp_path / "bundle"))["packs"] == {"platform": "platform"}
+
+
+def test_ensure_tool(spark, tree_root, tmp_path):  # noqa: F811
+    engine = Engine(spark, Workspace())
+    asked = {"jsonrpc": "2.0", "id": 1, "method": "tools/call", "params": {"name": "ensure", "arguments": {"needs": ["metadata"], "sources": [tree_root], "out": str(tmp_path)}}}
+    result = rpc.handle(engine, json.dumps(asked))["result"]
+    assert not result["isError"] and json.loads(result["content"][0]["text"]) == {"built": ["conf_1.2"], "profile": "metadata"}
