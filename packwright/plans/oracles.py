@@ -78,6 +78,7 @@ ORACLES: dict[str, str] = {
       nullif({_squeeze("regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '<[^>]*>', '', 'g')")}, ''), 'Untitled') AS title FROM pages""",
     "qualified_names": "SELECT p_partkey, q AS qualified, CASE WHEN q LIKE '%.%' THEN trim(regexp_replace(q, '[.][^.]*$', '')) ELSE '' END AS owner, trim(regexp_extract(q, '[^.]*$')) AS member FROM (SELECT p_partkey, CASE WHEN p_size > 25 AND p_name NOT LIKE '%.%' THEN p_brand || '.' || trim(p_name) ELSE trim(p_name) END AS q FROM part)",
     "text_without_titles": f"SELECT doc_id, array_to_string(list_filter(list_transform(string_split({_normal('text')}, chr(10)), lambda x: trim(x)), lambda x: x <> '' AND lower(trim(string_split(x, ' (')[1])) NOT IN (lower(source), lower(lang))), chr(10)) AS body FROM documents",
+    "inline_sections": f"SELECT doc_id, 'Над ними' AS intro, source AS syntax, CASE WHEN {_normal('text')} = '' THEN lang ELSE {_normal('text')} || chr(10) || chr(10) || lang END AS description, 2 AS n FROM documents",
     "owner_stubs": "SELECT DISTINCT source AS full_name, lang AS version, 'type' AS kind, 'stub' AS resolver_kind, '' AS summary FROM documents WHERE lang <> 'en' AND trim(source) <> ''",
     "ranked_examples": """SELECT * FROM (SELECT p_brand || '.' || p_name AS full_name, p_name AS title, p_type AS description, CAST(NULL AS VARCHAR) AS code,
         CASE WHEN contains(lower(p_brand || '.' || p_name), 'cold widget') THEN 40 ELSE 0 END + CASE WHEN contains(lower(concat_ws(' ', p_brand || '.' || p_name, p_name, p_type)), 'cold') THEN 5 ELSE 0 END

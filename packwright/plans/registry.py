@@ -98,6 +98,13 @@ def text_without_titles(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.without_title_lines(text, F.col("source"), F.array("lang")).alias("body"))
 
 
+@query
+def inline_sections(spark, sf):
+    text = F.concat_ws("\n", F.lit("Над ними"), F.concat(F.lit("Синтаксис: "), "source"), F.concat(F.lit("Описание:"), "text"), F.lit("Поля: "), F.concat(F.lit("Описание варианта метода: "), "lang"))
+    rows = table(spark, sf, "documents").select("doc_id", pages.inline_sections(text).alias("s"))
+    return rows.select("doc_id", "s.intro", F.col("s.sections")["syntax"].alias("syntax"), F.col("s.sections")["description"].alias("description"), F.size("s.sections").alias("n"))
+
+
 @query
 def owner_stubs(spark, sf):
     docs = table(spark, sf, "documents").where("source is not null and lang is not null")

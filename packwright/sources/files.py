@@ -76,6 +76,15 @@ def old_text(content: pd.Series) -> pd.Series:
     return content.map(one)
 
 
+def charset(content_type: Column, content: Column) -> Column:
+    """A page's charset, lower case: as its header says, else as its first 8192 bytes say, else UTF-8 if it is, else Windows Cyrillic."""
+    said = F.regexp_extract(F.coalesce(content_type, F.lit("")), r"(?i)(?:^|;)\s*charset=\s*[\"']?([^;\"'\s]*)", 1)
+    head = F.regexp_replace(F.decode(F.substring(content, 1, 8192), "ISO-8859-1"), r"[^\x00-\x7F]", "")
+    meta = F.regexp_extract(head, r"(?i)<meta[^>]+charset\s*=\s*[\"']?([A-Za-z0-9_-]+)", 1)
+    guess = F.when(F.is_valid_utf8(content.cast("string")), "utf-8").otherwise("windows-1251")
+    return F.lower(F.coalesce(F.nullif(said, F.lit("")), F.nullif(meta, F.lit("")), guess))
+
+
 def entries(files: DataFrame, excerpt: int = 400) -> DataFrame:
     """One row per file and folder: kind, name, size, digest, text kind, hints, excerpt and exclusion reason."""
     head = F.lower(F.decode(F.substring("content", 1, 1_000_000), "ISO-8859-1"))

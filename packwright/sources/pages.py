@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packwright.functions.text import squeezed, strip
+from packwright.functions.text import normalized, squeezed, strip
 
 # How the chapters of a help page begin, and the section each is.
 CHAPTERS = (
@@ -97,6 +97,26 @@ def section_of(chapter: Column) -> Column:
     return out
 
 
+# Labels that start a section inside a plain text.
+INLINE_LABELS = {
+    "Синтаксис:": "syntax", "Поля:": "fields", "Параметры:": "params", "Возвращаемое значение:": "returns", "Описание:": "description", "Описание варианта метода:": "description",
+    "Доступность:": "availability", "Пример:": "example", "Примечание:": "note", "Использование в версии:": "platform_since",
+}
+
+
+def inline_sections(text: Column | str) -> Column:
+    """struct<intro, sections map<string,string>> of a text with labels; bodies of one section are joined by a blank line, empty ones left out."""
+    whole = normalized(text)
+    label = "|".join(INLINE_LABELS)
+    keys = F.create_map(*[F.lit(x) for pair in INLINE_LABELS.items() for x in pair])
+    parts = F.split(whole, label, -1)
+    found = F.transform(F.regexp_extract_all(whole, F.lit(label), F.lit(0)), lambda x, i: F.struct(F.element_at(keys, x).alias("key"), normalized(F.get(parts, i + 1)).alias("body")))
+    kept = F.filter(found, lambda x: x["body"] != "")
+    names = F.array_distinct(kept["key"])
+    bodies = F.transform(names, lambda k: F.array_join(F.transform(F.filter(kept, lambda x: x["key"] == k), lambda x: x["body"]), "\n\n"))
+    return F.struct(strip(F.get(parts, F.lit(0))).alias("intro"), F.map_from_arrays(names, bodies).alias("sections"))
+
+
 def sections(page_runs: DataFrame) -> DataFrame:
     """(id, section, body): runs of a chapter joined in their order; code between fences."""
     text = F.when(F.col("kind") == "code", F.concat(F.lit("```bsl\n"), "text", F.lit("\n```"))).otherwise(F.col("text"))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from packwright.functions import text as T
 from packwright.operators import fts
-from packwright.sources import config_xml, files, unpacked
+from packwright.sources import config_xml, files, pages, unpacked
 
 
 @pytest.fixture(scope="module")
@@ -74,3 +74,17 @@ def test_export_sniffing(spark):
 
 def test_dotted_query():
     assert fts.dotted_query_tokens(" Conn.Get  a_b ") == ["Conn", "Get", "a_b"]
+
+
+def test_inline_sections_of_plain_texts(spark):
+    texts = ["Intro\nОписание: a\n b Пример:\nОписание варианта метода: c", "no labels", "", None, "Поля:"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", pages.inline_sections("t").alias("s"))
+    got = {r["i"]: (r["s"]["intro"], r["s"]["sections"]) for r in rows.collect()}
+    assert got == {0: ("Intro", {"description": "a\n b\n\nc"}), 1: ("no labels", {}), 2: ("", {}), 3: ("", {}), 4: ("", {})}
+
+
+def test_charset(spark):
+    page = "<html><META http-equiv=x content='text/html; charset=KOI8-R'>".encode()
+    cases = [("text/html; Charset='UTF-8'", page), ("text/html", page), (None, "я".encode()), ("", "я".encode("cp1251")), (None, b""), (None, None)]
+    rows = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, h string, c binary").select("i", files.charset(F.col("h"), F.col("c")).alias("x"))
+    assert [r["x"] for r in rows.orderBy("i").collect()] == ["utf-8", "koi8-r", "utf-8", "windows-1251", "utf-8", "windows-1251"]
