@@ -174,7 +174,7 @@ def test_packs_engine_and_rpc(spark, tree, tmp_path):
     assert e.config("stats").where("entry_type = 'file'").first()["n"] == 10  # Spark leaves out names that start with an underscore
     assert json.loads(plain(answer(e, parser().parse_args(["w", "query-code", "callees", "--q", "Sum"]))).split("\n")[0])["callee_name"] == "Add"
     ask = lambda m, p=None: handle(e, json.dumps({"id": 1, "method": m, "params": p or {}}))
-    assert len(ask("tools/list")["result"]["tools"]) == 5 and handle(e, "{")["error"]["code"] == -32700 and handle(e, '{"method": "x"}') is None
+    assert len(ask("tools/list")["result"]["tools"]) == 6 and handle(e, "{")["error"]["code"] == -32700 and handle(e, '{"method": "x"}') is None
     assert "HTTP.Get" in ask("tools/call", {"name": "query_kb", "arguments": {"q": "http.get"}})["result"]["content"][0]["text"]
     assert ask("tools/call", {"name": "query_kb", "arguments": {"q": "x", "role": "metadata"}})["result"]["isError"] and ask("nope")["error"]["code"] == -32000
     assert catalog.verify(packs.table(spark, str(tmp_path / "p"), "docs"), ["HTTP.Get"]).where("ok").count() == 2
