@@ -20,12 +20,12 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The rows, computed once and kept as a table in the folder all executors share.
+def written(df: DataFrame, **options: str) -> DataFrame:
+    """The rows, computed once and kept as a table in the folder all executors share; options go to the Parquet writer.
 
     It lies under spark.checkpoint.dir, so lost executors cost nothing that was done before; the folder's owner clears it.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/packwright/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
