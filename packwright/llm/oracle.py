@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+from packwright.llm import url_filter as uf
 from packwright.llm.licenses import NOTICES, PHRASES, _distinct_words
 
 _OP1 = """
@@ -91,6 +92,138 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 """
 
 
+_CRC = """
+  SELECT list_transform(range(256), lambda k: list_reduce(list_prepend(k, range(8)),
+         lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc
+"""
+
+
+def _crc32(text: str) -> str:
+    """SQL of the CRC of a text's bytes; the table of 256 remainders is a column named crc."""
+    return f"""xor(4294967295, list_reduce(
+      list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, octet_length(encode({text})) + 1), lambda i: CAST('0x' || substr(hex(encode({text})), 2 * i - 1, 2) AS BIGINT))),
+      lambda c, b: xor(c >> 8, crc[xor(c & 255, b) + 1])))"""
+
+
+_OP12 = f"""
+WITH crc AS ({_CRC}),
+t AS (SELECT false AS wanted, doc_id, text FROM documents UNION ALL SELECT true, NULL, text FROM benchmark),
+w AS (
+  SELECT wanted, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '') AS words FROM t),
+g AS (
+  SELECT wanted, doc_id, array_to_string(words[s:s + n - 1], ' ') AS gram, count(*) AS times
+  FROM (SELECT *, unnest(range(1, len(words) - n + 2)) AS s FROM w, range(1, 4) sizes(n) WHERE len(words) >= n) GROUP BY ALL),
+h AS (SELECT gram, {_crc32("gram")} % 10000 AS bucket FROM (SELECT DISTINCT gram FROM g), crc),
+b AS (
+  SELECT bucket, coalesce(sum(times) FILTER (NOT wanted), 0) AS s, coalesce(sum(times) FILTER (wanted), 0) AS t FROM g JOIN h USING (gram) GROUP BY bucket),
+a AS (SELECT coalesce(sum(s), 0) AS s, coalesce(sum(t), 0) AS t FROM b),
+k AS (
+  SELECT bucket, CAST(floor(1000 * ln(CAST(b.t + 1 AS DOUBLE) * CAST(a.s + 10000 AS DOUBLE) / (CAST(b.s + 1 AS DOUBLE) * CAST(a.t + 10000 AS DOUBLE)))) AS BIGINT) AS gain FROM b, a),
+f AS (SELECT doc_id, sum(times) AS n_features, sum(times * gain) AS weight FROM g JOIN h USING (gram) JOIN k USING (bucket) WHERE NOT wanted GROUP BY doc_id),
+o AS (
+  SELECT w.doc_id, len(words) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('42:' || w.doc_id), 1, 8) AS BIGINT) + 0.5) / 4294967296))) AS BIGINT) AS score
+  FROM w LEFT JOIN f USING (doc_id) WHERE NOT wanted),
+r AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS place FROM o)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, CAST(score AS BIGINT) AS score,
+       CASE WHEN n_words >= 20 AND place <= (SELECT count(*) * 5 // 100 FROM o WHERE n_words >= 20) THEN place END AS rank FROM r
+"""
+
+_TURN_KEY = "coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')"
+_OP11 = f"""
+WITH RECURSIVE crc AS ({_CRC}),
+x AS (
+  SELECT coalesce('=' || conv_id, '') AS c, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc32(_TURN_KEY)} % 20 AS hit
+  FROM conversations, crc),
+d AS (
+  SELECT c, turn, CASE hit WHEN 4 THEN 'user' ELSE role END AS role, CASE hit WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+         unnest(range(CASE hit WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM x),
+o AS (
+  SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, sha256(length(role) || ':' || role || ':' || text), copy) AS t,
+         regexp_extract(text, '([^\\x20\\x09-\\x0D])[\\x20\\x09-\\x0D]*\\z', 1) AS ending, left(role, 1) AS kind FROM d),
+p AS (
+  SELECT *, ending = '' AS blank, ending <> '' AND row_number() OVER (PARTITION BY c, role, text ORDER BY t) > 1 AS repeated,
+         coalesce(lag(kind) OVER (PARTITION BY c ORDER BY t) || kind NOT IN ('su', 'ua', 'au'), false) AS illegal FROM o),
+m AS (
+  SELECT *, blank OR repeated AS goes, NOT blank AND NOT repeated AND ending NOT IN ('.', '!', '?') AS cut,
+         CASE kind WHEN 's' THEN [2, NULL, NULL, NULL] WHEN 'u' THEN [3, 3, NULL, 3] WHEN 'a' THEN [NULL, NULL, 4, NULL] ELSE [CAST(NULL AS INT), NULL, NULL, NULL] END AS keep,
+         CASE WHEN NOT blank AND NOT repeated AND ending NOT IN ('.', '!', '?') THEN 1 ELSE 0 END AS more FROM p),
+n AS (SELECT c, count(*) AS n FROM m GROUP BY c),
+b AS (
+  SELECT c, n + 1 AS t, [0, 4, 2, 0] AS v FROM n
+  UNION ALL
+  SELECT c, t, [least(r[1], 2 + r[3], 4 + r[4]), least(r[2], 2 + r[3], 4 + r[4]), least(r[3], 2 + r[4]), least(r[4], 2 + r[3])]
+  FROM (SELECT m.c, m.t, list_transform([1, 2, 3, 4], lambda s: least(3 + b.v[s], CASE WHEN goes THEN 1000000 ELSE more + least(2 + b.v[[3, 3, 4, 3][s]], coalesce(b.v[keep[s]], 1000000)) END)) AS r
+        FROM b JOIN m ON m.c = b.c AND m.t = b.t - 1)),
+f AS (
+  SELECT c, CAST(1 AS BIGINT) AS t, 1 AS s, '' AS audit, CAST([] AS VARCHAR[]) AS parts FROM n
+  UNION ALL
+  SELECT c, CASE WHEN e = 'I' THEN t ELSE t + 1 END, CASE e WHEN 'D' THEN s WHEN 'K' THEN k ELSE x END, audit || e,
+         CASE e WHEN 'D' THEN parts WHEN 'K' THEN list_append(parts, role || ':' || text) WHEN 'R' THEN list_append(parts, r || ':' || text) ELSE list_append(parts, r || ':') END
+  FROM (SELECT f.c, f.t, f.s, f.audit, f.parts, m.role, m.text, m.keep[f.s] AS k, [3, 3, 4, 3][f.s] AS x, CASE f.s WHEN 3 THEN 'assistant' ELSE 'user' END AS r,
+               CASE WHEN m.c IS NOT NULL AND 3 + a.v[f.s] = b.v[f.s] THEN 'D' WHEN 2 + b.v[[3, 3, 4, 3][f.s]] = b.v[f.s] THEN 'I'
+                    WHEN NOT m.goes AND more + a.v[m.keep[f.s]] = b.v[f.s] THEN 'K' ELSE 'R' END AS e
+        FROM f JOIN b ON b.c = f.c AND b.t = f.t LEFT JOIN m ON m.c = f.c AND m.t = f.t LEFT JOIN b a ON a.c = f.c AND a.t = f.t + 1
+        WHERE m.c IS NOT NULL OR b.v[f.s] > 0)),
+g AS (
+  SELECT c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (repeated) AS duplicate,
+         count(*) FILTER (cut) AS truncated, count(*) FILTER (illegal) AS illegal FROM m GROUP BY c),
+e AS (SELECT f.c, f.audit, f.parts, z.v[1] AS cost FROM f JOIN n USING (c) JOIN b ON b.c = f.c AND b.t = f.t JOIN b z ON z.c = f.c AND z.t = 1 WHERE f.t = n + 1 AND b.v[f.s] = 0)
+SELECT i.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate,
+       CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(cost, 0) AS BIGINT) AS cost,
+       coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(parts, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, coalesce('=' || conv_id, '') AS c FROM conversations) i LEFT JOIN g USING (c) LEFT JOIN e USING (c)
+"""
+
+
+def _op13() -> str:
+    ordered = sorted(uf.RULES, key=lambda r: (-len(r[1] + r[2]), r[1] + r[2]))
+    fits = [f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN" for _, h, p in ordered]
+    rule = " ".join(f"{f} '{h}{p}'" for f, (_, h, p) in zip(fits, ordered, strict=True))
+    ruled = " ".join(f"{f} '{v}'" for f, (v, _, _) in zip(fits, ordered, strict=True))
+    levels = []
+    for k in range(1, uf.DEPTH + 2):
+        levels.append(f"""
+a{k} AS (SELECT *, segments[{k}] AS step FROM l{k - 1} WHERE len(segments) >= {k}),
+n{k} AS (
+  SELECT host, node, count(*) > {uf.MOST_CHILDREN} OR (count(*) >= {uf.MANY_CHILDREN} AND sum(n) < {uf.SEEN} * count(*)) AS variable
+  FROM (SELECT host, node, step, sum(n) AS n FROM a{k} GROUP BY ALL) GROUP BY host, node),
+w{k} AS (SELECT a{k}.* REPLACE (CASE WHEN variable THEN '*' ELSE step END AS step) FROM a{k} JOIN n{k} USING (host, node)),
+e{k} AS (SELECT host, node, step, sum(blocked) AS blocked, sum(labelled) AS labelled, min(share) AS share FROM w{k} GROUP BY host, node, step),
+o{k} AS (SELECT *, CAST(blocked AS DOUBLE) / labelled AS own FROM e{k} WHERE labelled > 0),
+p{k} AS (SELECT *, lag(own) OVER w AS pown, lag(labelled) OVER w AS plab FROM o{k} WINDOW w AS (PARTITION BY host, node ORDER BY own, step)),
+q{k} AS (SELECT *, (pown * plab + own * labelled) / (plab + labelled) AS pooled FROM p{k}),
+g{k} AS (
+  SELECT *, sum(coalesce(CAST(own - pown > {uf.APART} * sqrt(pooled * (1 - pooled) * (1 / CAST(plab AS DOUBLE) + 1 / CAST(labelled AS DOUBLE))) AS INT), 0))
+         OVER (PARTITION BY host, node ORDER BY own, step) AS branch FROM q{k}),
+m{k} AS (
+  SELECT host, node, step, share, node || '/' || min(step) OVER w || CASE WHEN count(*) OVER w > 1 THEN '|' ELSE '' END AS child,
+         sum(blocked) OVER w AS blocked, sum(labelled) OVER w AS labelled FROM g{k} WINDOW w AS (PARTITION BY host, node, branch)
+  UNION ALL SELECT host, node, step, share, node || '/' || step, blocked, labelled FROM e{k} WHERE labelled = 0),
+l{k} AS (
+  SELECT host, segments, n, w{k}.blocked, w{k}.labelled, m{k}.child AS node, (m{k}.blocked + {uf.PRIOR} * m{k}.share) / (m{k}.labelled + {uf.PRIOR}) AS share
+  FROM w{k} JOIN m{k} USING (host, node, step))""")
+    found = " UNION ALL ".join(f"SELECT host, segments, node, share FROM l{k} WHERE len(segments) = {k}" for k in range(uf.DEPTH + 2))
+    return f"""
+WITH u AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
+r AS (
+  SELECT *, CASE {rule} END AS rule, CASE {ruled} END AS ruled, list_filter(string_split(path, '/'), lambda x: x <> '') AS parts FROM u),
+s AS (
+  SELECT *, list_concat(list_transform(parts[:{uf.DEPTH}], lambda x: regexp_replace(x, '[0-9a-fA-F]{{12,}}|[0-9]+', '#', 'g')),
+         CASE WHEN len(parts) > {uf.DEPTH} THEN ['**'] ELSE [] END) AS segments FROM r),
+c AS (
+  SELECT host, segments, count(*) AS n, count(*) FILTER (ruled = 'block') AS blocked, count(*) FILTER (ruled IS NOT NULL) AS labelled FROM s GROUP BY host, segments),
+h AS (
+  SELECT host, (sum(blocked) + {uf.PRIOR} * (SELECT CAST(sum(blocked) + 1 AS DOUBLE) / (sum(labelled) + 2) FROM c)) / (sum(labelled) + {uf.PRIOR}) AS share FROM c GROUP BY host),
+l0 AS (SELECT c.*, '' AS node, share FROM c JOIN h USING (host)),{",".join(levels)},
+f AS ({found})
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN share >= {uf.REJECT} THEN 'block' ELSE 'allow' END) AS verdict, node AS template, round(share, 6) AS purity
+FROM s JOIN f USING (host, segments)
+"""
+
 
 def _op9(threshold: float = 0.9) -> str:
     phrases = ", ".join(f"('{p}', {len(p.split())}, '{label}')" for p, label in PHRASES)
@@ -129,4 +262,7 @@ ORACLES: dict[str, str] = {
     "op4_ngram_jaccard_join": _OP4,
     "op7_exact_topk": _OP7,
     "op9_license_scans": _op9(),
+    "op11_conversation_repair": _OP11,
+    "op12_importance_resampling": _OP12,
+    "op13_url_filters": _op13(),
 }

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packwright.llm.common import held_out
+from packwright.llm.conversations import repaired_conversations
 from packwright.llm.decontaminate import contamination
+from packwright.llm.importance import importance_resample
 from packwright.llm.langid import fit_language_net, identify_languages, teaching_rows
 from packwright.llm.licenses import license_scan
 from packwright.llm.mixing import placed_words
@@ -18,6 +20,7 @@ from packwright.llm.quality import fit_quality, score_quality
 from packwright.llm.secrets import secret_digest, secret_scan
 from packwright.llm.token_counts import length_histogram, suffix_sums
 from packwright.llm.topk import top_inner_products
+from packwright.llm.url_filter import url_verdicts
 
 #: Where the public vocabularies lie.
 TOKENIZERS = "/opt/tokenizers"
@@ -85,6 +88,20 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(personal_data(_table(spark, sf_dir, "documents")))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repaired_conversations(_table(spark, sf_dir, "conversations"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = importance_resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = url_verdicts(_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "host", "path", "rule", "verdict", "template", F.round("purity", 6).alias("purity"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -98,5 +115,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_secret_scans,
         op9_license_scans,
         op10_pii,
+        op11_conversation_repair,
+        op12_importance_resampling,
+        op13_url_filters,
     )
 }
