@@ -210,14 +210,14 @@ WITH u AS (
   SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
 r AS (
-  SELECT *, CASE {rule} END AS rule, CASE {ruled} END AS ruled, list_filter(string_split(path, '/'), lambda x: x <> '') AS parts FROM u),
+  SELECT *, CASE {rule} END AS rule, CASE {ruled} END AS ruled, regexp_matches(host, '(^|[.-])({'|'.join(uf.HOST_WORDS)})([.-]|$)') AS suspect, list_filter(string_split(path, '/'), lambda x: x <> '') AS parts FROM u),
 s AS (
   SELECT *, list_concat(list_transform(parts[:{uf.DEPTH}], lambda x: regexp_replace(x, '[0-9a-fA-F]{{12,}}|[0-9]+', '#', 'g')),
          CASE WHEN len(parts) > {uf.DEPTH} THEN ['**'] ELSE [] END) AS segments FROM r),
 c AS (
-  SELECT host, segments, count(*) AS n, count(*) FILTER (ruled = 'block') AS blocked, count(*) FILTER (ruled IS NOT NULL) AS labelled FROM s GROUP BY host, segments),
+  SELECT host, segments, count(*) AS n, count(*) FILTER (ruled = 'block' OR ruled IS NULL AND suspect) AS blocked, count(*) FILTER (ruled IS NOT NULL OR suspect) AS labelled FROM s GROUP BY host, segments),
 h AS (
-  SELECT host, (sum(blocked) + {uf.PRIOR} * (SELECT CAST(sum(blocked) + 1 AS DOUBLE) / (sum(labelled) + 2) FROM c)) / (sum(labelled) + {uf.PRIOR}) AS share FROM c GROUP BY host),
+  SELECT host, (sum(blocked) + {uf.PRIOR} * {uf.EVEN}) / (sum(labelled) + {uf.PRIOR}) AS share FROM c GROUP BY host),
 l0 AS (SELECT c.*, '' AS node, share FROM c JOIN h USING (host)),{",".join(levels)},
 f AS ({found})
 SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN share >= {uf.REJECT} THEN 'block' ELSE 'allow' END) AS verdict, node AS template, round(share, 6) AS purity

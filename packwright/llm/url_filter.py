@@ -15,14 +15,17 @@ RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
+# Words of host names that label a URL as blocked where neither a rule nor a given label does.
+HOST_WORDS = ("adult", "ads", "bet", "bets", "casino", "malware", "phishing", "pill", "pills", "poker", "porn", "spam", "viagra", "warez")
 #: Segments below this depth are one wildcard.
 DEPTH = 6
 #: Nodes with more children than this, or with many children seen hardly more than once, are variable.
 MOST_CHILDREN, MANY_CHILDREN, SEEN = 50, 8, 2
 #: Branches whose shares of blocked URLs differ by fewer standard errors than this are one branch.
 APART = 1.96
-#: A parent's share counts as so many labelled URLs of a branch.
-PRIOR = 4
+#: A parent's share counts as so many labelled URLs of a branch; above a host stands an even share, so that no host
+#: is rejected for what others hold.
+PRIOR, EVEN = 4, 0.5
 #: From this smoothed share of blocked URLs on a template is rejected.
 REJECT = 0.7
 
@@ -43,6 +46,11 @@ def fitting_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
     return found, verdict
 
 
+def suspect_host(host: Column) -> Column:
+    """Whether a host's name holds one of HOST_WORDS, between dots and hyphens."""
+    return host.rlike(f"(^|[.-])({'|'.join(HOST_WORDS)})([.-]|$)")
+
+
 def skeleton(path: Column, depth: int = DEPTH) -> Column:
     """Segments of a path with numbers and long hexadecimal runs as #; what lies deeper is one segment **."""
     parts = F.array_remove(F.split(path, "/"), "")
@@ -87,23 +95,22 @@ def path_templates(urls: DataFrame, depth: int = DEPTH) -> DataFrame:
 
     ``urls`` has host, segments, blocked and labelled (0 or 1 each). Trees grow level by level over distinct
     skeletons with counts: at each node children are counted, the variable ones become *, similar ones merge, and
-    the branch's share is smoothed towards its parent's; a host's towards all hosts'. Levels end with the deepest
+    the branch's share is smoothed towards its parent's; a host's towards EVEN. Levels end with the deepest
     path, at most depth + 1. Keys with many rows are split by joined_by_key; no host is ever one task.
     """
     counted = urls.groupBy("host", "segments").agg(
         F.count(F.lit(1)).alias("n_urls"), F.sum("blocked").alias("blocked"), F.sum("labelled").alias("labelled")
     )
     counted = written(counted)
-    every = counted.agg(F.sum("blocked"), F.sum("labelled"), F.max(F.size("segments"))).first()
-    prior = ((every[0] or 0) + 1) / ((every[1] or 0) + 2)
+    deepest = counted.agg(F.max(F.size("segments"))).first()[0] or 0
     hosts = written(
         counted.groupBy("host")
         .agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("l"), F.count(F.lit(1)).alias("n_rows"))
-        .select("host", _share(F.col("b"), F.col("l"), F.lit(prior)).alias("share"), "n_rows")
+        .select("host", _share(F.col("b"), F.col("l"), F.lit(EVEN)).alias("share"), "n_rows")
     )
     live = joined_by_key(counted, hosts, "host", "n_rows").drop("n_rows").withColumn("node", F.lit(""))
     out = [live.where(F.size("segments") == 0)]
-    for k in range(1, (every[2] or 0) + 1):
+    for k in range(1, deepest + 1):
         live = written(live.where(F.size("segments") >= k).withColumn("step", F.element_at("segments", k)))
         nodes = live.groupBy("host", "node", "step").agg(F.sum("n_urls").alias("n"), F.count(F.lit(1)).alias("n_rows"))
         nodes = nodes.groupBy("host", "node").agg(F.count(F.lit(1)).alias("kids"), F.sum("n").alias("n"), F.sum("n_rows").alias("n_rows"))
@@ -125,8 +132,8 @@ def url_verdicts(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "u
     """One row a page: id, host, path, rule, verdict, template, purity.
 
     The longest fitting rule decides. Where none fits, the path's template does: its URLs are labelled by the rules,
-    and by ``label_col`` (allow or block) if there is one, and it is blocked when the smoothed share of blocked ones
-    reaches REJECT.
+    then by ``label_col`` (allow or block) if there is one, then by words of the host's name, and it is blocked when the
+    smoothed share of blocked ones reaches REJECT: one such word does not block a host of one or two URLs.
 
     Null URLs and those without :// have an empty host and path, fit no rule and share the template of the empty host;
     very long URLs are taken whole, segments below DEPTH as one; repeated rows each count and fare alike; ties of
@@ -137,7 +144,7 @@ def url_verdicts(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "u
     label = F.col(label_col).cast("string") if label_col else F.lit(None).cast("string")
     rows = pages.select(F.col(id_col).alias("_pw_id"), host.alias("host"), path.alias("path"), label.alias("label"))
     rule, verdict = fitting_rule(F.col("host"), F.col("path"), rules)
-    rows = rows.select("_pw_id", "host", "path", rule.alias("rule"), verdict.alias("ruled"), F.coalesce(verdict, "label").alias("label"), skeleton(F.col("path")).alias("segments"))
+    rows = rows.select("_pw_id", "host", "path", rule.alias("rule"), verdict.alias("ruled"), F.coalesce(verdict, "label", F.when(suspect_host(F.col("host")), "block")).alias("label"), skeleton(F.col("path")).alias("segments"))
     flags = rows.select("host", "segments", F.coalesce((F.col("label") == "block").cast("int"), F.lit(0)).alias("blocked"), F.coalesce(F.col("label").isin("allow", "block").cast("int"), F.lit(0)).alias("labelled"))
     templates = written(path_templates(flags))
     judged = joined_by_key(rows.withColumn("key", F.array_join("segments", "/")), templates, ["host", "key"], "n_urls")
