@@ -19,7 +19,7 @@ def breadcrumbs(nodes: DataFrame, id_col: str, parent_col: str, title_col: str)
     front = base.where("parent is null").select("id", F.lit(0).alias("depth"), F.array("title").alias("breadcrumb"))
     levels, most = [front], nodes.count()
     for depth in range(1, most + 2):
-        if depth > most:
+        if depth > max(most, 1):
             raise ValueError("a node stands below itself")
         up = front.select(F.col("id").alias("_up"), F.col("breadcrumb").alias("_crumb"))
         front = base.join(up, F.col("parent") == F.col("_up")).select(

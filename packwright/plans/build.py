@@ -36,13 +36,13 @@ def build_target(spark: SparkSession, source: str, out: str, profile: str = "ful
         packs.write_tables({"modules": modules, "symbols": symbols, "calls": calls}, made["code"], "code")
     if "full" in wanted:
         made["full"] = f"{out}/{target}/full"
-        build_full(tree, made["full"], sample)
+        build_full(tree, made["full"], sample, files.empty_folders(spark, source))
     return target, {"kind": "configuration", "config_name": name, "config_version": version, "source_path": source, "source": source_snapshot(tree), "packs": made}
 
 
-def build_full(tree: DataFrame, out: str, sample: int = 25) -> dict:
-    """Entries and blobs of all files but those with an exclusion reason; a sample is unpacked and compared."""
-    entries = files.entries(tree)
+def build_full(tree: DataFrame, out: str, sample: int = 25, empty: DataFrame | None = None) -> dict:
+    """Entries (``empty`` folders among them) and blobs of all files but those with an exclusion reason; a sample is unpacked and compared."""
+    entries = files.entries(tree, empty=empty)
     kept = entries.where("excluded_reason is null")
     reasons = {r["excluded_reason"]: r["n"] for r in stats.counter(entries.where("excluded_reason is not null"), "excluded_reason").collect()}
     blobs = files.blobs(tree.join(kept.where("entry_type = 'file'").select("rel_path"), "rel_path", "left_semi"))

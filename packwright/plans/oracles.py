@@ -184,4 +184,23 @@ ORACLES: dict[str, str] = {
     "configuration_fields": """SELECT 'A' || s_nationkey AS name, 'Catalog.S' || s_suppkey || '.A' || s_nationkey AS topic_path,
       'Catalog.S' || s_suppkey || ' S' || s_suppkey || ' A' || s_nationkey || ' Реквизит requisites' AS payload FROM supplier""",
     "event_windows": "SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
+    "category_tree": f"""WITH p AS (
+  SELECT page_id, 's' || (page_id % 20) AS shelf, 's' || (page_id % 20) || '/p' || page_id || '.html' AS path,
+         coalesce(nullif({_squeeze("regexp_replace(regexp_extract(html[1:2000], '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g')")}, ''),
+                  nullif({_squeeze("regexp_replace(regexp_extract(html[1:2000], '(?is)<title[^>]*>(.*?)</title>', 1), '<[^>]*>', '', 'g')")}, ''), 'Untitled') AS title FROM pages WHERE page_id % 20 < 19),
+l AS (SELECT DISTINCT shelf FROM p WHERE page_id % 20 % 2 = 0 AND page_id % 3 > 0)
+SELECT shelf AS path, CAST(NULL AS VARCHAR) AS parent, CAST(row_number() OVER (ORDER BY shelf) - 1 AS INTEGER) AS position, shelf AS title, '' AS page, 0 AS depth, shelf AS breadcrumb
+FROM (SELECT DISTINCT shelf FROM p)
+UNION ALL SELECT path, shelf, CAST(row_number() OVER (PARTITION BY shelf ORDER BY page_id DESC) - 1 AS INTEGER), title, path, 1, shelf || ' / ' || title FROM p JOIN l USING (shelf) WHERE page_id % 3 > 0
+UNION ALL SELECT path, shelf, NULL, title, path, 1, shelf || ' / ' || title FROM p WHERE shelf NOT IN (SELECT shelf FROM l)""",
+    "help_books_found": """WITH n AS (
+  SELECT DISTINCT CASE WHEN c_custkey % 3 = 0 THEN 'x' || (c_custkey % 4) || '/' ELSE '' END || CASE WHEN c_custkey % 7 = 0 THEN '8.x' ELSE '8.3.' || (c_custkey % 23) END AS folder,
+         'book ' || c_nationkey AS label, ['_ru', '_EN', ''][c_custkey % 5 % 3 + 1] AS tongue FROM customer),
+b AS (SELECT *, string_split(folder, '/')[-1] AS version, folder || '/' || label || tongue || '.hbk' AS rel_path FROM n WHERE tongue <> ''),
+s AS (
+  SELECT DISTINCT folder, string_split(folder, '/')[-1] AS version, false AS asked FROM n WHERE regexp_matches(folder, '^[0-9]+([.][0-9]+){2,3}$')
+  UNION ALL SELECT folder, version, true FROM (
+    SELECT DISTINCT folder, string_split(folder, '/')[-1] AS version, row_number() OVER (PARTITION BY string_split(folder, '/')[-1] ORDER BY contains(folder, '/'), folder) AS k
+    FROM (SELECT DISTINCT folder FROM n)) WHERE k = 1 AND version IN ('8.3.21', '8.x', '8.3.3', '9.9'))
+SELECT rel_path, s.version, lower(tongue[2:]) AS language, replace(label, ' ', '_') || tongue AS stem, replace(label, ' ', '_') AS label, asked FROM b JOIN s USING (folder)""",
 }

@@ -11,7 +11,7 @@ from packwright.functions import paths as P
 from packwright.functions import resolver
 from packwright.functions import text as T
 from packwright.operators import code, fts, links, lookup, merge, stats, tree, vectors
-from packwright.sources import code_modules, container, config_xml, markdown, pages, records, unpacked
+from packwright.sources import categories, code_modules, config_xml, container, help_books, markdown, pages, records, unpacked
 from packwright.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -577,3 +577,32 @@ def configuration_fields(spark, sf):
 @query
 def event_windows(spark, sf):
     return ingest.windowed_counts(table(spark, sf, "events"), "ts", "event_type")
+
+
+@query
+def category_tree(spark, sf):
+    """Pages in folders of which even ones list theirs backwards, odd ones have no list, and one is not reached."""
+    shelf = F.concat(F.lit("s"), F.col("page_id") % 20)
+    rows = table(spark, sf, "pages").select("page_id", shelf.alias("shelf"), F.concat(F.lit("p"), "page_id", F.lit(".html")).alias("file"), "html")
+    files = rows.select(F.concat_ws("/", "shelf", "file").alias("rel_path"), F.encode("html", "UTF-8").alias("content"))
+    listed = rows.where("page_id % 20 % 2 = 0 and page_id % 3 > 0").groupBy("shelf").agg(F.sort_array(F.collect_list("page_id"), asc=False).alias("ids"))
+    names = F.transform("ids", lambda i: F.concat(F.lit('{1,"p'), i.cast("string"), F.lit('.html"}')))
+    lists = listed.select(F.concat("shelf", F.lit("/__categories__")).alias("rel_path"), F.encode(F.array_join(names, ","), "UTF-8").alias("content"))
+    top = rows.where("page_id % 20 < 19").agg(F.sort_array(F.collect_set("shelf")).alias("all"))
+    top = top.select(F.lit("__categories__").alias("rel_path"), F.encode(F.array_join(F.transform("all", lambda x: F.concat(F.lit('{1,"'), x, F.lit('"}'))), ","), "UTF-8").alias("content"))
+    found = categories.category_tree(files.unionByName(lists).unionByName(top), root="")
+    return found.select("path", "parent", "position", "title", "page", "depth", F.array_join("breadcrumb", " / ").alias("breadcrumb"))
+
+
+@query
+def help_books_found(spark, sf):
+    """A listing of version folders at two depths with containers in several languages."""
+    k = F.col("c_custkey")
+    folder = F.concat(F.when(k % 3 == 0, F.concat(F.lit("x"), k % 4, F.lit("/"))).otherwise(""), F.when(k % 7 == 0, F.lit("8.x")).otherwise(F.concat(F.lit("8.3."), k % 23)))
+    names = table(spark, sf, "customer").select(folder.alias("folder"), F.concat(F.lit("book "), "c_nationkey", F.element_at(F.array(*map(F.lit, ("_ru", "_EN", ""))), (k % 5 % 3 + 1).cast("int")), F.lit(".hbk")).alias("name"))
+    row = lambda path, is_dir: F.struct(path.alias("rel_path"), F.lit(is_dir).alias("is_dir"))
+    listed = names.select(F.explode(F.array(row(F.col("folder"), True), row(F.concat_ws("/", "folder", "name"), False))).alias("r")).select("r.*").distinct()
+    near = help_books.version_folders(listed, "/data/help")
+    asked = help_books.version_folders(listed, "/data/help", ["8.3.21", "8.x", "8.3.3", "9.9"])
+    found = [help_books.help_books(listed, s, ["ru", "en"]).withColumn("asked", F.lit(a)) for s, a in ((near, False), (asked, True))]
+    return found[0].unionByName(found[1])

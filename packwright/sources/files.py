@@ -10,23 +10,35 @@ from pyspark.sql import types as T
 from packwright.functions import paths as P
 from packwright.functions.text import compact, without_embedded_images
 from packwright.operators.tree import folders
+from packwright.sources import listing
 
 #: Encodings of old text files, tried in this order.
 ENCODINGS = ("utf-8", "cp1251", "cp866", "latin-1")
 HTML_BYTES = 10 * 1024 * 1024
 
 
-def scan(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+def scan(spark: SparkSession, root: str, pattern: str = "*", hidden: bool | None = None) -> DataFrame:
     """rel_path, length, modified, content of every file below a folder; content is read only where it is used.
 
-    Spark lists no names that start with a dot or an underscore, and no empty folders.
+    Spark's reader passes over names that start with a dot or an underscore; those come from the listing source, if the
+    root is a local path or ``hidden`` says so (stores that pyarrow opens).
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
     base = F.regexp_replace(F.lit(root.rstrip("/")), "^[a-z]+:/*", "/")
     rel = F.expr(
         "substring(path, instr(path, _base) + length(_base) + 1)"
     )
-    return files.withColumn("_base", base).select(F.url_decode(F.replace(rel, F.lit("+"), F.lit("%2B"))).alias("rel_path"), "length", F.col("modificationTime").alias("modified"), "content")
+    seen = files.withColumn("_base", base).select(F.url_decode(F.replace(rel, F.lit("+"), F.lit("%2B"))).alias("rel_path"), "length", F.col("modificationTime").alias("modified"), "content")
+    if hidden is None:
+        hidden = "://" not in root or root.startswith("file:")
+    return seen.unionByName(listing.hidden_files(spark, root, pattern)) if hidden else seen
+
+
+def empty_folders(spark: SparkSession, root: str) -> DataFrame:
+    """(rel_path) of folders without anything in them."""
+    rows = listing.listing(spark, root)
+    parents = rows.where(F.contains("rel_path", F.lit("/"))).select(F.regexp_replace("rel_path", "/[^/]*$", "").alias("rel_path"))
+    return rows.where("is_dir").select("rel_path").join(parents, "rel_path", "left_anti")
 
 
 @F.pandas_udf(T.StructType().add("text", T.StringType()).add("encoding", T.StringType()))
@@ -85,8 +97,11 @@ def charset(content_type: Column, content: Column) -> Column:
     return F.lower(F.coalesce(F.nullif(said, F.lit("")), F.nullif(meta, F.lit("")), guess))
 
 
-def entries(files: DataFrame, excerpt: int = 400) -> DataFrame:
-    """One row per file and folder: kind, name, size, digest, text kind, hints, excerpt and exclusion reason."""
+def entries(files: DataFrame, excerpt: int = 400, empty: DataFrame | None = None) -> DataFrame:
+    """One row per file and folder: kind, name, size, digest, text kind, hints, excerpt and exclusion reason.
+
+    Folders are those above the files, and the ``empty`` ones (rel_path).
+    """
     head = F.lower(F.decode(F.substring("content", 1, 1_000_000), "ISO-8859-1"))
     ext = P.extension(F.col("rel_path"))
     text = F.when(ext.isin(*P.TEXT_EXTENSIONS), decoded("content"))
@@ -99,13 +114,22 @@ def entries(files: DataFrame, excerpt: int = 400) -> DataFrame:
         compact(without_embedded_images(F.col("_d.text")), excerpt).alias("text_excerpt"), "excluded_reason",
     )
     dir_hint = P.object_hint(F.col("folder"), F.lit(False))
-    of_dirs = folders(files, "rel_path").select(
+    every = folders(files, "rel_path")
+    if empty is not None:
+        every = every.unionByName(tree_with_parents(empty)).distinct()
+    of_dirs = every.select(
         F.col("folder").alias("rel_path"), F.lit("dir").alias("entry_type"), P.file_name(F.col("folder")).alias("name"), F.lit("").alias("ext"), F.lit(0).cast("long").alias("size_bytes"),
         dir_hint["object_type"].alias("object_type"), dir_hint["object_name"].alias("object_name"),
     )
     return of_files.unionByName(of_dirs, allowMissingColumns=True)
 
 
+def tree_with_parents(empty: DataFrame) -> DataFrame:
+    """(folder): the given folders and all above them."""
+    own = empty.select(F.col("rel_path").alias("folder"))
+    return own.unionByName(folders(own, "folder"))
+
+
 @F.pandas_udf(T.BinaryType())
 def compressed(content: pd.Series) -> pd.Series:
     import zstandard
