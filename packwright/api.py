@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from packwright.functions import resolver
 from packwright.functions.text import fold
 from packwright.operators import code, fts, lookup, stats
-from packwright.plans import build, packs
+from packwright.plans import build, metadata, packs
 from packwright.plans.catalog import Workspace, public, verify
 from packwright.sources import files
 
@@ -90,5 +90,12 @@ class Engine:
         packs.write_manifest(self.spark, f"{out}/workspace", self.workspace.as_dict())
         return public(manifest)
 
+    def build_metadata(self, name: str, out: str, **sources: str | None) -> dict:
+        """Builds a target's metadata pack from snapshots, a configuration tree or exports; the workspace is kept in OUT/workspace."""
+        manifest = metadata.build_metadata(self.spark, metadata.metadata_inputs(self.spark, **sources), f"{out}/{name}")
+        self.workspace.targets.setdefault(name, {"kind": "configuration", "packs": {}})["packs"]["metadata"] = f"{out}/{name}/metadata"
+        packs.write_manifest(self.spark, f"{out}/workspace", self.workspace.as_dict())
+        return public(manifest)
+
     def export(self, out: str) -> dict:
         return public(build.export(self.spark, self.workspace, out))

@@ -1,7 +1,7 @@
 """Command line: ``python -m packwright.cli WORKSPACE COMMAND ...``.
 
 WORKSPACE is a JSON file (``{}`` at first), or OUT/workspace/manifest, which ``ensure`` and ``build-kb`` write. Commands that ask: query-kb, query-code,
-query-config, resolve-packs, status, extract, verify. Commands that build: ensure, build-kb, export.
+query-config, resolve-packs, status, extract, verify. Commands that build: ensure, build-kb, build-metadata, export.
 """
 
 from __future__ import annotations
@@ -32,7 +32,11 @@ def parser() -> argparse.ArgumentParser:
     book = sub.add_parser("build-kb", help="build the platform pack from VERSION=FOLDER trees of help pages")
     book.add_argument("--tree", nargs="+", required=True)
     book.add_argument("--language", default="ru")
-    for s in (ensure, book, sub.add_parser("export", help="copy all packs under OUT")):
+    meta = sub.add_parser("build-metadata", help="build a target's metadata pack from snapshots, a configuration tree or exports, the first that is named")
+    meta.add_argument("--name", required=True)
+    for option in ("--snapshots", "--config", "--source"):
+        meta.add_argument(option)
+    for s in (ensure, book, meta, sub.add_parser("export", help="copy all packs under OUT")):
         s.add_argument("--out", required=True)
     check = sub.add_parser("verify", help="ask a pack for names; ends with 1 if a check fails")
     check.add_argument("--role", default="metadata")
@@ -61,6 +65,8 @@ def answer(engine, a: argparse.Namespace):
         return engine.ensure(a.needs, a.source, a.out)
     if a.command == "build-kb":
         return engine.build_kb([t.split("=", 1) for t in a.tree], a.language, a.out)
+    if a.command == "build-metadata":
+        return engine.build_metadata(a.name, a.out, snapshots=a.snapshots, config=a.config, source=a.source)
     if a.command == "export":
         return engine.export(a.out)
     return engine.workspace.resolve_all(a.target) if a.command == "resolve-packs" else engine.status()

@@ -203,4 +203,14 @@ s AS (
     SELECT DISTINCT folder, string_split(folder, '/')[-1] AS version, row_number() OVER (PARTITION BY string_split(folder, '/')[-1] ORDER BY contains(folder, '/'), folder) AS k
     FROM (SELECT DISTINCT folder FROM n)) WHERE k = 1 AND version IN ('8.3.21', '8.x', '8.3.3', '9.9'))
 SELECT rel_path, s.version, lower(tongue[2:]) AS language, replace(label, ' ', '_') || tongue AS stem, replace(label, ' ', '_') AS label, asked FROM b JOIN s USING (folder)""",
+    "snapshot_fields": """WITH o AS (
+  SELECT n_nationkey AS n, n_name, ['Document', 'Catalog', 'Constant', NULL][n_nationkey % 4 + 1] AS object_type FROM nation),
+f AS (
+  SELECT s_suppkey AS k, s_name, s_nationkey AS n, ['ТабличнаяЧасть', 'Реквизит', 'Измерение', 'Прочее'][s_suppkey % 4 + 1] AS kind,
+         CASE WHEN s_suppkey % 4 = 1 THEN coalesce((SELECT n_name FROM nation WHERE n_nationkey = (s_nationkey + 1) % 30), 'o' || ((s_nationkey + 1) % 30)) END AS first_type FROM supplier)
+SELECT object_type || '.' || n_name AS object_id, n_name AS object_name, object_type, '1' AS config_version,
+       CASE WHEN t.k IS NOT NULL THEN 'tabular_section_requisites' ELSE ['tabular_sections', 'requisites', 'dimensions', 'properties'][f.k % 4 + 1] END AS "group",
+       f.s_name AS name, f.kind, coalesce(first_type, '') AS type, coalesce(first_type || '|Строка', '') AS types, t.s_name AS tabular_section,
+       CASE WHEN object_type = 'Constant' THEN 'Константы.' || n_name || '.Получить()' END AS constant_bsl_hint
+FROM f JOIN o USING (n) LEFT JOIN f t ON f.k % 4 = 1 AND t.k = f.k - 1 WHERE object_type IS NOT NULL""",
 }

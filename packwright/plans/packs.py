@@ -22,7 +22,7 @@ def numbered(docs: DataFrame) -> DataFrame:
     return docs.withColumn("doc_id", key).withColumn("name_key", fold("name")).withColumn("path_key", fold("topic_path"))
 
 
-def write_docs(docs: list[DataFrame], path: str) -> dict:
+def write_docs(docs: list[DataFrame], path: str, extra: dict | None = None) -> dict:
     """A docs pack: partitioned by domain, sorted by folded name so that row groups can be skipped. Returns its manifest."""
     began = time.time()
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [numbered(d) for d in docs])
@@ -32,7 +32,7 @@ def write_docs(docs: list[DataFrame], path: str) -> dict:
     counts = {r["domain"]: r["n"] for r in saved.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
     versions = [r["v"] for r in saved.select(F.explode("versions").alias("v")).distinct().orderBy("v").collect()]
     totals = write_index(saved, path)
-    return write_manifest(saved.sparkSession, path, {"format": "packwright_docs_v1", "text_index": totals, "domain_counts": counts, "versions_seen": versions, "duration_sec": round(time.time() - began, 3)})
+    return write_manifest(saved.sparkSession, path, {"format": "packwright_docs_v1", "text_index": totals, "domain_counts": counts, "versions_seen": versions, "duration_sec": round(time.time() - began, 3), **(extra or {})})
 
 
 def write_index(docs: DataFrame, path: str) -> dict:

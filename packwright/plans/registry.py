@@ -11,7 +11,7 @@ from packwright.functions import paths as P
 from packwright.functions import resolver
 from packwright.functions import text as T
 from packwright.operators import code, fts, links, lookup, merge, stats, tree, vectors
-from packwright.sources import categories, code_modules, config_xml, container, help_books, markdown, pages, records, unpacked
+from packwright.sources import categories, code_modules, config_xml, container, exports, help_books, markdown, pages, records, unpacked
 from packwright.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -606,3 +606,22 @@ def help_books_found(spark, sf):
     asked = help_books.version_folders(listed, "/data/help", ["8.3.21", "8.x", "8.3.3", "9.9"])
     found = [help_books.help_books(listed, s, ["ru", "en"]).withColumn("asked", F.lit(a)) for s, a in ((near, False), (asked, True))]
     return found[0].unionByName(found[1])
+
+
+@query
+def snapshot_fields(spark, sf):
+    """An export's records made of nations (objects) and suppliers (their fields), nested as a snapshot and listed again."""
+    pick = lambda key, *names: F.element_at(F.array(*map(F.lit, names)), (F.col(key) % len(names) + 1).cast("int"))
+    entry = lambda **f: F.map_from_arrays(F.array(*map(F.lit, f)), F.array(*f.values()))
+    none = F.array().cast("array<string>")
+    ref = lambda c: F.concat(F.lit("o"), c.cast("string"))
+    n, k = F.col("n_nationkey"), F.col("s_suppkey")
+    objects = table(spark, sf, "nation").select(F.lit("Объекты").alias("tag"), entry(Ref=ref(n), Тип=pick("n_nationkey", "Документ", "Справочник", "Константа", "Прочее"), Имя=F.col("n_name")).alias("fields"), none.alias("types"))
+    parent = F.when(k % 4 == 1, F.concat(F.lit("s"), k - 1)).otherwise("")
+    owned = entry(Ref=F.concat(F.lit("s"), k), Owner=ref(F.col("s_nationkey")), Parent=parent, Вид=pick("s_suppkey", "ТабличнаяЧасть", "Реквизит", "Измерение", "Прочее"), Имя=F.col("s_name"))
+    types = F.when(k % 4 == 1, F.array(ref((F.col("s_nationkey") + 1) % 30), F.lit("Строка"))).otherwise(none)
+    fields = table(spark, sf, "supplier").select(F.lit("Свойства").alias("tag"), owned.alias("fields"), types.alias("types"))
+    read = objects.unionByName(fields).select(F.lit("export.xml").alias("rel_path"), "*")
+    nested = exports.nested_objects(config_xml.export_objects(read), config_xml.export_fields(read), "C", "1")
+    listed = exports.nested_fields(nested)
+    return listed.select("object_id", "object_name", "object_type", "config_version", "group", "name", "kind", "type", F.array_join("types", "|").alias("types"), "tabular_section", "constant_bsl_hint")

@@ -130,3 +130,18 @@ def hidden_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFram
     """Files that Spark's own readers pass over, with their bytes."""
     rows = listing(spark, root)
     return with_content(rows.where(~F.col("is_dir") & is_hidden(F.col("rel_path")) & matches(F.col("rel_path"), pattern)), root)
+
+
+def heads(files: DataFrame, root: str, size: int = 65536) -> DataFrame:
+    """Listed files with their first bytes only, as ``head``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = opened(root)
+        for batch in batches:
+            found = []
+            for path in batch.column(batch.schema.get_field_index("rel_path")).to_pylist():
+                with store.open_input_stream(f"{base}/{path}") as f:
+                    found.append(f.read(size))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], [*batch.schema.names, "head"])
+
+    return files.where("not is_dir").mapInArrow(run, f"{SCHEMA}, head binary")
