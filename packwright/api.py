@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from packwright.functions import resolver
 from packwright.functions.text import fold
 from packwright.operators import code, fts, lookup, stats
-from packwright.plans import build, metadata, packs
+from packwright.plans import build, bundle, increment, metadata, packs
 from packwright.plans.catalog import Workspace, public, verify
-from packwright.sources import files
+from packwright.sources import files, markdown
 
 SHOWN = ("domain", "name", "topic_path", "version", "snippet")
 
@@ -20,7 +20,7 @@ class Engine:
         self.spark, self.workspace = spark, workspace
 
     def _table(self, role: str, name: str, target: str | None) -> DataFrame:
-        return packs.table(self.spark, self.workspace.resolve(role, target), name)
+        return increment.live(self.spark, self.workspace.resolve(role, target), name)
 
     def search(self, q: str, role: str = "platform", *, target: str | None = None, limit: int = 10, domain: str | None = None, version: str | None = None, exact: bool = False) -> DataFrame:
         """Pack rows equal to the query by name or path; if there are none (and not ``exact``), full-text matches."""
@@ -97,5 +97,18 @@ class Engine:
         packs.write_manifest(self.spark, f"{out}/workspace", self.workspace.as_dict())
         return public(manifest)
 
-    def export(self, out: str) -> dict:
-        return public(build.export(self.spark, self.workspace, out))
+    def build_standards(self, source: str, version: str, out: str) -> dict:
+        """Builds the standards pack of a folder of Markdown files or, where OUT has one, brings it up to the folder."""
+        make, path = lambda files: markdown.standards(files, version), f"{out}/standards"
+        known = self.workspace.packs.get("standards") == path
+        manifest = (increment.update if known else increment.build)(self.spark, source, "*.md", make, path)
+        self.workspace.packs["standards"] = path
+        packs.write_manifest(self.spark, f"{out}/workspace", self.workspace.as_dict())
+        return public(manifest)
+
+    def export(self, out: str, archive: str | None = None) -> dict:
+        """Copies all packs under OUT and, if asked, archives the copy in another folder."""
+        manifest = bundle.export(self.spark, self.workspace, out)
+        if archive:
+            manifest = manifest | {"archive": bundle.archive(self.spark, out, archive)}
+        return public(manifest)

@@ -1,7 +1,8 @@
 """Command line: ``python -m packwright.cli WORKSPACE COMMAND ...``.
 
 WORKSPACE is a JSON file (``{}`` at first), or OUT/workspace/manifest, which ``ensure`` and ``build-kb`` write. Commands that ask: query-kb, query-code,
-query-config, resolve-packs, status, extract, verify. Commands that build: ensure, build-kb, build-metadata, export.
+query-config, resolve-packs, status, extract, verify. Commands that build: ensure, build-kb, build-metadata,
+build-standards, export, import. A bundle's own manifest serves as a workspace too.
 """
 
 from __future__ import annotations
@@ -9,6 +10,9 @@ from __future__ import annotations
 import argparse
 import json
 
+from packwright.plans import bundle
+from packwright.plans.catalog import Workspace
+
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="packwright")
@@ -36,7 +40,14 @@ def parser() -> argparse.ArgumentParser:
     meta.add_argument("--name", required=True)
     for option in ("--snapshots", "--config", "--source"):
         meta.add_argument(option)
-    for s in (ensure, book, meta, sub.add_parser("export", help="copy all packs under OUT")):
+    rules = sub.add_parser("build-standards", help="build the standards pack of Markdown files, or read the files that changed since")
+    rules.add_argument("--source", required=True)
+    rules.add_argument("--version", default="1")
+    copies = sub.add_parser("export", help="copy all packs under OUT")
+    copies.add_argument("--archive", help="a folder for the copy's archive")
+    back = sub.add_parser("import", help="unpack an archive to OUT; OUT/manifest is its workspace")
+    back.add_argument("archive")
+    for s in (ensure, book, meta, rules, copies, back):
         s.add_argument("--out", required=True)
     check = sub.add_parser("verify", help="ask a pack for names; ends with 1 if a check fails")
     check.add_argument("--role", default="metadata")
@@ -67,8 +78,12 @@ def answer(engine, a: argparse.Namespace):
         return engine.build_kb([t.split("=", 1) for t in a.tree], a.language, a.out)
     if a.command == "build-metadata":
         return engine.build_metadata(a.name, a.out, snapshots=a.snapshots, config=a.config, source=a.source)
+    if a.command == "build-standards":
+        return engine.build_standards(a.source, a.version, a.out)
     if a.command == "export":
-        return engine.export(a.out)
+        return engine.export(a.out, a.archive)
+    if a.command == "import":
+        return {"files": bundle.unpack(engine.spark, a.archive, a.out)}
     return engine.workspace.resolve_all(a.target) if a.command == "resolve-packs" else engine.status()
 
 
@@ -83,12 +98,13 @@ def main(argv: list[str] | None = None) -> int:
     from pyspark.sql import SparkSession
 
     from packwright.api import Engine
-    from packwright.plans.catalog import Workspace
 
     a = parser().parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
     saved = json.loads("\n".join(r["value"] for r in spark.read.text(a.workspace).collect()))
     workspace = Workspace(saved.get("profile", "base"), saved.get("packs", {}), saved.get("targets", {}))
+    if saved.get("format") == "packwright_bundle_v1":
+        workspace = bundle.imported(spark, a.workspace.rstrip("/").removesuffix("/manifest"))
     result = answer(Engine(spark, workspace), a)
     print(plain(result))
     return int(a.command == "verify" and not result.where("not ok").isEmpty())

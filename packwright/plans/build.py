@@ -84,7 +84,7 @@ def build_help(trees: list[tuple[DataFrame, str, str]], out: str) -> dict:
     shaped = spark_rows(merged)
     docs = [records.help_docs(shaped.where(member), "api_members"), records.help_docs(shaped.where(~member), "api_objects")]
     edges = reduce(DataFrame.unionByName, [e for _, e in both]).dropDuplicates(["id"])
-    manifest = packs.write_docs(docs, out)
+    manifest = packs.write_docs(docs, out, {"tables": ["links"]})
     edges.write.mode("overwrite").parquet(f"{out}/links")
     return manifest
 
@@ -112,23 +112,3 @@ def ensure(spark: SparkSession, workspace: Workspace, needs: list[str], sources:
             workspace.targets[name] = target
             built.append(name)
     return built
-
-
-def export(spark: SparkSession, workspace: Workspace, out: str) -> dict:
-    """A copy of all packs under one folder, with a manifest without absolute paths."""
-    moved = {"packs": {}, "targets": {}}
-
-    def copy(pack: str, to: str) -> str:
-        kind = packs.read_manifest(spark, pack)
-        tables = ["docs"] if "domain_counts" in kind else list(kind["rows"])
-        for t in tables:
-            writer = spark.read.parquet(f"{pack}/{t}").write.mode("overwrite")
-            (writer.partitionBy("domain") if t == "docs" else writer).parquet(f"{out}/{to}/{t}")
-        packs.write_manifest(spark, f"{out}/{to}", kind)
-        return to
-
-    for role, pack in workspace.packs.items():
-        moved["packs"][role] = copy(pack, role)
-    for name, t in workspace.targets.items():
-        moved["targets"][name] = {"packs": {r: copy(p, f"{name}/{r}") for r, p in t["packs"].items()}, "source": t.get("source")}
-    return packs.write_manifest(spark, out, {"format": "packwright_bundle_v1", "profile": workspace.profile, **moved})

@@ -210,7 +210,7 @@ f AS (
          CASE WHEN s_suppkey % 4 = 1 THEN coalesce((SELECT n_name FROM nation WHERE n_nationkey = (s_nationkey + 1) % 30), 'o' || ((s_nationkey + 1) % 30)) END AS first_type FROM supplier)
 SELECT object_type || '.' || n_name AS object_id, n_name AS object_name, object_type, '1' AS config_version,
        CASE WHEN t.k IS NOT NULL THEN 'tabular_section_requisites' ELSE ['tabular_sections', 'requisites', 'dimensions', 'properties'][f.k % 4 + 1] END AS "group",
-       f.s_name AS name, f.kind, coalesce(first_type, '') AS type, coalesce(first_type || '|Строка', '') AS types, t.s_name AS tabular_section,
+       f.s_name AS name, f.kind, coalesce(f.first_type, '') AS type, coalesce(f.first_type || '|Строка', '') AS types, t.s_name AS tabular_section,
        CASE WHEN object_type = 'Constant' THEN 'Константы.' || n_name || '.Получить()' END AS constant_bsl_hint
 FROM f JOIN o USING (n) LEFT JOIN f t ON f.k % 4 = 1 AND t.k = f.k - 1 WHERE object_type IS NOT NULL""",
 }

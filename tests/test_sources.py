@@ -171,7 +171,7 @@ def test_packs_engine_and_rpc(spark, tree, tmp_path):
     assert e.search("http.get", version="8.3.9").count() == 1 and e.search("HTTP.Put", version="8.3.10", exact=True).count() == 0
     assert e.code("callers", "sum").first()["line"] == 13 and e.code("symbols", "Sum").count() == 1 and e.code("modules", "M").count() == 1
     assert e.config("read", "a/old.txt") == "Привет, мир" and e.config("find", "Module.bsl").first()["rel_path"] == "CommonModules/M/Ext/Module.bsl"
-    assert e.config("stats").where("entry_type = 'file'").first()["n"] == 10  # Spark leaves out names that start with an underscore
+    assert e.config("stats").where("entry_type = 'file'").first()["n"] == 11
     assert json.loads(plain(answer(e, parser().parse_args(["w", "query-code", "callees", "--q", "Sum"]))).split("\n")[0])["callee_name"] == "Add"
     ask = lambda m, p=None: handle(e, json.dumps({"id": 1, "method": m, "params": p or {}}))
     assert len(ask("tools/list")["result"]["tools"]) == 6 and handle(e, "{")["error"]["code"] == -32700 and handle(e, '{"method": "x"}') is None
