@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from packwright.functions import resolver
 from packwright.functions.text import fold
-from packwright.operators import code, fts, lookup, stats
+from packwright.operators import code, fts, lookup, stats, vectors
 from packwright.plans import build, bundle, increment, metadata, packs
 from packwright.plans.catalog import Workspace, public, verify
 from packwright.sources import files, markdown
 
+#: Best rows of text and of vectors that a blend looks at.
+BLENDED = 100
 SHOWN = ("domain", "name", "topic_path", "version", "snippet")
 
 
@@ -22,8 +24,11 @@ class Engine:
     def _table(self, role: str, name: str, target: str | None) -> DataFrame:
         return increment.live(self.spark, self.workspace.resolve(role, target), name)
 
-    def search(self, q: str, role: str = "platform", *, target: str | None = None, limit: int = 10, domain: str | None = None, version: str | None = None, exact: bool = False) -> DataFrame:
-        """Pack rows equal to the query by name or path; if there are none (and not ``exact``), full-text matches."""
+    def search(self, q: str, role: str = "platform", *, target: str | None = None, limit: int = 10, domain: str | None = None, version: str | None = None, exact: bool = False, vector: list[float] | None = None) -> DataFrame:
+        """Pack rows equal to the query by name or path; if there are none (and not ``exact``), full-text matches.
+
+        With a ``vector``, in a pack that has some, matches of text and neighbours by cosine are fused by their ranks.
+        """
         docs = self._table(role, "docs", target)
         docs = docs.where(F.col("domain") == domain) if domain else docs
         docs = docs.where(lookup.applies_to(F.col("version"), F.col("versions"), version))
@@ -33,6 +38,12 @@ class Engine:
         if exact or not equal.isEmpty():
             return shown(equal.orderBy("doc_id").limit(limit))
         scored = self._scored(docs, q, role, target)
+        if vector is not None:
+            own = self._table(role, "vectors", target).join(docs.select("doc_id"), "doc_id", "left_semi")
+            near = vectors.cosine_topk(own, vector, id_col="doc_id", vector_col="vector", k=BLENDED)
+            text = vectors.placed(scored.join(docs.select("doc_id"), "doc_id", "left_semi"), "doc_id", "score", BLENDED)
+            fused = vectors.blended(text, vectors.placed(near, "doc_id", -F.col("cosine"), BLENDED), "doc_id")
+            scored = fused.select("doc_id", (-F.col("score")).alias("score"))
         return shown(docs.join(scored, "doc_id").orderBy("score", F.length("name"), "doc_id").limit(limit))
 
     def _scored(self, docs: DataFrame, q: str, role: str, target: str | None) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -19,6 +19,12 @@ def cosine_topk(vectors: DataFrame, query: list[float], *, id_col: str, vector_c
     return vectors.select(id_col, F.round(cosine, 6).alias("cosine")).orderBy(F.desc("cosine"), id_col).limit(k)
 
 
+def placed(scores: DataFrame, id_col: str, order: Column | str, most: int) -> DataFrame:
+    """(id, place) of the ``most`` rows that come first, ties by id; each task keeps that many before they meet in one."""
+    first = scores.orderBy(order, id_col).limit(most)
+    return first.select(id_col, F.row_number().over(Window.orderBy(order, id_col)).alias("place"))
+
+
 def blended(text_scores: DataFrame, vector_scores: DataFrame, id_col: str, constant: int = 60) -> DataFrame:
     """Reciprocal-rank fusion of two ranked tables (id, place)."""
     both = text_scores.select(id_col, F.col("place").alias("p1")).join(vector_scores.select(id_col, F.col("place").alias("p2")), id_col, "full")

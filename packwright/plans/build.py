@@ -7,12 +7,15 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packwright.functions.text import slug, topic_path
-from packwright.operators import links, merge, stats
+from packwright.functions.text import name_parts, slug, topic_path
+from packwright.operators import aliases, links, merge, stats
 from packwright.plans import packs
 from packwright.plans.catalog import PROFILES, Workspace, profile_for, source_snapshot
 from packwright.sources import code_modules, config_xml, files, markdown, pages, records
 
+#: Kinds of records that belong to an owner.
+MEMBERS = ("method", "property", "event", "constructor", "field", "function")
+
 
 def build_target(spark: SparkSession, source: str, out: str, profile: str = "full", sample: int = 25) -> tuple[str, dict]:
     """(name, target): the packs that a profile asks for, each from one scan of the source's files."""
@@ -68,8 +71,12 @@ def help_records(tree: DataFrame, version: str, language: str) -> tuple[DataFram
     )
     runs = pages.runs(rows, "path", "html")
     made = pages.records(rows, runs, "path", title="title", path="path", version="version", language="language")
-    related = links.see_also(made, "full_name", "see_also").unionByName(links.typed_edges(made, "full_name", "value_types"))
-    return made, links.resolved_links(related, made, "target_name", "full_name", "topic")
+    parts, is_object = name_parts("full_name"), ~F.coalesce(F.col("kind").isin(*MEMBERS), F.lit(False))
+    named = made.withColumns({"owner_name": parts["owner"], "member_name": parts["member"]})
+    named = aliases.with_aliases(named, key="id", full="full_name", owner="owner_name", member="member_name", is_object=is_object)
+    typed = aliases.typed_relations(named, full="full_name", owner="owner_name", member="member_name", is_object=is_object)
+    related = links.resolved_links(links.see_also(made, "full_name", "see_also"), made, "target_name", "full_name", "topic")
+    return named, related.unionByName(typed, allowMissingColumns=True)
 
 
 def build_help(trees: list[tuple[DataFrame, str, str]], out: str) -> dict:
@@ -80,7 +87,7 @@ def build_help(trees: list[tuple[DataFrame, str, str]], out: str) -> dict:
     order = F.concat_ws("|", "version", "topic_path")
     rows = made.select(*content, "version", "language", order.alias("_order"))
     merged = merge.merge_by_content(rows, language="language", content=content, version="version", order="_order", suffix="member")
-    member = merged["kind"].isin("method", "property", "event", "constructor", "field", "function")
+    member = merged["kind"].isin(*MEMBERS)
     shaped = spark_rows(merged)
     docs = [records.help_docs(shaped.where(member), "api_members"), records.help_docs(shaped.where(~member), "api_objects")]
     edges = reduce(DataFrame.unionByName, [e for _, e in both]).dropDuplicates(["id"])

@@ -213,4 +213,23 @@ SELECT object_type || '.' || n_name AS object_id, n_name AS object_name, object_
        f.s_name AS name, f.kind, coalesce(f.first_type, '') AS type, coalesce(f.first_type || '|Строка', '') AS types, t.s_name AS tabular_section,
        CASE WHEN object_type = 'Constant' THEN 'Константы.' || n_name || '.Получить()' END AS constant_bsl_hint
 FROM f JOIN o USING (n) LEFT JOIN f t ON f.k % 4 = 1 AND t.k = f.k - 1 WHERE object_type IS NOT NULL""",
+    "parameter_lines": """
+SELECT p_partkey, 0 AS n, CASE WHEN p_partkey % 3 = 1 THEN 'P' || p_partkey ELSE '<P' || p_partkey || '>' END AS name, p_brand AS type, p_name AS description FROM part
+UNION ALL SELECT p_partkey, 1, CASE WHEN p_partkey % 3 = 1 THEN '<Q' || p_partkey || '>' ELSE 'last ' || p_partkey END, CASE WHEN p_partkey % 3 = 1 THEN '—' ELSE '' END, '' FROM part WHERE p_partkey % 3 > 0""",
+    "typed_relations": """WITH s AS (
+  SELECT s_suppkey % 4 AS k, s_suppkey AS n, s_name AS m,
+         ['Глобальный контекст.' || s_name, 'ПеречислимыеСвойстваОбъектовМетаданных.' || s_name, 'ДокументМенеджер.<Имя документа>.' || s_name, 'ДокументыМенеджер'][s_suppkey % 4 + 1] AS f FROM supplier)
+SELECT f AS source_full_name, ['', 'Метаданные.СвойстваОбъектов.', 'Документы.<Имя документа>.', 'Документы'][k + 1] || CASE WHEN k < 3 THEN m ELSE '' END AS target_name,
+       'alias' AS target_lookup, CASE WHEN k = 3 THEN 'object' ELSE 'member' END AS source_lookup, 'surface_alias' AS link_kind FROM s
+UNION ALL SELECT f, 'HTTPОтвет', 'object', 'member', 'returns_type' FROM s WHERE k = 0
+UNION ALL SELECT f, 'ВидX' || n, 'object', 'member', unnest(['returns_type', 'metadata_enum_property_returns_system_enum']) FROM s WHERE k = 1""",
+    "html_tables": """SELECT r_regionkey, '| ' || r_name || ' |  |' || chr(10) || '| --- | --- |' || chr(10) || rows AS markdown FROM region JOIN (
+  SELECT n_regionkey AS r_regionkey, string_agg('| ' || n_nationkey || ' | ' || n_name || ' |', chr(10) ORDER BY '<tr><td>' || n_nationkey || '<td>' || n_name) AS rows FROM nation GROUP BY 1) USING (r_regionkey)""",
+    "hybrid_search": f"""WITH {_bm25(["and", "the"], ["text"])},
+t AS (SELECT doc_id, row_number() OVER (ORDER BY score, doc_id) AS p FROM scored),
+q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 7),
+v AS (SELECT vec_id AS doc_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])), 6) AS c FROM embeddings, q),
+w AS (SELECT doc_id, row_number() OVER (ORDER BY c DESC, doc_id) AS p FROM v)
+SELECT doc_id, round(coalesce(1.0 / (a.p + 60), 0.0) + coalesce(1.0 / (b.p + 60), 0.0), 9) AS score
+FROM (SELECT * FROM t WHERE p <= 50) a FULL JOIN (SELECT * FROM w WHERE p <= 50) b USING (doc_id)""",
 }

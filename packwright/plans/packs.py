@@ -44,6 +44,15 @@ def write_index(docs: DataFrame, path: str) -> dict:
     return {"n_docs": found["n_docs"], "avg_len": found["avg_len"]}
 
 
+def write_vectors(vectors: DataFrame, path: str) -> dict:
+    """Adds (doc_id, vector) rows to a docs pack, so that its searches may blend in nearness; rows of no document are left out."""
+    spark = vectors.sparkSession
+    known = table(spark, path, "docs").select("doc_id")
+    vectors.select("doc_id", "vector").join(known, "doc_id", "left_semi").write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/vectors")
+    manifest = read_manifest(spark, path)
+    return write_manifest(spark, path, manifest | {"tables": sorted({*manifest.get("tables", []), "vectors"})})
+
+
 def write_tables(tables: dict[str, DataFrame], path: str, kind: str, extra: dict | None = None) -> dict:
     """A pack of several tables (code, configuration, metadata) with row counts in its manifest."""
     began, counts = time.time(), {}

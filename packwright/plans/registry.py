@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from packwright.functions import grammar as G
 from packwright.functions import paths as P
 from packwright.functions import resolver
 from packwright.functions import text as T
-from packwright.operators import code, fts, links, lookup, merge, stats, tree, vectors
+from packwright.operators import aliases, code, fts, links, lookup, merge, stats, tree, vectors
 from packwright.sources import categories, code_modules, config_xml, container, exports, help_books, markdown, pages, records, unpacked
 from packwright.streaming import ingest
 
@@ -625,3 +626,48 @@ def snapshot_fields(spark, sf):
     nested = exports.nested_objects(config_xml.export_objects(read), config_xml.export_fields(read), "C", "1")
     listed = exports.nested_fields(nested)
     return listed.select("object_id", "object_name", "object_type", "config_version", "group", "name", "kind", "type", F.array_join("types", "|").alias("types"), "tabular_section", "constant_bsl_hint")
+
+
+@query
+def parameter_lines(spark, sf):
+    """A parameter section of one of three forms for each part."""
+    shapes = ("<P%1$d> (обязательный)\nТип: %2$s .\n%3$s", "- **P%1$d** (%2$s) — %3$s\n<Q%1$d>", "<P%1$d>\nТип: %2$s\n%3$s\n- last %1$d")
+    text = F.element_at(F.array(*[F.format_string(x, "p_partkey", "p_brand", "p_name") for x in shapes]), (F.col("p_partkey") % 3 + 1).cast("int"))
+    return table(spark, sf, "part").select("p_partkey", F.posexplode(G.parameters(text)).alias("n", "p")).select("p_partkey", "n", "p.*")
+
+
+@query
+def typed_relations(spark, sf):
+    """Members of the global context, of the catalog of properties and of a family's items, and a family's manager, one a supplier."""
+    k, name = F.col("s_suppkey"), F.col("s_name")
+    owners = (aliases.GLOBAL, aliases.CATALOG, "ДокументМенеджер.<Имя документа>", "")
+    owner = F.element_at(F.array(*map(F.lit, owners)), (k % 4 + 1).cast("int"))
+    member = F.when(k % 4 == 3, F.lit("ДокументыМенеджер")).otherwise(name)
+    types = F.when(k % 4 == 0, F.array(F.lit("HTTPОтвет"), F.lit("слово"))).when(k % 4 == 1, F.array(F.concat(F.lit("ВидX"), k))).otherwise(F.array().cast("array<string>"))
+    full = F.concat_ws(".", F.nullif(owner, F.lit("")), member)
+    rows = table(spark, sf, "supplier").select(k.alias("id"), full.alias("full"), owner.alias("owner"), member.alias("member"), (k % 4 == 3).alias("obj"), types.alias("value_types"))
+    named = {"full": "full", "owner": "owner", "member": "member", "is_object": F.col("obj")}
+    found = aliases.typed_relations(aliases.with_aliases(rows, key="id", **named), **named)
+    return found.select("source_full_name", "target_name", "target_lookup", "source_lookup", "link_kind")
+
+
+@query
+def html_tables(spark, sf):
+    """A table of its nations for each region, the region across the top."""
+    row = F.format_string("<tr><td>%d<td>%s</td></tr>", "n_nationkey", "n_name")
+    nations = table(spark, sf, "nation").groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.array_join(F.sort_array(F.collect_list(row)), "").alias("rows"))
+    html = F.concat(F.lit("<p>x<table><tr><th colspan=2>"), "r_name", F.lit("</th></tr>"), "rows", F.lit("</table>y"))
+    made = table(spark, sf, "region").join(nations, "r_regionkey").select("r_regionkey", html.alias("html"))
+    return pages.runs(made, "r_regionkey", "html").where("kind = 'table'").select(F.col("id").alias("r_regionkey"), F.col("text").alias("markdown"))
+
+
+@query
+def hybrid_search(spark, sf):
+    """Documents by text and by the vector of the same number, fused by their ranks."""
+    docs = table(spark, sf, "documents")
+    text = vectors.placed(fts.bm25(docs, "doc_id", ["text"], "and the"), "doc_id", "score", 50)
+    own = table(spark, sf, "embeddings")
+    query = own.where("vec_id = 7").select("embedding").first()["embedding"]
+    near = vectors.cosine_topk(own.withColumnRenamed("vec_id", "doc_id"), query, id_col="doc_id", vector_col="embedding", k=50)
+    fused = vectors.blended(text, vectors.placed(near, "doc_id", -F.col("cosine"), 50), "doc_id")
+    return fused.select("doc_id", F.round("score", 9).alias("score"))

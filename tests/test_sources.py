@@ -92,7 +92,7 @@ def test_pages(spark):
     assert got["description"] == "Gets it." and got["example"] == "```bsl\na = 1;\nb = 2;\n```"
     rec = {r["full_name"]: r for r in pages.records(df, runs, "id", title="title", path="path", version="version", language="language").collect()}["Получить"]
     assert rec["kind"] == "method" and rec["see_also"] == ["Закрыть", "Открыть"] and rec["value_types"] == ["Строка", "Число"] and rec["aliases"] == ["Get"]
-    assert [tuple(p) for p in rec["params"]] == [("Имя", "Строка", "name")] and rec["page_descriptor"] == "[метод, 8.3.13]"
+    assert [tuple(p) for p in rec["params"]] == [("x", "", ""), ("Имя", "Строка", "name")] and rec["page_descriptor"] == "[метод, 8.3.13]"
     assert "## Описание:" in pages.markdown(runs).where("id = 1").first()["markdown"]
 
 
@@ -243,6 +243,20 @@ def test_pack_has_a_text_index(spark, tmp_path):
     assert found.count() == 1
 
 
+def test_search_blends_vectors(spark, tmp_path):
+    from packwright.api import Engine
+
+    rows = [("d", f"Name{i}", f"t/{i}", "8.3", ["8.3"], f"body {'rare' if i == 1 else 'plain'} {i}") for i in range(5)]
+    docs = spark.createDataFrame(rows, "domain string, name string, topic_path string, version string, versions array<string>, payload string")
+    packs.write_docs([docs], str(tmp_path))
+    ids = {r["name"]: r["doc_id"] for r in packs.table(spark, str(tmp_path), "docs").collect()}
+    rows = [(ids[f"Name{i}"], [1.0, float(i)]) for i in range(5)] + [(-1, [0.0, 1.0])]
+    assert packs.write_vectors(spark.createDataFrame(rows, "doc_id long, vector array<double>"), str(tmp_path))["tables"] == ["vectors"]
+    e = Engine(spark, catalog.Workspace("base", {"platform": str(tmp_path)}))
+    assert [r["name"] for r in e.search("rare").collect()] == ["Name1"]
+    assert [r["name"] for r in e.search("rare", vector=[0.0, 1.0]).collect()] == ["Name1", "Name4", "Name3", "Name2", "Name0"]
+
+
 def test_code_tokens():
     from packwright.sources.code_modules import parsed
 
