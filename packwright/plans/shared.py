@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,16 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def released(spark: SparkSession) -> None:
+    """Lets go of plans that nobody holds, and so of their shuffle files and broadcasts.
+
+    Spark frees those when the driver's collector meets them, which a driver with little garbage may not do for half an
+    hour; jobs that plan many shuffles in a row call this between their steps.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def written(df: DataFrame, **options: str) -> DataFrame:
     """The rows, computed once and kept as a table in the folder all executors share; options go to the Parquet writer.
 
