@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 from packwright.llm import url_filter as uf
+from packwright.llm import licenses as lic
 from packwright.llm.licenses import NOTICES, PHRASES, _distinct_words
 
 _OP1 = """
@@ -227,8 +228,15 @@ FROM s JOIN f USING (host, segments)
 
 def _op9(threshold: float = 0.9) -> str:
     phrases = ", ".join(f"('{p}', {len(p.split())}, '{label}')" for p, label in PHRASES)
-    rows = [(label, _distinct_words(text)) for label, text in NOTICES]
-    notices = ", ".join(f"('{label}', {ws!r}, {math.ceil(threshold * len(ws) - 1e-9)})" for label, ws in rows)
+    rows = [(label, _distinct_words(text), text) for label, text in NOTICES]
+    texts = lambda x: f"CAST({x!r} AS VARCHAR[])"
+    notices = ", ".join(
+        f"('{label}', {ws!r}, {math.ceil(threshold * len(ws) - 1e-9)}, {texts(lic.deciding(t))}, {texts(lic.versions(t))}, {texts(lic.neighbours(t))})" for label, ws, t in rows
+    )
+    line = "line"
+    for a, b in lic.SPELT:
+        line = f"replace({line}, '{a}', '{b}')"
+    own = ", ".join(f"CASE WHEN contains(line, ' {'gnu ' if w == 'library' else ''}{w} ') THEN '{w}' END" for w in lic.DECIDING)
     return f"""
 WITH d AS (
   SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
@@ -240,11 +248,16 @@ b AS (
   SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, array_to_string(list_sort(list_distinct(list(label))), ',') AS base_labels
   FROM p GROUP BY doc_id),
 s AS (
-  SELECT doc_id, list_distinct(regexp_split_to_array(sentence, '{_SEPARATORS}')) AS ws
-  FROM (SELECT doc_id, unnest(regexp_split_to_array(regexp_replace(t, '([.!?])[\\x20\\x09\\x0B-\\x0D]+', '\\1' || chr(10), 'g'), '\\n+')) AS sentence FROM d)),
+  SELECT doc_id, row_number() OVER () AS block, list_filter(regexp_split_to_array(sentence, '{_SEPARATORS}'), lambda w: w <> '') AS ws
+  FROM (SELECT doc_id, unnest(string_split(regexp_replace(regexp_replace(t, '([.!?])[\x20\x09-\x0D]+', '\1' || chr(1), 'g'), '\n[\x00\x02-\x2F\x3A-\x60\x7B-\x7F]*\n', chr(1), 'g'), chr(1))) AS sentence FROM d)),
 m AS (
-  SELECT doc_id, label, len(list_intersect(ws, words)) AS shared, len(words) AS n, needed FROM s, (VALUES {notices}) f(label, words, needed)),
-f AS (SELECT doc_id, label, CAST(shared AS DOUBLE) / n AS part FROM m WHERE shared >= needed),
+  SELECT *, len(list_intersect(list_distinct(ws), words)) AS shared, len(words) AS n, ' ' || array_to_string(ws, ' ') || ' ' AS raw FROM s, (VALUES {notices}) f(label, words, needed, deciding, versions, pairs)),
+c AS (SELECT * REPLACE ({line.replace("line", "raw", 1)} AS raw) FROM m WHERE shared >= needed),
+k AS (
+  SELECT *, CAST(shared AS DOUBLE) / n AS part,
+         CAST(len(list_intersect(list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])), pairs)) AS DOUBLE) / len(pairs) AS beside
+  FROM (SELECT *, raw AS line FROM c) WHERE list_filter([{own}], lambda x: x IS NOT NULL) = deciding AND (len(versions) = 0 OR list_sort(list_distinct(regexp_extract_all(line, '{lic.VERSION}', 1))) = versions)),
+f AS (SELECT doc_id, label, part FROM (SELECT *, row_number() OVER (PARTITION BY block ORDER BY part DESC, beside DESC, label) AS r FROM k WHERE beside >= {lic.NEIGHBOURS}) WHERE r = 1),
 l AS (SELECT doc_id, label FROM f UNION SELECT doc_id, label FROM p)
 SELECT w.doc_id, CAST(len(w.words) AS BIGINT) AS n_words, CAST(coalesce(b.n_base, 0) AS BIGINT) AS n_base, CAST(b.first_word AS BIGINT) AS first_word,
        CAST(b.last_word AS BIGINT) AS last_word, coalesce(b.base_labels, '') AS base_labels, coalesce(a.labels, '') AS labels,

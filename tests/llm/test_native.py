@@ -135,8 +135,32 @@ def test_wrapped_license_notices(spark):
             n += 1
     rows.append((n, "Redistribution and use in source\n\nand binary forms, with or without modification,\n\nare permitted provided that the following conditions are met.", None))
     rows.append((n + 1, "Redistribution and use in source and binary forms. With or without modification, are permitted\nprovided that the following conditions are met.", None))
-    got = {r["doc_id"]: r["labels"].split(",") for r in license_scan(spark.createDataFrame(rows, "doc_id long, text string, label string")).collect()}
-    assert all(label in got[i] if label else got[i] == [""] for i, _, label in rows)
+    got = {r["doc_id"]: r["labels"] for r in license_scan(spark.createDataFrame(rows, "doc_id long, text string, label string")).collect()}
+    assert all(got[i] == (label or "") for i, _, label in rows), "each notice gives its own label and no other"
+
+
+def test_notices_that_differ_in_a_word(spark, tmp_path):
+    from oracle_check import connect, differences
+
+    from packwright.llm import oracle, queries
+
+    gpl = "This program is free software; you can redistribute it and/or modify\n * it under the terms of the GNU {} as published\n * by the Free Software Foundation; either version {} of the License, or\n * (at your option) any later version.\n"
+    cc = "This work is licensed under a Creative Commons Attribution{} 4.0 International License."
+    mixed = gpl.format("General Public License", 3).split()
+    cases = [
+        (gpl.format("General Public License", 2), "gpl-2"), (gpl.format("General Public License", 3), "gpl-3"), (gpl.format("Affero General Public License", 3), "agpl-3"),
+        (gpl.format("Lesser General Public License", "2.1").replace("program", "library"), "lgpl-2.1"), (gpl.format("Lesser General Public License", 3).replace("program", "library"), "lgpl-3"),
+        (gpl.format("Library General Public License", 2), ""), (gpl.format("Affero General Public License", 2), ""), (gpl.format("General Public License", 4), ""),
+        (cc.format("-NonCommercial-ShareAlike"), "cc-by-nc-sa"), (cc.format("-Non-Commercial"), "cc-by-nc"), (cc.format("-NoDerivs"), "cc-by-nd"), (cc.format(""), "cc-by"),
+        (cc.format(" ShareAlike") + "\nThis work is licensed under the GNU General Public License,\nversion 2.", "cc-by-sa,gpl-2"), ("General Public License, version 2.", ""),
+        (" ".join(sorted(mixed)), ""), ("You should have received a copy of the GNU General Public License along with this program.", ""),
+    ]
+    rows = [(k, t, label) for k, (t, label) in enumerate(cases)]
+    spark.createDataFrame(rows, "doc_id long, text string, labels string").coalesce(1).write.parquet(str(tmp_path / "parts"))
+    next((tmp_path / "parts").glob("*.parquet")).rename(tmp_path / "documents.parquet")
+    got = {r["doc_id"]: r["labels"] for r in queries.op9_license_scans(spark, str(tmp_path)).collect()}
+    assert got == {k: label for k, _, label in rows}
+    assert not differences(spark, connect(str(tmp_path)), queries.op9_license_scans, oracle.ORACLES["op9_license_scans"], str(tmp_path))
 
 
 def test_mixture_tells_sources_apart(spark):
