@@ -12,11 +12,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from packwright.llm import packed
-from packwright.llm.common import drawn, held_out, small_batches
+from packwright.llm.common import drawn, held_out, small_batches, written
 
 BITS = 18
 _U = np.uint64
@@ -135,16 +135,16 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         raw, starts, ends = packed.column(batch, "t")
         ids = [f.astype(np.int32) for a, b in packed.parts(starts, ends) for f in features(raw, starts[a:b], ends[a:b])]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in ids], pa.binary())], ["y", "f"])
+        columns = [batch.column(0), batch.column(1), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["y", "h", "n", "f"])
 
 
 def teaching_texts(
-    docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_docs: int = 3000, sample_chars: int = 8192, seed: int = 3
+    docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_docs: int = 3000, seed: int = 3
 ) -> DataFrame:
-    """(y, t): one text of each of at most sample_docs labelled ids of each class; of an id's texts the one with the least hash.
+    """(y, h, t): one whole text of each of at most sample_docs labelled ids of each class, and the hash that drew its id.
 
-    Ids that have both labels don't teach. Texts of more than sample_chars characters teach by four pieces spread over
-    them, so what the fit gathers has a bound.
+    Of an id's texts the one with the least hash teaches; ids that have both labels don't.
     """
     known = labels.where(~held_out(F.col(id_col), 4, 2)).where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y"))
     known = known.groupBy("i").agg(F.min("y").alias("y"), F.max("y").alias("other")).where("y = other").drop("other")
@@ -154,22 +154,25 @@ def teaching_texts(
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"))
     rows = texts.join(F.broadcast(taken[0].unionByName(taken[1])), "i")  # at most 2 * sample_docs ids
     rows = rows.groupBy("i", "y").agg(F.min_by("t", F.xxhash64("t")).alias("t"))
-    piece = sample_chars // 4
-    spread = [F.substring("t", (F.floor((F.length("t") - piece) * k / 3) + 1).cast("int"), F.lit(piece)) for k in range(4)]
-    return rows.select("y", F.when(F.length("t") > sample_chars, F.concat_ws(" ", *spread)).otherwise(F.col("t")).alias("t"))
+    return rows.select("y", hashed.alias("h"), "t")
 
 
 def fit_quality(
-    docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_docs: int = 3000, sample_chars: int = 8192, seed: int = 3
+    docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_docs: int = 3000, sample_grams: int = 4_000_000, seed: int = 3
 ) -> QualityModel | None:
-    """A model of label 1 fit on one text each of at most sample_docs labelled ids of each class, drawn by a hash of the id.
+    """A model of label 1 fit on one whole text each of at most sample_docs labelled ids of each class, drawn by a hash of the id.
+
+    The fit's memory has a bound: a class's rows are taken in the order of that hash until they hold sample_grams distinct
+    n-grams together, so very long texts make fewer rows teach, but none teaches in part.
 
     Ids whose crc32 leaves 2 modulo 4 never teach; null texts, null ids, ids with both labels and labels other than 0
-    and 1 don't either; empty texts teach the bias; very long ones teach by pieces of sample_chars characters in all;
-    repeated rows count once; other columns are not read. None if a class has no rows, so for empty tables.
+    and 1 don't either; empty texts teach the bias; very long ones teach whole; repeated rows count once; other columns are not read. None if a class has no rows, so for empty tables.
     """
-    rows = teaching_texts(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, sample_docs=sample_docs, sample_chars=sample_chars, seed=seed)
-    got = rows.withColumn("y", F.col("y").cast("int")).mapInArrow(_gathered, "y int, f binary").collect()
+    rows = teaching_texts(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, sample_docs=sample_docs, seed=seed)
+    small_batches(docs.sparkSession)
+    grams = written(rows.withColumn("y", F.col("y").cast("int")).mapInArrow(_gathered, "y int, h long, n long, f binary"))  # at most 2 * sample_docs rows
+    before = F.sum("n").over(Window.partitionBy("y").orderBy("h", "f").rowsBetween(Window.unboundedPreceding, -1))
+    got = grams.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < sample_grams).select("y", "f").collect()
     got = sorted((r["y"], bytes(r["f"])) for r in got)
     y = np.array([g[0] for g in got], np.int64)
     if len(set(y.tolist())) < 2:

@@ -340,8 +340,10 @@ def test_quality_columns_and_labels(spark, docs):
     scored = score_quality(df, fit_quality(df, labels))
     assert scored.columns == ["doc_id", "text", "score"] and dict(scored.dtypes)["score"] == "double"
     long = spark.createDataFrame([(0, "abc " * 50_000)], "doc_id long, text string")
-    piece = teaching_texts(long, spark.createDataFrame([(0, 1)], "doc_id long, quality int"), sample_chars=400).first()["t"]
-    assert len(piece) <= 404
+    whole = teaching_texts(long, spark.createDataFrame([(0, 1)], "doc_id long, quality int")).first()["t"]
+    assert len(whole) == 200_000, "texts teach whole"
+    few = fit_quality(df, labels, sample_grams=1)  # one row of each class
+    assert few is not None and score_quality(df, few).where("score between 0 and 1").count() == 60
 
 
 def test_tokens_of_a_run_without_blanks(spark):
@@ -395,7 +397,7 @@ def test_pipeline_runs_from_end_to_end(spark, tmp_path):
     assert sum(t for t, _ in by_source.values()) == sum(int(t) for _, t in by_source.values())
 
 
-@pytest.mark.parametrize("name", ["op1_benchmark_decontamination", "op2_source_mixing", "op4_ngram_jaccard_join", "op7_exact_topk", "op9_license_scans"])
+@pytest.mark.parametrize("name", ["op1_benchmark_decontamination", "op2_source_mixing", "op4_ngram_jaccard_join", "op7_exact_topk", "op9_license_scans", "op11_conversation_repair", "op12_importance_resampling", "op13_url_filters"])
 def test_queries_agree_with_sql(spark, name):
     from oracle_check import connect, differences
 
