@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packwright.llm.common import written
+from packwright.llm.common import released, written
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -49,6 +49,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if least.where("m < a and n > 1").isEmpty():
             break
         edges = _small_star(_large_star(both, least))
+        released(edges.sparkSession)
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packwright.llm import packed
-from packwright.llm.common import joined_by_key, small_batches, small_enough, written
+from packwright.llm.common import joined_by_key, released, small_batches, small_enough, written
 from packwright.llm.components import components
 
 _U = np.uint64
@@ -193,6 +193,7 @@ def jaccard_components(
     classes = written(classes.withColumns({"_pw_class": F.col("_pw_named._pw_row"), "_pw_key": F.col("_pw_named._pw_key")}).drop("_pw_named"))
     heads = written(_of_classes(rows.select(F.col("_pw_row").alias("_pw_class"), "_pw_n", "_pw_tokens"), classes))
     able = _sharing_first(heads, percent)
+    released(docs.sparkSession)
 
     # Only the classes left have their texts read again, for all their shingles; copies of a text are read once.
     wanted = _of_classes(classes, able).select("_pw_class", "_pw_key", F.col("_pw_hi").alias("_pw_hi_of"), F.col("_pw_lo").alias("_pw_lo_of"))
@@ -200,7 +201,9 @@ def jaccard_components(
     again = again.select("_pw_class", "_pw_hi_of", "_pw_lo_of", "_pw_text").mapInArrow(_shingled(size, None), f"_pw_class long, _pw_hi_of long, _pw_lo_of long, {_MADE}")
     whole = written(again.where("_pw_hi = _pw_hi_of and _pw_lo = _pw_lo_of").select("_pw_class", "_pw_n", "_pw_tokens"))
     sets = _sharing(whole, percent)
+    released(docs.sparkSession)
     roots = _class_roots(sets, percent)
+    released(docs.sparkSession)
 
     least = classes.join(roots, "_pw_class", "left").withColumn("_pw_root", F.coalesce("_pw_root", "_pw_class"))
     chief = [F.min("_pw_chief").alias("_pw_chief") for _ in ties]
