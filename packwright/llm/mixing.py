@@ -100,7 +100,7 @@ def drawn_words(
     )
     blocks = blocks.withColumn("_pw_before", F.sum("_pw_words").over(permuted) - F.col("_pw_words"))
     left = F.greatest(F.least(F.col("_pw_rest") - F.col("_pw_before"), F.col("_pw_words")), F.lit(0))
-    blocks = blocks.select("_pw_source", "_pw_block", "_pw_words", left.alias("_pw_left"))
+    blocks = written(blocks.select("_pw_source", "_pw_block", "_pw_words", left.alias("_pw_left")))  # both parts below join it
     rows = _same_source(rows, blocks, ("_pw_block",))
 
     # Blocks are drawn whole or not at all, but for the one in each source where the target falls.
@@ -137,7 +137,7 @@ def output_shards(drawn: DataFrame, depth: int = 3, seed: int = 17) -> DataFrame
         counts = blocks.groupBy("shard", "_pw_range").agg(F.count(F.lit(1)).alias("n"))
         upto = F.sum("n").over(Window.partitionBy("shard").orderBy("_pw_range"))
         left = F.floor((F.sum("n").over(Window.partitionBy("shard")) + 1) / 2)
-        counts = counts.select("shard", "_pw_range", (left - upto + F.col("n")).alias("_pw_stay"), "n")  # at most 2**14 rows a node
+        counts = written(counts.select("shard", "_pw_range", (left - upto + F.col("n")).alias("_pw_stay"), "n"))  # at most 2**14 rows a node
         blocks = blocks.join(counts, ["shard", "_pw_range"])
         order = Window.partitionBy("shard", "_pw_range").orderBy("_pw_at", *name)
         inside = (F.col("_pw_stay") > 0) & (F.col("_pw_stay") < F.col("n"))
