@@ -11,6 +11,7 @@ from packwright.operators import code, fts, lookup, stats, vectors
 from packwright.plans import build, bundle, increment, metadata, packs
 from packwright.plans.catalog import Workspace, public, verify
 from packwright.sources import files, markdown
+from packwright.sources.listing import opened
 
 #: Best rows of text and of vectors that a blend looks at.
 BLENDED = 100
@@ -80,6 +81,14 @@ class Engine:
             return files.text_of(entries, blobs, q)
         raise KeyError(f"unknown config command: {command}")
 
+    def extract(self, path: str, to: str, target: str | None = None) -> dict:
+        """Writes one file of a full pack, binary ones as well, to a place in any store that pyarrow opens."""
+        content = files.bytes_of(self._table("full", "blobs", target), path)
+        store, place = opened(to)
+        with store.open_output_stream(place) as f:
+            f.write(content)
+        return {"path": path, "bytes": len(content)}
+
     def status(self) -> dict:
         return public(self.workspace.as_dict())
 

@@ -54,6 +54,7 @@ def parser() -> argparse.ArgumentParser:
     check.add_argument("--name", nargs="*", default=[])
     extract = sub.add_parser("extract", help="the text of one file of a full pack")
     extract.add_argument("path")
+    extract.add_argument("--to", help="a file for the bytes, which need not be text")
     for s in (check, extract):
         s.add_argument("--target")
     kb.add_argument("--domain")
@@ -69,7 +70,7 @@ def answer(engine, a: argparse.Namespace):
     if a.command == "query-config":
         return engine.config(a.what, a.q, a.target, a.limit)
     if a.command == "extract":
-        return engine.config("read", a.path, a.target)
+        return engine.extract(a.path, a.to, a.target) if a.to else engine.config("read", a.path, a.target)
     if a.command == "verify":
         return engine.verify(a.role, a.name, a.target)
     if a.command == "ensure":

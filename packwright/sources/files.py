@@ -152,6 +152,14 @@ def blobs(files: DataFrame) -> DataFrame:
     return data.withColumn("blob_size", F.length("data").cast("long"))
 
 
+def bytes_of(pack_blobs: DataFrame, rel_path: str) -> bytes:
+    """A file's bytes out of a pack, text or not."""
+    row = pack_blobs.where(F.col("rel_path") == rel_path).select(decompressed("data").alias("raw")).first()
+    if row is None or row["raw"] is None:
+        raise FileNotFoundError(f"no file in the pack: {rel_path}")
+    return bytes(row["raw"])
+
+
 def text_of(pack_entries: DataFrame, pack_blobs: DataFrame, rel_path: str) -> str:
     """A text file's text out of a pack; bytes that don't fit the recorded encoding are replaced."""
     row = (

@@ -5,7 +5,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from packwright.api import Engine
 from packwright.plans import build, packs
+from packwright.plans.catalog import Workspace
 from packwright.sources import categories, files, help_books, unpacked
 from packwright.sources.listing import is_hidden, listing
 
@@ -105,3 +107,7 @@ def test_packs_are_read_back(spark, tmp_path):
     source = plant(tmp_path / "s", {".a/b": b"\0bin", "c": "text"})
     build.build_full(files.scan(spark, source), str(tmp_path / "p"))
     assert packs.table(spark, str(tmp_path / "p"), "blobs").count() == 2
+    engine = Engine(spark, Workspace("full", {}, {"t": {"packs": {"full": str(tmp_path / "p")}}}))
+    assert engine.extract(".a/b", str(tmp_path / "got")) == {"path": ".a/b", "bytes": 4} and (tmp_path / "got").read_bytes() == b"\0bin"
+    with pytest.raises(FileNotFoundError):
+        engine.extract("missing", str(tmp_path / "none"))
