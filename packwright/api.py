@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from packwright.functions import resolver
 from packwright.functions.text import fold
 from packwright.operators import code, fts, lookup, stats, vectors
-from packwright.plans import build, bundle, increment, metadata, packs
+from packwright.plans import benchmark, build, bundle, increment, metadata, packs, platform
 from packwright.plans.catalog import Workspace, public, verify
-from packwright.sources import files, markdown
+from packwright.sources import files, help_topics, markdown
 from packwright.sources.listing import opened
 
 #: Best rows of text and of vectors that a blend looks at.
@@ -54,6 +54,23 @@ class Engine:
             return fts.bm25(docs, "doc_id", packs.INDEXED, q)
         return fts.bm25_indexed(self._table(role, "postings", target), self._table(role, "lengths", target), q, totals)
 
+    def lookup(self, what: str, q: str, *, version: str | None = None, limit: int = 10) -> DataFrame:
+        """Records of the platform pack that are called like the query: members, objects, examples (by score) or related names."""
+        rows = self._table("platform", {"related": "links"}.get(what, what), None)
+        if what == "members":
+            return lookup.exact_members(rows, q, version, limit)
+        if what == "objects":
+            return lookup.exact_objects(rows, q, version, limit)
+        if what == "examples":
+            return lookup.ranked_examples(rows.where(lookup.applies_to(F.col("version"), F.col("versions"), version)), q, limit)
+        if what == "related":
+            return lookup.equal_rows(rows, q, ["source_full_name"]).orderBy("link_kind", "target_name").limit(limit)
+        raise KeyError(f"unknown records: {what}")
+
+    def benchmark(self, loops: int = 5) -> DataFrame:
+        """Milliseconds that searches of fixed names take in each pack of documents: average, 95th percentile and runs."""
+        return benchmark.search_times(self, loops)
+
     def candidates(self, q: str) -> DataFrame:
         return resolver.resolved(self.spark.createDataFrame([(q,)], "query string"), "query")
 
@@ -102,10 +119,14 @@ class Engine:
         packs.write_manifest(self.spark, f"{out}/workspace", self.workspace.as_dict())
         return {"built": built, "profile": self.workspace.profile}
 
-    def build_kb(self, trees: list[tuple[str, str]], language: str, out: str) -> dict:
-        """Builds the platform pack of (version, folder) trees of help pages; the workspace is kept in OUT/workspace."""
-        read = [(files.scan(self.spark, folder), version, language) for version, folder in trees]
-        manifest = build.build_help(read, f"{out}/platform")
+    def build_kb(self, trees: list[tuple[str, str]], language: str, out: str, *, unpacked: tuple[str, ...] = (), books: tuple[str, ...] = (), versions: list[str] | None = None, languages: list[str] | None = None) -> dict:
+        """Builds the platform pack of (version, folder) trees of pages, unpacked books and folders of containers; the workspace is kept in OUT/workspace."""
+        read = [help_topics.of_tree(files.scan(self.spark, folder), version, language) for version, folder in trees]
+        read += [help_topics.of_unpacked(files.scan(self.spark, folder)) for folder in unpacked]
+        read += [help_topics.of_books(self.spark, folder, versions, languages) for folder in books]
+        if not read:
+            raise ValueError("name a tree, an unpacked folder or a folder of containers")
+        manifest = platform.build_platform(read, f"{out}/platform")
         self.workspace.packs["platform"] = f"{out}/platform"
         packs.write_manifest(self.spark, f"{out}/workspace", self.workspace.as_dict())
         return public(manifest)

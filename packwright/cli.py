@@ -1,7 +1,7 @@
 """Command line: ``python -m packwright.cli WORKSPACE COMMAND ...``.
 
-WORKSPACE is a JSON file (``{}`` at first), or OUT/workspace/manifest, which ``ensure`` and ``build-kb`` write. Commands that ask: query-kb, query-code,
-query-config, resolve-packs, status, extract, verify. Commands that build: ensure, build-kb, build-metadata,
+WORKSPACE is a JSON file (``{}`` at first), or OUT/workspace/manifest, which ``ensure`` and ``build-kb`` write. Commands that ask: query-kb, query-api, query-code,
+query-config, resolve-packs, status, extract, verify, benchmark. Commands that build: ensure, build-kb, build-metadata,
 build-standards, export, import. A bundle's own manifest serves as a workspace too.
 """
 
@@ -33,9 +33,19 @@ def parser() -> argparse.ArgumentParser:
     ensure = sub.add_parser("ensure", help="build what the sources need and write the workspace to OUT/workspace")
     ensure.add_argument("--needs", nargs="+", default=["metadata"], choices=("platform", "standards", "metadata", "code", "full"))
     ensure.add_argument("--source", nargs="+", required=True)
-    book = sub.add_parser("build-kb", help="build the platform pack from VERSION=FOLDER trees of help pages")
-    book.add_argument("--tree", nargs="+", required=True)
+    book = sub.add_parser("build-kb", help="build the platform pack from VERSION=FOLDER trees of pages, unpacked books and folders of containers")
+    for option in ("--tree", "--unpacked", "--books"):
+        book.add_argument(option, nargs="+", default=[])
     book.add_argument("--language", default="ru")
+    for option in ("--versions", "--languages"):
+        book.add_argument(option, nargs="+", help="of containers; all if none is named")
+    api = sub.add_parser("query-api", help="records of the platform pack by name")
+    api.add_argument("what", choices=("members", "objects", "examples", "related"))
+    api.add_argument("--q", required=True)
+    api.add_argument("--version")
+    api.add_argument("--limit", type=int, default=10)
+    timed = sub.add_parser("benchmark", help="milliseconds of searches in each pack of documents")
+    timed.add_argument("--loops", type=int, default=5)
     meta = sub.add_parser("build-metadata", help="build a target's metadata pack from snapshots, a configuration tree or exports, the first that is named")
     meta.add_argument("--name", required=True)
     for option in ("--snapshots", "--config", "--source"):
@@ -76,7 +86,11 @@ def answer(engine, a: argparse.Namespace):
     if a.command == "ensure":
         return engine.ensure(a.needs, a.source, a.out)
     if a.command == "build-kb":
-        return engine.build_kb([t.split("=", 1) for t in a.tree], a.language, a.out)
+        return engine.build_kb([t.split("=", 1) for t in a.tree], a.language, a.out, unpacked=a.unpacked, books=a.books, versions=a.versions, languages=a.languages)
+    if a.command == "query-api":
+        return engine.lookup(a.what, a.q, version=a.version, limit=a.limit)
+    if a.command == "benchmark":
+        return engine.benchmark(a.loops)
     if a.command == "build-metadata":
         return engine.build_metadata(a.name, a.out, snapshots=a.snapshots, config=a.config, source=a.source)
     if a.command == "build-standards":

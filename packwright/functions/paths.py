@@ -89,6 +89,35 @@ def member_kind(path: Column, entity: Column) -> Column:
     )
 
 
+# Kinds of pages that are no members, with what their paths or titles hold; the first that fits counts.
+OBJECT_KINDS = (
+    ("table", "/tables/", None), ("query_topic", "(?:^|/)shquery_", None), ("language_topic", "(?:^|/)(?:shclang_|embedlang|shlang_ru/)", None),
+    ("global_context", None, "^Глобальный контекст"), ("metadata_object", None, "^ОбъектМетаданных:"), ("manager", None, "(?iu)менеджер"),
+    ("global_context", "/global context[.]html$", None), ("enum", "/enums/", "(?iu)перечислен"), ("collection", "/collections/", "(?iu)коллекц"), ("type", "/objects/", None),
+)
+# Labels of books about the language itself.
+LANGUAGE_BOOKS = ("shlang", "shclang", "embedlang")
+
+
+def object_kind(path: Column, title: Column) -> Column:
+    """What a page that is no member describes, by its path and its title without a synonym; else topic."""
+    from packwright.functions.text import title_base
+
+    low, base = F.lower(F.replace(F.coalesce(path, F.lit("")), F.lit("\\"), F.lit("/"))), title_base(title)
+    out = F.lit("topic")
+    for kind, in_path, in_title in reversed(OBJECT_KINDS):
+        tests = [c.rlike(p) for c, p in ((low, in_path), (base, in_title)) if p]
+        out = F.when(tests[0] if len(tests) == 1 else tests[0] | tests[1], F.lit(kind)).otherwise(out)
+    return out
+
+
+def language_book(label: Column, path: Column) -> Column:
+    """Whether a page belongs to a book about the language: by the book's label without its language, or else by its path."""
+    known = F.lower(F.trim(F.coalesce(label, F.lit(""))))
+    by_path = F.lower(F.coalesce(path, F.lit(""))).rlike("(?:^|/)(?:shclang_|shlang_|embedlang)")
+    return F.when(known != "", F.regexp_replace(known, "_[^_]*$", "").isin(*LANGUAGE_BOOKS)).otherwise(by_path)
+
+
 def article_kind(path: Column) -> Column:
     """form_help, cli_help or article, by the last part of a page's path."""
     last = F.lower(F.substring_index(F.replace(F.coalesce(path, F.lit("")), F.lit("\\"), F.lit("/")), "/", -1))

@@ -75,6 +75,30 @@ def newest(version: Column) -> Column:
     return F.transform(version_key(F.coalesce(version, F.lit(""))), lambda x: -x)
 
 
+# Owners whose members come first among equal names.
+GLOBAL_OWNERS = ("глобальный контекст", "встроенные функции языка")
+
+
+def exact_members(members: DataFrame, query: str, version: str | None = None, limit: int = 10) -> DataFrame:
+    """Members called like the query: by rank, members of the global context first, then the newest version, then path.
+
+    A name is a full or member name, an alias, a surface alias or what stands behind a dot. Null names and a blank query match nothing.
+    """
+    known = F.concat(F.coalesce("aliases", F.array().cast("array<string>")), F.coalesce("surface_aliases", F.array().cast("array<string>")))
+    ranked = members.where(applies_to(F.col("version"), F.col("versions"), version)).withColumn("rank", exact_rank(query, F.col("full_name"), F.col("member_name"), known))
+    owner = F.when(F.lower(F.trim(F.coalesce("owner_name", F.lit("")))).isin(*GLOBAL_OWNERS), 0).otherwise(1)
+    kept = ranked.where(F.col("rank") < 4) if query.strip() else ranked.where("false")
+    return kept.orderBy("rank", owner, newest(F.col("version")), F.coalesce("topic_path", F.lit("")), "full_name").limit(limit)
+
+
+def exact_objects(objects: DataFrame, query: str, version: str | None = None, limit: int = 10) -> DataFrame:
+    """Objects called like the query by full or object name, alias or surface alias: by rank, then the newest version, then path."""
+    known = F.concat(F.coalesce("aliases", F.array().cast("array<string>")), F.coalesce("surface_aliases", F.array().cast("array<string>")))
+    ranked = objects.where(applies_to(F.col("version"), F.col("versions"), version)).withColumn("rank", exact_rank(query, F.col("full_name"), F.col("object_name"), known, suffix=False))
+    kept = ranked.where(F.col("rank") < 3) if query.strip() else ranked.where("false")
+    return kept.orderBy("rank", newest(F.col("version")), F.coalesce("topic_path", F.lit("")), "full_name").limit(limit)
+
+
 def token_score(query: str, primary: Column, *others: Column) -> Column:
     """100 if the query is the primary field, 40 if it is inside it, and 5 for each token found in any field."""
     q = query.strip().lower()

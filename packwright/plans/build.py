@@ -2,19 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packwright.functions.text import name_parts, slug, topic_path
-from packwright.operators import aliases, links, merge, stats
-from packwright.plans import packs
+from packwright.functions.text import slug
+from packwright.operators import stats
+from packwright.plans import packs, platform
 from packwright.plans.catalog import PROFILES, Workspace, profile_for, source_snapshot
-from packwright.sources import code_modules, config_xml, files, markdown, pages, records
-
-#: Kinds of records that belong to an owner.
-MEMBERS = ("method", "property", "event", "constructor", "field", "function")
+from packwright.sources import code_modules, config_xml, files, help_topics, markdown, records
 
 
 def build_target(spark: SparkSession, source: str, out: str, profile: str = "full", sample: int = 25) -> tuple[str, dict]:
@@ -61,45 +56,9 @@ def build_full(tree: DataFrame, out: str, sample: int = 25, empty: DataFrame | N
     return manifest
 
 
-def help_records(tree: DataFrame, version: str, language: str) -> tuple[DataFrame, DataFrame]:
-    """(records, links) of the help pages of a file tree."""
-    page_files = tree.where(files.is_page(F.col("rel_path"), F.col("content"))).withColumn("html", files.old_text("content"))
-    from packwright.functions.text import html_title
-
-    rows = page_files.select(
-        topic_path(F.col("rel_path"), F.lit(version)).alias("path"), "html", html_title("html").alias("title"), F.lit(version).alias("version"), F.lit(language).alias("language")
-    )
-    runs = pages.runs(rows, "path", "html")
-    made = pages.records(rows, runs, "path", title="title", path="path", version="version", language="language")
-    parts, is_object = name_parts("full_name"), ~F.coalesce(F.col("kind").isin(*MEMBERS), F.lit(False))
-    named = made.withColumns({"owner_name": parts["owner"], "member_name": parts["member"]})
-    named = aliases.with_aliases(named, key="id", full="full_name", owner="owner_name", member="member_name", is_object=is_object)
-    typed = aliases.typed_relations(named, full="full_name", owner="owner_name", member="member_name", is_object=is_object)
-    related = links.resolved_links(links.see_also(made, "full_name", "see_also"), made, "target_name", "full_name", "topic")
-    return named, related.unionByName(typed, allowMissingColumns=True)
-
-
 def build_help(trees: list[tuple[DataFrame, str, str]], out: str) -> dict:
     """A platform pack of (file tree, version, language) sources: equal records of several versions become one."""
-    both = [help_records(tree, version, language) for tree, version, language in trees]
-    content = ["full_name", "kind", "description", "syntax", "returns", "notes", "topic_path"]
-    made = reduce(DataFrame.unionByName, [r for r, _ in both])
-    order = F.concat_ws("|", "version", "topic_path")
-    rows = made.select(*content, "version", "language", order.alias("_order"))
-    merged = merge.merge_by_content(rows, language="language", content=content, version="version", order="_order", suffix="member")
-    member = merged["kind"].isin(*MEMBERS)
-    shaped = spark_rows(merged)
-    docs = [records.help_docs(shaped.where(member), "api_members"), records.help_docs(shaped.where(~member), "api_objects")]
-    edges = reduce(DataFrame.unionByName, [e for _, e in both]).dropDuplicates(["id"])
-    manifest = packs.write_docs(docs, out, {"tables": ["links"]})
-    edges.write.mode("overwrite").parquet(f"{out}/links")
-    return manifest
-
-
-def spark_rows(merged: DataFrame) -> DataFrame:
-    """Merged records with all columns that pack rows are made of."""
-    missing = [c for c in ("name", "object_name", "member_name", "title", "summary", "signature", "purpose", "exceptions", "text") if c not in merged.columns]
-    return merged.withColumns({c: F.lit(None).cast("string") for c in missing})
+    return platform.build_platform([help_topics.of_tree(tree, version, language) for tree, version, language in trees], out)
 
 
 def build_standards(tree: DataFrame, version: str, out: str) -> dict:

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from packwright.operators.tree import breadcrumbs
 
@@ -81,6 +82,26 @@ def _by_headers(data: bytes) -> list[tuple[str, bytes]]:
     return out
 
 
+def contents_text(data: bytes) -> str:
+    """The contents of a container, which it holds as an archive of one file; empty if it has none."""
+    try:
+        packed = entities(data).get("PackBlock", b"")
+    except (ValueError, struct.error):
+        packed = b""
+    found = members(packed)
+    return found[0][1].decode("utf-8-sig", "replace") if found else ""
+
+
+@F.pandas_udf(StringType())
+def _contents_texts(content: pd.Series) -> pd.Series:
+    return content.map(lambda c: contents_text(bytes(c)))
+
+
+def contents_texts(files: DataFrame) -> DataFrame:
+    """(archive, text): the contents of each container."""
+    return files.select(F.col("rel_path").alias("archive"), _contents_texts("content").alias("text"))
+
+
 def unpacked(files: DataFrame) -> DataFrame:
     """(archive, rel_path, content): the files inside archives, one archive at a time in each task."""
 

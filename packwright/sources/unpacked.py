@@ -12,8 +12,8 @@ _INFO = "language string, version string, label string"
 _CONTENTS = "array<struct<path string, title_ru string, title_en string, entity_type string, breadcrumb array<string>>>"
 
 
-def topics(tree: DataFrame) -> DataFrame:
-    """One row a page of a tree of version/book/... files: rel_path, path, title, version, language, book_label, entity_type, breadcrumb.
+def topics(tree: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row a page of a tree of version/book/... files: rel_path, path, title, version, language, book_label, entity_type, breadcrumb, and columns of the tree to keep.
 
     Titles, kinds and the titles above come from the book's toc.json, by path; of several entries of a path the last
     counts. Version, language and label come from its hbk_info.json, else from the folders. Both files may start with
@@ -27,14 +27,14 @@ def topics(tree: DataFrame) -> DataFrame:
     info = info.groupBy("_version", "_book").agg(F.max("_info").alias("_info"))
     items = named.where(F.col("_page").rlike("^/[.]?toc[.]json$")).select("_version", "_book", F.posexplode(F.from_json(text, _CONTENTS)).alias("_at", "_item"))
     items = items.withColumn("_page", F.trim("_item.path")).where("_page <> ''").groupBy("_version", "_book", "_page").agg(F.max_by("_item", "_at").alias("_item"))
-    pages = named.where(files.is_page(F.col("rel_path"), F.col("content"))).select("rel_path", "_version", "_book", "_page")
+    pages = named.where(files.is_page(F.col("rel_path"), F.col("content"))).select("rel_path", "_version", "_book", "_page", *keep)
     known = pages.join(items, ["_version", "_book", "_page"], "left").join(info, ["_version", "_book"], "left")
     version = first_nonblank("_info.version", "_version")
     stem = F.regexp_replace(F.substring_index("rel_path", "/", -1), r"(.)\.[^.]*$", "$1")
     return known.select(
         "rel_path", F.concat(version, F.lit("/"), F.col("_book"), F.col("_page")).alias("path"), first_nonblank("_item.title_ru", "_item.title_en", stem).alias("title"),
         version.alias("version"), F.coalesce("_info.language", F.lit("")).alias("language"), first_nonblank("_info.label", "_book").alias("book_label"),
-        first_nonblank("_item.entity_type", F.lit("topic")).alias("entity_type"), F.coalesce("_item.breadcrumb", F.array().cast("array<string>")).alias("breadcrumb"),
+        first_nonblank("_item.entity_type", F.lit("topic")).alias("entity_type"), F.coalesce("_item.breadcrumb", F.array().cast("array<string>")).alias("breadcrumb"), *keep,
     )
 
 

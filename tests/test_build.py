@@ -31,8 +31,8 @@ def test_help_pack_merges_versions(spark, tmp_path):
         (folder / "get.html").write_text(PAGE, encoding="utf-8")
     trees = [(files.scan(spark, str(tmp_path / v)), v, "ru") for v in ("8.3.9", "8.3.10")]
     manifest = build.build_help(trees, str(tmp_path / "p"))
-    assert manifest["domain_counts"] == {"api_members": 1} and manifest["versions_seen"] == ["8.3.10", "8.3.9"]
-    row = packs.table(spark, str(tmp_path / "p"), "docs").first()
+    assert manifest["domain_counts"] == {"api_examples": 1, "api_links": 4, "api_members": 1} and manifest["versions_seen"] == ["8.3.10", "8.3.9"]
+    row = packs.table(spark, str(tmp_path / "p"), "docs").where("domain = 'api_members'").first()
     assert row["name"] == "Получить" and "Gets it." in row["payload"]
     assert spark.read.parquet(str(tmp_path / "p/links")).where("link_kind = 'see_also'").count() == 2
 
