@@ -128,6 +128,21 @@ ORACLES: dict[str, str] = {
     "exact_or_fts": f"SELECT doc_id FROM documents WHERE lower(source) = 'src5' OR list_contains({_tokens('text')}, 'src5')",
     "token_score_rank": """SELECT doc_id, CAST(CASE WHEN contains(h, 'the') THEN 5 ELSE 0 END + CASE WHEN contains(h, 'src1') THEN 5 ELSE 0 END AS INTEGER) AS score
       FROM (SELECT doc_id, lower(source || ' ' || lang || ' ' || text) AS h FROM documents) ORDER BY 2 DESC, 1 LIMIT 25""",
+    "members_in_order": """SELECT p_partkey, CAST(rank AS INTEGER) AS rank, owner_name, version, topic_path FROM (
+        SELECT p_partkey, p_size, CASE WHEN p_size % 3 = 0 THEN 'Глобальный контекст' ELSE p_brand END AS owner_name, '8.3.' || p_size AS version, p_brand || '/' || p_partkey AS topic_path, p_brand || '.' || p_name AS full_name,
+        CASE WHEN lower(p_brand || '.' || p_name) = q THEN 0 WHEN lower(p_name) = q THEN 1 WHEN lower(p_type) = q OR lower(p_brand) = q THEN 2 WHEN lower(p_brand || '.' || p_name) LIKE '%.' || q THEN 3 ELSE 4 END AS rank
+        FROM part, (SELECT lower(min(p_name)) AS q FROM part)) WHERE rank < 4
+        ORDER BY rank, CASE WHEN owner_name = 'Глобальный контекст' THEN 0 ELSE 1 END, p_size DESC, topic_path, full_name LIMIT 50""",
+    "objects_in_order": """SELECT p_partkey, CAST(rank AS INTEGER) AS rank, version, topic_path FROM (
+        SELECT p_partkey, p_size, '8.3.' || p_size AS version, p_brand || '/' || p_partkey AS topic_path, p_brand || '.' || p_name AS full_name,
+        CASE WHEN lower(p_brand || '.' || p_name) = q THEN 0 WHEN lower(p_name) = q THEN 1 WHEN lower(p_type) = q OR lower(p_brand) = q THEN 2 ELSE 3 END AS rank
+        FROM part, (SELECT lower(max(p_type)) AS q FROM part)) WHERE rank < 3 ORDER BY rank, p_size DESC, topic_path, full_name LIMIT 50""",
+    "page_records": """SELECT p_partkey, CASE WHEN k < 2 THEN 'member' WHEN k = 2 THEN 'object' ELSE 'topic' END AS role, CASE k WHEN 0 THEN 'property' WHEN 1 THEN 'method' WHEN 2 THEN 'type' ELSE 'article' END AS kind,
+        CASE WHEN k < 2 THEN p_brand ELSE '' END AS owner_name, CASE WHEN k < 2 THEN p_name ELSE '' END AS member_name, CASE WHEN k < 2 THEN p_brand || '.' ELSE '' END || p_name AS full_name, p_name || ' (' || p_partkey || ')' AS title,
+        p_type AS summary, p_type AS description, CASE k WHEN 0 THEN p_brand || '.' || p_name ELSE '' END AS syntax, CASE WHEN k < 3 THEN p_brand ELSE '' END AS "returns",
+        CASE k WHEN 0 THEN 'property/' WHEN 1 THEN 'method/' WHEN 2 THEN 'objects/' ELSE 'notes/' END || p_partkey AS topic_path FROM (SELECT *, p_size % 4 AS k FROM part)""",
+    "flat_api_records": """SELECT p_partkey, CASE WHEN k < 2 THEN p_brand || '.' ELSE '' END || p_name AS name, CASE k WHEN 0 THEN 'property' WHEN 1 THEN 'method' WHEN 2 THEN 'type' ELSE 'topic' END AS kind, p_type AS description,
+        CASE k WHEN 0 THEN p_brand || '.' || p_name ELSE '' END AS syntax, CASE WHEN k < 2 THEN p_brand ELSE '' END AS "returns", CAST(CASE WHEN k < 3 THEN 2 ELSE 0 END AS INTEGER) AS n_sections FROM (SELECT *, p_size % 4 AS k FROM part)""",
     "member_exact_rank": "SELECT p_partkey, CAST(CASE WHEN lower(p_type || '.' || p_name) = 'small ring' THEN 0 WHEN lower(p_name) = 'small ring' THEN 1 WHEN lower(p_brand) = 'small ring' OR lower(p_type) = 'small ring' THEN 2 ELSE 4 END AS INTEGER) AS rank FROM part",
     "any_field_lookup": "SELECT p_partkey FROM part WHERE p_name = 'Brand#2' OR p_brand = 'Brand#2' OR p_type = 'Brand#2'",
     "content_hash_merge": f"""WITH h AS (SELECT doc_id, lang, doc_id % 12 AS m, sha256(length({_normal('text')}) || chr(31) || {_normal('text')}) AS content_hash FROM documents),

@@ -12,7 +12,7 @@ from packwright.functions import paths as P
 from packwright.functions import resolver
 from packwright.functions import text as T
 from packwright.operators import aliases, code, fts, links, lookup, merge, stats, tree, vectors
-from packwright.sources import categories, code_modules, config_xml, container, exports, help_books, markdown, pages, records, unpacked
+from packwright.sources import api_records, categories, code_modules, config_xml, container, exports, help_books, markdown, pages, records, unpacked
 from packwright.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -308,6 +308,52 @@ def token_score_rank(spark, sf):
     return table(spark, sf, "documents").select("doc_id", score.alias("score")).orderBy(F.desc("score"), "doc_id").limit(25)
 
 
+def named_parts(spark, sf):
+    """Parts as records with names, aliases and versions, as a pack's tables hold them."""
+    size = F.col("p_size").cast("string")
+    return table(spark, sf, "part").select(
+        "p_partkey", F.concat_ws(".", "p_brand", "p_name").alias("full_name"), F.col("p_name").alias("member_name"), F.col("p_name").alias("object_name"),
+        F.when(F.col("p_size") % 3 == 0, "Глобальный контекст").otherwise(F.col("p_brand")).alias("owner_name"), F.array("p_type").alias("aliases"), F.array("p_brand").alias("surface_aliases"),
+        F.concat(F.lit("8.3."), size).alias("version"), F.array(F.concat(F.lit("8.3."), size)).alias("versions"), F.concat_ws("/", "p_brand", F.col("p_partkey").cast("string")).alias("topic_path"),
+    )
+
+
+@query
+def members_in_order(spark, sf):
+    name = table(spark, sf, "part").agg(F.min("p_name")).first()[0]  # one name, to ask for
+    return lookup.exact_members(named_parts(spark, sf), name, limit=50).select("p_partkey", "rank", "owner_name", "version", "topic_path")
+
+
+@query
+def objects_in_order(spark, sf):
+    name = table(spark, sf, "part").agg(F.max("p_type")).first()[0]  # one type, which parts have as an alias
+    return lookup.exact_objects(named_parts(spark, sf), name, limit=50).select("p_partkey", "rank", "version", "topic_path")
+
+
+def part_pages(spark, sf):
+    """Parts as pages of help: properties, methods, types and articles by size, each with a title, its brand above and chapters."""
+    chapter = lambda name, c: F.concat(F.lit(f'<p class="V8SH_chapter">{name}:</p><p>'), c, F.lit("</p>"))
+    kind = F.element_at(F.array(*map(F.lit, ("property", "method", "objects", "notes"))), (F.col("p_size") % 4 + 1).cast("int"))
+    title = F.concat("p_name", F.lit(" ("), F.col("p_partkey").cast("string"), F.lit(")"))
+    body = F.concat(F.lit('<html><h1 class="V8SH_pagetitle">'), title, F.lit("</h1>"), F.when(kind == "notes", F.concat(F.lit("<p>"), "p_type", F.lit("</p>"))).otherwise(F.concat(chapter("Описание", F.col("p_type")), chapter("Возвращаемое значение", F.col("p_brand")))), F.lit("</html>"))
+    return table(spark, sf, "part").select(
+        F.col("p_partkey").cast("long").alias("key"), F.concat_ws("/", kind, F.col("p_partkey").cast("string")).alias("path"), F.lit("").alias("title"), F.lit("8.3.1").alias("version"), F.lit("en").alias("language"),
+        F.lit("").alias("book_label"), F.when(kind.isin("property", "method"), kind).otherwise("topic").alias("entity_type"), F.array("p_brand", F.lit("Methods")).alias("breadcrumb"), body.alias("html"),
+    )
+
+
+@query
+def page_records(spark, sf):
+    rows = api_records.records(part_pages(spark, sf))
+    return rows.select(F.col("id").alias("p_partkey"), "role", "kind", "owner_name", "member_name", "full_name", "title", "summary", "description", "syntax", "returns", "topic_path")
+
+
+@query
+def flat_api_records(spark, sf):
+    rows = api_records.flat_records(api_records.records(part_pages(spark, sf)))
+    return rows.select(F.col("id").alias("p_partkey"), "name", "kind", "description", "syntax", "returns", F.size("source_sections").alias("n_sections"))
+
+
 @query
 def member_exact_rank(spark, sf):
     full = F.concat_ws(".", "p_type", "p_name")
