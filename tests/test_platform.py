@@ -132,3 +132,18 @@ def test_object_kinds(spark):
 
     rows = spark.createDataFrame(cases, "p string, t string, k string").select("k", P.object_kind(F.col("p"), F.col("t")).alias("got"))
     assert [r["got"] for r in rows.collect()] == [c[2] for c in cases]
+
+
+def test_pages_of_unpacked_books_become_records(spark, tmp_path):
+    import json
+
+    from packwright.sources import files
+
+    folder = tmp_path / "8.3.1" / "shcntx_ru"
+    (folder / "objects").mkdir(parents=True)
+    (folder / "objects/get.html").write_text(PAGE, encoding="utf-8")
+    (folder / "toc.json").write_text(json.dumps([{"path": "/objects/get.html", "title_ru": "Получить", "entity_type": "method", "breadcrumb": ["Conn"]}]))
+    pages = help_topics.of_unpacked(files.scan(spark, str(tmp_path)))
+    r = pages.first()
+    assert (r["path"], r["version"], r["entity_type"], r["breadcrumb"]) == ("shcntx_ru/objects/get.html", "8.3.1", "method", ["Conn"]) and "Gets it." in r["html"]
+    assert [(x["role"], x["full_name"]) for x in api_records.records(pages).collect()] == [("member", "Conn.Получить")]
