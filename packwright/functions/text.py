@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -26,6 +27,15 @@ def _text(c: Column | str) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once a row, however often it is read.
+
+    Spark copies an expression into each place that reads it, also into lambdas, which compute it anew for every member
+    of an array; a lambda's own variable is not copied.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(c: Column | str) -> Column:
     return F.regexp_replace(_text(c), f"^[{WS}]+|[{WS}]+$", "")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from packwright.functions.text import hash_id, newest_first, normalized, version_key
+from packwright.functions.text import hash_id, newest_first, normalized, once, version_key
 
 
 def content_hash(*cols: Column | str) -> Column:
@@ -57,8 +57,18 @@ def distinct_results(df: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 
 def distinct_in_order(values: Column, ignore_case: bool = True) -> Column:
-    """Distinct array members in their order, the first spelling kept."""
+    """Distinct array members in their order, the first spelling kept.
+
+    Sorted by folded member and place, the first of each run of equals is kept, and those are sorted by place again:
+    n log n steps for n members.
+    """
     if not ignore_case:
         return F.array_distinct(values)
-    lowered = F.transform(values, F.lower)
-    return F.transform(F.array_distinct(lowered), lambda k: F.element_at(values, F.array_position(lowered, k).cast("int")))
+    placed = F.transform(values, lambda v, i: F.struct(F.lower(v).alias("key"), i.alias("at"), v.alias("value")))
+
+    def firsts(row: Column) -> Column:
+        # get() at -1 is null: the first has none before it, and a null key comes first
+        return F.filter(row, lambda x, i: (i == 0) | ~x["key"].eqNullSafe(F.get(row, i - 1)["key"]))
+
+    kept = F.transform(once(F.sort_array(placed), firsts), lambda x: F.struct(x["at"], x["value"]))
+    return F.transform(F.sort_array(kept), lambda x: x["value"])
