@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from packwright.functions.text import fold, tokens
+from packwright.plans.shared import written
 
 K1, B = 1.2, 0.75
 
@@ -70,34 +71,32 @@ def match_counts(docs: DataFrame, id_col: str, columns: list[str], query: str) -
         return docs.select(F.col(id_col).alias("doc_id"), F.lit(0).alias("phrase"), F.lit(0).alias("tf")).limit(0)
 
     def times(words: Column, phrase: tuple[str, ...]) -> Column:
-        if len(phrase) == 1:
-            return F.size(F.filter(words, lambda w: w == phrase[0]))
-        here = F.sequence(F.lit(0), F.size(words) - 1)
-        side = lambda i: reduce(lambda a, b: a & b, [F.get(words, i + k) == t for k, t in enumerate(phrase)])
-        return F.when(F.size(words) >= len(phrase), F.size(F.filter(here, lambda i: F.coalesce(side(i), F.lit(False))))).otherwise(0)
-
-    read = docs.select(F.col(id_col).alias("doc_id"), *[tokens(F.col(c)).alias(f"w{k}") for k, c in enumerate(columns)])
-    counts = read.select(
-        "doc_id",
-        reduce(lambda a, b: a + b, [F.size(f"w{k}") for k in range(len(columns))]).cast("long").alias("doc_len"),
-        *[
-            reduce(lambda a, b: a + b, [times(F.col(f"w{k}"), p) for k in range(len(columns))]).alias(f"tf{n}")
-            for n, p in enumerate(phrases)
-        ],
-    )
-    return counts
+        side = lambda w, i: reduce(lambda a, b: a & b, [F.get(words, i + k) == t for k, t in enumerate(phrase) if k], w == phrase[0])
+        return F.size(F.filter(words, side if len(phrase) > 1 else lambda w: w == phrase[0]))
+
+    # A text's words are a lambda's variable, cut once; as a column they would be cut anew for each place and filter.
+    names = [f"tf{n}" for n in range(len(phrases))]
+    none = F.struct(F.lit(0).cast("long").alias("doc_len"), *[F.lit(0).alias(n) for n in names])
+
+    def with_column(acc: Column, words: Column) -> Column:
+        return F.struct((acc["doc_len"] + F.size(words)).alias("doc_len"), *[(acc[n] + times(words, p)).alias(n) for n, p in zip(names, phrases, strict=True)])
+
+    counted = F.aggregate(F.array(*[tokens(F.col(c)) for c in columns]), none, with_column)
+    # Filters on exploded columns stay above, so that they don't count a second time.
+    return docs.select(F.col(id_col).alias("doc_id"), F.explode(F.array(counted)).alias("_c")).select("doc_id", "_c.*")
 
 
 def bm25(docs: DataFrame, id_col: str, columns: list[str], query: str) -> DataFrame:
     """(doc_id, score): documents that match all words, smaller scores first as better ones.
 
     score = -sum(idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / average))), idf = ln((N - n + .5) / (n + .5))
-    and at least 1e-6. One pass counts; its totals are one row, joined as columns.
+    and at least 1e-6. One pass counts and keeps a few numbers a document; totals, one row, and hits are read from those.
     """
     counts = match_counts(docs, id_col, columns, query)
     names = [c for c in counts.columns if c.startswith("tf") and c != "tf"]
     if not names:
         return counts.select("doc_id", F.lit(0.0).alias("score"))
+    counts = written(counts)
     totals = counts.agg(
         F.count(F.lit(1)).alias("n_docs"), F.avg("doc_len").alias("avg_len"), *[F.count_if(F.col(c) > 0).alias(f"n_{c}") for c in names]
     ).first()

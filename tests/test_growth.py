@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from packwright.operators import merge
+from packwright.operators import fts, merge
 
 
 def plan(df, capsys) -> str:
@@ -20,3 +20,12 @@ def test_distinct_in_order_cuts_its_words_once(spark, capsys):
     assert held.first()["w"] == ["a", None, "b"]
     long = spark.range(1).select(merge.distinct_in_order(F.transform(F.sequence(F.lit(0), F.lit(49_999)), lambda i: F.concat(F.lit("W"), (i % 20_000).cast("string")))).alias("w"))
     assert long.first()["w"] == [f"W{i}" for i in range(20_000)]
+
+
+def test_phrases_cut_their_texts_once(spark, capsys):
+    rows = spark.createDataFrame([(0, "of the of the", "x"), (1, "of", "the"), (2, "of a the", "of the"), (3, None, None)], "i int, a string, b string")
+    counts = fts.match_counts(rows, "i", ["a", "b"], "of_the of")
+    assert sorted(map(tuple, counts.collect())) == [(0, 5, 2, 2), (1, 2, 0, 1), (2, 5, 1, 2), (3, 0, 0, 0)]
+    assert plan(counts.where("tf0 > 0 and tf1 > 0"), capsys).count("regexp_extract_all(") == 2  # one a column
+    long = spark.createDataFrame([(0, "of the " * 20_000, "")], "i int, a string, b string")
+    assert fts.match_counts(long, "i", ["a", "b"], "of_the").where("tf0 > 0").first()["tf0"] == 20_000
