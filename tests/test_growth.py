@@ -29,3 +29,12 @@ def test_phrases_cut_their_texts_once(spark, capsys):
     assert plan(counts.where("tf0 > 0 and tf1 > 0"), capsys).count("regexp_extract_all(") == 2  # one a column
     long = spark.createDataFrame([(0, "of the " * 20_000, "")], "i int, a string, b string")
     assert fts.match_counts(long, "i", ["a", "b"], "of_the").where("tf0 > 0").first()["tf0"] == 20_000
+
+
+def test_hits_are_read_from_counts_that_are_kept(spark, capsys):
+    rows = spark.createDataFrame([(i, f"the w{i % 3} erthor", "src7") for i in range(9)], "i int, a string, b string")
+    found = fts.bm25(rows, "i", ["a", "b"], "the AND src7 w1")
+    assert found.count() == 0  # no text holds the word "and"
+    found = fts.bm25(rows, "i", ["a", "b"], "the src7 w1")
+    assert sorted(r["doc_id"] for r in found.collect()) == [1, 4, 7]
+    assert "regexp_extract_all(" not in plan(found, capsys)
