@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packwright.functions.text import normalized, squeezed, strip
+from packwright.functions.text import normalized, once, squeezed, strip
 
 # How the chapters of a help page begin, and the section each is.
 CHAPTERS = (
@@ -189,11 +189,14 @@ def runs(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
 
 def section_of(chapter: Column) -> Column:
     """The section a chapter heading stands for, or null."""
-    head = F.lower(F.regexp_replace(strip(chapter), ":+$", ""))
-    out = F.lit(None).cast("string")
-    for start, key in reversed(CHAPTERS):
-        out = F.when(head.startswith(start.lower()), F.lit(key)).otherwise(out)
-    return out
+
+    def named(head: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for start, key in reversed(CHAPTERS):
+            out = F.when(head.startswith(start.lower()), F.lit(key)).otherwise(out)
+        return out
+
+    return once(F.lower(F.regexp_replace(strip(chapter), ":+$", "")), named)
 
 
 # Labels that start a section inside a plain text.
@@ -202,18 +205,24 @@ INLINE_LABELS = {
     "Доступность:": "availability", "Пример:": "example", "Примечание:": "note", "Использование в версии:": "platform_since",
 }
 
+# The same as one pattern, factored so that few alternatives are tried at each character.
+_INLINE = "Синтаксис:|П(?:оля|араметры|ример|римечание):|Возвращаемое значение:|Описание(?: варианта метода)?:|Доступность:|Использование в версии:"
+
 
 def inline_sections(text: Column | str) -> Column:
     """struct<intro, sections map<string,string>> of a text with labels; bodies of one section are joined by a blank line, empty ones left out."""
-    whole = normalized(text)
-    label = "|".join(INLINE_LABELS)
+    label = _INLINE
     keys = F.create_map(*[F.lit(x) for pair in INLINE_LABELS.items() for x in pair])
-    parts = F.split(whole, label, -1)
-    found = F.transform(F.regexp_extract_all(whole, F.lit(label), F.lit(0)), lambda x, i: F.struct(F.element_at(keys, x).alias("key"), normalized(F.get(parts, i + 1)).alias("body")))
-    kept = F.filter(found, lambda x: x["body"] != "")
-    names = F.array_distinct(kept["key"])
-    bodies = F.transform(names, lambda k: F.array_join(F.transform(F.filter(kept, lambda x: x["key"] == k), lambda x: x["body"]), "\n\n"))
-    return F.struct(strip(F.get(parts, F.lit(0))).alias("intro"), F.map_from_arrays(names, bodies).alias("sections"))
+
+    def read(whole: Column, parts: Column) -> Column:
+        found = F.transform(F.regexp_extract_all(whole, F.lit(label), F.lit(0)), lambda x, i: F.struct(F.element_at(keys, x).alias("key"), normalized(F.get(parts, i + 1)).alias("body")))
+        return once(F.filter(found, lambda x: x["body"] != ""), lambda kept: F.struct(strip(F.get(parts, F.lit(0))).alias("intro"), by_key(kept).alias("sections")))
+
+    def by_key(kept: Column) -> Column:
+        body = lambda k: F.array_join(F.transform(F.filter(kept, lambda x: x["key"] == k), lambda x: x["body"]), "\n\n")
+        return F.map_from_entries(F.transform(F.array_distinct(F.transform(kept, lambda x: x["key"])), lambda k: F.struct(k.alias("key"), body(k).alias("value"))))
+
+    return once(normalized(text), lambda whole: once(F.split(whole, label, -1), lambda parts: read(whole, parts)))
 
 
 def sections(page_runs: DataFrame) -> DataFrame:

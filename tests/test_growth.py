@@ -1,8 +1,12 @@
 """Work per row that must not grow with the row's length, and work that must not stay in one task."""
 
+import re
+
 from pyspark.sql import functions as F
 
+from packwright.functions import text as T
 from packwright.operators import fts, merge
+from packwright.sources import pages
 
 
 def plan(df, capsys) -> str:
@@ -38,3 +42,26 @@ def test_hits_are_read_from_counts_that_are_kept(spark, capsys):
     found = fts.bm25(rows, "i", ["a", "b"], "the src7 w1")
     assert sorted(r["doc_id"] for r in found.collect()) == [1, 4, 7]
     assert "regexp_extract_all(" not in plan(found, capsys)
+
+
+def test_strip_and_normalized_take_every_blank(spark):
+    ws = "".join(chr(c) for c in range(0x3001) if re.match(f"[{T.WS}]", chr(c)))
+    assert T.WS_CHARS == ws and len(ws) > 25 and set(T.LINE_END_CHARS) < set(ws)
+    texts = [ws + "a" + ws + "b" + ws, ws, "", None, "a \r\n\x85 b\t c \n\nd", " é　\n ы "]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", T.strip("t").alias("s"), T.normalized("t").alias("n"))
+
+    def normal(x):
+        lines = re.sub(f"[{T.LINE_ENDS}]", "\n", x.replace("\r\n", "\n"))
+        return re.sub(f"[{T.WS_IN_LINE}]+\n", "\n", lines).strip(ws)
+
+    want = [(i, (t or "").strip(ws), normal(t or "")) for i, t in enumerate(texts)]
+    assert sorted(map(tuple, rows.collect())) == want
+
+
+def test_inline_sections_are_read_once(spark, capsys):
+    rows = spark.createDataFrame([(0, "x Синтаксис: a Поля:\nПараметры: b Описание варианта метода: c Описание: d"), (1, None)], "i int, t string")
+    made = rows.select("i", pages.inline_sections("t").alias("s")).select("i", "s.intro", F.col("s.sections")["syntax"].alias("a"), F.col("s.sections")["description"].alias("d"), F.size("s.sections").alias("n"))
+    assert sorted(map(tuple, made.collect())) == [(0, "x", "a", "c\n\nd", 3), (1, "", None, None, 0)]
+    assert plan(made, capsys).count("regexp_extract_all(") == 1
+    every = spark.createDataFrame([(k,) for k in pages.INLINE_LABELS], "k string").select("k", F.map_keys(pages.inline_sections(F.concat("k", F.lit(" b")))["sections"]).alias("got"))
+    assert {r["k"]: r["got"] for r in every.collect()} == {k: [v] for k, v in pages.INLINE_LABELS.items()}
