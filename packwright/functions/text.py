@@ -197,7 +197,7 @@ def without_title_lines(c: Column | str, title: Column, breadcrumb: Column) -> C
     above = F.coalesce(F.transform(breadcrumb, lambda x: F.lower(strip(x))), F.array().cast("array<string>"))
     noise = F.array_append(F.filter(above, lambda x: x != ""), F.lower(title_base(title)))
     lines = F.filter(F.transform(F.split(normalized(c), "\n"), strip), lambda x: x != "")
-    return F.array_join(F.filter(lines, lambda x: ~F.array_contains(noise, F.lower(title_base(x)))), "\n")
+    return once(noise, lambda titles: F.array_join(F.filter(lines, lambda x: ~F.array_contains(titles, F.lower(title_base(x)))), "\n"))
 
 
 def code_blocks(c: Column | str) -> Column:

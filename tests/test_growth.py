@@ -65,3 +65,12 @@ def test_inline_sections_are_read_once(spark, capsys):
     assert plan(made, capsys).count("regexp_extract_all(") == 1
     every = spark.createDataFrame([(k,) for k in pages.INLINE_LABELS], "k string").select("k", F.map_keys(pages.inline_sections(F.concat("k", F.lit(" b")))["sections"]).alias("got"))
     assert {r["k"]: r["got"] for r in every.collect()} == {k: [v] for k, v in pages.INLINE_LABELS.items()}
+
+
+def test_titles_to_leave_out_are_made_once(spark, capsys):
+    rows = spark.createDataFrame([("Name (Имя)", ["Above", " "], "name\n ABOVE (x)\n\nbody \nAbove it"), ("T", None, None)], "t string, b array<string>, x string")
+    made = rows.select(T.without_title_lines("x", F.col("t"), F.col("b")).alias("x"))
+    assert [r["x"] for r in made.collect()] == ["body\nAbove it", ""]
+    text = plan(made, capsys)
+    inside = text[text.index("array_contains(") :]
+    assert "array_append(" not in inside[: inside.index(")")]
