@@ -40,3 +40,13 @@ def written(df: DataFrame, **options: str) -> DataFrame:
     path = f"{shared_folder(spark)}/packwright/{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt evenly to at least four tasks a core, for work that costs far more than reading its rows.
+
+    A table is read by as many tasks as its files and row groups make; a million short rows may be one. Rows are dealt in
+    turn, so no key can fill a task.
+    """
+    spark = df.sparkSession
+    return df.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))

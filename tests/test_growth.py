@@ -2,11 +2,14 @@
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from packwright.functions import grammar as G
 from packwright.functions import text as T
 from packwright.operators import fts, merge
-from packwright.sources import pages
+from packwright.plans import registry
+from packwright.sources import api_records, categories, code_modules, pages
 
 
 def plan(df, capsys) -> str:
@@ -74,3 +77,14 @@ def test_titles_to_leave_out_are_made_once(spark, capsys):
     text = plan(made, capsys)
     inside = text[text.index("array_contains(") :]
     assert "array_append(" not in inside[: inside.index(")")]
+
+
+def _tasks(df) -> int:
+    return df.select(F.spark_partition_id()).distinct().count()
+
+
+def test_modules_of_one_file_are_parsed_in_many_tasks(spark):
+    rows = spark.range(0, 200, 1, 1).select(F.col("id").alias("module_id"), F.lit("Procedure Run()\n Log(1, 2);\nEndProcedure\n").alias("text"))
+    tagged = code_modules.tagged(rows)
+    assert _tasks(tagged) > 3
+    assert code_modules.symbols(tagged).count() == code_modules.calls(tagged).count() == 200
