@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from packwright.functions.text import normalized, squeezed, strip
+from packwright.functions.text import normalized, once, squeezed, strip
 
 # How a parameter says that it must or may be given, and the mark of its type.
 GIVEN, TYPE_MARK, NO_TYPE = "обязательный|необязательный", "Тип:", "—"
@@ -36,13 +36,14 @@ def _in_one_line(lines: Column) -> Column:
     head = rf"<[^>]+>\s*\((?:{GIVEN})\)"
     chunks = F.regexp_extract_all(F.array_join(lines, " "), F.lit(rf"(?iu){head}(?:(?!{head}).)*"), F.lit(0))
 
-    def one(chunk: Column) -> Column:
-        c, kind = squeezed(chunk), rf"{TYPE_MARK}\s*(.+?)(?:\s+\.\s+|\.$)"
+    kind = rf"{TYPE_MARK}\s*(.+?)(?:\s+\.\s+|\.$)"
+
+    def one(c: Column) -> Column:
         found = c.rlike(kind)
         text = F.when(found, strip(F.regexp_replace(c, rf"^.*?{kind}", ""))).otherwise(c)
         return _param(strip(F.regexp_extract(c, "^(<[^>]+>)", 1)), F.when(found, strip(F.regexp_extract(c, kind, 1))).otherwise(NO_TYPE), text)
 
-    return F.transform(chunks, one)
+    return F.transform(chunks, lambda c: once(squeezed(c), one))
 
 
 def _line_by_line(lines: Column) -> Column:
@@ -54,9 +55,12 @@ def _line_by_line(lines: Column) -> Column:
     none = F.array().cast(f"array<{_PARAM}>")
 
     def step(acc: Column, line: Column) -> Column:
+        fresh = F.when(line.startswith("-"), strip(F.regexp_replace(line, "^[- ]+", ""))).otherwise(line)
+        return once(fresh, lambda x: taken(acc, line, x))
+
+    def taken(acc: Column, line: Column, fresh: Column) -> Column:
         at, held = acc["state"], acc["held"]
         kind = (at == 1) & line.startswith(TYPE_MARK)
-        fresh = F.when(line.startswith("-"), strip(F.regexp_replace(line, "^[- ]+", ""))).otherwise(line)
         opens = fresh.startswith("<") & F.contains(fresh, F.lit(">"))
         part = lambda k: strip(F.regexp_extract(fresh, marked, k))
         plain = F.when(fresh.rlike(marked), _param(part(1), part(2), part(3))).otherwise(_param(fresh, F.lit(""), F.lit("")))
@@ -76,9 +80,12 @@ def parameters(body: Column) -> Column:
 
     Texts without bold names are first read as one piece; if that gives none, line by line. Null and blank texts have none.
     """
-    lines = _lines(body)
-    pieces = F.when(F.exists(lines, lambda x: F.contains(x, F.lit("**"))), F.array().cast(f"array<{_PARAM}>")).otherwise(_in_one_line(lines))
-    return F.when(F.size(pieces) > 0, pieces).otherwise(_line_by_line(lines))
+
+    def read(lines: Column) -> Column:
+        pieces = F.when(F.exists(lines, lambda x: F.contains(x, F.lit("**"))), F.array().cast(f"array<{_PARAM}>")).otherwise(_in_one_line(lines))
+        return once(pieces, lambda found: F.when(F.size(found) > 0, found).otherwise(_line_by_line(lines)))
+
+    return once(_lines(body), read)
 
 
 def type_name(c: Column) -> Column:

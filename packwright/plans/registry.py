@@ -12,6 +12,7 @@ from packwright.functions import paths as P
 from packwright.functions import resolver
 from packwright.functions import text as T
 from packwright.operators import aliases, code, fts, links, lookup, merge, stats, tree, vectors
+from packwright.plans.shared import spread
 from packwright.sources import api_records, categories, code_modules, config_xml, container, exports, help_books, markdown, pages, records, unpacked
 from packwright.streaming import ingest
 
@@ -679,7 +680,7 @@ def parameter_lines(spark, sf):
     """A parameter section of one of three forms for each part."""
     shapes = ("<P%1$d> (обязательный)\nТип: %2$s .\n%3$s", "- **P%1$d** (%2$s) — %3$s\n<Q%1$d>", "<P%1$d>\nТип: %2$s\n%3$s\n- last %1$d")
     text = F.element_at(F.array(*[F.format_string(x, "p_partkey", "p_brand", "p_name") for x in shapes]), (F.col("p_partkey") % 3 + 1).cast("int"))
-    return table(spark, sf, "part").select("p_partkey", F.posexplode(G.parameters(text)).alias("n", "p")).select("p_partkey", "n", "p.*")
+    return spread(table(spark, sf, "part")).select("p_partkey", F.posexplode(G.parameters(text)).alias("n", "p")).select("p_partkey", "n", "p.*")
 
 
 @query

@@ -88,3 +88,12 @@ def test_modules_of_one_file_are_parsed_in_many_tasks(spark):
     tagged = code_modules.tagged(rows)
     assert _tasks(tagged) > 3
     assert code_modules.symbols(tagged).count() == code_modules.calls(tagged).count() == 200
+
+
+def test_parameter_texts_are_cut_into_lines_once_and_in_many_tasks(spark, capsys):
+    texts = ["<A> (обязательный)\nТип: Число .\nодин", "- **B** (Строка) — два\n<C>\nТип:\nтри", "- \n<D", "", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", G.parameters(F.col("t")).alias("p"))
+    got = {r["i"]: [tuple(p) for p in r["p"]] for r in rows.collect()}
+    assert got == {0: [("<A>", "Число", "один")], 1: [("B", "Строка", "два"), ("<C>", "—", "три")], 2: [("<D", "", "")], 3: [], 4: []}
+    assert plan(rows, capsys).count("split(") == 1
+    assert _tasks(registry.QUERIES["parameter_lines"](spark, "/root/testdata/sf0.001")) > 3
