@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from packwright.functions.paths import file_name
 from packwright.functions.text import html_title
 from packwright.operators.tree import breadcrumbs, folders
+from packwright.plans.shared import written
 from packwright.sources.files import old_text
 
 #: The file that lists a folder's items.
@@ -49,9 +50,9 @@ def category_tree(files: DataFrame, dirs: DataFrame | None = None, root: str | N
     pages = pages.where(name.rlike(r"\.html?$") | ~F.contains(name, F.lit(".")))
     title = html_title(F.substring(old_text("content"), 1, TITLE_CHARS))
     there = every.select("path", F.lit(True).alias("is_dir"), name.alias("title")).unionByName(pages.select("path", F.lit(False).alias("is_dir"), title.alias("title")))
-    there = there.withColumn("folder", _folder_of("path")).where(F.lit(root is not None))
-
-    listed = category_items(files)
+    # Titles and lists are read from contents once; what follows, level by level, joins a few short columns.
+    there = written(there.withColumn("folder", _folder_of("path")).where(F.lit(root is not None)))
+    listed = written(category_items(files))
     own = listed.groupBy("folder", "item").agg(F.min("position").alias("position"))
     below = F.when(F.col("folder") == "", F.col("item")).otherwise(F.concat_ws("/", "folder", "item"))
     named = own.select(below.alias("path"), "position").join(there, "path")
@@ -59,6 +60,6 @@ def category_tree(files: DataFrame, dirs: DataFrame | None = None, root: str | N
     nodes = named.unionByName(plain.withColumn("position", F.lit(None).cast("int")), allowMissingColumns=True)
     top = F.when(F.col("folder") == (root or ""), F.lit(None)).otherwise(F.col("folder"))
     nodes = nodes.select("path", top.alias("parent"), "position", "title", F.when(F.col("is_dir"), "").otherwise(F.col("path")).alias("page"))
-    inside = nodes if not root else nodes.where(F.col("path").startswith(f"{root}/"))
+    inside = written(nodes if not root else nodes.where(F.col("path").startswith(f"{root}/")))
     crumbs = breadcrumbs(inside, "path", "parent", "title").select(F.col("id").alias("path"), "depth", "breadcrumb")
     return inside.join(crumbs, "path")

@@ -97,3 +97,12 @@ def test_parameter_texts_are_cut_into_lines_once_and_in_many_tasks(spark, capsys
     assert got == {0: [("<A>", "Число", "один")], 1: [("B", "Строка", "два"), ("<C>", "—", "три")], 2: [("<D", "", "")], 3: [], 4: []}
     assert plan(rows, capsys).count("split(") == 1
     assert _tasks(registry.QUERIES["parameter_lines"](spark, "/root/testdata/sf0.001")) > 3
+
+
+def test_category_tree_reads_contents_once(spark, capsys):
+    files = spark.createDataFrame(
+        [("__categories__", b'{1,"s"}'), ("s/__categories__", b'{2,"b.html","a.html"},"b.html"'), ("s/a.html", b"<h1>A</h1>"), ("s/b.html", b"<title>B</title>")], "rel_path string, content binary"
+    )
+    found = categories.category_tree(files, root="")
+    assert [(r["path"], r["position"], r["title"]) for r in found.orderBy("path").collect()] == [("s", 0, "s"), ("s/b.html", 0, "B")]
+    assert "old_text" not in plan(found, capsys)
