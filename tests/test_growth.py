@@ -106,3 +106,7 @@ def test_category_tree_reads_contents_once(spark, capsys):
     found = categories.category_tree(files, root="")
     assert [(r["path"], r["position"], r["title"]) for r in found.orderBy("path").collect()] == [("s", 0, "s"), ("s/b.html", 0, "B")]
     assert "old_text" not in plan(found, capsys)
+
+
+def test_code_calls_deals_its_table_to_many_tasks(spark):
+    assert _tasks(registry.QUERIES["code_calls"](spark, "/root/testdata/sf0.001")) > 3
