@@ -14,7 +14,7 @@ from packwright.functions import grammar as G
 from packwright.functions import paths as P
 from packwright.functions import text as T
 from packwright.operators import aliases, links
-from packwright.plans.shared import written
+from packwright.plans.shared import spread, written
 from packwright.sources import pages, unpacked
 
 # How titles of functions of the language and of default constructors look, and bodies that only repeat a heading.
@@ -100,7 +100,8 @@ def records(topics: DataFrame) -> DataFrame:
     repeated pages stay rows of their own until they are merged. Columns other than those of topics are not read.
     """
     # Pages are parsed once: what they hold is kept, so that later columns don't repeat the reading of their runs.
-    rows = kinds(written(read_pages(topics.select("key", "path", "title", "version", "language", "book_label", "entity_type", "breadcrumb", "html"))))
+    topics = topics.select("key", "path", "title", "version", "language", "book_label", "entity_type", "breadcrumb", "html")
+    rows = kinds(written(read_pages(spread(topics))))
     member, topic = F.col("role") == "member", F.col("role") == "topic"
     title, base = F.col("page_title"), T.title_base("page_title")
     described = T.first_nonblank(_section("description"), "intro", _section("note"))

@@ -110,3 +110,9 @@ def test_category_tree_reads_contents_once(spark, capsys):
 
 def test_code_calls_deals_its_table_to_many_tasks(spark):
     assert _tasks(registry.QUERIES["code_calls"](spark, "/root/testdata/sf0.001")) > 3
+
+
+def test_pages_of_one_file_are_parsed_in_many_tasks(spark):
+    rows = api_records.records(registry.part_pages(spark, "/root/testdata/sf0.001"))
+    assert len(rows.inputFiles()) > 3  # of the parsed pages, one a task
+    assert rows.count() == registry.table(spark, "/root/testdata/sf0.001", "part").count()
