@@ -6,7 +6,7 @@ import unicodedata
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +18,8 @@ CHAPTERS = (
     ("Пример", "example"), ("См. также", "see_also"), ("Примечание", "note"), ("Использование в версии", "version"), ("Доступность", "availability"),
 )
 _BLOCKS = frozenset("p div li tr table ul ol h1 h2 h3 h4 h5 h6 br hr pre article section td th body".split())
+#: Characters of pages that are parsed before their runs are handed on.
+PIECE = 1 << 20
 _SILENT = frozenset(("script", "style", "nav", "footer", "head"))
 
 
@@ -174,17 +176,32 @@ def flat(html: str | None) -> list[tuple[str, str, str]]:
     return parser.out
 
 
+def _flattened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of a few pages at a time, so that a task holds its input batch and the runs of about PIECE characters."""
+    for b in batches:
+        ids, where = b.column(0), pa.schema([("id", b.schema.field(0).type), ("position", pa.int32()), *[(n, pa.string()) for n in ("chapter", "kind", "text")]])
+        rows, size = [], 0
+
+        def piece() -> pa.RecordBatch:
+            at, *parts = zip(*rows, strict=True)
+            return pa.RecordBatch.from_arrays([ids.take(pa.array(at)), *[pa.array(p, f.type) for p, f in zip(parts, list(where)[1:], strict=True)]], schema=where)  # noqa: B023
+
+        for k in range(b.num_rows):
+            html = b.column(1)[k].as_py()
+            rows += [(k, n, *r) for n, r in enumerate(flat(html))]
+            size += len(html or "")
+            if size >= PIECE and rows:
+                yield piece()
+                rows, size = [], 0
+        if rows:
+            yield piece()
+
+
 def runs(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
     """(id, position, chapter, kind, text) of every run of text of every page."""
     kind = pages.schema[id_col].dataType.simpleString()
-
-    def flatten(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(i, n, *r) for i, h in zip(b["id"], b["html"], strict=True) for n, r in enumerate(flat(h))]
-            yield pd.DataFrame(rows, columns=["id", "position", "chapter", "kind", "text"])
-
     source = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html"))
-    return source.mapInPandas(flatten, f"id {kind}, position int, chapter string, kind string, text string")
+    return source.mapInArrow(_flattened, f"id {kind}, position int, chapter string, kind string, text string")
 
 
 def section_of(chapter: Column) -> Column:

@@ -116,3 +116,15 @@ def test_pages_of_one_file_are_parsed_in_many_tasks(spark):
     rows = api_records.records(registry.part_pages(spark, "/root/testdata/sf0.001"))
     assert len(rows.inputFiles()) > 3  # of the parsed pages, one a task
     assert rows.count() == registry.table(spark, "/root/testdata/sf0.001", "part").count()
+
+
+def test_runs_of_pages_are_handed_on_in_pieces():
+    html = "<p>" + "word " * 40_000
+    batch = pa.RecordBatch.from_pydict({"id": pa.array(range(60), pa.int64()), "html": pa.array([html] * 59 + [None])})
+    sizes = [b.num_rows for b in pages._flattened(iter([batch]))]
+    assert sum(sizes) == 59 and max(sizes) <= 6
+
+
+def test_runs_keep_ids_and_order(spark):
+    rows = spark.createDataFrame([("a", "x<p>y"), ("b", None), ("c", "")], "k string, h string")
+    assert sorted(map(tuple, pages.runs(rows, "k", "h").collect())) == [("a", 0, "", "text", "x"), ("a", 1, "", "text", "y")]
