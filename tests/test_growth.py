@@ -128,3 +128,8 @@ def test_runs_of_pages_are_handed_on_in_pieces():
 def test_runs_keep_ids_and_order(spark):
     rows = spark.createDataFrame([("a", "x<p>y"), ("b", None), ("c", "")], "k string, h string")
     assert sorted(map(tuple, pages.runs(rows, "k", "h").collect())) == [("a", 0, "", "text", "x"), ("a", 1, "", "text", "y")]
+
+
+def test_flat_records_of_one_file_are_parsed_in_many_tasks(spark):
+    rows = registry.QUERIES["flat_api_records"](spark, "/root/testdata/sf0.001")
+    assert len(rows.inputFiles()) > 3
