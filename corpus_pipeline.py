@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packwright.llm.common import shared_folder, written
+from packwright.llm.common import released, shared_folder, written
 from packwright.llm.decontaminate import contamination
 from packwright.llm.mixing import placed_words
 from packwright.llm.ngram_join import jaccard_components
@@ -52,6 +52,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     pairs = found.groupBy(F.col("doc_id").alias("_pw_doc"), F.col("_pw_key").alias("_pw_mark"))
     marks = pairs.agg(F.max("_pw_first").alias("_pw_stays"), F.count(F.lit(1)).alias("_pw_rows"))
     marks = written(marks.where(~F.col("_pw_stays") | (F.col("_pw_rows") > 1)).select("_pw_doc", "_pw_mark", "_pw_stays"))
+    released(spark)
     joined = docs.join(marks, _same_row(), "left")
     repeated = joined.where("_pw_stays").dropDuplicates(["_pw_doc", "_pw_mark"])
     return joined.where("_pw_stays is null").unionByName(repeated).select(*docs.columns)

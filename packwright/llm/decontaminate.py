@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packwright.llm.common import joined_back, small_enough, texts, word_array
+from packwright.llm.common import joined_back, released, small_enough, texts, word_array
 
 
 def _shingle(words: Column, at: Column, size: int) -> Column:
@@ -58,6 +58,7 @@ def contamination(
         r[0]
         for r in wins.select(F.least(F.size("_pw_window"), F.lit(shingle)).alias("s")).distinct().limit(shingle).collect()
     ]
+    released(docs.sparkSession)
     hits = [_hits(base, wins, size, shingle, sent, few) for size in sorted(sizes)]
     counted = base.select("_pw_id", "_pw_key", F.size("_pw_words").cast("long").alias("n_words"))
     none = F.array().cast("array<string>")

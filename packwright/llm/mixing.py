@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from packwright.llm.common import plain_words, written
+from packwright.llm.common import plain_words, released, written
 
 
 def _draw(*parts: Column | str, seed: int) -> Column:
@@ -144,6 +144,7 @@ def output_shards(drawn: DataFrame, depth: int = 3, seed: int = 17) -> DataFrame
         sure = blocks.where(~inside).withColumn("_pw_right", (F.col("_pw_stay") <= 0).cast("int"))
         split = blocks.where(inside).withColumn("_pw_right", (F.row_number().over(order) > F.col("_pw_stay")).cast("int"))
         blocks = sure.unionByName(split).select("_pw_source", "_pw_block", "_pw_copy", (F.col("shard") * 2 + F.col("_pw_right")).alias("shard"))
+        released(drawn.sparkSession)
     return blocks
 
 
@@ -154,7 +155,9 @@ def placed_words(docs: DataFrame, *, depth: int = 3, seed: int = 17, **options)
     hold words of it, sorted. The tree's table is written once and has a row for each block copy only.
     """
     drawn = written(drawn_words(docs, seed=seed, **options)).drop("taken")
+    released(docs.sparkSession)
     shards = written(output_shards(drawn, depth, seed))
+    released(docs.sparkSession)
     place = F.struct(F.col("_pw_copy").alias("copy"), F.col("shard").alias("shard"))
     places = shards.groupBy("_pw_source", "_pw_block").agg(F.collect_list(place).alias("_pw_places"))
     rows = _same_source(drawn, places, ("_pw_block",))

@@ -15,7 +15,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packwright.llm.common import joined_back, match_spans, spans_text, tagged, texts
+from packwright.llm.common import joined_back, match_spans, released, spans_text, tagged, texts
 
 # A run's inner places can't start a match that its first place can't; \G lets one start where the last ended.
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -242,6 +242,7 @@ def standard_model(spark: SparkSession) -> SpanModel:
     if name not in _standard:
         _standard.clear()
         _standard[name] = SpanModel(spark)
+        released(spark)  # a fit is a hundred small jobs
     return _standard[name]
 
 

@@ -8,6 +8,7 @@ dual coordinate descent; margins of rows kept back from the fit calibrate the sc
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from packwright.llm import packed
-from packwright.llm.common import drawn, held_out, small_batches, written
+from packwright.llm.common import drawn, held_out, released, small_batches, written
 
 BITS = 18
 _U = np.uint64
@@ -139,6 +140,20 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, ["y", "h", "n", "f"])
 
 
+def _fitted(seed: int):
+    """Fits the sample's rows in the task that gets them all, so that the driver receives the model only, a few numbers a feature."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = sorted((y, f) for b in batches for y, f in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        y = np.array([g[0] for g in got], np.int64)
+        if len(set(y.tolist())) < 2:
+            return
+        rows = [np.frombuffer(g[1], np.int32) for g in got]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit_rows(rows, y, seed=seed))], pa.binary())], ["model"])
+
+    return run
+
+
 def teaching_texts(
     docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_docs: int = 3000, seed: int = 3
 ) -> DataFrame:
@@ -172,12 +187,10 @@ def fit_quality(
     small_batches(docs.sparkSession)
     grams = written(rows.withColumn("y", F.col("y").cast("int")).mapInArrow(_gathered, "y int, h long, n long, f binary"))  # at most 2 * sample_docs rows
     before = F.sum("n").over(Window.partitionBy("y").orderBy("h", "f").rowsBetween(Window.unboundedPreceding, -1))
-    got = grams.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < sample_grams).select("y", "f").collect()
-    got = sorted((r["y"], bytes(r["f"])) for r in got)
-    y = np.array([g[0] for g in got], np.int64)
-    if len(set(y.tolist())) < 2:
-        return None
-    return fit_rows([np.frombuffer(g[1], np.int32) for g in got], y, seed=seed)
+    taken = grams.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < sample_grams).select("y", "f")
+    fitted = taken.repartition(1).mapInArrow(_fitted(seed), "model binary").first()  # the sample has a bound
+    released(docs.sparkSession)
+    return pickle.loads(fitted["model"]) if fitted else None
 
 
 def _scored(model: QualityModel | None):

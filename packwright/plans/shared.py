@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -22,13 +24,19 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def released(spark: SparkSession) -> None:
-    """Lets go of plans that nobody holds, and so of their shuffle files and broadcasts.
+    """Lets go of plans that nobody holds, and so of their shuffle files and broadcasts, and returns freed memory.
 
     Spark frees those when the driver's collector meets them, which a driver with little garbage may not do for half an
-    hour; jobs that plan many shuffles in a row call this between their steps.
+    hour; jobs that plan many shuffles in a row call this between their steps. What compilers and codecs of the driver
+    have freed outside the heap stays with the C library, a few hundred MB after such jobs, until it is told to return it;
+    a JVM that can't tell it so leaves it there.
     """
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    jvm = spark.sparkContext._jvm
+    jvm.System.gc()
+    with contextlib.suppress(Py4JError):
+        name = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer().invoke(name, "systemTrimNativeHeap", None, None)
 
 
 def written(df: DataFrame, **options: str) -> DataFrame:
