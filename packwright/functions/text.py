@@ -78,7 +78,8 @@ def fold(c: Column | str, how: str = "unicode") -> Column:
 
 def search_text(c: Column | str) -> Column:
     """Lower case without Latin marks, the form that tokens are cut from."""
-    return F.translate(F.lower(_text(c)), MARKED, UNMARKED)
+    low = F.lower(_text(c))
+    return F.when(low.rlike(f"[{MARKED[0]}-{MARKED[-1]}]"), F.translate(low, MARKED, UNMARKED)).otherwise(low)  # translate looks each character up
 
 
 def tokens(c: Column | str) -> Column:

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from packwright.functions.text import fold, tokens
+from packwright.functions.text import TOKEN, fold, search_text, tokens
 from packwright.plans.shared import written
 
 K1, B = 1.2, 0.75
@@ -110,6 +110,26 @@ def bm25(docs: DataFrame, id_col: str, columns: list[str], query: str) -> DataFr
     return hits.select("doc_id", score.alias("score"))
 
 
+def _stands_in(text: Column, phrase: tuple[str, ...]) -> Column:
+    """Whether a search text holds these terms side by side; a term is a whole run of token characters, which take one or two places each."""
+    inside = TOKEN.removesuffix("+")
+    between = inside.replace("[", "[^", 1) + "+"
+    return text.rlike(f"{phrase[0]}(?<!{inside}{{1,2}}{phrase[0]})" + "".join(between + t for t in phrase[1:]) + f"(?!{inside})")
+
+
+def matches(docs: DataFrame, id_col: str, columns: list[str], *queries: str) -> DataFrame:
+    """(doc_id, query): the documents that bm25 finds for each query, told by its number, without their scores.
+
+    Texts are read once for all queries and searched for the queries' terms, not cut into words; nothing is counted.
+    """
+    asked = [sorted(set(map(tuple, _query_terms(docs, q)[0])), key=lambda p: (-len("".join(p)), p)) for q in queries]  # long words are rare
+    texts = [f"_s{k}" for k in range(len(columns))]
+    every = [reduce(lambda a, b: a & b, [reduce(lambda a, b: a | b, [_stands_in(F.col(t), p) for t in texts]) for p in phrases], F.lit(bool(phrases))) for phrases in asked]
+    rows = docs.select(F.col(id_col).alias("doc_id"), *[search_text(F.col(c)).alias(t) for c, t in zip(columns, texts, strict=True)])
+    # A filter above the generator reads its column and is not copied to the texts.
+    return rows.select("doc_id", F.posexplode(F.array(*every)).alias("query", "_met")).where("_met").select("doc_id", "query")
+
+
 def bm25_indexed(index: DataFrame, lengths: DataFrame, query: str, totals: dict | None = None) -> DataFrame:
     """As bm25, from a postings table: only the query's terms are read, phrases are found by their positions.
 
@@ -163,7 +183,7 @@ def search(
 def exact_or_text(docs: DataFrame, query: str, *, id_col: str, name_col: str, columns: list[str]) -> DataFrame:
     """Ids whose name equals the query or whose text matches all its words, each once."""
     exact = docs.where(fold(F.col(name_col)) == fold(F.lit(query))).select(F.col(id_col).alias("doc_id"))
-    return exact.union(bm25(docs, id_col, columns, query).select("doc_id")).distinct()
+    return exact.union(matches(docs, id_col, columns, query).select("doc_id")).distinct()
 
 
 def write_postings(table: DataFrame, path: str) -> None:

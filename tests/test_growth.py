@@ -133,3 +133,16 @@ def test_runs_keep_ids_and_order(spark):
 def test_flat_records_of_one_file_are_parsed_in_many_tasks(spark):
     rows = registry.QUERIES["flat_api_records"](spark, "/root/testdata/sf0.001")
     assert len(rows.inputFiles()) > 3
+
+
+def test_matches_are_found_without_cutting_texts(spark, capsys):
+    texts = ["of the", "of  -The", "ofthe", "of a the", "xof the", "of thex", "1of the of_the", "of the", "óf thé", "\U0001d400of the", "of the\U000f0000", "oF. ThE!", "", None, "the of", "off of the"]
+    rows = spark.createDataFrame([(i, t, "the" if i % 3 else "of é") for i, t in enumerate(texts)], "i int, a string, b string")
+    queries = ["of_the", "the of", "off", "e", "", "- _", "OF AND the", "of_the_of"]
+    found = fts.matches(rows, "i", ["a", "b"], *queries)
+    got = {n: sorted(r["doc_id"] for r in found.where(F.col("query") == n).collect()) for n in range(len(queries))}
+    assert got == {n: sorted(r["doc_id"] for r in fts.bm25(rows, "i", ["a", "b"], q).collect()) for n, q in enumerate(queries)}
+    assert got[0] == [0, 1, 6, 8, 11, 15]
+    text = plan(registry.QUERIES["fts_match_and"](spark, "/root/testdata/sf0.001"), capsys)
+    assert "regexp_extract_all(" not in text and text.count("FileScan") == 1
+    assert text.count("translate(") == 2  # one a column
