@@ -583,17 +583,17 @@ def _modules(spark, sf):
         'Перем П%2$d, К%2$d Экспорт;\nProcedure Run%2$d()\n  Log(\n    "%1$s",\n    New Array(3),\n    Min(1, Max(2, 3)));\nEndProcedure\n',
     )
     code_text = F.element_at(F.array(*[F.format_string(x, "p_name", "p_partkey", "p_size") for x in shapes]), (F.col("p_partkey") % 3 + 1).cast("int"))
-    return table(spark, sf, "part").select(F.col("p_partkey").alias("module_id"), code_text.alias("text"))
+    return spread(table(spark, sf, "part").select("p_partkey", "p_name", "p_size")).select(F.col("p_partkey").alias("module_id"), code_text.alias("text"))  # dealt out before texts are made
 
 
 @query
 def code_symbols(spark, sf):
-    return code_modules.symbols(code_modules.tagged(_modules(spark, sf)))
+    return code_modules.symbols(code_modules.tagged(_modules(spark, sf), dealt=True))
 
 
 @query
 def code_calls(spark, sf):
-    return code_modules.calls(code_modules.tagged(_modules(spark, sf)))
+    return code_modules.calls(code_modules.tagged(_modules(spark, sf), dealt=True))
 
 
 @query

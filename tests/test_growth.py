@@ -146,3 +146,20 @@ def test_matches_are_found_without_cutting_texts(spark, capsys):
     text = plan(registry.QUERIES["fts_match_and"](spark, "/root/testdata/sf0.001"), capsys)
     assert "regexp_extract_all(" not in text and text.count("FileScan") == 1
     assert text.count("translate(") == 2  # one a column
+
+
+def test_modules_are_cut_into_tokens_without_gaps():
+    text = 'Функция Ф(А, "x\n""y", Б[1, (2, 3)]) Экспорт // Нет(1)\n  Get(1, [2, 3], Sum()); a.No(1); Open((\n'
+    assert "".join(code_modules._TOKEN.findall(text)) == text
+    assert [(r[1], r[3], r[8], r[9]) for r in code_modules.parsed(text) if r[0] == "call"] == [("Get", 3, "Ф", 3), ("Open", 3, "Ф", 1), ("Sum", 3, "Ф", 0)]
+    assert [r[1:7] for r in code_modules.parsed(text) if r[0] == "symbol"] == [("Ф", "function", 1, 1, True, 'Функция Ф(А, "x\n""y", Б[1, (2, 3)]) Экспорт')]
+
+
+def test_modules_are_handed_on_without_pandas(spark, capsys):
+    tagged = code_modules.tagged(spark.createDataFrame([(1, "Var A;"), (2, "")], "module_id long, text string"))
+    assert "MapInArrow" in plan(tagged, capsys)
+    assert [(r["module_id"], r["name"], r["line"], r["args_count"]) for r in tagged.collect()] == [(1, "A", 1, None)]
+
+
+def test_texts_of_parts_are_made_in_many_tasks(spark):
+    assert _tasks(registry._modules(spark, "/root/testdata/sf0.001")) > 3
