@@ -335,7 +335,8 @@ def part_pages(spark, sf):
     kind = F.element_at(F.array(*map(F.lit, ("property", "method", "objects", "notes"))), (F.col("p_size") % 4 + 1).cast("int"))
     title = F.concat("p_name", F.lit(" ("), F.col("p_partkey").cast("string"), F.lit(")"))
     body = F.concat(F.lit('<html><h1 class="V8SH_pagetitle">'), title, F.lit("</h1>"), F.when(kind == "notes", F.concat(F.lit("<p>"), "p_type", F.lit("</p>"))).otherwise(F.concat(chapter("Описание", F.col("p_type")), chapter("Возвращаемое значение", F.col("p_brand")))), F.lit("</html>"))
-    return table(spark, sf, "part").select(
+    parts = spread(table(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size"))  # dealt out before pages are made
+    return parts.select(
         F.col("p_partkey").cast("long").alias("key"), F.concat_ws("/", kind, F.col("p_partkey").cast("string")).alias("path"), F.lit("").alias("title"), F.lit("8.3.1").alias("version"), F.lit("en").alias("language"),
         F.lit("").alias("book_label"), F.when(kind.isin("property", "method"), kind).otherwise("topic").alias("entity_type"), F.array("p_brand", F.lit("Methods")).alias("breadcrumb"), body.alias("html"),
     )
@@ -343,13 +344,13 @@ def part_pages(spark, sf):
 
 @query
 def page_records(spark, sf):
-    rows = api_records.records(part_pages(spark, sf))
+    rows = api_records.records(part_pages(spark, sf), dealt=True)
     return rows.select(F.col("id").alias("p_partkey"), "role", "kind", "owner_name", "member_name", "full_name", "title", "summary", "description", "syntax", "returns", "topic_path")
 
 
 @query
 def flat_api_records(spark, sf):
-    rows = api_records.flat_records(api_records.records(part_pages(spark, sf)))
+    rows = api_records.flat_records(api_records.records(part_pages(spark, sf), dealt=True))
     return rows.select(F.col("id").alias("p_partkey"), "name", "kind", "description", "syntax", "returns", F.size("source_sections").alias("n_sections"))
 
 

@@ -48,8 +48,8 @@ def read_pages(topics: DataFrame) -> DataFrame:
     rows = topics.withColumn("_raw", page_runs("html")).drop("html").withColumn("_runs", sorted_runs).drop("_raw")
     body = lambda r: ~r["kind"].isin("title", "cell_link", "version")
     keys = [k for _, k in pages.CHAPTERS]
-    of = lambda k: lambda r: (r["section"] == k) & body(r)
-    bodies = F.array(*[F.struct(F.lit(k).alias("key"), _joined(F.col("_runs"), of(k)).alias("value")) for k in keys])
+    held = F.filter(F.array(*map(F.lit, keys)), lambda k: F.exists("_runs", lambda r: (r["section"] == k) & body(r)))  # most pages have few sections
+    bodies = F.transform(held, lambda k: F.struct(k.alias("key"), _joined(F.col("_runs"), lambda r: (r["section"] == k) & body(r)).alias("value")))
     links_of = F.filter("_runs", lambda r: (r["section"] == "see_also") & r["kind"].isin("link", "cell_link"))
     head = _joined(F.col("_runs"), lambda r: (r["chapter"] == "") & r["kind"].isin("text", "link"))
     rows = rows.select(
@@ -93,15 +93,16 @@ def kinds(rows: DataFrame) -> DataFrame:
     return rows.withColumn("role", F.when(F.col("kind") != "topic", "member").when(indexed, "object").otherwise("topic"))
 
 
-def records(topics: DataFrame) -> DataFrame:
+def records(topics: DataFrame, dealt: bool = False) -> DataFrame:
     """One row a page: role, names, texts, parameters, types, aliases and related names; articles have texts only.
 
     A member's full name has the title above it as its owner; a page whose title is blank is named by its path. Ties and
-    repeated pages stay rows of their own until they are merged. Columns other than those of topics are not read.
+    repeated pages stay rows of their own until they are merged. Columns other than those of topics are not read. Topics
+    that are dealt out to tasks already are parsed where they are.
     """
     # Pages are parsed once: what they hold is kept, so that later columns don't repeat the reading of their runs.
     topics = topics.select("key", "path", "title", "version", "language", "book_label", "entity_type", "breadcrumb", "html")
-    rows = kinds(written(read_pages(spread(topics))))
+    rows = kinds(written(read_pages(topics if dealt else spread(topics))))
     member, topic = F.col("role") == "member", F.col("role") == "topic"
     title, base = F.col("page_title"), T.title_base("page_title")
     described = T.first_nonblank(_section("description"), "intro", _section("note"))

@@ -163,3 +163,7 @@ def test_modules_are_handed_on_without_pandas(spark, capsys):
 
 def test_texts_of_parts_are_made_in_many_tasks(spark):
     assert _tasks(registry._modules(spark, "/root/testdata/sf0.001")) > 3
+
+
+def test_pages_of_parts_are_made_in_many_tasks(spark):
+    assert _tasks(registry.part_pages(spark, "/root/testdata/sf0.001")) > 3
