@@ -207,11 +207,14 @@ def code_blocks(c: Column | str) -> Column:
 
 
 def html_title(html: Column | str) -> Column:
-    """The first heading, else the title element, else ``Untitled``; inner tags dropped."""
+    """The first heading, else the title element, else ``Untitled``; inner tags dropped.
+
+    Elements and tags that are never closed take the rest of the text at once, so that each text is gone through once.
+    """
 
     def inner(tag: str) -> Column:
-        got = F.regexp_extract(_text(html), rf"(?is)<{tag}[^>]*>(.*?)</{tag}>", 1)
-        return F.nullif(squeezed(F.regexp_replace(got, "<[^>]*>", "")), F.lit(""))
+        got = F.regexp_extract(_text(html), rf"(?is)<{tag}[^>]*+(?:>(?:(.*?)</{tag}>|.*)|\z)", 1)
+        return F.nullif(squeezed(F.regexp_replace(got, "(?s)<[^>]*+>|(<.*)", "$1")), F.lit(""))
 
     return F.coalesce(inner("h1"), inner("title"), F.lit("Untitled"))
 

@@ -201,8 +201,8 @@ ORACLES: dict[str, str] = {
     "event_windows": "SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "category_tree": f"""WITH p AS (
   SELECT page_id, 's' || (page_id % 20) AS shelf, 's' || (page_id % 20) || '/p' || page_id || '.html' AS path,
-         coalesce(nullif({_squeeze("regexp_replace(regexp_extract(html[1:2000], '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g')")}, ''),
-                  nullif({_squeeze("regexp_replace(regexp_extract(html[1:2000], '(?is)<title[^>]*>(.*?)</title>', 1), '<[^>]*>', '', 'g')")}, ''), 'Untitled') AS title FROM pages WHERE page_id % 20 < 19),
+         coalesce(nullif({_squeeze("regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g')")}, ''),
+                  nullif({_squeeze("regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '<[^>]*>', '', 'g')")}, ''), 'Untitled') AS title FROM pages WHERE page_id % 20 < 19),
 l AS (SELECT DISTINCT shelf FROM p WHERE page_id % 20 % 2 = 0 AND page_id % 3 > 0)
 SELECT shelf AS path, CAST(NULL AS VARCHAR) AS parent, CAST(row_number() OVER (ORDER BY shelf) - 1 AS INTEGER) AS position, shelf AS title, '' AS page, 0 AS depth, shelf AS breadcrumb
 FROM (SELECT DISTINCT shelf FROM p)

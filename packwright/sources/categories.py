@@ -13,8 +13,8 @@ from packwright.sources.files import old_text
 
 #: The file that lists a folder's items.
 CATEGORIES = "__categories__"
-#: Title of a page without one, and the characters that are searched for it.
-UNTITLED, TITLE_CHARS = "Untitled", 2000
+#: Title of a page without one.
+UNTITLED = "Untitled"
 
 
 def category_items(files: DataFrame) -> DataFrame:
@@ -38,9 +38,10 @@ def category_tree(files: DataFrame, dirs: DataFrame | None = None, root: str | N
     """(path, parent, position, title, page, depth, breadcrumb) of the tree below the root's category file.
 
     Folders are nodes with their own name and an empty page; pages (``.html``, ``.htm`` or no dot in the name) have
-    their heading or title. Items that aren't there have no row, nor have folders that the root's tree doesn't reach; a
-    folder without a category file has its pages and folders by name. An item named twice in a folder counts where it
-    first stands. Without any category file there are no rows. Empty folders come from ``dirs`` (rel_path).
+    their heading or title, wherever it stands. Items that aren't there have no row, nor have folders that the root's
+    tree doesn't reach; a folder without a category file has its pages and folders by name. An item named twice in a
+    folder counts where it first stands. Without any category file there are no rows. Empty folders come from ``dirs``
+    (rel_path).
     """
     root = categories_root(files) if root is None else root
     every = folders(files, "rel_path").withColumnRenamed("folder", "path")
@@ -48,7 +49,7 @@ def category_tree(files: DataFrame, dirs: DataFrame | None = None, root: str | N
     pages = files.where(file_name(F.col("rel_path")) != CATEGORIES).select(F.col("rel_path").alias("path"), "content")
     name = file_name(F.col("path"))
     pages = pages.where(name.rlike(r"\.html?$") | ~F.contains(name, F.lit(".")))
-    title = html_title(F.substring(old_text("content"), 1, TITLE_CHARS))
+    title = html_title(old_text("content"))
     there = every.select("path", F.lit(True).alias("is_dir"), name.alias("title")).unionByName(pages.select("path", F.lit(False).alias("is_dir"), title.alias("title")))
     # Titles and lists are read from contents once; what follows, level by level, joins a few short columns.
     there = written(there.withColumn("folder", _folder_of("path")).where(F.lit(root is not None)))

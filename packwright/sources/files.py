@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +17,7 @@ from packwright.sources import listing
 #: Encodings of old text files, tried in this order.
 ENCODINGS = ("utf-8", "cp1251", "cp866", "latin-1")
 HTML_BYTES = 10 * 1024 * 1024
+_CYRILLIC, _BOXES = re.compile("[\u0400-\u04ff]+"), re.compile("[─-╿]")
 
 
 def scan(spark: SparkSession, root: str, pattern: str = "*", hidden: bool | None = None) -> DataFrame:
@@ -59,10 +62,17 @@ def decoded(content: pd.Series) -> pd.DataFrame:
 
 
 def _garbled(text: str) -> bool:
-    """Whether UTF-8 bytes look as if they had been read as an old encoding."""
-    letters = [c for c in text[:4000] if not c.isspace()]
-    boxes = sum("─" <= c <= "╿" for c in letters)
-    return bool(letters) and (sum(c in "РС" for c in letters) > 0.25 * len(letters) or boxes > 5)
+    """Whether UTF-8 bytes look as if they had been read as an old encoding, by the Cyrillic letters of the whole text.
+
+    Markup and other letters don't count, however many there are; a text of under ten Cyrillic letters goes by all but blanks.
+    """
+    if text.isascii():
+        return False
+    if bad := text.count("Р") + text.count("С"):
+        letters = len(text) - len(_CYRILLIC.sub("", text))
+        if bad > 0.25 * (letters if letters >= 10 else len("".join(text.split()))):
+            return True
+    return len(_BOXES.findall(text)) > 5
 
 
 @F.pandas_udf(T.StringType())

@@ -108,6 +108,13 @@ def test_category_tree_reads_contents_once(spark, capsys):
     assert "old_text" not in plan(found, capsys)
 
 
+def test_titles_of_pages_that_close_nothing_are_searched_once(spark):
+    n = 100_000
+    texts = {"<h1>" * n: "Untitled", "<h1 " * n: "Untitled", "<title>x" * n + "</TITLE>": "x" * n, "<title>x" * n: "Untitled", "<h1>" + "<" * n + "</h1>": "<" * n, "<h1></h1><h1>x</h1><title>T <": "Untitled"}
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert dict(rows.select("t", T.html_title("t")).collect()) == texts
+
+
 def test_code_calls_deals_its_table_to_many_tasks(spark):
     assert _tasks(registry.QUERIES["code_calls"](spark, "/root/testdata/sf0.001")) > 3
 

@@ -2,11 +2,13 @@
 
 import json
 
+import duckdb
 import pytest
+from oracle_check import differences
 from pyspark.sql import functions as F
 
 from packwright.api import Engine
-from packwright.plans import build, packs
+from packwright.plans import build, oracles, packs, registry
 from packwright.plans.catalog import Workspace
 from packwright.sources import categories, files, help_books, unpacked
 from packwright.sources.listing import is_hidden, listing
@@ -76,6 +78,32 @@ def test_category_tree(spark, tmp_path):
     assert categories.category_tree(tree.where("rel_path like 'c/%'")).count() == 0
 
 
+def garbled(text):
+    return text.encode().decode("cp1251")
+
+
+def test_category_tree_uses_whole_texts(spark, tmp_path):
+    far, mark = "<!-- " + "x" * 9000 + " -->", "<p class='a'>"
+    title = "страница привета"
+    made = {
+        "__categories__": '{1,"none.html"},' * 400 + garbled(f'{{1,"{title}.html"}}') + ',{1,"h.html"},{1,"t.html"},{1,"long.html"},{1,"front.html"},{1,"back.html"},{1,"plain.html"}',
+        f"{title}.html": "<h1>A</h1>", "h.html": f"{far}<h1>H</h1>", "t.html": f"{far}<title>T</title>", "long.html": f"<title>no</title><h1>L{'<b></b>' * 900}!</h1>",
+        "front.html": garbled(f"<h1>{title}</h1>") + far, "back.html": mark * 900 + garbled(f"<h1>{title}</h1>"), "plain.html": f"{far}<h1>ССР — Рим, Росс</h1>",
+    }
+    found = categories.category_tree(files.scan(spark, plant(tmp_path, made)), root="").select("path", "title")
+    assert dict(found.collect()) == {f"{title}.html": "A", "h.html": "H", "t.html": "T", "long.html": "L!", "front.html": title, "back.html": title, "plain.html": "ССР — Рим, Росс"}
+
+
+def test_category_tree_agrees_with_sql_on_late_headings(spark, tmp_path):
+    far = "<p>" + "word " * 1000
+    html = F.concat(F.when(F.col("id") % 3 == 0, F.lit("")).otherwise(F.lit(far)), F.when(F.col("id") % 2 == 0, F.lit("<h1>Над ")).otherwise(F.lit("<title>T <b>")), "id", F.lit("</h1></title>"))
+    spark.range(60).select(F.col("id").alias("page_id"), html.alias("html")).write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert differences(spark, con, registry.QUERIES["category_tree"], oracles.ORACLES["category_tree"], str(tmp_path)) == ""
+    assert registry.QUERIES["category_tree"](spark, str(tmp_path)).where("title = 'Untitled'").count() == 0
+
+
 @pytest.mark.parametrize(
     ("root", "made", "versions", "want"),
     [
